@@ -118,8 +118,8 @@ def shingle_sets(data: np.ndarray, offsets: np.ndarray, width: int, powers: Powe
             part = np.sort(rolled[first : first + words - width + 1])
             out.append(part[np.concatenate(([True], part[1:] != part[:-1]))])
         elif words:
-            few = (hashes[first : first + words] * _PLACE[:words]).sum(dtype=np.uint64) + _PLACE[40 + words]
-            out.append(mix(np.array([few], dtype=np.uint64)))
+            few = (hashes[first : first + words] * _PLACE[:words]).sum(dtype=np.uint64, keepdims=True)
+            out.append(mix(few + _PLACE[40 + words : 41 + words]))
         else:
             out.append(np.zeros(0, np.uint64))
     return out
