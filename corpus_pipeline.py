@@ -5,19 +5,46 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pactum.llm import minhash, storage
+from pactum.llm import langid, minhash, mixing, pieces, queries, storage
 
 ORACLE_SQL = None
 
 
+def identify(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents whose language can be told: those with a null text or no letter go.
+
+    Rows of the table that are not held out are learned from; ``lang`` becomes the predicted language.
+    """
+    held_out = F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 4 == 2, F.lit(False))
+    model = langid.train(docs.where(~held_out))
+    rest = tuple(c for c in docs.columns if c not in ("text", "lang"))
+    found = langid.identify(docs.withColumn("__own", F.col("text")), model, "__own", keep=rest)
+    return found.where("lang_pred <> 'und'").select(*[F.col({"text": "__own", "lang": "lang_pred"}.get(c, c)).alias(c) for c in docs.columns])
+
+
 def dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each near-duplicate group: five-word shingles, similarity of 0.8 or more."""
-    kept = minhash.near_duplicates(docs).where("kept").select("doc_id")
-    whole = docs.where(F.col("doc_id").isNull())
-    return docs.join(kept, "doc_id", "left_semi").dropDuplicates(["doc_id"]).select(docs.columns).unionByName(whole)
+    kept = minhash.near_duplicates(docs).where("kept AND doc_id IS NOT NULL").select("doc_id").distinct()
+    unnamed = docs.where(F.col("doc_id").isNull())
+    return docs.join(kept, "doc_id", "left_semi").dropDuplicates(["doc_id"]).select(docs.columns).unionByName(unnamed)
+
+
+def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Sources mixed to their target weights: a document that the mix takes twice is there twice.
+
+    Documents without an id cannot be looked up and stay as they are.
+    """
+    copies = mixing.mix(docs, max_repeat=2).where("copies > 0").select("doc_id", F.col("size").alias("n_words"), "copies")
+    repeated = docs.join(copies, "doc_id").withColumn("copy", F.explode(F.sequence(F.lit(1).cast("long"), "copies")))
+    return repeated.select(docs.columns).unionByName(docs.where(F.col("doc_id").isNull()))
+
+
+def tokenize(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The SentencePiece ids of every document."""
+    return pieces.encode(docs, pieces.Vocabulary(queries.PIECE_MODEL), id_cols=("doc_id", "lang", "source"))
 
 
-STAGES = [("minhash_near_dedup", dedup)]
+STAGES = [("language_id", identify), ("minhash_near_dedup", dedup), ("source_mixing", mix), ("sentencepiece", tokenize)]
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -5,7 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pactum.llm import minhash, mixing, storage, urlfilter, warc
+from pactum.llm import bitslice, editsketch, htmltext, langid, minhash, mixing, piece_counts, pieces, storage, urlfilter, warc
+
+#: The model file of op9 and op10.
+PIECE_MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -47,11 +50,52 @@ def op4_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.near_duplicates(_table(spark, sf_dir, "documents"), width=4, percent=80)
 
 
+def op5_editsketch(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fingerprints of all documents and of their edited copies."""
+    return editsketch.fingerprints_with_edits(_table(spark, sf_dir, "documents"))
+
+
+def op6_htmltext(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The main text of all pages."""
+    return htmltext.extract_main_text(_table(spark, sf_dir, "pages"))
+
+
+def op7_bitslice(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 20 highest inner products of every query vector."""
+    rows = _table(spark, sf_dir, "embeddings").select(F.col("vec_id").cast("long").alias("id"), bitslice.quantised(F.col("embedding"), 64).alias("vec"))
+    return bitslice.top_k(rows, rows.where("id % 20 = 0"), k=20)
+
+
+def op8_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The language of every document, learned from those that are not held out."""
+    docs = _table(spark, sf_dir, "documents")
+    held_out = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 4 == 2
+    model = langid.train(docs.where(~F.coalesce(held_out, F.lit(False))))
+    found = langid.identify(docs, model)
+    return found.select("doc_id", F.coalesce(held_out, F.lit(False)).alias("held_out"), "lang_pred", "score")
+
+
+def op9_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The SentencePiece ids of every document, and whether decoding gives the text again."""
+    return pieces.encode(_table(spark, sf_dir, "documents"), pieces.Vocabulary(PIECE_MODEL))
+
+
+def op10_piece_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The number of SentencePiece pieces of every document."""
+    return piece_counts.count_pieces(_table(spark, sf_dir, "documents"), pieces.Vocabulary(PIECE_MODEL))
+
+
 QUERIES = {
     "op1_warc": op1_warc,
     "op2_urlfilter": op2_urlfilter,
     "op3_mixing": op3_mixing,
     "op4_minhash": op4_minhash,
+    "op5_editsketch": op5_editsketch,
+    "op6_htmltext": op6_htmltext,
+    "op7_bitslice": op7_bitslice,
+    "op8_langid": op8_langid,
+    "op9_pieces": op9_pieces,
+    "op10_piece_counts": op10_piece_counts,
 }
 
 _WORDS = r"""
@@ -62,6 +106,14 @@ _WORDS = r"""
 _RULES = ", ".join(f"('{rule}', '{verdict}')" for rule, verdict in URL_RULES)
 
 SQL = {
+    "op7_bitslice": """
+WITH v AS (SELECT vec_id, [floor(64 * x::DOUBLE)::BIGINT FOR x IN embedding] AS e FROM embeddings
+  WHERE embedding IS NOT NULL AND len([x FOR x IN embedding IF x IS NULL OR NOT isfinite(x)]) = 0),
+s AS (SELECT q.vec_id AS query_id, v.vec_id, list_dot_product([x::DOUBLE FOR x IN q.e], [x::DOUBLE FOR x IN v.e])::BIGINT AS score
+  FROM v q JOIN v ON q.vec_id % 20 = 0 AND v.vec_id <> q.vec_id),
+r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id)::INT AS rank FROM s)
+SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 20
+""",
     "op1_warc": """
 WITH p AS (SELECT page_id, coalesce(html, '') AS h FROM pages),
 d AS (SELECT page_id, strlen(h)::BIGINT AS payload_bytes, unhex(sha1(h))::BIT::VARCHAR AS b FROM p),
