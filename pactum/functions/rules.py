@@ -156,9 +156,10 @@ class _Translator:
 
     def compare(self, a: ast.expr, op: ast.cmpop, b: ast.expr) -> Column:
         if isinstance(op, (ast.In, ast.NotIn)):
-            if not isinstance(b, (ast.List, ast.Tuple)):
+            if not isinstance(b, (ast.List, ast.Tuple, ast.Constant)):
                 raise RuleError("in needs a list")
-            hits = [self.compare(a, ast.Eq(), e) for e in b.elts]
+            # ('a') in SQL spelling is one value.
+            hits = [self.compare(a, ast.Eq(), e) for e in (b.elts if not isinstance(b, ast.Constant) else [b])]
             found = F.lit(False)
             for h in hits:
                 found = found | h

@@ -87,7 +87,7 @@ def check_cardinality(tables: dict[str, DataFrame], dataset: Dataset) -> DataFra
             rows.append((r.name, None, None, None, None, None, False, "missing table or column"))
             continue
         parents = _keys(tables[r.parent], r.parent_key).count()
-        counts = tables[r.child].where(F.col(f"`{r.child_key}`").isNotNull()).groupBy(f"`{r.child_key}`").agg(F.count("*").alias("c"))
+        counts = tables[r.child].where(F.col(f"`{r.child_key}`").isNotNull()).groupBy(F.col(f"`{r.child_key}`").alias("k")).agg(F.count("*").alias("c"))
         got = counts.agg(F.sum("c"), F.max("c"), F.min("c")).first()
         children, top, least = got[0] or 0, got[1] or 0, got[2] or 0
         mean = children / parents if parents else 0.0

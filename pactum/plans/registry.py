@@ -797,10 +797,10 @@ def e4(spark: SparkSession, d: str) -> DataFrame:
     return enrich.time_summary(df, "user_id", "ts").select(F.col("rows").alias("n"), "entities", "first", "last")
 
 
-@query("e5_ratios", "SELECT l_orderkey, l_linenumber, CASE WHEN l_discount = 0 THEN 0 ELSE round(l_extendedprice / (l_discount / 12), 4) END AS amount_to_income_ratio, round(l_extendedprice / l_quantity, 4) AS amount_to_limit_ratio FROM lineitem")
+@query("e5_ratios", "SELECT l_orderkey, l_linenumber, CASE WHEN l_discount = 0 THEN 0 ELSE round(l_extendedprice / (l_discount / 12), 4) END AS amount_to_income_ratio, round(l_extendedprice / l_linenumber, 4) AS amount_to_limit_ratio FROM lineitem")
 def e5(spark: SparkSession, d: str) -> DataFrame:
     """Ratios of prices to two other columns; zero denominators give 0."""
-    return enrich.with_ratios(table(spark, d, "lineitem"), "l_extendedprice", "l_discount", "l_quantity").select("l_orderkey", "l_linenumber", "amount_to_income_ratio", "amount_to_limit_ratio")
+    return enrich.with_ratios(table(spark, d, "lineitem"), "l_extendedprice", "l_discount", "l_linenumber").select("l_orderkey", "l_linenumber", "amount_to_income_ratio", "amount_to_limit_ratio")
 
 
 @query("e6_bands", "SELECT p_partkey, CASE WHEN p_size IS NULL THEN 'UNKNOWN' WHEN p_size < 30 THEN 'YOUNG' WHEN p_size < 50 THEN 'ADULT' WHEN p_size < 65 THEN 'MIDDLE_AGE' ELSE 'SENIOR' END AS age_group, CASE WHEN p_retailprice IS NULL THEN 'UNKNOWN' WHEN p_retailprice < 580 THEN 'POOR' WHEN p_retailprice < 670 THEN 'FAIR' WHEN p_retailprice < 740 THEN 'GOOD' WHEN p_retailprice < 800 THEN 'VERY_GOOD' ELSE 'EXCELLENT' END AS credit_rating FROM part")
