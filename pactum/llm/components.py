@@ -1,4 +1,4 @@
-"""Connected components of an edge table, by star contraction on DataFrames."""
+"""Connected components of an edge table, by contraction on DataFrames."""
 
 from __future__ import annotations
 
@@ -7,51 +7,44 @@ from pyspark.sql import functions as F
 
 from pactum.llm.storage import drop, written
 
+#: Rows of a narrow table that are worth a partition of their own.
+ROWS_A_PART = 100_000
 
-def _state(edges: DataFrame) -> tuple:
-    row = edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
-    return row[0], row[1]
 
-
-def _large_star(edges: DataFrame) -> DataFrame:
-    """Every larger neighbour of a node moves to the smallest node around it."""
-    both = written(edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v"))), "star")
-    least = written(both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m")), "least")
-    moved = both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
-    out = written(moved.where("u <> v").distinct(), "edges")
-    drop(both)
-    drop(least)
-    return out
-
-
-def _small_star(edges: DataFrame) -> DataFrame:
-    """Every smaller neighbour of a node, and the node, move to the smallest of them."""
-    least = written(edges.groupBy("u").agg(F.min("v").alias("m")), "least")
-    moved = edges.join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
-    out = written(moved.unionByName(least.select("u", F.col("m").alias("v"))).where("u <> v").distinct(), "edges")
-    drop(least)
-    return out
+def narrow(df: DataFrame, rows: int, rows_a_part: int = ROWS_A_PART) -> DataFrame:
+    """``df`` in at most as many partitions as ``rows`` rows are worth; large tables keep theirs."""
+    parts = rows // rows_a_part + 1
+    default = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return df.coalesce(parts) if parts < default else df
 
 
 def components(edges: DataFrame) -> DataFrame:
     """(node, comp) for every node of ``edges(u, v)``: comp is the smallest node that it reaches.
 
-    Each round halves the depth of the trees, so rounds grow with the logarithm of the longest path.
-    Hub nodes are never gathered: neighbours are only aggregated to a minimum and joined back, and
-    both join sides are read from written tables, so that adaptive execution can split a hub.
-    Self-loops and repeated edges are harmless; nodes without edges are not returned.
+    In each round every node moves to its smallest neighbour, or stays if it is smaller, and the edges are
+    drawn between the places moved to; all edges of a component are gone when all of it has met.  Nodes
+    should be in random order, as digests are: then each round leaves a fraction of the nodes, so that
+    rounds grow with the logarithm of a component's size.
+
+    Hub nodes are never gathered: neighbours are only aggregated to a minimum and joined back.  Self-loops
+    and repeated edges are harmless; nodes without edges are not returned.
     """
-    ordered = edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).where("u <> v").distinct()
-    now = written(ordered, "edges")
-    state = _state(now)
-    while state[0]:
-        step = _large_star(now)
+    now = written(edges.select("u", "v").where("u <> v").distinct(), "edges")
+    moves: list[DataFrame] = []
+    while rows := now.count():
+        both = now.unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
+        least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
+        move = written(narrow(least, 2 * rows), "moves")
+        one = now.join(move.select("u", F.col("m").alias("a")), "u")
+        two = one.join(move.select(F.col("u").alias("v"), F.col("m").alias("b")), "v")
+        drawn = two.where("a <> b").select(F.least("a", "b").alias("u"), F.greatest("a", "b").alias("v")).distinct()
+        after = written(narrow(drawn, rows), "edges")
         drop(now)
-        now = _small_star(step)
-        drop(step)
-        after = _state(now)
-        if after == state:
-            break
-        state = after
-    tops = now.select(F.col("v").alias("node"), F.col("v").alias("comp")).distinct()
-    return now.select(F.col("u").alias("node"), F.col("v").alias("comp")).unionByName(tops)
+        now = after
+        moves.append(move)
+    if not moves:
+        return now.select(F.col("u").alias("node"), F.col("v").alias("comp"))
+    out = moves[0].select(F.col("u").alias("node"), F.col("m").alias("comp"))
+    for move in moves[1:]:
+        out = out.join(move, F.col("comp") == F.col("u"), "left").select("node", F.coalesce("m", "comp").alias("comp"))
+    return out

@@ -4,11 +4,13 @@ Each distinct shingle set gets two small collections of ``tables`` sub-keys, eac
 ``rows`` minhashes.  Table keys are all pairs (sub-key of collection 1, sub-key of collection 2), so
 ``tables ** 2`` keys of ``2 * rows`` minhashes cost ``2 * tables * rows`` minhashes instead of
 ``2 * tables ** 2 * rows``.  A pair of similarity s is a candidate with probability
-``(1 - (1 - s ** rows) ** tables) ** 2``: 0.9999 at s = 0.8 for the defaults.
+``(1 - (1 - s ** rows) ** tables) ** 2``: above 0.999 at s = 0.8 for the defaults.
 
-Every candidate pair is confirmed on the full shingle sets.  Buckets are neither capped nor expanded
-into all pairs: rounds of pivots compare each bucket's members with a growing number of pivots, and a
-bucket is done once its uncompared members are already in one component.
+Every link is confirmed on the full shingle sets, in two steps without a cap.  First each bucket's members
+meet its least member, the pivot.  This settles all buckets whose members thereby come into one
+component.  The others are joined to clusters, by the pivots that their members have a quarter of their
+shingles in common with; the documents of a cluster that are not in one component yet meet in blocks of
+bounded size, so that a cluster of any size is worked on in many tasks and no pair becomes a row.
 """
 
 from __future__ import annotations
@@ -18,14 +20,20 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pactum.llm.components import components
-from pactum.llm.storage import drop, written
+from pactum.llm.components import components, narrow
+from pactum.llm.storage import broadcast_if_small, drop, written
 from pactum.llm.words import Powers, mix, shingle_sets, slices, utf8
 
 _U = np.uint64
+#: Percent of shingles in common from which on a document belongs to its pivot's cluster.
+KIN = 25
+#: Documents in a block of a cluster, about.
+BLOCK = 128
+#: Rows of (set_id, doc_id), 24 bytes each, that may be broadcast.
+MAX_BROADCAST = 500_000
 
 
 def _digest(shingles: np.ndarray) -> bytes:
@@ -93,15 +101,16 @@ def _buckets(nodes: DataFrame, tables: int) -> DataFrame:
     return out
 
 
-def _verify(pairs: DataFrame, texts: DataFrame, width: int, percent: int) -> DataFrame:
-    """The pairs (a, b) whose full shingle sets have 100 * intersection >= percent * union."""
+def _compared(pairs: DataFrame, texts: DataFrame, width: int, percent: int) -> DataFrame:
+    """The pairs (u, v) with 100 * intersection >= KIN * union, and whether they reach ``percent``."""
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         powers = Powers()
         for batch in batches:
             left, left_at = utf8(batch.column(2))
             right, right_at = utf8(batch.column(3))
-            keep = np.zeros(batch.num_rows, dtype=bool)
+            share = np.zeros(batch.num_rows)
+            linked = np.zeros(batch.num_rows, dtype=bool)
             for start, stop in slices(left_at + right_at):
                 one, two = (
                     shingle_sets(data[at[start] : at[stop]], at[start : stop + 1] - at[start], width, powers)
@@ -109,20 +118,82 @@ def _verify(pairs: DataFrame, texts: DataFrame, width: int, percent: int) -> Dat
                 )
                 for i, (x, y) in enumerate(zip(one, two, strict=True)):
                     common = np.intersect1d(x, y, assume_unique=True).size
-                    keep[start + i] = 100 * common >= percent * (len(x) + len(y) - common) > 0
-            yield pa.RecordBatch.from_arrays([c.filter(pa.array(keep)) for c in batch.columns[:2]], names=["u", "v"])
+                    union = len(x) + len(y) - common
+                    share[start + i] = 100 * common / max(union, 1)
+                    linked[start + i] = 100 * common >= percent * union > 0
+            keep = pa.array((share >= min(KIN, percent)) | linked)
+            yield pa.RecordBatch.from_arrays([*(c.filter(keep) for c in batch.columns[:2]), pa.array(linked).filter(keep)], names=["u", "v", "linked"])
 
     one = texts.select(F.col("set_id").alias("a"), F.col("text").alias("text_a"))
     two = texts.select(F.col("set_id").alias("b"), F.col("text").alias("text_b"))
-    return pairs.join(one, "a").join(two, "b").select("a", "b", "text_a", "text_b").mapInArrow(compare, "u binary, v binary")
+    return pairs.join(one, "a").join(two, "b").select("a", "b", "text_a", "text_b").mapInArrow(compare, "u binary, v binary, linked boolean")
+
+
+def _overlaps(sets: list[np.ndarray]) -> np.ndarray:
+    """The intersection sizes of all pairs of some sets, by products of their membership matrix."""
+    owner = np.repeat(np.arange(len(sets)), [len(s) for s in sets])
+    values, which, counts = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+    number = np.cumsum(counts > 1) - 1
+    shared = counts[which] > 1
+    column, owner = number[which[shared]], owner[shared]
+    order = np.argsort(column, kind="stable")
+    column, owner = column[order], owner[order]
+    out = np.zeros((len(sets), len(sets)), dtype=np.int64)
+    step = 8192
+    for first in range(0, int(column[-1]) + 1 if len(column) else 0, step):
+        lo, hi = np.searchsorted(column, [first, first + step])
+        member = np.zeros((len(sets), step), dtype=np.float32)
+        member[owner[lo:hi], column[lo:hi] - first] = 1
+        out += (member @ member.T).astype(np.int64)
+    return out
+
+
+def _block_links(placed: DataFrame, texts: DataFrame, width: int, percent: int) -> DataFrame:
+    """Links (u, v) between different components of one cluster: ``placed(set_id, comp, cluster)``.
+
+    A component of BLOCK or more documents has blocks of its own, smaller ones share blocks; pairs of
+    blocks are compared unless both are of one component.
+    """
+    sizes = placed.groupBy("cluster", "comp").agg(F.count("*").alias("c"))
+    sizes = sizes.withColumn("own", F.col("c") >= BLOCK)
+    rest = sizes.groupBy("cluster").agg(F.sum(F.when(~F.col("own"), F.col("c"))).alias("small"), F.count("*").alias("comps"), F.sum("c").alias("all"))
+    # A cluster of one component, or of two documents, which have met, is settled.
+    shape = sizes.join(rest.where("comps > 1 AND all > 2").select("cluster", "small"), "cluster")
+    spot = F.when(
+        F.col("own"), F.concat(F.lit("c"), F.hex("comp"), F.lit(":"), F.pmod(F.xxhash64("set_id"), F.ceil(F.col("c") / BLOCK)).cast("string"))
+    ).otherwise(F.concat(F.lit("s:"), F.pmod(F.xxhash64("comp"), F.ceil(F.col("small") / BLOCK)).cast("string")))
+    dealt = placed.join(shape, ["cluster", "comp"]).select("cluster", "comp", "set_id", spot.alias("block"), F.when(F.col("own"), F.col("comp")).alias("whole"))
+    n = placed.count()
+    dealt = written(narrow(dealt, n), "dealt")
+    blocks = written(narrow(dealt.select("cluster", "block", "whole").distinct(), n), "blocks")
+    one = blocks.select("cluster", F.col("block").alias("i"), F.col("whole").alias("whole_i"))
+    two = blocks.select("cluster", F.col("block").alias("j"), F.col("whole").alias("whole_j"))
+    met = one.join(two, "cluster").where("i <= j AND NOT coalesce(whole_i = whole_j, false)")
+    meetings = written(narrow(met.select("cluster", "i", "j"), n, 20_000), "meetings")
+    sides = meetings.select("cluster", "i", "j", F.explode(F.array_distinct(F.array("i", "j"))).alias("block"))
+    rows = dealt.join(sides, ["cluster", "block"]).join(texts, "set_id").select("cluster", "i", "j", "set_id", "comp", "text")
+
+    def links(table: pa.Table) -> pa.Table:
+        data, offsets = utf8(table["text"].combine_chunks() if table["text"].num_chunks != 1 else table["text"].chunk(0))
+        powers = Powers()
+        sets = [x for a, b in slices(offsets) for x in shingle_sets(data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a], width, powers)]
+        size = np.array([len(x) for x in sets], dtype=np.int64)
+        common = _overlaps(sets)
+        union = size[:, None] + size[None, :] - common
+        comp = np.unique(np.array(table["comp"].to_pylist(), dtype=object), return_inverse=True)[1]
+        u, v = np.nonzero(np.triu(100 * common >= percent * union, 1) & (comp[:, None] != comp[None, :]))
+        ids = table["set_id"].combine_chunks()
+        return pa.table({"u": ids.take(pa.array(u)), "v": ids.take(pa.array(v))}, schema=pa.schema([("u", pa.binary()), ("v", pa.binary())]))
+
+    return rows.groupBy("cluster", "i", "j").applyInArrow(links, "u binary, v binary")
 
 
 def near_duplicates(
     docs: DataFrame,
     width: int = 5,
     percent: int = 80,
-    tables: int = 10,
-    rows: int = 2,
+    tables: int = 12,
+    rows: int = 3,
     id_col: str = "doc_id",
     text_col: str = "text",
 ) -> DataFrame:
@@ -146,47 +217,23 @@ def near_duplicates(
         "nodes",
     )
     bucket = _buckets(nodes, tables)
+    n = bucket.count()
     sizes = nodes.select("set_id", "n", "doc_id")
-    members = written(bucket.select("set_id").distinct().join(sizes, "set_id"), "members")
+    members = written(narrow(bucket.select("set_id").distinct().join(sizes, "set_id"), n), "members")
     source = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     texts = written(_representatives(source, members, width), "texts")
-    rest = written(bucket.join(members.select("set_id", "n"), "set_id"), "rest")
-    drop(bucket)
-    labels: DataFrame | None = None
-    pivots = 1
-    while True:
-        placed = _placed(rest, labels)
-        order = Window.partitionBy("key").orderBy("set_id")
-        chosen = written(
-            rest.groupBy("key").agg(F.min("set_id").alias("pivot"))
-            if pivots == 1
-            else rest.select("key", F.col("set_id").alias("pivot"), F.row_number().over(order).alias("at")).where(F.col("at") <= pivots).select("key", "pivot"),
-            "pivots",
-        )
-        # A pivot meets each later member of its bucket that it is not yet linked to and that is near in size.
-        sides = placed.select("key", F.col("set_id").alias("other"), F.col("n").alias("m"), F.col("comp").alias("comp_b"))
-        about = _placed(chosen.join(members.select(F.col("set_id").alias("pivot"), "n"), "pivot").withColumnRenamed("pivot", "set_id"), labels)
-        met = sides.join(about, "key").where(
-            (F.col("other") > F.col("set_id"))
-            & (F.col("comp") != F.col("comp_b"))
-            & (100 * F.least("n", "m") >= percent * F.greatest("n", "m"))
-        )
-        pairs = written(met.select(F.col("set_id").alias("a"), F.col("other").alias("b")).distinct(), "pairs")
-        edges = written(_verify(pairs, texts, width, percent), "links")
-        labels = _relabel(labels, edges)
-        later = rest.join(chosen.withColumnRenamed("pivot", "set_id"), ["key", "set_id"], "left_anti")
-        later = _placed(later, labels)
-        open_keys = later.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi").select("key")
-        open_keys = written(open_keys, "open")
-        after = written(later.select("key", "set_id", "n").join(open_keys, "key", "left_semi"), "rest")
-        for t in (rest, chosen, pairs, edges, open_keys):
-            drop(t)
-        rest = after
-        if rest.isEmpty():
-            break
-        pivots *= 4
-    drop(rest)
-    drop(texts)
+    least = written(narrow(bucket.groupBy("key").agg(F.min("set_id").alias("pivot")), n), "pivots")
+    met = bucket.join(least, "key").where("set_id <> pivot").select(F.col("pivot").alias("a"), F.col("set_id").alias("b")).distinct()
+    pairs = written(narrow(met, n), "pairs")
+    kin = written(narrow(_compared(pairs, texts, width, percent), n, 20_000), "kin")
+    labels = written(narrow(components(kin.where("linked")), n), "labels")
+    clusters = components(kin).select(F.col("node").alias("set_id"), F.col("comp").alias("cluster"))
+    placed = written(narrow(_placed(clusters, labels), n), "placed")
+    more = written(_block_links(placed, texts, width, percent), "links")
+    if not more.isEmpty():
+        labels = _relabel(labels, more)
+    for t in (bucket, least, pairs, kin, placed, more, texts):
+        drop(t)
     nodes_comp = _placed(sizes, labels)
     least = nodes_comp.groupBy("comp").agg(F.min("doc_id").alias("component_id"))
     found = nodes_comp.join(least, "comp").select("set_id", "component_id")
@@ -215,23 +262,21 @@ def _representatives(source: DataFrame, members: DataFrame, width: int) -> DataF
                     keep[start + i] = _digest(s) == wanted[start + i]
             yield batch.filter(pa.array(keep))
 
-    joined = source.join(members.select("set_id", "doc_id"), "doc_id").select("set_id", "text")
+    # Texts are not shuffled for the few that are members, unless the members are many.
+    wanted = broadcast_if_small(members.select("set_id", "doc_id"), MAX_BROADCAST)
+    joined = source.join(wanted, "doc_id").select("set_id", "text")
     # Ids may repeat with other texts: only the text that has the set stands for it.
     return joined.mapInArrow(tagged, "set_id binary, text string").dropDuplicates(["set_id"])
 
 
-def _placed(df: DataFrame, labels: DataFrame | None) -> DataFrame:
+def _placed(df: DataFrame, labels: DataFrame) -> DataFrame:
     """``df`` with the component ``comp`` of its set_id, itself where it has no link yet."""
-    if labels is None:
-        return df.withColumn("comp", F.col("set_id"))
     own = labels.select(F.col("node").alias("set_id"), F.col("comp").alias("c"))
     return df.join(own, "set_id", "left").withColumn("comp", F.coalesce("c", "set_id")).drop("c")
 
 
-def _relabel(labels: DataFrame | None, edges: DataFrame) -> DataFrame:
+def _relabel(labels: DataFrame, edges: DataFrame) -> DataFrame:
     """Labels after joining the components that ``edges`` link."""
-    if labels is None:
-        return written(components(edges), "labels")
     top = labels.select(F.col("node"), F.col("comp"))
 
     def lifted(df: DataFrame, c: str) -> DataFrame:
@@ -242,4 +287,4 @@ def _relabel(labels: DataFrame | None, edges: DataFrame) -> DataFrame:
     over = joined.select(F.col("node").alias("comp"), F.col("comp").alias("top"))
     old = labels.join(over, "comp", "left").select("node", F.coalesce("top", "comp").alias("comp"))
     new = joined.join(labels, "node", "left_anti").select("node", "comp")
-    return written(old.unionByName(new), "labels")
+    return written(narrow(old.unionByName(new), labels.count()), "labels")
