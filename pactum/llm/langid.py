@@ -18,7 +18,7 @@ FAMILIES = {
     "romance": ("ca", "es", "fr", "it", "pt", "ro"),
     "slavic": ("bg", "cs", "pl", "ru", "sk", "uk"),
 }
-BITS = 13
+BITS = 12
 #: ASCII bytes other than letters count as a space.
 _CLASS = np.arange(256, dtype=np.uint32)
 _CLASS[[b for b in range(128) if not chr(b).isalpha()]] = 0x20
@@ -45,24 +45,25 @@ def _svm(x: np.ndarray, y: np.ndarray, c: float = 1.0, epochs: int = 12) -> tupl
     """(w, bias, slope, shift): a linear SVM by dual coordinate descent, and a logistic fit of its margins."""
     rng = np.random.default_rng(11)
     n = len(y)
-    w, alpha = np.zeros(x.shape[1] + 1), np.zeros(n)
-    rows = np.hstack([x, np.ones((n, 1))])
-    norm = (rows * rows).sum(axis=1)
+    w, bias, alpha = np.zeros(x.shape[1], dtype=np.float32), 0.0, np.zeros(n)
+    norm = np.einsum("ij,ij->i", x, x) + 1
     weight = np.where(y > 0, n / (2 * max(1, (y > 0).sum())), n / (2 * max(1, (y < 0).sum()))) * c
     for _ in range(epochs):
         for i in rng.permutation(n):
-            new = min(max(alpha[i] - (y[i] * (rows[i] @ w) - 1) / norm[i], 0.0), weight[i])
+            new = min(max(alpha[i] - (y[i] * (float(x[i] @ w) + bias) - 1) / norm[i], 0.0), weight[i])
             if new != alpha[i]:
-                w += (new - alpha[i]) * y[i] * rows[i]
+                step = (new - alpha[i]) * y[i]
+                w += np.float32(step) * x[i]
+                bias += step
                 alpha[i] = new
-    margin = rows @ w
+    margin = x @ w + bias
     slope, shift = 1.0, 0.0
     for _ in range(200):
         p = 1 / (1 + np.exp(-np.clip(slope * margin + shift, -30, 30)))
         gap = p - np.where(y > 0, 0.98, 0.02)
         slope = max(0.05, slope - 0.5 * float((gap * margin).mean()))
         shift -= 0.5 * float(gap.mean())
-    return w[:-1], float(w[-1]), slope, shift
+    return w, bias, slope, shift
 
 
 class Model:
@@ -71,9 +72,10 @@ class Model:
     def __init__(self, langs: list[str], family_of: dict[str, str], counts: np.ndarray, labels: np.ndarray) -> None:
         self.langs, self.family_of = langs, family_of
         self.families = sorted({family_of[x] for x in langs})
-        share = counts / np.maximum(counts.sum(axis=1, keepdims=True), 1)
-        scale = 1 / np.sqrt(share.mean(axis=0) + 1e-5)
-        x = share * scale
+        counts /= np.maximum(counts.sum(axis=1, keepdims=True), 1)
+        scale = (1 / np.sqrt(counts.mean(axis=0) + 1e-5)).astype(np.float32)
+        counts *= scale
+        x = counts
         fams = np.array([self.families.index(family_of[langs[i]]) for i in labels])
         self.tasks: list[tuple] = []
         fits = []
@@ -125,7 +127,7 @@ class Model:
         return best, family[at, best_family] * within[at, best]
 
 
-def train(docs: DataFrame, per_language: int = 800, families: dict[str, tuple[str, ...]] | None = None, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> Model | None:
+def train(docs: DataFrame, per_language: int = 600, families: dict[str, tuple[str, ...]] | None = None, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> Model | None:
     """A model from a sample of about ``per_language`` labelled rows of each language, drawn by a hash of the id.
 
     Rows with a null text or language, and texts over MAX_TRAINING_BYTES, are not learned from.  The
