@@ -237,10 +237,11 @@ def validate(df: DataFrame, contract: Contract, z_threshold: float = 3.0, contam
     """
     spark = df.sparkSession
     start = in_contract_order(without_nan(df), contract)
-    unique = without_duplicates(start)
-    bounded = materialised(within_bounds(unique, contract), "bounded")
+    # The one full-width shuffle is written; all later steps are filters and aggregates over that table.
+    unique = materialised(without_duplicates(start), "unique")
+    bounded = within_bounds(unique, contract)
     outcomes, tests, n_bounded = rule_outcomes(bounded, contract.rules)
-    ruled = materialised(bounded.where(_all(tests)), "ruled")
+    ruled = bounded.where(_all(tests))
     before = stats.correlation_check(ruled, contract)
     keep = preserved(ruled, contract)
     eligible = [r["column"] for r in zscore_eligibility(ruled, contract).collect() if r["eligible"]]
