@@ -348,20 +348,62 @@ def test_round_trip_and_odd_rows(spark, vocab):
 # ---- pipeline
 
 
-def test_pipeline_stages(spark, tmp_path):
+def brute_mix(rows: list[tuple]) -> dict[int, int]:
+    """Copies of each (doc_id, text, source), by one sort for each source."""
+    import re
+
+    size = {i: len(re.findall(mixing.WORD, t or "")) for i, t, _ in rows}
+    names = sorted({s for *_, s in rows}, key=lambda s: (s is None, (s or "").encode()))
+    totals = [sum(size[i] for i, _, s in rows if s == name) for name in names]
+    goals = mixing.targets(totals, [(3, 1, 2)[k % 3] for k in range(len(names))], 1.5, 2)
+    out = {}
+    for name, total, goal in zip(names, totals, goals, strict=True):
+        whole = int(goal // total)
+        rest = goal - whole * total
+        own = [i for i, _, s in rows if s == name]
+        rate = rest / sum(size[i] ** 2 for i in own)
+        ranked = []
+        for i in own:
+            out[i] = whole
+            u = (int(hashlib.md5(f"mix:{i}".encode()).hexdigest()[:13], 16) + 0.5) / 2**52
+            chance = rate * size[i]
+            if size[i] and rest > 0:
+                ranked.append((0.0 if chance >= 1 else (u / (1 - u)) / (chance / (1 - chance)), i))
+        run = 0
+        for _, i in sorted(ranked):
+            out[i] += run + size[i] / 2 <= rest
+            run += size[i]
+    return out
+
+
+def test_pipeline_stages_against_brute_force(spark, tmp_path, library):
     import corpus_pipeline
 
     src = "/root/testdata/sf0.001"
     if not os.path.isdir(src):
         pytest.skip("no test data")
     docs = spark.read.parquet(f"{src}/documents.parquet")
-    names = [n for n, _ in corpus_pipeline.STAGES]
-    assert names == ["language_id", "minhash_near_dedup", "source_mixing", "sentencepiece"]
-    for name, stage in corpus_pipeline.STAGES[:-1]:
-        out = stage(spark, docs, src)
-        assert sorted(out.dtypes) == sorted(docs.dtypes), name
-        out.write.parquet(str(tmp_path / name))
-        docs = spark.read.parquet(str(tmp_path / name))
-    last = corpus_pipeline.STAGES[-1][1](spark, docs, src)
-    assert last.count() == docs.count()
-    assert last.where("NOT round_trip").count() == 0
+    assert [n for n, _ in corpus_pipeline.STAGES] == ["language_id", "minhash_near_dedup", "source_mixing", "sentencepiece"]
+
+    def step(k: int) -> list[tuple]:
+        nonlocal docs
+        out = corpus_pipeline.STAGES[k][1](spark, docs, src)
+        assert k == 3 or out.dtypes == docs.dtypes
+        out.write.parquet(str(tmp_path / str(k)))
+        docs = spark.read.parquet(str(tmp_path / str(k)))
+        return docs.collect()
+
+    before = docs.collect()
+    first = step(0)
+    assert sorted(r["doc_id"] for r in first) == sorted(r["doc_id"] for r in before if any(c.isalpha() for c in r["text"] or ""))
+    known = {r["doc_id"]: r["lang"] for r in before}
+    assert np.mean([r["lang"] == known[r["doc_id"]] for r in first if known[r["doc_id"]]]) > 0.95
+    first.sort(key=lambda r: r["doc_id"])
+    comp = brute_components([r["text"] for r in first], 5)
+    second = step(1)
+    assert sorted(r["doc_id"] for r in second) == [r["doc_id"] for k, r in enumerate(first) if comp[k] == k]
+    copies = brute_mix([(r["doc_id"], r["text"], r["source"]) for r in second])
+    third = step(2)
+    assert sorted(r["doc_id"] for r in third) == sorted(i for i, n in copies.items() for _ in range(n))
+    texts = {r["doc_id"]: r["text"] for r in third}
+    assert all(r["ids"] == library.encode(texts[r["doc_id"]]) for r in step(3))
