@@ -14,7 +14,9 @@ def work_path(spark: SparkSession, label: str) -> str:
     """A new path in ``spark.checkpoint.dir``; where that is unset (tests), in a folder of this process."""
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
-        base = _OWN.setdefault("dir", "") or _OWN.update(dir="file://" + tempfile.mkdtemp(prefix="pactum-")) or _OWN["dir"]
+        if "dir" not in _OWN:
+            _OWN["dir"] = "file://" + tempfile.mkdtemp(prefix="pactum-")
+        base = _OWN["dir"]
     return f"{base.rstrip('/')}/{label}-{uuid.uuid4().hex}"
 
 
