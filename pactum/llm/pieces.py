@@ -418,7 +418,7 @@ class Store:
 class Encoder:
     """Encodes texts, keeping the words and parts of words that it has met, up to a bound."""
 
-    def __init__(self, vocab: Vocabulary, max_words: int = 400_000) -> None:
+    def __init__(self, vocab: Vocabulary, max_words: int = 250_000) -> None:
         self.vocab, self.max_words, self.lattice = vocab, max_words, Lattice(vocab)
         self.words, self.parts = Store(), Store()
 
