@@ -17,26 +17,45 @@ def identify(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """
     held_out = F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 4 == 2, F.lit(False))
     model = langid.train(docs.where(~held_out))
-    rest = tuple(c for c in docs.columns if c not in ("text", "lang"))
-    found = langid.identify(docs.withColumn("__own", F.col("text")), model, "__own", keep=rest)
-    return found.where("lang_pred <> 'und'").select(*[F.col({"text": "__own", "lang": "lang_pred"}.get(c, c)).alias(c) for c in docs.columns])
+    # Numbered columns cannot clash with those of the result.
+    plain = {c: f"__{k}" for k, c in enumerate(docs.columns)}
+    rest = tuple(name for c, name in plain.items() if c not in ("text", "lang"))
+    found = langid.identify(docs.toDF(*plain.values()), model, plain["text"], plain["text"], keep=rest)
+    return found.where("lang_pred <> 'und'").select(*[F.col("lang_pred" if c == "lang" else name).alias(c) for c, name in plain.items()])
 
 
 def dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each near-duplicate group: five-word shingles, similarity of 0.8 or more."""
-    kept = minhash.near_duplicates(docs).where("kept AND doc_id IS NOT NULL").select("doc_id").distinct()
-    unnamed = docs.where(F.col("doc_id").isNull())
-    return docs.join(kept, "doc_id", "left_semi").dropDuplicates(["doc_id"]).select(docs.columns).unionByName(unnamed)
+    """One document of each near-duplicate group: five-word shingles, similarity of 0.8 or more.
+
+    Rows that repeat an id and its text are one document, rows that repeat an id with another text are
+    different ones.  Rows without an id stay.
+    """
+    key = F.col("doc_id")
+    if not docs.where("doc_id IS NOT NULL").groupBy("doc_id").agg(F.count("*").alias("c")).where("c > 1").isEmpty():
+        key = F.when(key.isNotNull(), F.struct(key.alias("id"), F.xxhash64("text").alias("text")))
+    keyed = docs.withColumn("__key", key)
+    kept = minhash.near_duplicates(keyed, id_col="__key").where("kept AND doc_id IS NOT NULL")
+    kept = storage.written(kept.groupBy(F.col("doc_id").alias("__key")).agg(F.count("*").alias("rows")), "kept")
+    stay = keyed.join(kept.select("__key"), "__key", "left_semi")
+    again = kept.where("rows > 1").select("__key")
+    if not again.isEmpty():
+        once = stay.join(again, "__key", "left_anti")
+        stay = once.unionByName(stay.join(again, "__key", "left_semi").dropDuplicates(["__key"]))
+    return stay.select(docs.columns).unionByName(docs.where(F.col("doc_id").isNull()))
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Sources mixed to their target weights: a document that the mix takes twice is there twice.
 
-    Documents without an id cannot be looked up and stay as they are.
+    Rows with one id, source and size (repeated rows, and rows without an id) are taken alike.
     """
-    copies = mixing.mix(docs, max_repeat=2).where("copies > 0").select("doc_id", F.col("size").alias("n_words"), "copies")
-    repeated = docs.join(copies, "doc_id").withColumn("copy", F.explode(F.sequence(F.lit(1).cast("long"), "copies")))
-    return repeated.select(docs.columns).unionByName(docs.where(F.col("doc_id").isNull()))
+    taken = mixing.mix(docs, max_repeat=2).where("copies > 0")
+    taken = taken.groupBy(F.col("doc_id").alias("i"), F.col("source").alias("s"), F.col("size").alias("w")).agg(F.max("copies").alias("n"))
+    plain = {c: f"__{k}" for k, c in enumerate(docs.columns)}
+    rows = docs.toDF(*plain.values()).withColumn("size", mixing.word_count(F.col(plain["text"])))
+    alike = F.col(plain["doc_id"]).eqNullSafe(F.col("i")) & F.col(plain["source"]).eqNullSafe(F.col("s")) & (F.col("size") == F.col("w"))
+    repeated = rows.join(taken, alike).withColumn("copy", F.explode(F.sequence(F.lit(1).cast("long"), "n")))
+    return repeated.select(*plain.values()).toDF(*docs.columns)
 
 
 def tokenize(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -12,6 +12,11 @@ from pactum.llm.storage import written
 WORD = r"[^\x20\x09-\x0D]+"
 
 
+def word_count(text: Column) -> Column:
+    """The number of words of a text; 0 for null."""
+    return F.coalesce(F.regexp_count(text.cast("string"), F.lit(WORD)), F.lit(0)).cast("long")
+
+
 def targets(sizes: list[int], weights: list[float], share: float, max_repeat: float) -> list[float]:
     """Words to take from each source: ``share`` of all words by weight, at most ``max_repeat`` times a source.
 
@@ -51,14 +56,14 @@ def mix(
     first in that order are taken up to the rest, to the nearest document.
 
     The random number of a document is a hash of ``seed`` and its id, so reruns agree.  A text that is
-    null or has no words has size 0 and is never taken; a null id is ranked like any id; rows that
+    null or has no words has size 0 and gets the certain copies only; a null id is ranked like any id; rows that
     repeat an id are separate documents with one random number.  Ties go to the smaller id, then the
     smaller size.  An empty table gives an empty result; other columns play no part.
 
     The cut is found by two rounds of binned sums (``bins`` bins for each source), so that only the
     rows of one bin in ``bins`` squared are ever sorted.  One row for each source comes to the driver.
     """
-    size = F.coalesce(F.regexp_count(F.col(text_col).cast("string"), F.lit(WORD)), F.lit(0)).cast("long")
+    size = word_count(F.col(text_col))
     base = written(docs.select(F.col(id_col).alias("doc_id"), F.col(source_col).cast("string").alias("source"), size.alias("size")), "sizes")
     spark = docs.sparkSession
     per = base.groupBy("source").agg(F.sum("size").alias("s"), F.sum(F.col("size").cast("decimal(38,0)") * F.col("size")).alias("q")).collect()

@@ -407,3 +407,63 @@ def test_pipeline_stages_against_brute_force(spark, tmp_path, library):
     assert sorted(r["doc_id"] for r in third) == sorted(i for i, n in copies.items() for _ in range(n))
     texts = {r["doc_id"]: r["text"] for r in third}
     assert all(r["ids"] == library.encode(texts[r["doc_id"]]) for r in step(3))
+
+
+ODD = "doc_id long, text string, lang string, source string, n_chars long, score string, copies string, copy string, size string, set_id string"
+
+
+def odd_documents(spark, rows: list[tuple]):
+    """Documents with columns named like those that the stages use themselves."""
+    return spark.createDataFrame([(*r, len(r[1] or ""), *["clash"] * 5) for r in rows], ODD)
+
+
+def test_stages_keep_odd_rows_apart(spark):
+    import corpus_pipeline
+
+    long = "the same words in every row but " + " ".join(f"w{i}" for i in range(200))
+    rows = [
+        (1, long, "en", "a"), (1, long, "en", "a"), (2, long + " more", "en", "b"), (3, "der eine und der andere Hund", "de", None),
+        (3, "quite another text under that id", "en", "a"), (None, "no id at all here", None, "b"), (None, "no id at all here", None, "b"),
+        (4, None, "en", "a"), (5, "", "en", None), (6, "12 34", "de", "b"), (7, "word " * 50_000, "en", "a"), (8, "x", None, None),
+    ]
+    docs = odd_documents(spark, rows)
+    found = corpus_pipeline.identify(spark, docs, "")
+    assert found.dtypes == docs.dtypes and found.where("score = 'clash' AND set_id = 'clash'").count() == len(rows) - 3
+    assert {r["doc_id"] for r in found.collect()} == {1, 2, 3, None, 7, 8}
+
+    once = corpus_pipeline.dedup(spark, docs, "")
+    assert once.dtypes == docs.dtypes
+    got = sorted((r["doc_id"] or 0, (r["text"] or "")[:9]) for r in once.collect())
+    assert got == [(0, "no id at "), (0, "no id at "), (1, "the same "), (3, "der eine "), (3, "quite ano"), (4, ""), (5, ""), (6, "12 34"), (7, "word word"), (8, "x")]
+
+    mixed = corpus_pipeline.mix(spark, docs, "")
+    assert mixed.dtypes == docs.dtypes
+    taken = {}
+    for r in mixed.collect():
+        taken[r["doc_id"], r["text"], r["source"]] = taken.get((r["doc_id"], r["text"], r["source"]), 0) + 1
+    assert all(n <= 2 * rows.count((i, t, lang, s)) for (i, t, s), n in taken.items() for _, _, lang, _ in [next(r for r in rows if (r[0], r[1], r[3]) == (i, t, s))])
+    assert all(n % rows.count(next(r for r in rows if (r[0], r[1], r[3]) == k)) == 0 for k, n in taken.items())
+    assert sorted(r["n_pieces"] for r in corpus_pipeline.tokenize(spark, docs, "").collect())[:2] == [0, 0]
+
+
+def test_stages_take_empty_tables(spark):
+    import corpus_pipeline
+
+    docs = odd_documents(spark, [(1, "a", "en", "a")]).limit(0)
+    for _, stage in corpus_pipeline.STAGES[:-1]:
+        out = stage(spark, docs, "")
+        assert out.dtypes == docs.dtypes and out.count() == 0
+    assert corpus_pipeline.tokenize(spark, docs, "").count() == 0
+
+
+def test_operators_take_empty_tables(spark, vocab, tmp_path):
+    docs = odd_documents(spark, [(1, "a", "en", "a")]).limit(0)
+    pages = spark.createDataFrame([], "page_id long, url string, html string")
+    vectors = spark.createDataFrame([], "id long, vec array<long>")
+    warc.write_warc(pages, str(tmp_path / "w"), min_bytes=0)
+    results = [
+        warc.read_warc(spark, str(tmp_path / "w")), urlfilter.judge_urls(pages, spark.createDataFrame([], "rule string, verdict string")), mixing.mix(docs),
+        minhash.near_duplicates(docs), editsketch.fingerprints_with_edits(docs), editsketch.near_texts(docs), htmltext.extract_main_text(pages),
+        bitslice.top_k(vectors, vectors), langid.identify(docs, langid.train(docs)), pieces.encode(docs, vocab), piece_counts.count_pieces(docs, vocab),
+    ]
+    assert [r.count() for r in results] == [0] * len(results)
