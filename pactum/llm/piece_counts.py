@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pactum.llm.pieces import SPACE, Vocabulary, _slices, merge_bpe, split_words, unit_of
+from pactum.llm.pieces import SPACE, Vocabulary, merge_bpe, split_words, unit_of
 
 
 class Counter:
@@ -144,6 +144,17 @@ class Counter:
         return np.array([sum(map(get, words)) for words in split], dtype=np.int64)
 
 
+def _slices(texts: list[str], limit: int = 4_000_000) -> Iterator[tuple[int, int]]:
+    start = held = 0
+    for k, t in enumerate(texts):
+        held += len(t)
+        if held >= limit:
+            yield start, k + 1
+            start, held = k + 1, 0
+    if start < len(texts):
+        yield start, len(texts)
+
+
 def count_pieces(docs: DataFrame, vocab: Vocabulary, id_cols: tuple[str, ...] = ("doc_id",), text_col: str = "text") -> DataFrame:
     """(``id_cols``, n_pieces) of every row's whole text; null and empty texts have 0 pieces.
 

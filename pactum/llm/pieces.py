@@ -23,13 +23,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pactum.llm.words import mix
+from pactum.llm.words import mix, slices, utf8
 
 SPACE = "▁"
 _U = np.uint64
 _BASE = 0xD6E8FEB86659FD93
 #: Longer words take the plain merge or search of one word, which is exact as well.
 MAX_BATCHED = 40
+#: Ids that are decoded in one step to compare their texts with the given ones.
+DECODED_AT_ONCE = 200_000
 _UNKNOWN, _NONE, _START = -2, -1, -3
 
 
@@ -478,17 +480,6 @@ class Decoder:
         return self.flat[ragged(starts, lengths)], ends[offsets]
 
 
-def _slices(texts: list[str], limit: int = 4_000_000) -> Iterator[tuple[int, int]]:
-    start = held = 0
-    for k, t in enumerate(texts):
-        held += len(t)
-        if held >= limit:
-            yield start, k + 1
-            start, held = k + 1, 0
-    if start < len(texts):
-        yield start, len(texts)
-
-
 def encode(docs: DataFrame, vocab: Vocabulary, id_cols: tuple[str, ...] = ("doc_id",), text_col: str = "text") -> DataFrame:
     """(``id_cols``, ids array<int>, n_pieces long, round_trip boolean) of every row's whole text.
 
@@ -501,13 +492,15 @@ def encode(docs: DataFrame, vocab: Vocabulary, id_cols: tuple[str, ...] = ("doc_
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder, decoder = Encoder(shared.value), Decoder(shared.value)
         for batch in batches:
-            texts = batch.column(batch.num_columns - 1).fill_null("").to_pylist()
-            for start, stop in _slices(texts):
-                part = texts[start:stop]
+            column = batch.column(batch.num_columns - 1)
+            for start, stop in slices(utf8(column)[1]):
+                part = column.slice(start, stop - start).fill_null("").to_pylist()
                 ids, at = encoder.encode(part)
-                data, ends = decoder.decode(ids, at)
-                whole = data.tobytes()
-                same = [whole[ends[i] : ends[i + 1]] == t.encode() for i, t in enumerate(part)]
+                same = []
+                for lo, hi in slices(at, DECODED_AT_ONCE):
+                    data, ends = decoder.decode(ids[at[lo] : at[hi]], at[lo : hi + 1] - at[lo])
+                    whole = data.tobytes()
+                    same += [whole[ends[i] : ends[i + 1]] == t.encode() for i, t in enumerate(part[lo:hi])]
                 cols = [batch.column(i).slice(start, stop - start) for i in range(batch.num_columns - 1)]
                 lists = pa.ListArray.from_arrays(pa.array(at, pa.int32()), pa.array(ids, pa.int32()))
                 yield pa.RecordBatch.from_arrays([*cols, lists, pa.array(np.diff(at), pa.int64()), pa.array(same)], names=[*batch.schema.names[:-1], "ids", "n_pieces", "round_trip"])
