@@ -11,6 +11,11 @@ meet its least member, the pivot.  This settles all buckets whose members thereb
 component.  The others are joined to clusters, by the pivots that their members have a quarter of their
 shingles in common with; the documents of a cluster that are not in one component yet meet in blocks of
 bounded size, so that a cluster of any size is worked on in many tasks and no pair becomes a row.
+
+Last, each bucket's members that its pivot does not settle meet among themselves.  Jaccard distance is a
+metric: what is linked with a document that has KIN + 100 - ``percent`` percent in common with the pivot
+has KIN percent in common with it too, so the two have met in the pivot's cluster.  All other members stay
+in the bucket's rest, and all pairs of a rest in different components are compared.
 """
 
 from __future__ import annotations
@@ -32,6 +37,8 @@ _U = np.uint64
 KIN = 25
 #: Documents in a block of a cluster, about.
 BLOCK = 128
+#: Members of a bucket's rest up to which its pairs become rows (at most 3.5 a member).
+FEW = 8
 #: Rows of (set_id, doc_id), 24 bytes each, that may be broadcast.
 MAX_BROADCAST = 500_000
 
@@ -102,7 +109,11 @@ def _buckets(nodes: DataFrame, tables: int) -> DataFrame:
 
 
 def _compared(pairs: DataFrame, texts: DataFrame, width: int, percent: int) -> DataFrame:
-    """The pairs (u, v) with 100 * intersection >= KIN * union, and whether they reach ``percent``."""
+    """The pairs (u, v) with 100 * intersection >= KIN * union, whether they reach ``percent`` and whether v is near u.
+
+    What is linked with a near v has KIN percent in common with u.
+    """
+    kin = min(KIN, percent)
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         powers = Powers()
@@ -110,7 +121,7 @@ def _compared(pairs: DataFrame, texts: DataFrame, width: int, percent: int) -> D
             left, left_at = utf8(batch.column(2))
             right, right_at = utf8(batch.column(3))
             share = np.zeros(batch.num_rows)
-            linked = np.zeros(batch.num_rows, dtype=bool)
+            linked, near = (np.zeros(batch.num_rows, dtype=bool) for _ in range(2))
             for start, stop in slices(left_at + right_at):
                 one, two = (
                     shingle_sets(data[at[start] : at[stop]], at[start : stop + 1] - at[start], width, powers)
@@ -121,12 +132,13 @@ def _compared(pairs: DataFrame, texts: DataFrame, width: int, percent: int) -> D
                     union = len(x) + len(y) - common
                     share[start + i] = 100 * common / max(union, 1)
                     linked[start + i] = 100 * common >= percent * union > 0
-            keep = pa.array((share >= min(KIN, percent)) | linked)
-            yield pa.RecordBatch.from_arrays([*(c.filter(keep) for c in batch.columns[:2]), pa.array(linked).filter(keep)], names=["u", "v", "linked"])
+                    near[start + i] = 100 * common >= (kin + 100 - percent) * union > 0
+            keep = pa.array((share >= kin) | linked)
+            yield pa.RecordBatch.from_arrays([*(c.filter(keep) for c in batch.columns[:2]), pa.array(linked).filter(keep), pa.array(near).filter(keep)], names=["u", "v", "linked", "near"])
 
     one = texts.select(F.col("set_id").alias("a"), F.col("text").alias("text_a"))
     two = texts.select(F.col("set_id").alias("b"), F.col("text").alias("text_b"))
-    return pairs.join(one, "a").join(two, "b").select("a", "b", "text_a", "text_b").mapInArrow(compare, "u binary, v binary, linked boolean")
+    return pairs.join(one, "a").join(two, "b").select("a", "b", "text_a", "text_b").mapInArrow(compare, "u binary, v binary, linked boolean, near boolean")
 
 
 def _overlaps(sets: list[np.ndarray]) -> np.ndarray:
@@ -148,17 +160,18 @@ def _overlaps(sets: list[np.ndarray]) -> np.ndarray:
     return out
 
 
-def _block_links(placed: DataFrame, texts: DataFrame, width: int, percent: int) -> DataFrame:
+def _block_links(placed: DataFrame, texts: DataFrame, width: int, percent: int, met_up_to: int = 2) -> DataFrame:
     """Links (u, v) between different components of one cluster: ``placed(set_id, comp, cluster)``.
 
     A component of BLOCK or more documents has blocks of its own, smaller ones share blocks; pairs of
-    blocks are compared unless both are of one component.
+    blocks are compared unless both are of one component.  The documents of a cluster of ``met_up_to`` or
+    fewer have met.
     """
     sizes = placed.groupBy("cluster", "comp").agg(F.count("*").alias("c"))
     sizes = sizes.withColumn("own", F.col("c") >= BLOCK)
     rest = sizes.groupBy("cluster").agg(F.sum(F.when(~F.col("own"), F.col("c"))).alias("small"), F.count("*").alias("comps"), F.sum("c").alias("all"))
-    # A cluster of one component, or of two documents, which have met, is settled.
-    shape = sizes.join(rest.where("comps > 1 AND all > 2").select("cluster", "small"), "cluster")
+    # A cluster of one component, or of documents that have met, is settled.
+    shape = sizes.join(rest.where(f"comps > 1 AND all > {met_up_to}").select("cluster", "small"), "cluster")
     spot = F.when(
         F.col("own"), F.concat(F.lit("c"), F.hex("comp"), F.lit(":"), F.pmod(F.xxhash64("set_id"), F.ceil(F.col("c") / BLOCK)).cast("string"))
     ).otherwise(F.concat(F.lit("s:"), F.pmod(F.xxhash64("comp"), F.ceil(F.col("small") / BLOCK)).cast("string")))
@@ -188,6 +201,35 @@ def _block_links(placed: DataFrame, texts: DataFrame, width: int, percent: int)
     return rows.groupBy("cluster", "i", "j").applyInArrow(links, "u binary, v binary")
 
 
+def _rest_links(bucket: DataFrame, least: DataFrame, pairs: DataFrame, near: DataFrame, labels: DataFrame, texts: DataFrame, width: int, percent: int, n: int) -> DataFrame:
+    """Links (u, v) between members of one bucket, in different components, that are not near its pivot.
+
+    Rests with the same members are compared once.  The pairs of small rests become rows, so that a pair of
+    many rests is compared once; the documents of larger ones meet in blocks.
+    """
+    away = bucket.join(least, "key").where("set_id <> pivot").select("key", F.col("pivot").alias("u"), F.col("set_id").alias("v"))
+    away = away.join(near, ["u", "v"], "left_anti").select("key", F.col("v").alias("set_id"))
+    rest = written(narrow(_placed(away, labels), n), "rest")
+    marks = [F.bit_xor(F.xxhash64(F.lit(k), "set_id")).alias(f"h{k}") for k in (1, 2)]
+    sizes = rest.groupBy("key").agg(F.count("*").alias("c"), F.min("comp").alias("one"), F.max("comp").alias("two"), *marks).where("c > 1 AND one <> two")
+    apart = written(narrow(sizes.groupBy("c", "h1", "h2").agg(F.min("key").alias("key")), n), "apart")
+    few = rest.join(apart.where(F.col("c") <= FEW), "key")
+    one, two = (few.select("key", F.col("set_id").alias(x), F.col("comp").alias(f"comp_{x}")) for x in "ab")
+    rows = one.join(two, "key").where("a < b AND comp_a <> comp_b").select("a", "b").distinct().join(pairs, ["a", "b"], "left_anti")
+    meet = written(narrow(rows, n), "rest_pairs")
+    out = written(_compared(meet, texts, width, percent).where("linked").select("u", "v"), "rest_links")
+    many = apart.where(F.col("c") > FEW).select("key")
+    if not many.isEmpty():
+        placed = written(narrow(rest.join(many, "key").select("set_id", "comp", F.col("key").alias("cluster")), n), "rest_placed")
+        more = written(_block_links(placed, texts, width, percent, 1), "rest_blocks")
+        out = written(out.unionByName(more).distinct(), "rest_links")
+        for t in (placed, more):
+            drop(t)
+    for t in (rest, apart, meet):
+        drop(t)
+    return out
+
+
 def near_duplicates(
     docs: DataFrame,
     width: int = 5,
@@ -232,7 +274,10 @@ def near_duplicates(
     more = written(_block_links(placed, texts, width, percent), "links")
     if not more.isEmpty():
         labels = _relabel(labels, more)
-    for t in (bucket, least, pairs, kin, placed, more, texts):
+    last = _rest_links(bucket, least, pairs, kin.where("near"), labels, texts, width, percent, n)
+    if not last.isEmpty():
+        labels = _relabel(labels, last)
+    for t in (bucket, least, pairs, kin, placed, more, last, texts):
         drop(t)
     nodes_comp = _placed(sizes, labels)
     least = nodes_comp.groupBy("comp").agg(F.min("doc_id").alias("component_id"))

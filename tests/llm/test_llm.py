@@ -11,6 +11,7 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from pactum.llm import bitslice, components, editsketch, htmltext, langid, minhash, mixing, piece_counts, pieces, urlfilter, warc
+from pactum.llm.storage import written
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 
@@ -169,6 +170,40 @@ def test_near_duplicates_against_brute_force(spark):
     assert minhash.near_duplicates(df.limit(0)).count() == 0
 
 
+def test_bucket_members_far_from_the_pivot_are_compared(spark, monkeypatch):
+    """Each bucket of 5 or 40 documents has pairs that its least member has next to nothing in common with."""
+    rng = random.Random(11)
+    docs, bucket_of = [], {}
+    for b, size in enumerate([5] * 12 + [40] * 2):
+        for k in range(size):
+            if k in (1, 3):
+                words = docs[-1][1].split()
+                words[50] = f"x{b}_{k}"
+            else:
+                words = [f"w{rng.randrange(10**9)}" for _ in range(100)]
+            bucket_of[len(docs)] = b
+            docs.append((len(docs), " ".join(words)))
+    # A pair of which one has 28 % in common with a third, and the other 22 %.
+    base = [f"s{i}" for i in range(100)]
+    third = base[:45] + [f"t{i}" for i in range(55)]
+    other = [f"r{i}" for i in range(7)] + base[7:]
+    for words in (base, third, other):
+        bucket_of[len(docs)] = 99
+        docs.append((len(docs), " ".join(words)))
+    df = spark.createDataFrame(docs, "doc_id long, text string")
+    near = F.create_map(*[F.lit(x) for item in bucket_of.items() for x in item])
+    monkeypatch.setattr(minhash, "_buckets", lambda nodes, tables: written(nodes.select("set_id", near[F.col("doc_id").cast("int")].cast("long").alias("key")), "buckets"))
+    got = {r["doc_id"]: r["component_id"] for r in minhash.near_duplicates(df, 4).collect()}
+    sets = [{tuple(t.split()[k : k + 4]) for k in range(len(t.split()) - 3)} for _, t in docs]
+    want = list(range(len(docs)))
+    for i in range(len(docs)):
+        for j in range(i):
+            if 100 * len(sets[i] & sets[j]) >= 80 * len(sets[i] | sets[j]):
+                want[i] = min(want[i], want[j])
+    assert sum(i != w for i, w in enumerate(want)) == 29
+    assert [got[i] for i in range(len(docs))] == want
+
+
 # ---- fingerprints
 
 
