@@ -21,7 +21,6 @@ MAGIC = b"\x1f\x8b\x08"
 VERSION = b"WARC/1."
 #: An empty gzip member; its last eight bytes, all zero, are the row separator of the written files.
 EMPTY_MEMBER = bytes.fromhex("1f8b0800000000000003") + b"\x03\x00" + b"\0" * 8
-MAX_HEADER = 65536
 ID = "<urn:pactum:record:{}>"
 
 
@@ -112,7 +111,7 @@ def _inflate(content: memoryview, at: int) -> tuple[bytes, int] | None:
 
 def _record(raw: bytes, at: int) -> tuple[dict, int] | str:
     """(fields, end) of the plain record at ``at``, or the failed check."""
-    stop = raw.find(b"\r\n\r\n", at, at + MAX_HEADER)
+    stop = raw.find(b"\r\n\r\n", at)
     if stop < 0:
         return "header has no end"
     lines = raw[at:stop].decode("utf-8", "replace").split("\r\n")

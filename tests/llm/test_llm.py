@@ -62,6 +62,15 @@ def test_salvage_never_fails_and_covers_all_bytes(junk):
     assert found[-1]["end"] == len(junk + content)
 
 
+def test_headers_of_any_length_come_back(spark, tmp_path):
+    rows = [(1, "http://a/" + "x" * 100_000, "same"), (2, "http://b/" + "\n" * 100_000, "same"), (3, "c", "own")]
+    warc.write_warc(spark.createDataFrame(rows, "page_id long, url string, html string"), str(tmp_path / "w"))
+    back = warc.read_warc(spark, str(tmp_path / "w")).select("status", "warc_type", "target_uri", warc.record_key("record_id").alias("k")).orderBy("k").collect()
+    assert [(r["status"], r["k"], r["warc_type"], len(r["target_uri"])) for r in back] == [("record", 1, "response", 100_009), ("record", 2, "revisit", 300_009), ("record", 3, "response", 1)]
+    plain = b"".join(warc.record_bytes(warc.ID.format(i), "http://" + "y" * 100_000 * i, b"x", None) for i in range(3))
+    assert ids(plain) == [warc.ID.format(i) for i in range(3)]
+
+
 def test_pages_come_back_from_archives(spark, tmp_path):
     rows = [(1, "http://a\r\nX: y", "same"), (2, "http://b", "same"), (3, None, None), (4, "c", ""), (5, "d", "é" * 50_000), (5, "d", "other"), (None, "e", "lost")]
     df = spark.createDataFrame(rows, "page_id long, url string, html string").withColumn("payload", F.lit("clash"))
