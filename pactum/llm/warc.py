@@ -1,13 +1,15 @@
 """WARC archives: a writer with revisit records, and a salvage reader.
 
 The reader checks every gzip member or plain record.  After a failed check it searches for the next
-valid gzip member or version line, goes on from there, and reports the bytes between as a gap.
+valid gzip member or version line, goes on from there, and reports the bytes between as a gap.  The same
+search runs inside a member that holds several records, and in what a damaged member still gives.
 """
 
 from __future__ import annotations
 
 import base64
 import hashlib
+import re
 import zlib
 from collections.abc import Iterator
 
@@ -19,6 +21,7 @@ from pactum.llm.storage import broadcast_if_small
 
 MAGIC = b"\x1f\x8b\x08"
 VERSION = b"WARC/1."
+VERSION_LINE = re.compile(rb"WARC/1\.\d\r\n")
 #: An empty gzip member; its last eight bytes, all zero, are the row separator of the written files.
 EMPTY_MEMBER = bytes.fromhex("1f8b0800000000000003") + b"\x03\x00" + b"\0" * 8
 ID = "<urn:pactum:record:{}>"
@@ -95,18 +98,23 @@ def write_warc(
     text.write.option("lineSep", "\0" * 8).option("maxRecordsPerFile", records_per_file).text(path)
 
 
-def _inflate(content: memoryview, at: int) -> tuple[bytes, int] | None:
-    """(bytes, end) of the gzip member at ``at``, or None if it is damaged or cut short."""
+def _inflate(content: memoryview, at: int) -> tuple[bytes, int, bool]:
+    """(bytes, end, whole) of the gzip member at ``at``; of a damaged or cut one, what comes before the damage."""
     squeeze, parts, end = zlib.decompressobj(31), [], at
-    try:
-        while not squeeze.eof:
-            if end >= len(content):
-                return None
+    while not squeeze.eof and end < len(content):
+        before = squeeze.copy()
+        try:
             parts.append(squeeze.decompress(content[end : end + 65536]))
             end = min(end + 65536, len(content))
-    except zlib.error:
-        return None
-    return b"".join(parts), end - len(squeeze.unused_data)
+        except zlib.error:
+            # An error takes the whole call's bytes along, so those before it come byte by byte.
+            try:
+                while True:
+                    parts.append(before.decompress(content[end : end + 1]))
+                    end += 1
+            except zlib.error:
+                return b"".join(parts), end, False
+    return b"".join(parts), end - len(squeeze.unused_data), squeeze.eof
 
 
 def _record(raw: bytes, at: int) -> tuple[dict, int] | str:
@@ -148,34 +156,71 @@ def _record(raw: bytes, at: int) -> tuple[dict, int] | str:
     return {"head": head, "payload": payload}, end + 4
 
 
+def _inner(raw: bytes) -> list[dict]:
+    """The records and gaps of a member's inflated bytes, with ``from`` and ``to`` in them."""
+    out: list[dict] = []
+    at, bad, why = 0, None, ""
+    while at < len(raw):
+        got = _record(raw, at) if raw.startswith(VERSION, at) else "no version line"
+        if isinstance(got, str):
+            if bad is None:
+                bad, why = at, got
+            following = raw.find(VERSION, at + 1)
+            at = len(raw) if following < 0 else following
+            continue
+        if bad is not None:
+            out.append({"reason": why, "from": bad, "to": at})
+            bad = None
+        out.append({**got[0], "from": at, "to": got[1]})
+        at = got[1]
+    if bad is not None:
+        out.append({"reason": why, "from": bad, "to": len(raw)})
+    return out
+
+
 def salvage(content: bytes) -> Iterator[dict]:
     """The records of one archive and the gaps between them, in byte order.
 
     Gives ``{"at", "end", "head", "payload"}`` for a record and ``{"at", "end", "reason"}`` for a gap;
-    every byte belongs to one of them or to an empty gzip member.
+    every byte belongs to one of them or to an empty gzip member.  Records and gaps of one gzip member
+    have the range of the member, and a gap's reason names its bytes in the inflated member.  What is
+    inflated before a member's damage is searched too, but a record there must have a version line
+    after it; the damaged member is a gap as well.
     """
     view, at, size = memoryview(content), 0, len(content)
     bad, reason = None, ""
+    # Records of a damaged member, which may also stand uncompressed in its bytes.
+    seen, seen_to = set(), 0
     while at < size:
         found: list[dict] = []
         end = None
         if content[at : at + 3] == MAGIC:
-            member = _inflate(view, at)
-            why = "gzip member is damaged"
-            if member is not None:
-                raw, end = member
-                inner = 0
-                while inner < len(raw):
-                    got = _record(raw, inner) if raw.startswith(VERSION, inner) else "no version line"
-                    if isinstance(got, str):
-                        found, end, why = [], None, got
-                        break
-                    found.append(got[0])
-                    inner = got[1]
+            raw, stop, whole = _inflate(view, at)
+            found, why = _inner(raw), "gzip member is damaged"
+            if not whole:
+                # A record that no version line follows counts as damaged.
+                found = [x for x in found if "head" in x and VERSION_LINE.match(raw, x["to"])]
+            if whole:
+                end = stop
+                if found and all("reason" in x for x in found):
+                    # A whole member without a record is part of the gap around it.
+                    bad, reason = (at, found[0]["reason"]) if bad is None else (bad, reason)
+                    at = end
+                    continue
+            elif found:
+                if bad is not None:
+                    yield {"at": bad, "end": at, "reason": reason}
+                for x in found:
+                    yield {"at": at, "end": stop, "head": x["head"], "payload": x["payload"]}
+                    seen.add(_key(raw[x["from"] : x["to"]]))
+                bad, reason, seen_to = at, f"{why} (inflated up to byte {len(raw)}, last record up to byte {found[-1]['to']})", max(stop, seen_to)
         elif content.startswith(VERSION, at):
             got = _record(content, at)
             if isinstance(got, str):
                 why = got
+            elif at < seen_to and bad is not None and _key(content[at : got[1]]) in seen:
+                at = got[1]
+                continue
             else:
                 found, end = [got[0]], got[1]
         else:
@@ -190,25 +235,34 @@ def salvage(content: bytes) -> Iterator[dict]:
             yield {"at": bad, "end": at, "reason": reason}
             bad = None
         for x in found:
-            yield {"at": at, "end": end, **x}
+            if "reason" in x:
+                yield {"at": at, "end": end, "reason": f"{x['reason']} (bytes {x['from']} to {x['to']} of the inflated member)"}
+            else:
+                yield {"at": at, "end": end, "head": x["head"], "payload": x["payload"]}
         at = end
     if bad is not None:
         yield {"at": bad, "end": size, "reason": reason}
 
 
+def _key(record: bytes) -> bytes:
+    return hashlib.sha1(record).digest()
+
+
 SCHEMA = (
     "path string, start long, end long, status string, reason string, record_id string, warc_type string, target_uri string, "
     "payload_digest string, payload_bytes long, refers_to string, payload binary"
 )
 
 
-def read_warc(spark: SparkSession, path: str, with_payload: bool = True) -> DataFrame:
+def read_warc(spark: SparkSession, path: str, with_payload: bool = True, files: str = "*") -> DataFrame:
     """Records and quarantined gaps of all archives under ``path`` (gzip members, plain records or both).
 
     A row per record (status ``record``) and per gap (status ``gap`` with its byte range and the check
     that failed first).  A revisit has no payload; its payload_bytes is the length that its HTTP header
     states.  A record with a missing optional field has null there.  An empty archive gives no rows.  A
     task holds one archive at a time, so archives should be at most a few hundred MB, as the writer's are.
+    ``files`` is a pattern of file names; all files are read by default, but for names that start with _ or
+    a dot.
     """
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -243,7 +297,7 @@ def read_warc(spark: SparkSession, path: str, with_payload: bool = True) -> Data
                         rows, held = [], 0
                 yield pa.RecordBatch.from_pylist(rows, schema=kind)
 
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", "part-*").load(path)
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", files).load(path)
     return files.select("path", "content").mapInArrow(scan, SCHEMA)
 
 

@@ -62,6 +62,28 @@ def test_salvage_never_fails_and_covers_all_bytes(junk):
     assert found[-1]["end"] == len(junk + content)
 
 
+def test_members_of_several_records_lose_only_the_damaged_ones(spark, tmp_path):
+    rng = random.Random(5)
+    raw = [warc.record_bytes(warc.ID.format(i), None, bytes(rng.randrange(97, 123) for _ in range(3000)), None) for i in range(6)]
+    raw[2] = raw[2].replace(b"\r\n\r\n", b"\r\nno colon\r\n\r\n", 1)
+    grouped = gzip.compress(b"".join(raw))
+    assert ids(grouped) == [warc.ID.format(i) for i in (0, 1, 3, 4, 5)]
+    gaps = [x for x in warc.salvage(grouped) if "reason" in x]
+    start = len(raw[0] + raw[1])
+    assert [g["reason"] for g in gaps] == [f"header line without a colon (bytes {start} to {start + len(raw[2])} of the inflated member)"]
+    for level in (9, 0):
+        whole = gzip.compress(raw[0] + raw[1] + raw[3] + raw[4], level)
+        at = len(whole) * 5 // 8
+        cut, bad = whole[:at], whole[:at] + bytes([whole[at] ^ 255]) + whole[at + 1 :]
+        assert ids(cut) == [warc.ID.format(i) for i in (0, 1)]
+        assert ids(cut + gzip.compress(raw[5])) == [warc.ID.format(i) for i in (0, 1, 5)]
+        assert ids(bad)[:2] == [warc.ID.format(i) for i in (0, 1)] and len(set(ids(bad))) == len(ids(bad))
+    (tmp_path / "a.warc").write_bytes(raw[0])
+    (tmp_path / "b.warc.gz").write_bytes(gzip.compress(raw[1]))
+    assert warc.read_warc(spark, str(tmp_path)).where("status = 'record'").count() == 2
+    assert warc.read_warc(spark, str(tmp_path), files="*.gz").count() == 1
+
+
 def test_headers_of_any_length_come_back(spark, tmp_path):
     rows = [(1, "http://a/" + "x" * 100_000, "same"), (2, "http://b/" + "\n" * 100_000, "same"), (3, "c", "own")]
     warc.write_warc(spark.createDataFrame(rows, "page_id long, url string, html string"), str(tmp_path / "w"))
