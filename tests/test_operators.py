@@ -114,6 +114,17 @@ def test_copies_are_high_risk_and_independent_data_is_not(spark):
     assert level(own) != "HIGH"
 
 
+def test_copies_of_rows_beyond_the_bounded_reference_are_seen(spark):
+    rng = np.random.default_rng(3)
+    ref = spark.createDataFrame([tuple(map(float, x)) for x in rng.normal(size=(4000, 2))], "a double, b double").cache()
+    copies = ref.orderBy(F.xxhash64(F.lit(42), "a", "b").desc()).limit(300)
+    own = copies.unionByName(spark.createDataFrame([tuple(map(float, x)) for x in rng.normal(size=(300, 2))], "a double, b double"))
+    got = {r["check"]: (r["level"], r["value"]) for r in privacy.audit({"t": own}, {"t": ref}, "t").collect()}
+    assert got["identical"] == ("HIGH", 0.5)
+    assert got["copies"] == ("found", 0.5)
+    assert got["overall"][0] == "HIGH"
+
+
 def test_date_shifts_keep_intervals_and_null_ids(spark):
     df = spark.createDataFrame([("p", "2024-01-05", "2024-01-09"), ("p", "2024-03-01", "2024-03-02"), (None, "2024-01-01", "2024-01-02")], "id string, a string, b string")
     out = privacy.shift_dates(df, ["a", "b"], "id").select("id", F.datediff("b", "a").alias("d"), F.datediff("a", F.lit("2024-01-01")).alias("m")).collect()
