@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -12,10 +13,12 @@ _OWN: dict[str, str] = {}
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """``spark.checkpoint.dir`` of the session; where it is unset (tests), a folder made for this process."""
+    """``spark.checkpoint.dir`` of the session; where it is unset, a folder of this process, in local mode only."""
     base = spark.conf.get("spark.checkpoint.dir", None)
     if base:
         return base.rstrip("/")
+    if not re.match(r"local(\[|$)", spark.sparkContext.master):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
     if "dir" not in _OWN:
         _OWN["dir"] = "file://" + tempfile.mkdtemp(prefix="pactum-")
     return _OWN["dir"]
