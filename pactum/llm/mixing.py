@@ -2,14 +2,14 @@
 
 from __future__ import annotations
 
-import math
-
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from pactum.llm.storage import written
+from pactum.llm.storage import broadcast_if_small, drop, written
 
 WORD = r"[^\x20\x09-\x0D]+"
+#: Sources up to which one row for each of them is broadcast.
+MAX_BROADCAST = 100_000
 
 
 def word_count(text: Column) -> Column:
@@ -17,23 +17,44 @@ def word_count(text: Column) -> Column:
     return F.coalesce(F.regexp_count(text.cast("string"), F.lit(WORD)), F.lit(0)).cast("long")
 
 
-def targets(sizes: list[int], weights: list[float], share: float, max_repeat: float) -> list[float]:
-    """Words to take from each source: ``share`` of all words by weight, at most ``max_repeat`` times a source.
+def targets(sizes: DataFrame, weights: tuple[float, ...], share: float, max_repeat: float) -> DataFrame:
+    """``sizes(source, source_size)`` with ``target``, the words to take from each source.
 
-    What is above a source's limit goes to the others by weight, until none is above.
+    Sources in code point order, null last, weigh ``weights`` in turn.  They share ``share`` of all words by
+    weight, each at most ``max_repeat`` times its size; what is above a source's limit goes to the others
+    by weight, until none is above.  The windows go over one row for each source.
+    """
+    by_name, everyone = Window.orderBy(F.col("source").asc_nulls_last()), Window.partitionBy()
+    turn = (F.row_number().over(by_name) - 1) % len(weights) + 1
+    out = sizes.withColumn("weight", F.element_at(F.array(*[F.lit(float(w)) for w in weights]), turn))
+    out = out.withColumn("limit", F.lit(float(max_repeat)) * F.col("source_size"))
+    by_limit = Window.orderBy(F.col("limit") / F.col("weight"), F.col("source").asc_nulls_last())
+    spent = F.coalesce(F.sum("limit").over(by_limit.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0.0))
+    left = F.lit(float(share)) * F.sum("source_size").over(everyone) - spent
+    level = left / F.sum("weight").over(by_limit.rowsBetween(Window.currentRow, Window.unboundedFollowing))
+    out = out.withColumn("k", F.row_number().over(by_limit)).withColumn("level", level)
+    # The first source that stays within its limit, and all after it, get their weight's part.
+    fits = F.when(F.col("weight") * F.col("level") <= F.col("limit"), F.struct("k", "level"))
+    out = out.withColumn("first", F.min(fits).over(everyone))
+    target = F.when(F.col("k") >= F.col("first.k"), F.col("weight") * F.col("first.level")).otherwise(F.col("limit"))
+    return out.select("source", "source_size", target.alias("target"))
+
+
+def _rates(hist: DataFrame, stats: DataFrame) -> DataFrame:
+    """(rate_source, rate, certain): the chance of an extra copy for each word of a document, and the words of certain ones.
+
+    ``hist(source, size, c)``: how many documents have a size.  From the largest size down, documents whose
+    chance would be above 1 are certain and their words leave the rest; the others share what is left in
+    proportion to size, so that the expected words are the rest.
     """
-    order = sorted(range(len(sizes)), key=lambda i: (max_repeat * sizes[i] / weights[i], i))
-    left, weight = share * sum(sizes), float(sum(weights))
-    out = [0.0] * len(sizes)
-    for at, i in enumerate(order):
-        level = left / weight
-        if weights[i] * level <= max_repeat * sizes[i]:
-            for j in order[at:]:
-                out[j] = weights[j] * level
-            break
-        out[i] = max_repeat * sizes[i]
-        left, weight = left - out[i], weight - weights[i]
-    return out
+    down = Window.partitionBy("source").orderBy(F.desc("size"))
+    words, squares = F.col("size") * F.col("c"), F.col("size").cast("double") * F.col("size") * F.col("c")
+    certain = F.coalesce(F.sum(words).over(down.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    below = F.sum(squares).over(down.rowsBetween(Window.currentRow, Window.unboundedFollowing))
+    both = _with_source(hist.where("size > 0"), stats.select(F.col("source").alias("own"), "rest"), "own")
+    both = both.withColumn("certain", certain.cast("double")).withColumn("rate", (F.col("rest") - F.col("certain")) / below)
+    found = both.where(F.col("rate") * F.col("size") <= 1).groupBy(F.col("source").alias("rate_source"))
+    return found.agg(F.max_by("rate", "size").alias("rate"), F.max_by("certain", "size").alias("certain"))
 
 
 def mix(
@@ -61,37 +82,35 @@ def mix(
     smaller size.  An empty table gives an empty result; other columns play no part.
 
     The cut is found by two rounds of binned sums (``bins`` bins for each source), so that only the
-    rows of one bin in ``bins`` squared are ever sorted.  One row for each source comes to the driver.
+    rows of one bin in ``bins`` squared are ever sorted.  Nothing but counts comes to the driver.
     """
     size = word_count(F.col(text_col))
     base = written(docs.select(F.col(id_col).alias("doc_id"), F.col(source_col).cast("string").alias("source"), size.alias("size")), "sizes")
-    spark = docs.sparkSession
-    per = base.groupBy("source").agg(F.sum("size").alias("s"), F.sum(F.col("size").cast("decimal(38,0)") * F.col("size")).alias("q")).collect()
-    per = sorted(per, key=lambda r: (r["source"] is None, (r["source"] or "").encode()))
-    goal = targets([r["s"] for r in per], [weights[i % len(weights)] for i in range(len(per))], share, max_repeat) if sum(r["s"] for r in per) else [0.0] * len(per)
-    plan = []
-    for r, t in zip(per, goal, strict=True):
-        whole = math.floor(t / r["s"]) if r["s"] else 0
-        rest = t - whole * r["s"]
-        plan.append((r["source"], r["s"], float(t), whole, float(rest), rest / float(r["q"]) if r["q"] else 0.0))
-    stats = spark.createDataFrame(plan, "source string, source_size long, target double, whole long, rest double, rate double")
-    known = base.join(F.broadcast(stats), base["source"].eqNullSafe(stats["source"])).drop(stats["source"])
+    hist = written(base.groupBy("source", "size").agg(F.count("*").alias("c")), "histogram")
+    sizes = hist.groupBy("source").agg(F.sum(F.col("size") * F.col("c")).alias("source_size"))
+    whole = F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(F.lit(0)).cast("long")
+    stats = targets(sizes, weights, share, max_repeat).withColumn("whole", whole)
+    stats = written(stats.withColumn("rest", F.col("target") - F.col("whole") * F.col("source_size")), "targets")
+    stats = _with_source(stats, _rates(hist, stats), "rate_source", "left")
+    known = _with_source(base, stats.withColumnRenamed("source", "stats_source"), "stats_source")
     digits = F.substring(F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(F.col("doc_id").cast("string"), F.lit("")))), 1, 13)
     u = (F.conv(digits, 16, 10).cast("double") + 0.5) / F.lit(2.0**52)
-    chance = F.col("rate") * F.col("size")
-    odds = F.when(chance >= 1, F.lit(0.0)).otherwise((u / (1 - u)) / F.try_divide(chance, 1 - chance))
-    ranked = known.withColumn("key", F.when((F.col("size") > 0) & (F.col("rest") > 0), odds))
+    chance = F.coalesce("rate", F.lit(float("inf"))) * F.col("size")
+    ranked = known.withColumn("drawn", F.when((F.col("size") > 0) & (F.col("rest") > 0), chance < 1))
+    ranked = ranked.withColumn("key", F.when(F.col("drawn"), (u / (1 - u)) / (chance / (1 - chance))))
     ranked = ranked.withColumn("p", F.col("key") / (1 + F.col("key")) * bins)
     ranked = ranked.withColumn("b1", F.floor("p")).withColumn("b2", F.floor((F.col("p") - F.col("b1")) * bins))
     ranked = written(ranked, "ranked")
-    one = _cut(ranked, ["b1"], F.lit(0.0))
+    for t in (base, hist):
+        drop(t)
+    one = _cut(ranked, ["b1"], F.coalesce("certain", F.lit(0.0)))
     first = _joined(ranked, one, ["c1", "before1"])
     two = _cut(first.where("b1 = c1"), ["b2"], F.col("before1"))
     both = _joined(first, two, ["c2", "before2"])
     at_cut = (F.col("b1") == F.col("c1")) & (F.col("b2") == F.col("c2"))
     both = both.withColumn("at_cut", F.coalesce(at_cut, F.lit(False)))
-    # No cut in a source or bin means that all of it fits.
-    inside = F.when(F.col("key").isNull(), False).when(F.col("c1").isNull(), True).when(F.col("b1") != F.col("c1"), F.col("b1") < F.col("c1")).when(F.col("c2").isNull(), True).otherwise(F.col("b2") < F.col("c2"))
+    # Documents that are not drawn are certain, or get nothing; no cut in a source or bin means that all of it fits.
+    inside = F.when(F.col("key").isNull(), F.coalesce(~F.col("drawn"), F.lit(False))).when(F.col("c1").isNull(), True).when(F.col("b1") != F.col("c1"), F.col("b1") < F.col("c1")).when(F.col("c2").isNull(), True).otherwise(F.col("b2") < F.col("c2"))
     order = Window.partitionBy("source").orderBy("key", "doc_id", "size").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     mid = F.coalesce("before2", F.lit(0.0)) + F.sum("size").over(order) - F.col("size") / 2
     edge = both.where("at_cut").withColumn("more", mid <= F.col("rest"))
@@ -110,5 +129,10 @@ def _cut(rows: DataFrame, bin_cols: list[str], start: Column) -> DataFrame:
 
 def _joined(rows: DataFrame, cut: DataFrame, names: list[str]) -> DataFrame:
     """``rows`` with the cut of their source (one row for each source at most)."""
-    small = F.broadcast(cut.select(F.col("source").alias("cut_source"), F.col("bin").alias(names[0]), F.col("before").alias(names[1])))
-    return rows.join(small, rows["source"].eqNullSafe(small["cut_source"]), "left").drop("cut_source")
+    small = cut.select(F.col("source").alias("cut_source"), F.col("bin").alias(names[0]), F.col("before").alias(names[1]))
+    return _with_source(rows, small, "cut_source", "left")
+
+
+def _with_source(rows: DataFrame, per: DataFrame, key: str, how: str = "inner") -> DataFrame:
+    """``rows`` joined with the row of their source, null being a source; broadcast if the sources are few."""
+    return rows.join(broadcast_if_small(per, MAX_BROADCAST), rows["source"].eqNullSafe(per[key]), how).drop(key)

@@ -16,16 +16,18 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def op1_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Pages written as WARC records and read back by the salvage reader."""
+    """Pages written as WARC records and read back by the salvage reader; gaps are logged and counted."""
     path = storage.new_path(spark, "warc")
     warc.write_warc(_table(spark, sf_dir, "pages"), path, min_bytes=0)
-    back = warc.read_warc(spark, path, with_payload=False).where("status = 'record'")
+    rows = storage.written(warc.read_warc(spark, path, with_payload=False), "warc-rows")
+    back, gaps = warc.split_gaps(rows, storage.new_path(spark, "warc-gaps"))
     return back.select(
         warc.record_key("record_id").alias("page_id"),
         "payload_bytes",
         "payload_digest",
         F.col("warc_type").alias("record_type"),
         warc.record_key("refers_to").alias("refers_to"),
+        F.lit(gaps).cast("long").alias("gaps"),
     )
 
 
@@ -122,7 +124,7 @@ e AS (SELECT page_id, payload_bytes, array_to_string([substr('ABCDEFGHIJKLMNOPQR
       + 2 * substr(b, 5 * k + 4, 1)::INT + substr(b, 5 * k + 5, 1)::INT, 1) FOR k IN range(32)], '') AS payload_digest FROM d),
 f AS (SELECT *, min(page_id) OVER (PARTITION BY payload_digest) AS first FROM e)
 SELECT page_id, payload_bytes, payload_digest, CASE WHEN page_id = first THEN 'response' ELSE 'revisit' END AS record_type,
-  CASE WHEN page_id <> first THEN first END AS refers_to
+  CASE WHEN page_id <> first THEN first END AS refers_to, 0::BIGINT AS gaps
 FROM f
 """,
     "op2_urlfilter": rf"""
@@ -131,24 +133,29 @@ r AS (SELECT rule, verdict, substr(rule, 1, instr(rule, '/') - 1) AS h, substr(r
 u AS (SELECT page_id, CASE WHEN instr(url, '://') > 0 THEN substr(url, instr(url, '://') + 3) ELSE '' END AS rest FROM pages),
 s AS (SELECT page_id, translate(regexp_extract(rest, '^([^/?#]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
   regexp_extract(rest, '^[^/?#]*([^?#]*)', 1) AS path FROM u),
-m AS (SELECT s.*, r.rule, r.verdict, row_number() OVER (PARTITION BY page_id ORDER BY length(r.rule) DESC, length(r.h) DESC) AS k
+m AS (SELECT s.*, r.rule, r.verdict, row_number() OVER (PARTITION BY page_id ORDER BY length(r.rule) DESC, length(r.h) DESC, r.verdict = 'block' DESC) AS k
   FROM s LEFT JOIN r ON (s.host = r.h OR ends_with(s.host, '.' || r.h)) AND starts_with(s.path, r.q))
 SELECT page_id, host, path, rule, coalesce(verdict, 'allow') AS verdict FROM m WHERE k = 1
 """,
     "op3_mixing": r"""
 WITH d AS (SELECT doc_id, source, CASE WHEN text IS NULL THEN 0 ELSE len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')) END::BIGINT AS size FROM documents),
-s AS (SELECT source, sum(size)::BIGINT AS s, sum(size::HUGEINT * size) AS q,
+s AS (SELECT source, sum(size)::BIGINT AS s,
   CASE (row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 WHEN 0 THEN 3.0::DOUBLE WHEN 1 THEN 1.0::DOUBLE ELSE 2.0::DOUBLE END AS w FROM d GROUP BY source),
 o AS (SELECT *, row_number() OVER (ORDER BY 2 * s / w, source NULLS LAST) AS k FROM s),
 l AS (SELECT *, (1.5::DOUBLE * (SELECT sum(s) FROM s)::DOUBLE - coalesce(sum(2 * s) OVER (ORDER BY k ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::DOUBLE)
   / (sum(w) OVER (ORDER BY k ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING)) AS level FROM o),
 c AS (SELECT min(k) AS k0, arg_min(level, k) AS level FROM l WHERE w * level <= 2 * s),
-t AS (SELECT source, s, q, CASE WHEN k >= k0 THEN w * c.level ELSE (2 * s)::DOUBLE END AS target FROM l, c),
-p AS (SELECT source, s, target, CASE WHEN s = 0 THEN 0 ELSE floor(target / s)::BIGINT END AS whole, q FROM t),
+t AS (SELECT source, s, CASE WHEN k >= k0 THEN w * c.level ELSE (2 * s)::DOUBLE END AS target FROM l, c),
+p AS (SELECT source, s, target, CASE WHEN s = 0 THEN 0 ELSE floor(target / s)::BIGINT END AS whole FROM t),
 r AS (SELECT *, target - whole * s AS rest FROM p),
-x AS (SELECT d.doc_id, d.source, d.size, r.s AS source_size, r.target, r.whole, r.rest, CASE WHEN r.q = 0 THEN 0 ELSE r.rest / r.q::DOUBLE END * d.size AS chance,
+h AS (SELECT source, size, count(*) AS c FROM d WHERE size > 0 GROUP BY source, size),
+g AS (SELECT h.source, h.size, (r.rest - coalesce(sum(h.size * h.c) OVER (PARTITION BY h.source ORDER BY h.size DESC ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::DOUBLE)
+  / (sum(h.size::HUGEINT * h.size * h.c) OVER (PARTITION BY h.source ORDER BY h.size DESC ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING))::DOUBLE AS rate
+  FROM h JOIN r ON h.source IS NOT DISTINCT FROM r.source),
+e AS (SELECT source, arg_max(rate, size) AS rate FROM g WHERE rate * size <= 1 GROUP BY source),
+x AS (SELECT d.doc_id, d.source, d.size, r.s AS source_size, r.target, r.whole, r.rest, coalesce(e.rate, 'Infinity'::DOUBLE) * d.size AS chance,
   (('0x' || substr(md5('mix:' || coalesce(d.doc_id::VARCHAR, '')), 1, 13))::BIGINT::DOUBLE + 0.5) / 4503599627370496.0::DOUBLE AS u
-  FROM d JOIN r ON d.source IS NOT DISTINCT FROM r.source),
+  FROM d JOIN r ON d.source IS NOT DISTINCT FROM r.source LEFT JOIN e ON d.source IS NOT DISTINCT FROM e.source),
 y AS (SELECT *, CASE WHEN size = 0 OR rest <= 0 THEN NULL WHEN chance >= 1 THEN 0.0::DOUBLE ELSE (u / (1 - u)) / (chance / (1 - chance)) END AS key FROM x),
 z AS (SELECT *, sum(size) OVER (PARTITION BY source ORDER BY key NULLS LAST, doc_id, size ROWS UNBOUNDED PRECEDING)::DOUBLE - size / 2.0::DOUBLE AS mid FROM y)
 SELECT doc_id, size, source_size, target, (size * (whole + CASE WHEN key IS NOT NULL AND mid <= rest THEN 1 ELSE 0 END))::BIGINT AS taken FROM z

@@ -20,8 +20,8 @@ from pyspark.sql import functions as F
 from pactum.llm.storage import broadcast_if_small
 
 MAGIC = b"\x1f\x8b\x08"
-VERSION = b"WARC/1."
-VERSION_LINE = re.compile(rb"WARC/1\.\d\r\n")
+VERSION = b"WARC/"
+VERSION_LINE = re.compile(rb"WARC/\d+\.\d+\r\n")
 #: An empty gzip member; its last eight bytes, all zero, are the row separator of the written files.
 EMPTY_MEMBER = bytes.fromhex("1f8b0800000000000003") + b"\x03\x00" + b"\0" * 8
 ID = "<urn:pactum:record:{}>"
@@ -117,56 +117,98 @@ def _inflate(content: memoryview, at: int) -> tuple[bytes, int, bool]:
     return b"".join(parts), end - len(squeeze.unused_data), squeeze.eof
 
 
-def _record(raw: bytes, at: int) -> tuple[dict, int] | str:
-    """(fields, end) of the plain record at ``at``, or the failed check."""
-    stop = raw.find(b"\r\n\r\n", at)
-    if stop < 0:
-        return "header has no end"
-    lines = raw[at:stop].decode("utf-8", "replace").split("\r\n")
-    head = {}
-    for line in lines[1:]:
+class _Failed:
+    """A failed check: why, and where the record ends if its frame is whole."""
+
+    def __init__(self, why: str, frame_end: int | None = None) -> None:
+        self.why, self.frame_end = why, frame_end
+
+
+def _header(raw: bytes, at: int) -> tuple[dict[str, str], int] | str:
+    """(fields, start of the block) of the record at ``at``, or the failed check; folded lines are joined."""
+    first = VERSION_LINE.match(raw, at)
+    if not first:
+        return "no version line"
+    head: dict[str, str] = {}
+    at, name = first.end(), ""
+    while True:
+        stop = raw.find(b"\r\n", at)
+        if stop < 0:
+            return "header has no end"
+        if stop == at:
+            return head, stop + 2
+        line = raw[at:stop].decode("utf-8", "replace")
+        at = stop + 2
+        if line[0] in " \t" and name:
+            head[name] = f"{head[name]} {line.strip()}".strip()
+            continue
         name, colon, value = line.partition(":")
         if not colon:
             return "header line without a colon"
-        head[name.strip().lower()] = value.strip()
+        name = name.strip().lower()
+        head[name] = value.strip()
+
+
+def digest_fits(labelled: str | None, data: bytes) -> bool:
+    """Whether ``algorithm:value`` is the digest of ``data``, in base 32 or hexadecimal; unknown algorithms pass."""
+    name, _, value = (labelled or "").partition(":")
+    if name.lower() not in ("sha1", "sha256", "sha512", "md5"):
+        return True
+    own = hashlib.new(name.lower(), data).digest()
+    return value.lower() == own.hex() or value.upper().rstrip("=") == base64.b32encode(own).decode().rstrip("=")
+
+
+def _record(raw: bytes, at: int) -> tuple[dict, int] | _Failed:
+    """(fields, end) of the plain record at ``at``, or the failed check."""
+    found = _header(raw, at)
+    if isinstance(found, str):
+        return _Failed(found)
+    head, start = found
     length = head.get("content-length", "")
     if not (length.isascii() and length.isdigit()):
-        return "no valid content length"
-    start = stop + 4
+        return _Failed("no valid content length")
     end = start + int(length)
     if raw[end : end + 4] != b"\r\n\r\n":
-        return "block does not end where its length says"
+        # Past the end of the bytes: what the header claims is cut.
+        return _Failed("block does not end where its length says", len(raw) if end + 4 > len(raw) else None)
+    whole = end + 4 if end + 4 == len(raw) or VERSION_LINE.match(raw, end + 4) or raw.startswith(MAGIC, end + 4) else None
     if "warc-type" not in head or "warc-record-id" not in head:
-        return "no type or no record id"
+        return _Failed("no type or no record id", whole)
     block = raw[start:end]
-    if head.get("warc-block-digest", "").startswith("sha1:") and head["warc-block-digest"][5:] != sha1_base32(block):
-        return "block digest differs"
+    if not digest_fits(head.get("warc-block-digest"), block):
+        return _Failed("block digest differs", whole)
     payload: bytes | None = block
     if head.get("content-type", "").startswith("application/http"):
         body = block.find(b"\r\n\r\n")
         if body < 0:
-            return "HTTP header has no end"
+            return _Failed("HTTP header has no end", whole)
         payload = block[body + 4 :]
         sizes = [x.split(b":", 1)[1].strip() for x in block[:body].split(b"\r\n") if x.lower().startswith(b"content-length:")]
         head["payload-bytes"] = sizes[0].decode() if sizes and sizes[0].isdigit() else None
     if head["warc-type"] == "revisit":
         payload = None
-    elif head.get("warc-payload-digest", "").startswith("sha1:") and head["warc-payload-digest"][5:] != sha1_base32(payload):
-        return "payload digest differs"
+    elif not digest_fits(head.get("warc-payload-digest"), payload):
+        return _Failed("payload digest differs", whole)
     return {"head": head, "payload": payload}, end + 4
 
 
-def _inner(raw: bytes) -> list[dict]:
-    """The records and gaps of a member's inflated bytes, with ``from`` and ``to`` in them."""
+def _inner(raw: bytes, whole: bool) -> list[dict]:
+    """The records and gaps of a member's inflated bytes, with ``from`` and ``to`` in them.
+
+    After a failed check the search goes on behind a record whose frame is whole, as its payload may hold
+    version lines of its own; else at the next version line.  Of a damaged member, bytes that the header of
+    the last record claims beyond the damage are that record's.
+    """
     out: list[dict] = []
     at, bad, why = 0, None, ""
     while at < len(raw):
-        got = _record(raw, at) if raw.startswith(VERSION, at) else "no version line"
-        if isinstance(got, str):
+        got = _record(raw, at)
+        if isinstance(got, _Failed):
             if bad is None:
-                bad, why = at, got
+                bad, why = at, got.why
+            frame = got.frame_end if got.frame_end is not None and (got.frame_end < len(raw) or not whole or "digest" in got.why) else None
             following = raw.find(VERSION, at + 1)
-            at = len(raw) if following < 0 else following
+            at = frame if frame is not None else len(raw) if following < 0 else following
             continue
         if bad is not None:
             out.append({"reason": why, "from": bad, "to": at})
@@ -178,6 +220,20 @@ def _inner(raw: bytes) -> list[dict]:
     return out
 
 
+class _Marks:
+    """The next gzip magic or version mark from a position on; each byte is searched once."""
+
+    def __init__(self, content: bytes) -> None:
+        self.content, self.next = content, {MAGIC: -1, VERSION: -1}
+
+    def after(self, at: int) -> int:
+        for mark, known in self.next.items():
+            if known < at:
+                found = self.content.find(mark, at)
+                self.next[mark] = len(self.content) if found < 0 else found
+        return min(self.next.values())
+
+
 def salvage(content: bytes) -> Iterator[dict]:
     """The records of one archive and the gaps between them, in byte order.
 
@@ -188,7 +244,7 @@ def salvage(content: bytes) -> Iterator[dict]:
     after it; the damaged member is a gap as well.
     """
     view, at, size = memoryview(content), 0, len(content)
-    bad, reason = None, ""
+    bad, reason, marks = None, "", _Marks(content)
     # Records of a damaged member, which may also stand uncompressed in its bytes.
     seen, seen_to = set(), 0
     while at < size:
@@ -196,7 +252,7 @@ def salvage(content: bytes) -> Iterator[dict]:
         end = None
         if content[at : at + 3] == MAGIC:
             raw, stop, whole = _inflate(view, at)
-            found, why = _inner(raw), "gzip member is damaged"
+            found, why = _inner(raw, whole), "gzip member is damaged"
             if not whole:
                 # A record that no version line follows counts as damaged.
                 found = [x for x in found if "head" in x and VERSION_LINE.match(raw, x["to"])]
@@ -216,8 +272,12 @@ def salvage(content: bytes) -> Iterator[dict]:
                 bad, reason, seen_to = at, f"{why} (inflated up to byte {len(raw)}, last record up to byte {found[-1]['to']})", max(stop, seen_to)
         elif content.startswith(VERSION, at):
             got = _record(content, at)
-            if isinstance(got, str):
-                why = got
+            if isinstance(got, _Failed):
+                why = got.why
+                if got.frame_end is not None and "digest" in why:
+                    bad, reason = (at, why) if bad is None else (bad, reason)
+                    at = got.frame_end
+                    continue
             elif at < seen_to and bad is not None and _key(content[at : got[1]]) in seen:
                 at = got[1]
                 continue
@@ -228,8 +288,7 @@ def salvage(content: bytes) -> Iterator[dict]:
         if end is None:
             if bad is None:
                 bad, reason = at, why
-            hits = [x for x in (content.find(MAGIC, at + 1), content.find(VERSION, at + 1)) if x >= 0]
-            at = min(hits, default=size)
+            at = marks.after(at + 1)
             continue
         if bad is not None:
             yield {"at": bad, "end": at, "reason": reason}
@@ -301,6 +360,16 @@ def read_warc(spark: SparkSession, path: str, with_payload: bool = True, files:
     return files.select("path", "content").mapInArrow(scan, SCHEMA)
 
 
+def split_gaps(rows: DataFrame, log_path: str) -> tuple[DataFrame, int]:
+    """(records, number of gaps) of rows of :func:`read_warc`; the gaps are logged as a table at ``log_path``.
+
+    The log has path, start, end and reason of every quarantined range of bytes; with no gap it is empty.
+    """
+    rows.where("status = 'gap'").select("path", "start", "end", "reason").write.parquet(log_path)
+    gaps = rows.sparkSession.read.schema("path string, start long, end long, reason string").parquet(log_path).count()
+    return rows.where("status = 'record'"), gaps
+
+
 def record_key(col: str, kind: str = "long") -> Column:
     """The id that :func:`write_warc` put into a record id; null for a null id."""
     key = F.regexp_extract(col, r"^<urn:pactum:record:(.*)>$", 1)
