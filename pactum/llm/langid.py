@@ -13,17 +13,29 @@ from pyspark.sql import functions as F
 
 from pactum.llm.words import slices, utf8
 
+#: Families of closely related languages by their ISO 639-1 codes; any other code is a family of its own.
 FAMILIES = {
-    "germanic": ("da", "de", "en", "nl", "no", "sv"),
-    "romance": ("ca", "es", "fr", "it", "pt", "ro"),
-    "slavic": ("bg", "cs", "pl", "ru", "sk", "uk"),
+    "baltic": ("lt", "lv"),
+    "celtic": ("br", "cy", "ga", "gd", "gv", "kw"),
+    "dravidian": ("kn", "ml", "ta", "te"),
+    "germanic": ("af", "da", "de", "en", "fo", "fy", "is", "lb", "nb", "nl", "nn", "no", "sv", "yi"),
+    "indic": ("as", "bn", "gu", "hi", "mr", "ne", "or", "pa", "sd", "si", "ur"),
+    "iranian": ("fa", "ku", "ps", "tg"),
+    "malayic": ("id", "jv", "ms", "su"),
+    "romance": ("ca", "es", "fr", "gl", "it", "la", "oc", "pt", "ro", "sc"),
+    "semitic": ("am", "ar", "he", "mt", "ti"),
+    "slavic": ("be", "bg", "bs", "cs", "hr", "mk", "pl", "ru", "sk", "sl", "sr", "uk"),
+    "turkic": ("az", "ba", "kk", "ky", "tk", "tr", "tt", "ug", "uz"),
+    "uralic": ("et", "fi", "hu", "se"),
 }
 BITS = 12
 #: ASCII bytes other than letters count as a space.
 _CLASS = np.arange(256, dtype=np.uint32)
 _CLASS[[b for b in range(128) if not chr(b).isalpha()]] = 0x20
 #: Texts of more bytes are predicted whole but not learned from.
-MAX_TRAINING_BYTES = 1_000_000
+MAX_TRAINING_BYTES = 200_000
+#: What all languages together may bring to the driver, about: rows and bytes.
+MAX_SAMPLE_ROWS, MAX_SAMPLE_BYTES = 8_000, 48_000_000
 
 
 def _grams(data: np.ndarray) -> np.ndarray:
@@ -131,19 +143,22 @@ def train(docs: DataFrame, per_language: int = 600, families: dict[str, tuple[st
     """A model from a sample of about ``per_language`` labelled rows of each language, drawn by a hash of the id.
 
     Rows with a null text or language, and texts over MAX_TRAINING_BYTES, are not learned from.  The
-    sample is all that comes to the driver; None if there is none.
+    sample is all that comes to the driver: of many languages, or of long texts, fewer rows of each are
+    drawn, so that it has about MAX_SAMPLE_ROWS rows and MAX_SAMPLE_BYTES bytes at most.  None if there is
+    none.  Rows that repeat an id are drawn alike; other columns play no part.
     """
     family_of = {lang: name for name, group in (families or FAMILIES).items() for lang in group}
-    rows = docs.where(F.col(text_col).isNotNull() & F.col(lang_col).isNotNull())
+    rows = docs.where(F.col(text_col).isNotNull() & F.col(lang_col).isNotNull() & (F.octet_length(text_col) <= MAX_TRAINING_BYTES))
     draw = F.pmod(F.xxhash64(F.lit("langid"), id_col), F.lit(1 << 30))
-    counts = {r[0]: r[1] for r in rows.groupBy(lang_col).count().collect()}
+    counts = {r[0]: (r[1], r[2]) for r in rows.groupBy(lang_col).agg(F.count("*"), F.sum(F.octet_length(text_col))).collect()}
     if not counts:
         return None
     keep = None
-    for lang, n in counts.items():
-        one = (F.col(lang_col) == lang) & (draw < min(1 << 30, int((1 << 30) * per_language / n)))
+    for lang, (n, held) in counts.items():
+        share = min(min(per_language, MAX_SAMPLE_ROWS / len(counts)) / n, MAX_SAMPLE_BYTES / len(counts) / max(held, 1), 1.0)
+        one = (F.col(lang_col) == lang) & (draw < int((1 << 30) * share))
         keep = one if keep is None else keep | one
-    small = rows.where(keep & (F.octet_length(text_col) <= MAX_TRAINING_BYTES))
+    small = rows.where(keep)
     sample = small.select(F.col(text_col).cast("string").alias("text"), F.col(lang_col).alias("lang"), F.col(id_col).alias("id")).orderBy("lang", "id").toArrow()
     langs = sorted(set(sample["lang"].to_pylist()))
     if not langs:
@@ -160,7 +175,9 @@ def identify(docs: DataFrame, model: Model | None, id_col: str = "doc_id", text_
     """(id, ``keep`` columns, lang_pred, score) of every row's whole text.
 
     ``und`` with score 0 if the text is null, empty or has no letter, and for every row if nothing could
-    be learned.  Only the text is looked at.  Repeated rows are predicted alike.
+    be learned.  Only the text is looked at.  Repeated rows are predicted alike; of equal chances the
+    family, and the language in it, that comes first in code point order wins.  Columns that are not named play
+    no part, whatever they are called.
     """
     shared = docs.sparkSession.sparkContext.broadcast(model)
 

@@ -14,7 +14,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pactum.llm.pieces import SPACE, Vocabulary, merge_bpe, split_words, unit_of
+from pactum.llm.pieces import BYTES_AT_ONCE, SPACE, Vocabulary, merge_bpe, split_words, unit_of
+from pactum.llm.words import slices, utf8
 
 
 class Counter:
@@ -144,17 +145,6 @@ class Counter:
         return np.array([sum(map(get, words)) for words in split], dtype=np.int64)
 
 
-def _slices(texts: list[str], limit: int = 4_000_000) -> Iterator[tuple[int, int]]:
-    start = held = 0
-    for k, t in enumerate(texts):
-        held += len(t)
-        if held >= limit:
-            yield start, k + 1
-            start, held = k + 1, 0
-    if start < len(texts):
-        yield start, len(texts)
-
-
 def count_pieces(docs: DataFrame, vocab: Vocabulary, id_cols: tuple[str, ...] = ("doc_id",), text_col: str = "text") -> DataFrame:
     """(``id_cols``, n_pieces) of every row's whole text; null and empty texts have 0 pieces.
 
@@ -165,10 +155,11 @@ def count_pieces(docs: DataFrame, vocab: Vocabulary, id_cols: tuple[str, ...] =
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counter = Counter(shared.value)
         for batch in batches:
-            texts = batch.column(batch.num_columns - 1).fill_null("").to_pylist()
-            for start, stop in _slices(texts):
+            column = batch.column(batch.num_columns - 1)
+            for start, stop in slices(utf8(column)[1], BYTES_AT_ONCE):
+                texts = column.slice(start, stop - start).fill_null("").to_pylist()
                 cols = [batch.column(i).slice(start, stop - start) for i in range(batch.num_columns - 1)]
-                yield pa.RecordBatch.from_arrays([*cols, pa.array(counter.count(texts[start:stop]), pa.int64())], names=[*batch.schema.names[:-1], "n_pieces"])
+                yield pa.RecordBatch.from_arrays([*cols, pa.array(counter.count(texts), pa.int64())], names=[*batch.schema.names[:-1], "n_pieces"])
 
     first = docs.select(*id_cols, F.col(text_col).cast("string").alias("__text"))
     kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in first.schema.fields[:-1])

@@ -6,6 +6,8 @@ the first hex digits of their SHA-256 and confirmed on the whole digest.
 
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -23,7 +25,7 @@ def host_and_path(url: Column) -> tuple[Column, Column]:
     return host, F.regexp_extract(rest, r"^[^/?#]*([^?#]*)", 1)
 
 
-def judge_urls(pages: DataFrame, rules: DataFrame, id_col: str = "page_id", url_col: str = "url", default: str = "allow", hash_digits: int = 8, max_broadcast_rules: int = 100_000) -> DataFrame:
+def judge_urls(pages: DataFrame, rules: DataFrame, id_col: str = "page_id", url_col: str = "url", default: str = "allow", hash_digits: int = 8, max_broadcast_rules: int = 100_000, max_shapes: int = 2_000) -> DataFrame:
     """The verdict of ``rules(rule, verdict)`` on every row's URL: page id, host, path, rule, verdict.
 
     A rule is a host followed by a path, such as ``example.org/en/``; it fits that host and all its
@@ -32,9 +34,10 @@ def judge_urls(pages: DataFrame, rules: DataFrame, id_col: str = "page_id", url_
     and the ``default`` verdict.  Null or empty rules are ignored, repeated rows are judged alike, and
     other columns play no part.
 
-    Only the (host labels, path length) shapes that occur among the rules are expanded; the distinct
-    shapes, not the rules, come to the driver.  Rules are broadcast up to ``max_broadcast_rules`` rows
-    and joined with a shuffle beyond.  Each distinct URL is expanded once.
+    Only the (host labels, path length) shapes that occur among the rules are expanded; of up to
+    ``max_shapes`` shapes, the shapes, not the rules, come to the driver.  Beyond that every host suffix
+    meets every path prefix.  Rules are broadcast up to ``max_broadcast_rules`` rows and joined with a
+    shuffle beyond.  Each distinct URL is expanded once.
     """
     at = F.instr("rule", "/")
     rule_host = F.when(at > 0, F.substr("rule", F.lit(1), at - 1)).otherwise(F.col("rule"))
@@ -44,21 +47,27 @@ def judge_urls(pages: DataFrame, rules: DataFrame, id_col: str = "page_id", url_
         .select("rule", "verdict", F.length("h").alias("host_chars"), F.size(F.split("h", r"\.")).alias("labels"), (F.length("rule") - F.length("h")).alias("path_chars"), F.sha2("rule", 256).alias("digest"))
         .withColumn("prefix", F.substring("digest", 1, hash_digits))
     )
-    shapes = sorted((r[0], r[1]) for r in table.select("labels", "path_chars").distinct().collect())
+    shapes = sorted((r[0], r[1]) for r in table.select("labels", "path_chars").distinct().limit(max_shapes + 1).collect())
     host, path = host_and_path(F.col("url"))
     rows = pages.select(F.col(id_col).alias("page_id"), F.col(url_col).cast("string").alias("url"))
     parts = rows.where("url IS NOT NULL").select("url").distinct().select("url", host.alias("host"), path.alias("path"))
-    labels = F.size(F.split("host", r"\."))
-    expressions = F.array_compact(
-        F.array(*[F.when((labels >= k) & (F.length("path") >= n), F.concat(F.substring_index("host", ".", -k), F.substring("path", 1, n))) for k, n in shapes])
-        if shapes
-        else F.array(F.lit(None).cast("string"))
-    )
+    labels = F.split("host", r"\.")
+    if len(shapes) <= max_shapes:
+        # One constant array, however many shapes there are.
+        wanted = F.from_json(F.lit(json.dumps([{"k": k, "n": n} for k, n in shapes])), "array<struct<k:int,n:int>>")
+        fitting = F.filter(wanted, lambda s: (F.size(labels) >= s["k"]) & (F.length("path") >= s["n"]))
+    else:
+        every = F.transform(F.sequence(F.lit(1), F.size(labels)), lambda k: F.transform(F.sequence(F.lit(0), F.length("path")), lambda n: F.struct(k.alias("k"), n.alias("n"))))
+        fitting = F.flatten(every)
+    suffix = lambda k: F.array_join(F.slice(labels, F.size(labels) - k + 1, k), ".")
+    expressions = F.transform(fitting, lambda s: F.concat(suffix(s["k"]), F.substr("path", F.lit(1), s["n"])))
     expanded = parts.select("url", F.explode(F.array_distinct(expressions)).alias("expression")).withColumn("full", F.sha2("expression", 256))
     expanded = expanded.withColumn("prefix", F.substring("full", 1, hash_digits))
     hits = expanded.join(broadcast_if_small(table, max_broadcast_rules), "prefix").where("full = digest")
     rank = F.struct(F.length("rule"), F.col("host_chars"), F.col("verdict") == "block")
     best = hits.groupBy("url").agg(F.max_by(F.struct("rule", "verdict"), rank).alias("best"))
-    judged = rows.join(best, "url", "left")
+    # Null URLs fit no rule; joined, they would all meet in one task.
+    judged = rows.where("url IS NOT NULL").join(best, "url", "left")
+    judged = judged.unionByName(rows.where("url IS NULL"), allowMissingColumns=True)
     host, path = host_and_path(F.col("url"))
     return judged.select("page_id", host.alias("host"), path.alias("path"), F.col("best.rule").alias("rule"), F.coalesce("best.verdict", F.lit(default)).alias("verdict"))
