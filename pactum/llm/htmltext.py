@@ -1,15 +1,22 @@
-"""The main text of web pages, with boilerplate found by suffix arrays over the pages of a host.
+"""The main text of web pages, with boilerplate found by a suffix array over the pages of a host.
 
-The token streams of a host's pages are concatenated and sorted as suffixes; long substrings that stand
-on several distinct pages are boilerplate.  A run of tokens that they cover is removed and unique runs are
-kept; markup has the last word: what stands in an article is kept although copies of the article exist,
-and what is marked as menu, advert, form and the like is dropped although it is unique.
+The token streams of a host's pages, outside their articles, are concatenated and their suffixes sorted by
+their first tokens; a substring that stands on two distinct pages or more is boilerplate.  Runs of tokens
+that such substrings cover are removed and unique runs are kept.  Every partition sorts the suffixes of its
+own pages; Spark merges equal runs of all partitions, so the whole host counts, however large it is and
+however its pages are dealt.
+
+Markup decides what repeats cannot tell.  Of a page with an article (else a main element) that is the text:
+copies of an article repeat too, and adverts beside it need not.  Elements that are menu, header, footer,
+sidebar, form or hidden by their name or role go, and so do reader comments, which are unique and yet no
+article.
 """
 
 from __future__ import annotations
 
 import html
 import re
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -17,216 +24,368 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pactum.llm.storage import broadcast_if_small
+from pactum.llm.storage import written
 from pactum.llm.urlfilter import host_and_path
+from pactum.llm.words import Powers, mix, slices, utf8, word_hashes
 
-_TAG = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>", re.S)
-_ATTR = re.compile(r"""([a-zA-Z-]+)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""")
-_RAW = {"script", "style", "noscript", "template", "iframe", "title", "textarea", "svg", "math", "object", "select", "option", "button", "head"}
+_U = np.uint64
+_NAME = re.compile(r"[a-zA-Z][a-zA-Z0-9:-]*")
+_STOP = re.compile(r"""[>"']""")
+_ATTR = re.compile(r"""([a-zA-Z-]+)(?:\s*+=\s*+(?:"([^"]*+)"|'([^']*+)'|([^\s"'>]++)))?+""")
+_END_TAG = re.compile(r"</([a-zA-Z][a-zA-Z0-9:-]*)")
+#: Elements whose content is text up to their end tag.
+_RAW = {n: re.compile(rf"</{n}(?=[\s/>])", re.I) for n in ("script", "style", "title", "textarea", "iframe", "xmp", "noembed", "noframes")}
+#: Elements that show no text of the page; without an end tag they are ignored.
+_SILENT = {"noscript", "template", "svg", "math", "object", "select", "option", "optgroup", "datalist", "button", "canvas", "audio", "video"}
 _VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "param", "source", "track", "wbr"}
 _INLINE = {"a", "abbr", "b", "bdi", "bdo", "cite", "code", "data", "del", "dfn", "em", "font", "i", "ins", "kbd", "label", "mark", "q", "s", "samp", "small", "span", "strike", "strong", "sub", "sup", "time", "tt", "u", "var", "wbr", "img"}
-_DROP = {"nav", "footer", "aside", "form", "dialog", "menu"}
-_DROP_ROLES = {"navigation", "banner", "contentinfo", "complementary", "search", "form", "dialog", "alertdialog", "alert", "menu", "menubar", "toolbar"}
-_DROP_WORDS = {
-    "ad", "ads", "advert", "adverts", "advertisement", "advertising", "sponsor", "sponsored", "promo", "promotion", "banner",
-    "cookie", "cookies", "consent", "gdpr", "notice", "notices", "alert", "popup", "modal", "overlay", "newsletter", "subscribe", "signup",
-    "sidebar", "menu", "nav", "navbar", "navigation", "breadcrumb", "breadcrumbs", "pagination", "pager", "footer", "masthead", "topbar", "toolbar",
-    "comment", "comments", "commentlist", "disqus", "reply", "replies", "respond", "share", "sharing", "social", "related", "recommended", "widget", "copyright",
-}
-#: Dropped only outside an article: an article's own header holds its title.
-_DROP_OUTSIDE = {"header"}
+_MENUS = {"nav", "footer", "aside", "form", "dialog", "menu"}
+_ROLES = {"navigation", "banner", "contentinfo", "complementary", "search", "form", "dialog", "alertdialog", "alert", "menu", "menubar", "toolbar"}
+_CONTAINERS = {"div", "section", "article", "ol", "ul", "li", "details", "table"}
+#: Whole names of classes and ids that hold reader comments.
+_COMMENTS = re.compile(r"(comments?|comment[-_]?(list|section|area|thread|body|block)s?|disqus([-_]thread)?|replies|respond)", re.I)
+_ARTICLE, _MAIN = 2, 1
+#: Bytes of html that are worked on in one step.
+BYTES_AT_ONCE = 500_000
+#: What tells a short block from the start of a longer one.
+_SHORT = _U(0x5851F42D4C957F2D)
 
 
-@dataclass
+@dataclass(slots=True)
 class Block:
-    """A run of visible text of a page."""
+    """A run of visible text of a page: the element that holds it, whether markup drops it, and whether an article or main element holds it."""
 
     text: str
+    mark: str
     dropped: bool
-    article: bool
-    main: bool
+    part: int
+
+
+class _Tags:
+    """Where the tags of a page end; each byte is looked at a bounded number of times."""
+
+    def __init__(self, page: str) -> None:
+        self.page, self.last = page, {c: page.rfind(c) for c in "\"'>"}
+        self.quotes = True
+        self.end_of: dict[str, int] = {}
+        for m in _END_TAG.finditer(page):
+            self.end_of[m[1].lower()] = m.start()
 
+    def end(self, at: int) -> int:
+        """The position after the > of the tag whose name ends at ``at``, or -1.  Quoted values may hold a >."""
+        if self.last[">"] < at:
+            return -1
+        start = at
+        while self.quotes:
+            stop = _STOP.search(self.page, at)
+            if stop is None:
+                # Quotes are not balanced: from here on they mean nothing.
+                self.quotes = False
+                break
+            at = stop.end()
+            if stop[0] == ">":
+                return at
+            if stop.start() < self.last[stop[0]] and self._after_equals(stop.start()):
+                at = self.page.find(stop[0], at) + 1
+        return self.page.find(">", start) + 1
 
-def _attributes(text: str) -> dict[str, str]:
-    return {m[1].lower(): html.unescape(m[2] or m[3] or m[4] or "") for m in _ATTR.finditer(text)}
+    def _after_equals(self, at: int) -> bool:
+        at -= 1
+        while at >= 0 and self.page[at].isspace():
+            at -= 1
+        return at >= 0 and self.page[at] == "="
 
 
-def _marked(name: str, attrs: dict[str, str], in_article: bool) -> bool:
-    """Whether an element is menu, header, footer, sidebar, notice, advert, form or comments by its markup."""
+def _dropped(name: str, attrs: dict[str, str], part: int) -> bool:
+    """Whether an element is menu, header, footer, sidebar, form, hidden or reader comments by its markup."""
     if name in ("html", "body", "main"):
         return False
-    if name in _DROP or (name in _DROP_OUTSIDE and not in_article):
+    if name in _MENUS or (name == "header" and part != _ARTICLE):
         return True
+    if not attrs:
+        return False
     if "hidden" in attrs or attrs.get("aria-hidden") == "true" or "display:none" in attrs.get("style", "").replace(" ", "").lower():
         return True
-    if attrs.get("role", "").lower() in _DROP_ROLES:
+    if attrs.get("role", "").lower() in _ROLES:
         return True
-    words = set(re.split(r"[^a-z0-9]+", f"{attrs.get('class', '')} {attrs.get('id', '')}".lower()))
-    return bool(words & _DROP_WORDS) or (not in_article and "header" in words and name not in ("h1", "h2", "h3"))
+    return name in _CONTAINERS and any(_COMMENTS.fullmatch(x) for x in f"{attrs.get('class', '')} {attrs.get('id', '')}".split())
 
 
 def blocks_of(page: str) -> list[Block]:
     """The blocks of visible text in page order: references decoded, white space squeezed, empty ones left out."""
     out: list[Block] = []
-    stack: list[tuple[str, bool, bool, bool]] = [("", False, False, False)]
+    # Of each open element: name, mark, dropped, part; and where the open elements of a name and the open blocks are.
+    stack: list[tuple[str, str, bool, int]] = [("", "", False, 0)]
+    places: dict[str, list[int]] = {}
+    blocks: list[int] = []
     held: list[str] = []
+    tags, missing = _Tags(page), set()
 
     def close_block() -> None:
         if held:
             text = " ".join(html.unescape("".join(held)).split())
             held.clear()
             if text:
-                _, dropped, article, main = stack[-1]
-                out.append(Block(text, dropped, article, main))
+                _, mark, dropped, part = stack[-1]
+                out.append(Block(text, mark, dropped, part))
+
+    def pop_to(depth: int) -> None:
+        while len(stack) > depth:
+            name = stack.pop()[0]
+            places[name].pop()
+            if name not in _INLINE:
+                blocks.pop()
 
-    at = 0
+    at = done = 0
     while True:
-        tag = _TAG.search(page, at)
-        if tag is None:
-            held.append(page[at:])
+        at = page.find("<", at)
+        if at < 0:
             break
-        held.append(page[at : tag.start()])
-        at = tag.end()
-        name = (tag[2] or "").lower()
-        if not name:
+        following = page[at + 1 : at + 2]
+        if following in "!?" and following:
+            comment = page.startswith("<!--", at)
+            end = page.find("-->" if comment else ">", at + (4 if comment else 2))
+            held.append(page[done:at])
+            at = done = len(page) if end < 0 else end + (3 if comment else 1)
             continue
-        if name not in _INLINE or name == "br":
-            if name == "br":
-                held.append(" ")
-                continue
+        closing = following == "/"
+        found = _NAME.match(page, at + 1 + closing)
+        if found is None:
+            at += 1
+            continue
+        end = tags.end(found.end())
+        if end < 0:
+            # No tag ends after this place: what follows is text.
+            break
+        held.append(page[done:at])
+        given = page[found.end() : end - 1]
+        at = done = end
+        name = found[0].lower()
+        if name == "br":
+            held.append(" ")
+            continue
+        block = name not in _INLINE
+        if block:
             close_block()
-        if tag[1]:
-            depth = next((k for k in range(len(stack) - 1, 0, -1) if stack[k][0] == name), 0)
-            if depth:
-                if name in _INLINE and any(stack[k][0] not in _INLINE for k in range(depth, len(stack))):
-                    continue
-                del stack[depth:]
+        if closing:
+            own = places.get(name)
+            if own and (block or not blocks or blocks[-1] < own[-1]):
+                pop_to(own[-1])
             continue
         if name in _RAW:
-            end = re.compile(rf"</{name}\s*>", re.I).search(page, at)
-            if end is None and name in ("head", "title"):
+            stop = None if name in missing else _RAW[name].search(page, at)
+            if stop is None:
+                missing.add(name)
+                if name in ("script", "style"):
+                    at = done = len(page)
                 continue
-            at = len(page) if end is None else end.end()
+            at = page.find(">", stop.end()) + 1 or len(page)
+            done = at
             continue
-        if name in _VOID or tag[3].endswith("/"):
+        if name in _VOID or given.endswith("/") or (name in _SILENT and tags.end_of.get(name, -1) < at):
             continue
-        if name not in _INLINE:
+        if block and blocks and stack[blocks[-1]][0] == "p":
             # A block inside an open paragraph ends it.
-            top = next((k for k in range(len(stack) - 1, 0, -1) if stack[k][0] not in _INLINE), 0)
-            if stack[top][0] == "p":
-                del stack[top:]
-        _, dropped, article, main = stack[-1]
-        attrs = _attributes(tag[3]) if tag[3].strip() else {}
-        if name not in _INLINE or attrs:
-            dropped = dropped or _marked(name, attrs, article)
-        article = article or (name == "article" or attrs.get("role") == "article") and not dropped
-        main = main or name == "main" or attrs.get("role") == "main" or attrs.get("itemprop") == "articleBody"
-        stack.append((name, dropped, article, main))
+            pop_to(blocks[-1])
+        _, mark, dropped, part = stack[-1]
+        attrs = {m[1].lower(): html.unescape(m[2] or m[3] or m[4] or "") for m in _ATTR.finditer(given)} if given.strip() else {}
+        if block or attrs:
+            dropped = dropped or name in _SILENT or _dropped(name, attrs, part)
+        if block:
+            mark = "\x01" + ".".join([name, *attrs.get("class", "").split()])
+        if name == "article" or attrs.get("role") == "article":
+            part = part if dropped else _ARTICLE
+        elif part == 0 and (name == "main" or attrs.get("role") == "main" or attrs.get("itemprop") == "articleBody"):
+            part = _MAIN
+        places.setdefault(name, []).append(len(stack))
+        if block:
+            blocks.append(len(stack))
+        stack.append((name, mark, dropped, part))
+    held.append(page[done:])
     close_block()
     return out
 
 
-def repeated_tokens(streams: list[np.ndarray], min_tokens: int, min_pages: int) -> list[np.ndarray]:
-    """Which tokens of each page's stream lie in a substring of ``min_tokens`` or more that stands on ``min_pages`` pages.
+class Page:
+    """The blocks of a page and which of them an article (else a main element) protects."""
 
-    Suffixes of the concatenated streams are sorted by prefix doubling until their first ``min_tokens``
-    tokens are in order; runs of equal prefixes in that suffix array are the repeated substrings.  Every
-    longer repeat is the union of the repeats of this length in it.
-    """
-    sizes = [len(s) for s in streams]
-    if not sum(sizes):
-        return [np.zeros(n, dtype=bool) for n in sizes]
-    text = np.concatenate(streams)
-    page = np.repeat(np.arange(len(streams)), sizes)
-    ends = np.repeat(np.cumsum(sizes), sizes)
-    n = len(text)
-    left = ends - np.arange(n)
-    rank = np.unique(text, return_inverse=True)[1].astype(np.int64) + 1
-    width = 1
-    while width < min_tokens:
-        step = min(width, min_tokens - width)
-        nxt = np.zeros(n, dtype=np.int64)
-        nxt[: max(n - step, 0)] = rank[step:]
-        nxt[left <= step] = 0
-        rank = np.unique(rank * (int(rank.max()) + 1) + nxt, return_inverse=True)[1].astype(np.int64) + 1
-        width += step
-    order = np.argsort(rank, kind="stable")
-    order = order[left[order] >= min_tokens]
-    marks = np.zeros(n + 1, dtype=np.int64)
-    if len(order):
-        runs = rank[order]
-        starts = np.flatnonzero(np.concatenate(([True], runs[1:] != runs[:-1])))
-        # Within a run suffixes are in page order: distinct pages are the changes of page.
-        fresh = np.concatenate(([True], (page[order][1:] != page[order][:-1]) | (runs[1:] != runs[:-1])))
-        often = np.repeat(np.add.reduceat(fresh.astype(np.int64), starts) >= min_pages, np.diff(np.append(starts, len(order))))
-        hits = order[often]
-        np.add.at(marks, hits, 1)
-        np.add.at(marks, hits + min_tokens, -1)
-    covered = np.cumsum(marks[:n]) > 0
-    return np.split(covered, np.cumsum(sizes)[:-1])
-
-
-def main_texts(pages: list[str], min_tokens: int = 8, min_pages: int = 3, min_share: float = 0.1) -> list[str]:
-    """The main text of each of some pages of one host."""
-    parsed = [blocks_of(p) for p in pages]
-    numbers: dict[str, int] = {}
-    streams, tokens = [], []
-    whole: dict[str, int] = {}
-    for blocks in parsed:
-        words = [b.text.split(" ") for b in blocks]
-        tokens.append(words)
-        streams.append(np.array([numbers.setdefault(w, len(numbers)) for block in words for w in block], dtype=np.int64))
-        for text in {b.text for b in blocks}:
-            whole[text] = whole.get(text, 0) + 1
-    enough = max(min_pages, int(np.ceil(min_share * len(pages))))
-    covered = repeated_tokens(streams, min_tokens, enough)
-    out = []
-    for blocks, words, marks in zip(parsed, tokens, covered, strict=True):
-        articles = any(b.article and not b.dropped for b in blocks)
-        mains = any(b.main and not b.dropped for b in blocks)
-        at, kept = 0, []
-        for block, own in zip(blocks, words, strict=True):
-            repeated = marks[at : at + len(own)]
-            at += len(own)
-            if block.dropped:
+    def __init__(self, source: str) -> None:
+        self.blocks = blocks_of(source)
+        self.part = max((b.part for b in self.blocks if not b.dropped), default=0)
+        self.open = [not self.part or b.dropped or b.part != self.part for b in self.blocks]
+
+    def text(self, covered: Iterator[np.ndarray]) -> str:
+        """The main text, given which tokens of each block in turn that is not protected go."""
+        kept = []
+        for b, is_open in zip(self.blocks, self.open, strict=True):
+            own = next(covered) if is_open else None
+            if b.dropped or (is_open and self.part):
                 continue
-            if articles or mains:
-                if block.article if articles else block.main:
-                    kept.append(block.text)
-            elif len(own) < min_tokens:
-                if whole[block.text] < enough:
-                    kept.append(block.text)
-            elif not repeated.all():
-                kept.append(" ".join(w for w, r in zip(own, repeated.tolist(), strict=True) if not r))
-        out.append(" ".join(kept))
-    return out
+            if own is None or not own.any():
+                kept.append(b.text)
+            elif not own[1:].all():
+                # The first token is the block's mark.
+                kept.append(" ".join(w for w, c in zip(b.text.split(" "), own[1:].tolist(), strict=True) if not c))
+        return " ".join(kept)
 
 
-def extract_main_text(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", pages_at_once: int = 256, bytes_at_once: int = 2_000_000, max_broadcast_rows: int = 100_000) -> DataFrame:
+@dataclass
+class Windows:
+    """All substrings of some pages outside their protected blocks: key, page, first token and tokens of each.
+
+    A page's stream is the mark of each block's element and its words; it is cut where protected blocks stand.
+    A substring has ``min_tokens`` tokens; a block of fewer is one of its own as well.
+    """
+
+    key: np.ndarray
+    page: np.ndarray
+    first: np.ndarray
+    width: np.ndarray
+    blocks: np.ndarray
+
+    @staticmethod
+    def of(pages: list[Page], hosts: np.ndarray, min_tokens: int, powers: Powers) -> Windows:
+        raw, page, stretch = [], [], []
+        cuts = 0
+        for k, p in enumerate(pages):
+            cuts += 1
+            for b, is_open in zip(p.blocks, p.open, strict=True):
+                if is_open:
+                    raw.append(f"{b.mark} {b.text}".encode("utf-8", "replace"))
+                    page.append(k)
+                    stretch.append(cuts)
+                else:
+                    cuts += 1
+        offsets = np.cumsum([0, *map(len, raw)])
+        hashes, at = word_hashes(np.frombuffer(b"".join(raw), dtype=np.uint8), offsets, powers)
+        n, at = np.diff(at), at[:-1]
+        page, stretch = np.array(page, dtype=np.int64), np.repeat(np.array(stretch, dtype=np.int64), n)
+        first = np.arange(max(len(hashes) - min_tokens + 1, 0))
+        first = first[stretch[first] == stretch[first + min_tokens - 1]] if len(first) else first
+        whole = np.zeros(len(first), dtype=np.uint64)
+        for k in range(min_tokens):
+            whole = mix(whole + hashes[first + k])
+        short = np.flatnonzero((n > 0) & (n < min_tokens))
+        part = np.full(len(short), _SHORT)
+        for k in range(int(n[short].max(initial=0))):
+            live = n[short] > k
+            part[live] = mix(part[live] + hashes[at[short[live]] + k])
+        of = np.concatenate([np.repeat(page, n)[first], page[short]])
+        key = mix(np.concatenate([whole, part]) + hosts[of])
+        return Windows(key, of, np.concatenate([first, at[short]]), np.concatenate([np.full(len(first), min_tokens), n[short]]), n)
+
+    def covered(self, hit: np.ndarray) -> Iterator[np.ndarray]:
+        """Of each block in turn, which tokens the substrings that ``hit`` tells cover."""
+        marks = np.zeros(int(self.blocks.sum()) + 1, dtype=np.int64)
+        np.add.at(marks, self.first[hit], 1)
+        np.add.at(marks, self.first[hit] + self.width[hit], -1)
+        return iter(np.split(np.cumsum(marks[:-1]) > 0, np.cumsum(self.blocks)[:-1]))
+
+
+def _parsed(batch: pa.RecordBatch, column: int) -> Iterator[tuple[int, int, list[Page], np.ndarray]]:
+    """(start, stop, pages, hosts) of slices of a batch with a column ``host``."""
+    html_ = batch.column(column)
+    hosts = batch.column(batch.schema.get_field_index("host")).to_numpy().view(np.uint64)
+    for start, stop in slices(utf8(html_)[1], BYTES_AT_ONCE):
+        yield start, stop, [Page(x) for x in html_.slice(start, stop - start).to_pylist()], hosts[start:stop]
+
+
+def _runs(min_tokens: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """(key, low, high) of the runs of equal prefixes in the suffix array of the pages at hand, low and high being contents."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        powers = Powers()
+        for batch in batches:
+            contents = batch.column(1).to_numpy()
+            for start, stop, pages, hosts in _parsed(batch, 2):
+                found = Windows.of(pages, hosts, min_tokens, powers)
+                key, content = found.key.view(np.int64), contents[start:stop][found.page]
+                if not len(key):
+                    continue
+                suffixes = np.argsort(key, kind="stable")
+                key, content = key[suffixes], content[suffixes]
+                runs = np.flatnonzero(np.concatenate(([True], key[1:] != key[:-1])))
+                low, high = (f.reduceat(content, runs) for f in (np.minimum, np.maximum))
+                yield pa.RecordBatch.from_arrays([pa.array(x) for x in (key[runs], low, high)], names=["key", "low", "high"])
+
+    return run
+
+
+def extract_main_text(
+    pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", min_tokens: int = 8, max_broadcast: int = 1_000_000, repeats: bool = True
+) -> DataFrame:
     """(id, url, text, n_chars) of every page's whole html.
 
-    Within an article (else within the main element, else the whole body) the text of all blocks that are
-    not marked as menu, header, footer, sidebar, notice, advert, form, script, style or comments, in page
-    order, joined by a space; references are decoded and white space squeezed.  On a page without article
-    or main element, runs of ``min_tokens`` tokens that stand on several pages of the host are removed too,
-    and short blocks that do.  A page that is null, empty or has no such text has an empty text.  Rows may
-    repeat; a null URL has the empty host.
+    Within an article (else within the main element) the text of all blocks, whatever it says, in page order,
+    joined by a space; references are decoded and white space squeezed.  On a page with neither, of all
+    blocks the tokens that no substring of ``min_tokens`` or more covers that stands on two pages of the host
+    with different html; a shorter block goes if it stands on two.  Menus, headers, footers, sidebars, forms,
+    hidden elements, scripts, styles and reader comments go wherever they stand.  So a page has the same text
+    however large its host is, once two of its pages share what they share.
+
+    A page that is null, empty or has no such text has an empty text.  Rows may repeat: equal pages of a host
+    are one page and have equal texts.  A null URL has the empty host.  Other columns play no part, whatever
+    they are called.  An empty table gives an empty result.  Parsing takes time in proportion to a page's
+    length, whatever it holds.  ``repeats``: False keeps what the suffix array would remove.
 
-    The pages of a host are dealt by a hash of their id into groups of about ``pages_at_once`` pages and
-    ``bytes_at_once`` bytes, so that a host of any size is worked on in many tasks; boilerplate stands on
-    enough pages of each group to be found there.
+    Of up to ``max_broadcast`` repeated substrings the 64-bit keys are broadcast.  Beyond that, keys are joined
+    to the pages that hold them.
     """
     host, _ = host_and_path(F.col(url_col).cast("string"))
     page = F.coalesce(F.col(html_col).cast("string"), F.lit(""))
-    rows = pages.select(F.col(id_col).alias("page_id"), F.col(url_col).cast("string").alias("url"), page.alias("html"), host.alias("host"))
-    groups = F.ceil(F.greatest(F.count("*") / pages_at_once, F.sum(F.octet_length("html")) / bytes_at_once))
-    large = rows.groupBy("host").agg(groups.cast("int").alias("groups")).where("groups > 1")
-    dealt = rows.join(broadcast_if_small(large, max_broadcast_rows), "host", "left")
-    dealt = dealt.withColumn("part", F.pmod(F.xxhash64("page_id", "url"), F.coalesce("groups", F.lit(1))))
+    rows = pages.select(F.col(id_col).alias("page_id"), F.col(url_col).cast("string").alias("url"), F.xxhash64(host).alias("host"), F.xxhash64(page).alias("content"), page.alias("html"))
     kind = dict(rows.dtypes)["page_id"]
+    found = rows.select("host", "content", "html").mapInArrow(_runs(min_tokens), "key long, low long, high long")
+    found = found.groupBy("key").agg(F.min("low").alias("low"), F.max("high").alias("high"))
+    # A key of one content only is on one page.
+    known = written(found.where("low <> high").select("key"), "repeats")
+    few = known.limit(max_broadcast + 1).count() <= max_broadcast
+    if few:
+        keys = np.sort(known.toArrow()["key"].to_numpy().view(np.uint64)) if repeats else np.zeros(0, np.uint64)
+        shared = pages.sparkSession.sparkContext.broadcast(keys)
+        held = rows.select("page_id", "url", "host", F.lit(None).cast("array<long>").alias("keys"), "html")
+    else:
+        each = rows.select("host", "content", "html").mapInArrow(_keys_of(min_tokens), "host long, content long, key long")
+        each = each.distinct().join(known, "key", "left_semi").groupBy("host", "content").agg(F.collect_list("key").alias("keys"))
+        held = rows.join(each, ["host", "content"], "left").select("page_id", "url", "host", "keys", "html")
+        shared = None
+
+    def extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        powers = Powers()
+        for batch in batches:
+            for start, stop, found, hosts in _parsed(batch, 4):
+                windows = Windows.of(found, hosts, min_tokens, powers)
+                if shared is not None:
+                    hit = _among(shared.value, windows.key)
+                else:
+                    hit = np.zeros(len(windows.key), dtype=bool)
+                    for k in range(len(found)):
+                        own = np.flatnonzero(windows.page == k)
+                        hit[own] = np.isin(windows.key[own].view(np.int64), batch.column(3)[start + k].as_py() or [])
+                covered = windows.covered(hit)
+                texts = [p.text(covered) for p in found]
+                cols = [batch.column(i).slice(start, stop - start) for i in (0, 1)]
+                yield pa.RecordBatch.from_arrays([*cols, pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())], names=["page_id", "url", "text", "n_chars"])
+
+    return held.mapInArrow(extract, f"page_id {kind}, url string, text string, n_chars long")
+
+
+def _among(known: np.ndarray, keys: np.ndarray) -> np.ndarray:
+    """Which keys are among the known, sorted ones."""
+    if not len(known):
+        return np.zeros(len(keys), dtype=bool)
+    return known[np.minimum(np.searchsorted(known, keys), len(known) - 1)] == keys
+
+
+def _keys_of(min_tokens: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """(host, content, key) of every page's substrings."""
 
-    def extract(table: pa.Table) -> pa.Table:
-        texts = main_texts(table["html"].to_pylist())
-        return pa.table({"page_id": table["page_id"], "url": table["url"], "text": pa.array(texts, pa.string()), "n_chars": pa.array([len(t) for t in texts], pa.int64())})
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        powers = Powers()
+        for batch in batches:
+            for start, stop, pages, hosts in _parsed(batch, 2):
+                found = Windows.of(pages, hosts, min_tokens, powers)
+                cols = [batch.column(k).slice(start, stop - start).take(pa.array(found.page)) for k in (0, 1)]
+                yield pa.RecordBatch.from_arrays([*cols, pa.array(found.key.view(np.int64))], names=["host", "content", "key"])
 
-    return dealt.select("host", "part", "page_id", "url", "html").groupBy("host", "part").applyInArrow(extract, f"page_id {kind}, url string, text string, n_chars long")
+    return run

@@ -127,9 +127,47 @@ def test_url_rules(spark):
 # ---- mixing
 
 
-def test_targets_stop_at_the_limit_and_share_the_rest():
-    assert mixing.targets([100, 1000, 1000], [3, 1, 2], 1.5, 2) == pytest.approx([200, (3150 - 200) / 3, (3150 - 200) / 3 * 2])
-    assert sum(mixing.targets([5, 7, 11, 0], [3, 1, 2, 3], 1.5, 2)) == pytest.approx(1.5 * 23)
+def brute_targets(sizes: list[int], weights: list[float], share: float, most: float) -> list[float]:
+    """By repeated resharing of what is above a source's limit."""
+    fixed: dict[int, float] = {}
+    while True:
+        free = [i for i in range(len(sizes)) if i not in fixed]
+        level = (share * sum(sizes) - sum(fixed.values())) / (sum(weights[i] for i in free) or 1)
+        over = [i for i in free if weights[i] * level > most * sizes[i]]
+        if not over:
+            return [fixed.get(i, weights[i] * level) for i in range(len(sizes))]
+        fixed |= {i: float(most * sizes[i]) for i in over}
+
+
+def test_targets_stop_at_the_limit_and_share_the_rest(spark):
+    for sizes, share in (([100, 1000, 1000], 1.5), ([5, 7, 11, 0], 1.5), ([0, 0], 1.5), ([10, 20], 3.0), ([1, 2, 3, 4, 5, 600], 1.7)):
+        # The last source is null.
+        rows = spark.createDataFrame([(f"s{i}" if i < len(sizes) - 1 else None, n) for i, n in enumerate(sizes)], "source string, source_size long")
+        got = {r["source"]: r["target"] for r in mixing.targets(rows, (3, 1, 2), share, 2).collect()}
+        want = brute_targets(sizes, [(3, 1, 2)[i % 3] for i in range(len(sizes))], share, 2)
+        assert [got[f"s{i}" if i < len(sizes) - 1 else None] for i in range(len(sizes))] == pytest.approx(want)
+
+
+def brute_rate(sizes: list[int], rest: float) -> tuple[float, set[int]]:
+    """The chance for each word, and the sizes that are certain, by peeling off one size at a time."""
+    sure: set[int] = set()
+    while True:
+        left = [n for n in sizes if n and n not in sure]
+        rate = (rest - sum(n for n in sizes if n in sure)) / (sum(n * n for n in left) or 1)
+        if not left or rate * max(left) <= 1:
+            return rate, sure
+        sure.add(max(left))
+
+
+def test_certain_documents_leave_the_rest_to_the_others(spark):
+    sizes = [900, 500, 500, 40, 30, 20, 10, 10, 5, 5, 5, 1, 1, 0]
+    hist = spark.createDataFrame([("a", n, sizes.count(n)) for n in set(sizes)], "source string, size long, c long")
+    for rest in (0.5, 30.0, 1200.0, 1980.0, 2000.0):
+        rate, sure = brute_rate(sizes, rest)
+        got = mixing._rates(hist, spark.createDataFrame([("a", rest)], "source string, rest double")).first()
+        assert got["rate"] == pytest.approx(rate) and got["certain"] == sum(n for n in sizes if n in sure)
+        # Expected words are the rest.
+        assert sum(n if n in sure else rate * n * n for n in sizes) == pytest.approx(rest)
 
 
 def test_mix_comes_near_its_targets_and_reruns_agree(spark):
@@ -287,30 +325,89 @@ def test_near_texts(spark):
 # ---- main text
 
 
-def test_main_text_by_markup():
+def main_texts(spark, pages: list, **options) -> list[str]:
+    rows = [(i, f"http://host/{i}", p) if not isinstance(p, tuple) else (i, *p) for i, p in enumerate(pages)]
+    df = spark.createDataFrame(rows, "page_id long, url string, html string").withColumn("host", F.lit("clash")).withColumn("text", F.lit("clash"))
+    return [r["text"] for r in sorted(htmltext.extract_main_text(df, **options).collect(), key=lambda r: r["page_id"])]
+
+
+def test_main_text_by_markup(spark):
     page = """<!DOCTYPE html><html><head><title>t</title><style>p{}</style><script>var t="</p>";</script></head><body class="has-sidebar">
     <header>Site</header><nav><ul><li><a href="/">home</a></ul></nav><div class="ad">buy</div><!-- note --><article><header><h1>Title &amp; &lt;more&gt;</h1></header>
     <p>One <b>two</b>three.<br>four<p>five&nbsp;six<aside>side</aside><form><input>mail</form><section id="comments"><p>first!</p></section></article><footer>&copy;</footer></body></html>"""
-    assert htmltext.main_texts([page]) == ["Title & <more> One twothree. four five six"]
-    assert htmltext.main_texts(["", "plain text", "<p>", "<p a='>'>x</p>"]) == ["", "plain text", "", "x"]
-
-
-def test_repeated_runs_go_where_markup_says_nothing():
-    boiler = "please subscribe to our weekly letter and read all that is new on this site"
-    pages = [f"<div>{boiler}</div><div>n{i} page has its own words number {i * 7} and {i * 11} here for us {i}</div><div>short line</div>" for i in range(8)]
-    assert htmltext.main_texts(pages) == [f"n{i} page has its own words number {i * 7} and {i * 11} here for us {i}" for i in range(8)]
+    odd = ["", "plain text", "<p>", "<p a='>'>x</p>", None, "a < b & c > d <e", "<p title=\"a>b\">q</p> <!-- no end", "<select><option>x</select>y<button>Go<p>z", "<script>no end"]
+    assert main_texts(spark, [page, *odd]) == ["Title & <more> One twothree. four five six", "", "plain text", "", "x", "", "a < b & c > d <e", "q", "y Go z", ""]
+    kept = '<article><h1>T</h1><p id="related-work">What came before</p><p class="notice">As noticed</p><ul class="menu-of-the-day"><li>Soup</ul></article>'
+    assert main_texts(spark, [kept]) == ["T What came before As noticed Soup"]
+
+
+def test_hostile_pages_take_linear_time():
+    import time
+
+    for part in ("<a b", "<a b>", '<a b="', "<a b='>\"", "</x>", "<title>", "<!--", "<div>", "<", "&amp", "<button>", "<p><b></p>"):
+        start = time.time()
+        htmltext.blocks_of(part * (1_000_000 // len(part)))
+        assert time.time() - start < 6, part
+
+
+def brute_main_texts(pages: list[tuple[str, str]], n: int = 8) -> list[str]:
+    """Of pages (host, html) without articles: every token in a run that another page of the host has too goes."""
+
+    def streams(source: str) -> list[list[str]]:
+        return [[b.mark, *b.text.lower().split(" ")] for b in htmltext.blocks_of(source)]
+
+    def substrings(source: str) -> list[tuple[int, tuple]]:
+        own = streams(source)
+        flat, at = [w for b in own for w in b], np.cumsum([0, *map(len, own)])
+        return [(k, tuple(flat[k : k + n])) for k in range(len(flat) - n + 1)] + [(int(at[k]), ("short", *b)) for k, b in enumerate(own) if len(b) < n]
+
+    on: dict[tuple, set] = {}
+    for host, source in pages:
+        for _, w in substrings(source):
+            on.setdefault((host, w), set()).add(source)
+    out = []
+    for host, source in pages:
+        gone = set()
+        for k, w in substrings(source):
+            if len(on[host, w]) > 1:
+                gone |= set(range(k, k + (n if w[0] != "short" else len(w) - 1)))
+        at, kept = 0, []
+        for b in htmltext.blocks_of(source):
+            words = [w for i, w in enumerate(b.text.split(" "), at + 1) if i not in gone]
+            at += 1 + len(b.text.split(" "))
+            kept += [" ".join(words)] * bool(words and not b.dropped)
+        out.append(" ".join(kept))
+    return out
 
 
-def test_repeated_tokens_against_brute_force():
-    rng = np.random.default_rng(0)
-    streams = [rng.integers(0, 3, rng.integers(0, 40)) for _ in range(12)]
-    for got, s in zip(htmltext.repeated_tokens(streams, 5, 3), streams, strict=True):
-        want = np.zeros(len(s), dtype=bool)
-        for i in range(len(s) - 4):
-            w = s[i : i + 5].tolist()
-            if sum(any(t[j : j + 5].tolist() == w for j in range(len(t) - 4)) for t in streams) >= 3:
-                want[i : i + 5] = True
-        assert (got == want).all()
+@pytest.mark.parametrize("max_broadcast", [1_000_000, 0])
+def test_repeats_of_a_host_against_brute_force(spark, max_broadcast):
+    rng = random.Random(3)
+    words = [f"w{i}" for i in range(12)]
+    pages = []
+    for k in range(60):
+        blocks = ["<nav>home and news</nav>"] * (k % 2) + [f"<div class=d{rng.randrange(2)}>{' '.join(rng.choice(words) for _ in range(rng.randrange(1, 14)))}</div>" for _ in range(rng.randrange(0, 5))]
+        pages.append((f"h{k % 3}", "".join(blocks) + ("<div>please subscribe to our weekly letter and read all that is new on this site</div>" if k % 4 else "")))
+    pages += [pages[0]] * 3 + [("h9", pages[0][1])]
+    got = main_texts(spark, [(f"http://{h}/x", p) for h, p in pages], max_broadcast=max_broadcast)
+    assert got == brute_main_texts(pages)
+    # Two of two pages, and two of forty.
+    shared, own = "<div>read our news each week and tell all of your friends</div>", ["<p>the first text</p>", "<p>a second text</p>"]
+    two = [shared + x for x in own]
+    assert main_texts(spark, two, max_broadcast=max_broadcast) == ["the first text", "a second text"]
+    assert main_texts(spark, two + [f"<p>page number {i} of many</p>" for i in range(38)], max_broadcast=max_broadcast)[:2] == ["the first text", "a second text"]
+    assert main_texts(spark, two[:1] * 2, max_broadcast=max_broadcast) == ["read our news each week and tell all of your friends the first text"] * 2
+
+
+def test_articles_stay_whole_and_mark_what_is_not_text(spark):
+    shared = "<div>Big sale of shoes today and all of this week in our shop</div>"
+    pages = [f"{shared}<div class=ad>Ad {i}</div><article><p>Copied text that all of these pages have word for word</p></article>" for i in range(3)]
+    pages.append(f"{shared}<div>A page without an article has its own words</div>")
+    want = ["Copied text that all of these pages have word for word"] * 3 + ["A page without an article has its own words"]
+    assert main_texts(spark, pages) == want
+    off = main_texts(spark, pages, repeats=False)
+    assert off[:3] == want[:3] and off[3].startswith("Big sale")
+    assert main_texts(spark, [(None, pages[3]), ("", pages[3])]) == [off[3]] * 2
 
 
 # ---- top-k
@@ -421,20 +518,20 @@ def brute_mix(rows: list[tuple]) -> dict[int, int]:
     size = {i: len(re.findall(mixing.WORD, t or "")) for i, t, _ in rows}
     names = sorted({s for *_, s in rows}, key=lambda s: (s is None, (s or "").encode()))
     totals = [sum(size[i] for i, _, s in rows if s == name) for name in names]
-    goals = mixing.targets(totals, [(3, 1, 2)[k % 3] for k in range(len(names))], 1.5, 2)
+    goals = brute_targets(totals, [(3, 1, 2)[k % 3] for k in range(len(names))], 1.5, 2)
     out = {}
     for name, total, goal in zip(names, totals, goals, strict=True):
         whole = int(goal // total)
         rest = goal - whole * total
         own = [i for i, _, s in rows if s == name]
-        rate = rest / sum(size[i] ** 2 for i in own)
+        rate, sure = brute_rate([size[i] for i in own], rest)
         ranked = []
         for i in own:
             out[i] = whole
             u = (int(hashlib.md5(f"mix:{i}".encode()).hexdigest()[:13], 16) + 0.5) / 2**52
             chance = rate * size[i]
             if size[i] and rest > 0:
-                ranked.append((0.0 if chance >= 1 else (u / (1 - u)) / (chance / (1 - chance)), i))
+                ranked.append((0.0 if size[i] in sure else (u / (1 - u)) / (chance / (1 - chance)), i))
         run = 0
         for _, i in sorted(ranked):
             out[i] += run + size[i] / 2 <= rest
