@@ -16,20 +16,24 @@ from __future__ import annotations
 import heapq
 import re
 from collections.abc import Iterator
-from itertools import chain
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pactum.llm.words import mix, slices, utf8
+from pactum.llm.words import mix, returning_memory, slices, utf8
 
 SPACE = "▁"
 _U = np.uint64
 _BASE = 0xD6E8FEB86659FD93
-#: Longer words take the plain merge or search of one word, which is exact as well.
+#: Longer parts of words take the plain merge or search of one word, which is exact as well.
 MAX_BATCHED = 40
+#: Substrings that are probed in one step.
+PROBES = 400_000
+#: Bytes of text that are encoded in one step.
+BYTES_AT_ONCE = 1_000_000
 #: Ids that are decoded in one step to compare their texts with the given ones.
 DECODED_AT_ONCE = 200_000
 _UNKNOWN, _NONE, _START = -2, -1, -3
@@ -232,6 +236,7 @@ class Lattice:
         self.starts = np.searchsorted(keys[order], np.arange(1 << 18, dtype=np.uint64) << _U(46)).astype(np.int32)
         self.deep = int(np.bincount((keys >> _U(46)).astype(np.int64)).max(initial=1))
         self.widths = sorted({len(vocab.text[i]) for i in usable} | {1}, reverse=True)
+        self.steps: dict[int, tuple[np.ndarray, np.ndarray, np.ndarray]] = {}
         if vocab.kind == "bpe":
             self.tags = np.full(1 << 20, -1, dtype=np.int64)
             self.fits = np.zeros(1 << 20, dtype=bool)
@@ -259,16 +264,15 @@ class Lattice:
         """Whether merging can leave a border between the two pieces, from a cache of pairs."""
         tag = (left << 32) | right
         slot = (mix(tag.view(np.uint64)) >> _U(44)).astype(np.int64)
+        out = self.fits[slot]
         miss = np.flatnonzero(self.tags[slot] != tag)
         if len(miss):
             fresh = np.unique(tag[miss])
             ok = self._borders(fresh >> 32, fresh & 0xFFFFFFFF)
             own = (mix(fresh.view(np.uint64)) >> _U(44)).astype(np.int64)
             self.tags[own], self.fits[own] = fresh, ok
-            out = self.fits[slot]
             out[miss] = ok[np.searchsorted(fresh, tag[miss])]
-            return out
-        return self.fits[slot]
+        return out
 
     def _borders(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
         """Undo merges on both sides of the border, the latest first; no pair across may have come before the next one undone."""
@@ -297,21 +301,24 @@ class Lattice:
         """(ids of all words in order, number of pieces of each)."""
         groups: dict[int, list[int]] = {}
         for k, unit in enumerate(units):
-            groups.setdefault(len(unit) if SPACE * 2 not in unit else MAX_BATCHED + 1, []).append(k)
+            groups.setdefault(len(unit) if SPACE * 2 not in unit else 0, []).append(k)
         order, flat, sizes = [], [], []
         for n, members in groups.items():
-            for start in range(0, len(members), 20_000):
-                part = members[start : start + 20_000]
-                own = [units[k] for k in part]
-                if 0 < n <= MAX_BATCHED:
-                    ids, size = self._batch(own, n)
+            batched = 0 < n <= MAX_BATCHED
+            step = max(1, PROBES // len(self._steps(n)[0])) if batched else 20_000
+            for start in range(0, len(members), step):
+                part = np.array(members[start : start + step])
+                own = [units[k] for k in part.tolist()]
+                if batched:
+                    ids, size, at = self._batch(own, n)
+                    part = part[at]
                 else:
                     found = [self._plain(u) for u in own]
                     ids, size = np.concatenate(found), np.array([len(x) for x in found], dtype=np.int64)
-                order += part
+                order.append(part)
                 flat.append(ids)
                 sizes.append(size)
-        at = np.argsort(np.array(order, dtype=np.int64))
+        at = np.argsort(np.concatenate(order))
         size = np.concatenate(sizes)
         starts = np.cumsum(size) - size
         return np.concatenate(flat)[ragged(starts[at], size[at])], size[at]
@@ -320,10 +327,25 @@ class Lattice:
         found = merge_bpe(self.vocab, unit) if self.vocab.kind == "bpe" else search_unigram(self.vocab, unit)
         return np.array(found, dtype=np.int32)
 
-    def _batch(self, units: list[str], n: int) -> tuple[np.ndarray, np.ndarray]:
-        sums = self._sums(_codes(units, n))
+    def _steps(self, n: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(start, width) of every substring of a word of length n that may be a piece, by end, longest first, and the first of each end."""
+        if n not in self.steps:
+            found = [(e - w, w) for e in range(1, n + 1) for w in self.widths if w <= e]
+            start, width = (np.array(x, dtype=np.int64) for x in zip(*found, strict=True))
+            self.steps[n] = start, width, np.searchsorted(start + width, np.arange(1, n + 2))
+        return self.steps[n]
+
+    def _batch(self, units: list[str], n: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(ids, number of pieces of each word, its place in ``units``) of words of length n, in any order."""
+        sums = self._sums(_codes(units, n)).T
         rows = len(units)
         bpe = self.vocab.kind == "bpe"
+        start, width, first = self._steps(n)
+        found = self._probe(mix((sums[start + width] - sums[start]) * self.down[start, None] + width.astype(np.uint64)[:, None]))
+        found[(found == _NONE) & (width == 1)[:, None]] = _UNKNOWN
+        which, row = np.nonzero(found != _NONE)
+        piece, wide = found[which, row], width[which]
+        ends = np.searchsorted(which, first)
         own = np.full((n + 1, rows), _NONE, dtype=np.int64)
         own[0] = _START
         back = np.zeros((n + 1, rows), dtype=np.int8)
@@ -331,51 +353,43 @@ class Lattice:
         best = np.full((n + 1, rows), -np.inf, dtype=np.float32)
         best[0] = 0
         for e in range(1, n + 1):
-            for w in self.widths:
-                if w > e:
-                    continue
-                s = e - w
-                piece = self._probe(self._key(sums, s, w))
-                if w == 1:
-                    piece[piece == _NONE] = _UNKNOWN
-                at = np.flatnonzero((piece != _NONE) & (own[s] != _NONE))
-                if not len(at):
-                    continue
-                now = piece[at]
-                if bpe:
-                    prior = own[s, at]
-                    ok = (prior < 0) | (now < 0)
-                    ask = np.flatnonzero(~ok)
-                    ok[ask] = self._compatible(prior[ask], now[ask])
-                    at, now = at[ok], now[ok]
-                    twice[at] |= own[e, at] != _NONE
-                else:
-                    total = np.where(now >= 0, self.vocab.score[now], self.lowest) + best[s, at]
-                    up = total > best[e, at]
-                    at, now = at[up], now[up]
-                    best[e, at] = total[up]
-                own[e, at], back[e, at] = now, w
+            part = slice(ends[e - 1], ends[e])
+            at, now, w = row[part], piece[part], wide[part]
+            prior = own[e - w, at]
+            ok = prior != _NONE
+            if bpe:
+                ask = np.flatnonzero(ok & (prior >= 0) & (now >= 0))
+                ok[ask] = self._compatible(prior[ask], now[ask])
+                at, now, w = at[ok], now[ok], w[ok]
+                twice |= np.bincount(at, minlength=rows) > 1
+            else:
+                at, now, w = at[ok], now[ok], w[ok]
+                total = np.where(now >= 0, self.vocab.score[now], self.lowest) + best[e - w, at]
+                np.maximum.at(best[e], at, total)
+                # Longer pieces come first here and win ties: they are written last.
+                top = np.flatnonzero(total == best[e, at])[::-1]
+                at, now, w = at[top], now[top], w[top]
+            own[e, at], back[e, at] = now, w
         bad = twice | (own[n] == _NONE)
         at = np.where(bad, 0, n)
-        steps = np.full((n, rows), _NONE, dtype=np.int64)
+        path = np.full((n, rows), _NONE, dtype=np.int64)
         k = n
         everyone = np.arange(rows)
         while at.any():
             k -= 1
             live = at > 0
-            steps[k, live] = own[at[live], everyone[live]]
+            path[k, live] = own[at[live], everyone[live]]
             at = at - np.where(live, back[at, everyone], 0)
-        steps = steps[k:].T
-        other = bad | (steps == _UNKNOWN).any(axis=1)
-        real = (steps >= 0) & ~other[:, None]
-        flat, size = steps[real].astype(np.int32), real.sum(axis=1)
-        if other.any():
-            # Words with unknown characters, and any that the lattice did not settle.
-            rows_of = np.split(flat, np.cumsum(size)[:-1])
-            for i in np.flatnonzero(other):
-                rows_of[i] = self._plain(units[i]) if bad[i] else self._with_unknown(units[i], steps[i])
-            flat, size = np.concatenate(rows_of), np.array([len(x) for x in rows_of], dtype=np.int64)
-        return flat, size
+        path = path[k:].T
+        other = bad | (path == _UNKNOWN).any(axis=1)
+        real = (path >= 0) & ~other[:, None]
+        flat, size = path[real].astype(np.int32), real.sum(axis=1)
+        if not other.any():
+            return flat, size, everyone
+        # Words with unknown characters, and any that the lattice did not settle.
+        odd = np.flatnonzero(other)
+        more = [self._plain(units[i]) if bad[i] else self._with_unknown(units[i], path[i]) for i in odd]
+        return np.concatenate([flat, *more]), np.concatenate([size[~other], [len(x) for x in more]]), np.concatenate([everyone[~other], odd])
 
     def _with_unknown(self, unit: str, steps: np.ndarray) -> np.ndarray:
         found, at = [], 0
@@ -409,9 +423,10 @@ class Store:
         self.at[n + 1 : n + 1 + len(names)] = ends
         self.number.update(zip(names, range(n, n + len(names)), strict=True))
 
-    def take(self, names: Iterator[str], count: int) -> tuple[np.ndarray, np.ndarray]:
-        """(ids, sizes) of the named lists one after the other."""
-        at = np.fromiter(map(self.number.__getitem__, names), dtype=np.int64, count=count)
+    def take(self, names: list[str], which: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+        """(ids, sizes) of the named lists one after the other, or of ``which`` of them."""
+        at = np.fromiter(map(self.number.__getitem__, names), dtype=np.int64, count=len(names))
+        at = at if which is None else at[which]
         starts = self.at[at]
         sizes = self.at[at + 1] - starts
         return self.flat[ragged(starts, sizes)], sizes
@@ -420,34 +435,70 @@ class Store:
 class Encoder:
     """Encodes texts, keeping the words and parts of words that it has met, up to a bound."""
 
-    def __init__(self, vocab: Vocabulary, max_words: int = 250_000) -> None:
+    def __init__(self, vocab: Vocabulary, max_words: int = 200_000) -> None:
         self.vocab, self.max_words, self.lattice = vocab, max_words, Lattice(vocab)
         self.words, self.parts = Store(), Store()
+        # joined[a, b]: whether a piece has the two characters side by side; 0 stands for characters of no piece.
+        chars = sorted(set().union(*vocab.id))
+        place = {c: k for k, c in enumerate(chars, 1)}
+        self.place = np.zeros(max(map(ord, chars)) + 2, dtype=np.uint16 if len(chars) < 65535 else np.uint32)
+        self.place[[ord(c) for c in chars]] = np.arange(1, len(chars) + 1)
+        self.joined = np.zeros((len(chars) + 1, len(chars) + 1), dtype=bool)
+        self.joined[0, 0] = True
+        for t in vocab.id:
+            for a, b in zip(t, t[1:], strict=False):
+                self.joined[place[a], place[b]] = True
+
+    def _cut(self, units: list[str]) -> tuple[list[str], np.ndarray]:
+        """(parts of all words in order, number of parts of each), cut between characters that no piece has side by side."""
+        whole = "".join(units)
+        codes = np.frombuffer(whole.encode("utf-32-le", "surrogatepass"), dtype=np.uint32)
+        place = self.place[np.minimum(codes, len(self.place) - 1)]
+        cut = np.ones(len(codes) + 1, dtype=bool)
+        cut[1:-1] = ~self.joined[place[:-1], place[1:]]
+        ends = np.cumsum([len(u) for u in units])
+        cut[ends] = True
+        at = np.flatnonzero(cut)
+        edges = at.tolist()
+        return [whole[a:b] for a, b in zip(edges, edges[1:], strict=False)], np.diff(np.searchsorted(at, ends), prepend=0)
 
     def _learn(self, words: list[str]) -> None:
-        cut = self.vocab.cut.split
-        split = [cut(unit_of(w)) for w in words]
-        new = list({x for parts in split for x in parts if x not in self.parts.number})
+        parts, counts = self._cut([unit_of(w) for w in words])
+        new = list(set(parts) - self.parts.number.keys())
         if new:
             self.parts.add(new, *self.lattice.encode(new))
-        counts = np.array([len(x) for x in split], dtype=np.int64)
-        ids, sizes = self.parts.take(chain.from_iterable(split), int(counts.sum()))
+        ids, sizes = self.parts.take(parts)
         ends = np.concatenate([[0], np.cumsum(sizes)])[np.cumsum(counts)]
         self.words.add(words, ids, np.diff(ends, prepend=0))
 
-    def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    def _split(self, texts: pa.Array) -> pa.Array:
+        """The list of words of every text; see :func:`split_words`."""
+        odd = pc.or_(pc.match_substring(texts, "  "), pc.match_substring(texts, SPACE))
+        odd = pc.or_(pc.or_(odd, pc.match_substring(texts, "\0")), pc.or_(pc.starts_with(texts, " "), pc.equal(texts, "")))
+        if not self.vocab.dummy_prefix:
+            odd = pc.or_(odd, True)
+        plain = pc.split_pattern(texts.filter(pc.invert(odd)), " ")
+        if len(plain) == len(texts):
+            return plain
+        others = pa.array([split_words(t, self.vocab.dummy_prefix) for t in texts.filter(odd).to_pylist()], plain.type)
+        order = np.argsort(np.argsort(odd.to_numpy(zero_copy_only=False), kind="stable"), kind="stable")
+        return pa.concat_arrays([plain, others]).take(pa.array(order))
+
+    def encode(self, texts: list[str] | pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """(ids of all texts, offsets of each text)."""
         if len(self.words.number) > self.max_words:
             self.words = Store()
         if len(self.parts.number) > self.max_words:
             self.parts = Store()
-        split = [split_words(t, self.vocab.dummy_prefix) for t in texts]
-        new = set().union(*split) - self.words.number.keys()
+        split = self._split(texts.cast(pa.large_string()) if isinstance(texts, pa.Array) else pa.array(texts, pa.large_string()))
+        flat = split.flatten().dictionary_encode()
+        words = flat.dictionary.to_pylist()
+        new = [w for w in words if w not in self.words.number]
         if new:
-            self._learn(list(new))
-        count = np.array([len(x) for x in split], dtype=np.int64)
-        ids, sizes = self.words.take(chain.from_iterable(split), int(count.sum()))
+            self._learn(new)
+        ids, sizes = self.words.take(words, flat.indices.to_numpy())
         ends = np.concatenate([[0], np.cumsum(sizes)])
+        count = split.value_lengths().to_numpy()
         return ids, ends[np.concatenate([[0], np.cumsum(count)])]
 
 
@@ -493,21 +544,22 @@ def encode(docs: DataFrame, vocab: Vocabulary, id_cols: tuple[str, ...] = ("doc_
         encoder, decoder = Encoder(shared.value), Decoder(shared.value)
         for batch in batches:
             column = batch.column(batch.num_columns - 1)
-            for start, stop in slices(utf8(column)[1]):
-                part = column.slice(start, stop - start).fill_null("").to_pylist()
-                ids, at = encoder.encode(part)
+            for start, stop in slices(utf8(column)[1], BYTES_AT_ONCE):
+                texts = column.slice(start, stop - start).fill_null("")
+                ids, at = encoder.encode(texts)
+                raw, raw_at = utf8(texts)
                 same = []
                 for lo, hi in slices(at, DECODED_AT_ONCE):
                     data, ends = decoder.decode(ids[at[lo] : at[hi]], at[lo : hi + 1] - at[lo])
-                    whole = data.tobytes()
-                    same += [whole[ends[i] : ends[i + 1]] == t.encode() for i, t in enumerate(part[lo:hi])]
+                    given = raw_at[lo : hi + 1]
+                    same += [np.array_equal(data[ends[i] : ends[i + 1]], raw[given[i] : given[i + 1]]) for i in range(hi - lo)]
                 cols = [batch.column(i).slice(start, stop - start) for i in range(batch.num_columns - 1)]
                 lists = pa.ListArray.from_arrays(pa.array(at, pa.int32()), pa.array(ids, pa.int32()))
                 yield pa.RecordBatch.from_arrays([*cols, lists, pa.array(np.diff(at), pa.int64()), pa.array(same)], names=[*batch.schema.names[:-1], "ids", "n_pieces", "round_trip"])
 
     first = docs.select(*id_cols, F.col(text_col).cast("string").alias("__text"))
     kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in first.schema.fields[:-1])
-    return first.mapInArrow(run, f"{kinds}, ids array<int>, n_pieces long, round_trip boolean")
+    return first.mapInArrow(returning_memory(run), f"{kinds}, ids array<int>, n_pieces long, round_trip boolean")
 
 
 def decode(rows: DataFrame, vocab: Vocabulary, id_cols: tuple[str, ...] = ("doc_id",), ids_col: str = "ids") -> DataFrame:
@@ -530,4 +582,4 @@ def decode(rows: DataFrame, vocab: Vocabulary, id_cols: tuple[str, ...] = ("doc_
 
     first = rows.select(*id_cols, ids_col)
     kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in first.schema.fields[:-1])
-    return first.mapInArrow(run, f"{kinds}, text string")
+    return first.mapInArrow(returning_memory(run), f"{kinds}, text string")

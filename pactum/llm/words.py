@@ -6,7 +6,8 @@ bytes, so working on the UTF-8 bytes gives the same words as working on code poi
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import ctypes
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -48,8 +49,8 @@ def utf8(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return raw, offs - offs[0]
 
 
-def slices(offsets: np.ndarray, limit: int = 2_000_000) -> Iterator[tuple[int, int]]:
-    """Row ranges of at most ``limit`` bytes each, or of one row that is longer."""
+def slices(offsets: np.ndarray, limit: int = 256_000) -> Iterator[tuple[int, int]]:
+    """Row ranges of at most ``limit`` bytes each, or of one row that is longer; a byte takes up to some 100 bytes of a worker."""
     start, rows = 0, len(offsets) - 1
     while start < rows:
         stop = int(np.searchsorted(offsets, offsets[start] + limit, side="right")) - 1
@@ -58,6 +59,19 @@ def slices(offsets: np.ndarray, limit: int = 2_000_000) -> Iterator[tuple[int, i
         start = stop
 
 
+def returning_memory(work: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """``work``, after which the worker, which Spark keeps, gives the memory that it no longer uses back to the system."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from work(batches)
+        pa.default_memory_pool().release_unused()
+        trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+        if trim is not None:
+            trim(0)
+
+    return run
+
+
 class Powers:
     """Powers of the hash base and of its inverse, grown on demand and kept by the worker."""
 
