@@ -17,6 +17,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 _ONES = np.uint64(0xFFFFFFFFFFFFFFFF)
+#: Bytes of a block of rows or queries, about.
+BLOCK_BYTES = 4_000_000
 
 
 def quantised(vector: Column, factor: float) -> Column:
@@ -148,7 +150,7 @@ def _query_block(key: tuple, table: pa.Table) -> pa.Table:
     return pa.table(cols)
 
 
-def top_k(vectors: DataFrame, queries: DataFrame, k: int = 20, row_block: int = 65536, query_block: int = 64) -> DataFrame:
+def top_k(vectors: DataFrame, queries: DataFrame, k: int = 20, row_block: int | None = None, query_block: int | None = None) -> DataFrame:
     """The ``k`` highest integer inner products of every query: query_id, rank, vec_id, score.
 
     Both tables have ``id`` (long) and ``vec`` (array of long).  A query meets every row but those with
@@ -158,14 +160,22 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int = 20, row_block: int =
     an empty result.
 
     Rows are dealt into blocks of about ``row_block``, each indexed once; every block of queries meets
-    every block of rows in a task of its own, which returns ``k`` rows for a query.
+    every block of rows in a task of its own, which returns ``k`` rows for a query.  By default a block
+    of either kind has up to BLOCK_BYTES bytes at 8 bits a component, so that an index block is copied for
+    tens of thousands of queries at a time; queries are dealt finer only where there would be fewer tasks
+    than shuffle partitions.
     """
     from pyspark.sql import Window
 
+    spark = vectors.sparkSession
     vectors = vectors.where("id IS NOT NULL AND vec IS NOT NULL").select("id", "vec")
     queries = queries.where("id IS NOT NULL AND vec IS NOT NULL").groupBy("id").agg(F.min("vec").alias("vec"))
-    row_blocks = max(1, math.ceil(vectors.count() / row_block))
-    query_blocks = max(1, math.ceil(queries.count() / query_block))
+    n, dims = vectors.agg(F.count("*"), F.max(F.size("vec"))).first()
+    fit = max(64, BLOCK_BYTES // max(dims or 1, 1))
+    row_blocks = max(1, math.ceil(n / (row_block or fit)))
+    asked_n = queries.count()
+    wanted = math.ceil(2 * int(spark.conf.get("spark.sql.shuffle.partitions")) / row_blocks)
+    query_blocks = max(1, math.ceil(asked_n / (query_block or max(64, min(fit, math.ceil(asked_n / wanted))))))
     index = (
         vectors.withColumn("r", F.pmod(F.xxhash64("id"), F.lit(row_blocks)).cast("int"))
         .groupBy("r")
