@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 
 from pactum.llm.storage import written
 from pactum.llm.urlfilter import host_and_path
-from pactum.llm.words import Powers, mix, slices, utf8, word_hashes
+from pactum.llm.words import Powers, mix, returning_memory, slices, utf8, word_hashes
 
 _U = np.uint64
 _NAME = re.compile(r"[a-zA-Z][a-zA-Z0-9:-]*")
@@ -367,7 +367,7 @@ def extract_main_text(
                 cols = [batch.column(i).slice(start, stop - start) for i in (0, 1)]
                 yield pa.RecordBatch.from_arrays([*cols, pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())], names=["page_id", "url", "text", "n_chars"])
 
-    return held.mapInArrow(extract, f"page_id {kind}, url string, text string, n_chars long")
+    return held.mapInArrow(returning_memory(extract), f"page_id {kind}, url string, text string, n_chars long")
 
 
 def _among(known: np.ndarray, keys: np.ndarray) -> np.ndarray:

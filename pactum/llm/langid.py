@@ -11,7 +11,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pactum.llm.words import slices, utf8
+from pactum.llm.words import returning_memory, slices, utf8
 
 #: Families of closely related languages by their ISO 639-1 codes; any other code is a family of its own.
 FAMILIES = {
@@ -200,4 +200,4 @@ def identify(docs: DataFrame, model: Model | None, id_col: str = "doc_id", text_
 
     first = docs.select(F.col(id_col), *keep, F.col(text_col).cast("string").alias("__text"))
     kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in first.schema.fields[:-1])
-    return first.mapInArrow(predict, f"{kinds}, lang_pred string, score double")
+    return first.mapInArrow(returning_memory(predict), f"{kinds}, lang_pred string, score double")

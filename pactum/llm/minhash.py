@@ -21,26 +21,28 @@ in the bucket's rest, and all pairs of a rest in different components are compar
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from pactum.llm.components import components, narrow
+from pactum.llm.meetings import block_links, relabel, stars, with_component
 from pactum.llm.storage import broadcast_if_small, drop, written
-from pactum.llm.words import Powers, mix, shingle_sets, slices, utf8
+from pactum.llm.words import Powers, mix, returning_memory, shingle_sets, slices, utf8
 
 _U = np.uint64
 #: Percent of shingles in common from which on a document belongs to its pivot's cluster.
 KIN = 25
-#: Documents in a block of a cluster, about.
-BLOCK = 128
+#: Documents and shingles in a block of a cluster, about.
+BLOCK, BLOCK_SHINGLES = 256, 250_000
 #: Members of a bucket's rest up to which its pairs become rows (at most 3.5 a member).
 FEW = 8
-#: Rows of (set_id, doc_id), 24 bytes each, that may be broadcast.
-MAX_BROADCAST = 500_000
+#: Rows of 8 to 40 bytes each that may be broadcast.
+MAX_BROADCAST = 600_000
 
 
 def _digest(shingles: np.ndarray) -> bytes:
@@ -84,7 +86,7 @@ def sketches(docs: DataFrame, width: int, tables: int, rows: int, id_col: str =
 
     kind = dict(docs.dtypes)[id_col]
     return docs.select(F.col(id_col), F.col(text_col).cast("string")).mapInArrow(
-        sketch, f"doc_id {kind}, n_shingles long, set_id binary, sub_keys array<long>"
+        returning_memory(sketch), f"doc_id {kind}, n_shingles long, set_id binary, sub_keys array<long>"
     )
 
 
@@ -94,14 +96,14 @@ def _buckets(nodes: DataFrame, tables: int) -> DataFrame:
     shared = written(subs.groupBy("val").agg(F.count("*").alias("c")).where("c > 1").select("val"), "shared")
     # Only sub-keys that another set has too can be part of a shared table key.
     alive = (
-        subs.join(shared, "val", "left_semi")
+        subs.join(broadcast_if_small(shared, MAX_BROADCAST), "val", "left_semi")
         .groupBy("set_id")
         .agg(F.collect_list(F.when(F.col("slot") < tables, F.col("val"))).alias("one"), F.collect_list(F.when(F.col("slot") >= tables, F.col("val"))).alias("two"))
     )
     pair = F.flatten(F.transform("one", lambda x: F.transform(F.col("two"), lambda y: F.xxhash64(x, y))))
     keys = written(alive.select("set_id", F.explode(pair).alias("key")), "keys")
     full = written(keys.groupBy("key").agg(F.count("*").alias("c")).where("c > 1").select("key"), "full")
-    sized = keys.join(full, "key", "left_semi")
+    sized = keys.join(broadcast_if_small(full, MAX_BROADCAST), "key", "left_semi")
     out = written(sized, "buckets")
     for t in (shared, keys, full):
         drop(t)
@@ -109,36 +111,33 @@ def _buckets(nodes: DataFrame, tables: int) -> DataFrame:
 
 
 def _compared(pairs: DataFrame, texts: DataFrame, width: int, percent: int) -> DataFrame:
-    """The pairs (u, v) with 100 * intersection >= KIN * union, whether they reach ``percent`` and whether v is near u.
+    """The ``pairs(a, b)`` as (u, v) with 100 * intersection >= KIN * union, whether they reach ``percent`` and whether v is near u.
 
     What is linked with a near v has KIN percent in common with u.
     """
     kin = min(KIN, percent)
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        powers = Powers()
+        powers, pivot = Powers(), np.zeros(0, dtype=np.uint64)
         for batch in batches:
-            left, left_at = utf8(batch.column(2))
-            right, right_at = utf8(batch.column(3))
+            data, at = utf8(batch.column(2))
+            first = pc.equal(batch.column(0), batch.column(1)).to_numpy(zero_copy_only=False)
             share = np.zeros(batch.num_rows)
             linked, near = (np.zeros(batch.num_rows, dtype=bool) for _ in range(2))
-            for start, stop in slices(left_at + right_at):
-                one, two = (
-                    shingle_sets(data[at[start] : at[stop]], at[start : stop + 1] - at[start], width, powers)
-                    for data, at in ((left, left_at), (right, right_at))
-                )
-                for i, (x, y) in enumerate(zip(one, two, strict=True)):
-                    common = np.intersect1d(x, y, assume_unique=True).size
-                    union = len(x) + len(y) - common
-                    share[start + i] = 100 * common / max(union, 1)
-                    linked[start + i] = 100 * common >= percent * union > 0
-                    near[start + i] = 100 * common >= (kin + 100 - percent) * union > 0
-            keep = pa.array((share >= kin) | linked)
+            for start, stop in slices(at):
+                for i, x in enumerate(shingle_sets(data[at[start] : at[stop]], at[start : stop + 1] - at[start], width, powers), start):
+                    if first[i]:
+                        pivot = x
+                        continue
+                    common = np.intersect1d(pivot, x, assume_unique=True).size
+                    union = len(pivot) + len(x) - common
+                    share[i] = 100 * common / max(union, 1)
+                    linked[i] = 100 * common >= percent * union > 0
+                    near[i] = 100 * common >= (kin + 100 - percent) * union > 0
+            keep = pa.array(((share >= kin) | linked) & ~first)
             yield pa.RecordBatch.from_arrays([*(c.filter(keep) for c in batch.columns[:2]), pa.array(linked).filter(keep), pa.array(near).filter(keep)], names=["u", "v", "linked", "near"])
 
-    one = texts.select(F.col("set_id").alias("a"), F.col("text").alias("text_a"))
-    two = texts.select(F.col("set_id").alias("b"), F.col("text").alias("text_b"))
-    return pairs.join(one, "a").join(two, "b").select("a", "b", "text_a", "text_b").mapInArrow(compare, "u binary, v binary, linked boolean, near boolean")
+    return stars(pairs, texts, "text").mapInArrow(returning_memory(compare), "u binary, v binary, linked boolean, near boolean")
 
 
 def _overlaps(sets: list[np.ndarray]) -> np.ndarray:
@@ -151,7 +150,7 @@ def _overlaps(sets: list[np.ndarray]) -> np.ndarray:
     order = np.argsort(column, kind="stable")
     column, owner = column[order], owner[order]
     out = np.zeros((len(sets), len(sets)), dtype=np.int64)
-    step = 8192
+    step = 4096
     for first in range(0, int(column[-1]) + 1 if len(column) else 0, step):
         lo, hi = np.searchsorted(column, [first, first + step])
         member = np.zeros((len(sets), step), dtype=np.float32)
@@ -160,31 +159,8 @@ def _overlaps(sets: list[np.ndarray]) -> np.ndarray:
     return out
 
 
-def _block_links(placed: DataFrame, texts: DataFrame, width: int, percent: int, met_up_to: int = 2) -> DataFrame:
-    """Links (u, v) between different components of one cluster: ``placed(set_id, comp, cluster)``.
-
-    A component of BLOCK or more documents has blocks of its own, smaller ones share blocks; pairs of
-    blocks are compared unless both are of one component.  The documents of a cluster of ``met_up_to`` or
-    fewer have met.
-    """
-    sizes = placed.groupBy("cluster", "comp").agg(F.count("*").alias("c"))
-    sizes = sizes.withColumn("own", F.col("c") >= BLOCK)
-    rest = sizes.groupBy("cluster").agg(F.sum(F.when(~F.col("own"), F.col("c"))).alias("small"), F.count("*").alias("comps"), F.sum("c").alias("all"))
-    # A cluster of one component, or of documents that have met, is settled.
-    shape = sizes.join(rest.where(f"comps > 1 AND all > {met_up_to}").select("cluster", "small"), "cluster")
-    spot = F.when(
-        F.col("own"), F.concat(F.lit("c"), F.hex("comp"), F.lit(":"), F.pmod(F.xxhash64("set_id"), F.ceil(F.col("c") / BLOCK)).cast("string"))
-    ).otherwise(F.concat(F.lit("s:"), F.pmod(F.xxhash64("comp"), F.ceil(F.col("small") / BLOCK)).cast("string")))
-    dealt = placed.join(shape, ["cluster", "comp"]).select("cluster", "comp", "set_id", spot.alias("block"), F.when(F.col("own"), F.col("comp")).alias("whole"))
-    n = placed.count()
-    dealt = written(narrow(dealt, n), "dealt")
-    blocks = written(narrow(dealt.select("cluster", "block", "whole").distinct(), n), "blocks")
-    one = blocks.select("cluster", F.col("block").alias("i"), F.col("whole").alias("whole_i"))
-    two = blocks.select("cluster", F.col("block").alias("j"), F.col("whole").alias("whole_j"))
-    met = one.join(two, "cluster").where("i <= j AND NOT coalesce(whole_i = whole_j, false)")
-    meetings = written(narrow(met.select("cluster", "i", "j"), n, 20_000), "meetings")
-    sides = meetings.select("cluster", "i", "j", F.explode(F.array_distinct(F.array("i", "j"))).alias("block"))
-    rows = dealt.join(sides, ["cluster", "block"]).join(texts, "set_id").select("cluster", "i", "j", "set_id", "comp", "text")
+def _links(width: int, percent: int) -> Callable[[pa.Table], pa.Table]:
+    """The links between some texts of different components."""
 
     def links(table: pa.Table) -> pa.Table:
         data, offsets = utf8(table["text"].combine_chunks() if table["text"].num_chunks != 1 else table["text"].chunk(0))
@@ -198,10 +174,10 @@ def _block_links(placed: DataFrame, texts: DataFrame, width: int, percent: int,
         ids = table["set_id"].combine_chunks()
         return pa.table({"u": ids.take(pa.array(u)), "v": ids.take(pa.array(v))}, schema=pa.schema([("u", pa.binary()), ("v", pa.binary())]))
 
-    return rows.groupBy("cluster", "i", "j").applyInArrow(links, "u binary, v binary")
+    return links
 
 
-def _rest_links(bucket: DataFrame, least: DataFrame, pairs: DataFrame, near: DataFrame, labels: DataFrame, texts: DataFrame, width: int, percent: int, n: int) -> DataFrame:
+def _rest_links(bucket: DataFrame, least: DataFrame, pairs: DataFrame, near: DataFrame, labels: DataFrame, members: DataFrame, texts: DataFrame, width: int, percent: int, n: int) -> DataFrame:
     """Links (u, v) between members of one bucket, in different components, that are not near its pivot.
 
     Rests with the same members are compared once.  The pairs of small rests become rows, so that a pair of
@@ -209,7 +185,7 @@ def _rest_links(bucket: DataFrame, least: DataFrame, pairs: DataFrame, near: Dat
     """
     away = bucket.join(least, "key").where("set_id <> pivot").select("key", F.col("pivot").alias("u"), F.col("set_id").alias("v"))
     away = away.join(near, ["u", "v"], "left_anti").select("key", F.col("v").alias("set_id"))
-    rest = written(narrow(_placed(away, labels), n), "rest")
+    rest = written(narrow(with_component(away, labels), n), "rest")
     marks = [F.bit_xor(F.xxhash64(F.lit(k), "set_id")).alias(f"h{k}") for k in (1, 2)]
     sizes = rest.groupBy("key").agg(F.count("*").alias("c"), F.min("comp").alias("one"), F.max("comp").alias("two"), *marks).where("c > 1 AND one <> two")
     apart = written(narrow(sizes.groupBy("c", "h1", "h2").agg(F.min("key").alias("key")), n), "apart")
@@ -220,8 +196,8 @@ def _rest_links(bucket: DataFrame, least: DataFrame, pairs: DataFrame, near: Dat
     out = written(_compared(meet, texts, width, percent).where("linked").select("u", "v"), "rest_links")
     many = apart.where(F.col("c") > FEW).select("key")
     if not many.isEmpty():
-        placed = written(narrow(rest.join(many, "key").select("set_id", "comp", F.col("key").alias("cluster")), n), "rest_placed")
-        more = written(_block_links(placed, texts, width, percent, 1), "rest_blocks")
+        placed = written(narrow(rest.join(many, "key").join(members.select("set_id", "n"), "set_id").select("set_id", "n", "comp", F.col("key").alias("cluster")), n), "rest_placed")
+        more = written(block_links(placed, texts, _links(width, percent), "text", BLOCK, BLOCK_SHINGLES, 1), "rest_blocks")
         out = written(out.unionByName(more).distinct(), "rest_links")
         for t in (placed, more):
             drop(t)
@@ -263,23 +239,23 @@ def near_duplicates(
     sizes = nodes.select("set_id", "n", "doc_id")
     members = written(narrow(bucket.select("set_id").distinct().join(sizes, "set_id"), n), "members")
     source = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    texts = written(_representatives(source, members, width), "texts")
+    texts = _representatives(source, members, width)
     least = written(narrow(bucket.groupBy("key").agg(F.min("set_id").alias("pivot")), n), "pivots")
     met = bucket.join(least, "key").where("set_id <> pivot").select(F.col("pivot").alias("a"), F.col("set_id").alias("b")).distinct()
     pairs = written(narrow(met, n), "pairs")
     kin = written(narrow(_compared(pairs, texts, width, percent), n, 20_000), "kin")
     labels = written(narrow(components(kin.where("linked")), n), "labels")
     clusters = components(kin).select(F.col("node").alias("set_id"), F.col("comp").alias("cluster"))
-    placed = written(narrow(_placed(clusters, labels), n), "placed")
-    more = written(_block_links(placed, texts, width, percent), "links")
+    placed = written(narrow(with_component(clusters.join(members.select("set_id", "n"), "set_id"), labels), n), "placed")
+    more = written(block_links(placed, texts, _links(width, percent), "text", BLOCK, BLOCK_SHINGLES), "links")
     if not more.isEmpty():
-        labels = _relabel(labels, more)
-    last = _rest_links(bucket, least, pairs, kin.where("near"), labels, texts, width, percent, n)
+        labels = relabel(labels, more)
+    last = _rest_links(bucket, least, pairs, kin.where("near"), labels, members, texts, width, percent, n)
     if not last.isEmpty():
-        labels = _relabel(labels, last)
+        labels = relabel(labels, last)
     for t in (bucket, least, pairs, kin, placed, more, last, texts):
         drop(t)
-    nodes_comp = _placed(sizes, labels)
+    nodes_comp = with_component(sizes, labels)
     least = nodes_comp.groupBy("comp").agg(F.min("doc_id").alias("component_id"))
     found = nodes_comp.join(least, "comp").select("set_id", "component_id")
     moved = written(found.join(sizes, "set_id").where("component_id <> doc_id OR component_id IS NULL").select("set_id", "component_id"), "moved")
@@ -311,25 +287,5 @@ def _representatives(source: DataFrame, members: DataFrame, width: int) -> DataF
     wanted = broadcast_if_small(members.select("set_id", "doc_id"), MAX_BROADCAST)
     joined = source.join(wanted, "doc_id").select("set_id", "text")
     # Ids may repeat with other texts: only the text that has the set stands for it.
-    return joined.mapInArrow(tagged, "set_id binary, text string").dropDuplicates(["set_id"])
-
-
-def _placed(df: DataFrame, labels: DataFrame) -> DataFrame:
-    """``df`` with the component ``comp`` of its set_id, itself where it has no link yet."""
-    own = labels.select(F.col("node").alias("set_id"), F.col("comp").alias("c"))
-    return df.join(own, "set_id", "left").withColumn("comp", F.coalesce("c", "set_id")).drop("c")
-
-
-def _relabel(labels: DataFrame, edges: DataFrame) -> DataFrame:
-    """Labels after joining the components that ``edges`` link."""
-    top = labels.select(F.col("node"), F.col("comp"))
-
-    def lifted(df: DataFrame, c: str) -> DataFrame:
-        own = top.select(F.col("node").alias(c), F.col("comp").alias("t"))
-        return df.join(own, c, "left").withColumn(c, F.coalesce("t", c)).drop("t")
-
-    joined = written(components(lifted(lifted(edges, "u"), "v")), "joined")
-    over = joined.select(F.col("node").alias("comp"), F.col("comp").alias("top"))
-    old = labels.join(over, "comp", "left").select("node", F.coalesce("top", "comp").alias("comp"))
-    new = joined.join(labels, "node", "left_anti").select("node", "comp")
-    return written(narrow(old.unionByName(new), labels.count()), "labels")
+    found = written(joined.mapInArrow(tagged, "set_id binary, text string"), "texts")
+    return found if found.count() == members.count() else written(found.dropDuplicates(["set_id"]), "texts")

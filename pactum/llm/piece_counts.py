@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from pactum.llm.pieces import BYTES_AT_ONCE, SPACE, Vocabulary, merge_bpe, split_words, unit_of
-from pactum.llm.words import slices, utf8
+from pactum.llm.words import returning_memory, slices, utf8
 
 
 class Counter:
@@ -163,4 +163,4 @@ def count_pieces(docs: DataFrame, vocab: Vocabulary, id_cols: tuple[str, ...] =
 
     first = docs.select(*id_cols, F.col(text_col).cast("string").alias("__text"))
     kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in first.schema.fields[:-1])
-    return first.mapInArrow(run, f"{kinds}, n_pieces long")
+    return first.mapInArrow(returning_memory(run), f"{kinds}, n_pieces long")
