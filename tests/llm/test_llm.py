@@ -317,9 +317,50 @@ def test_near_texts(spark):
     rng = random.Random(6)
     base = "".join(rng.choice("abcdefghij ") for _ in range(600))
     other = "".join(rng.choice("abcdefghij ") for _ in range(600))
-    df = spark.createDataFrame([(1, base), (2, base[:300] + "XY" + base[300:]), (3, base), (4, other), (5, None), (None, base)], "doc_id long, text string")
-    got = {r["doc_id"]: r["group_id"] for r in editsketch.near_texts(df).collect()}
-    assert got == {1: 1, 2: 1, 3: 1, 4: 4, 5: 5, None: None}
+    rows = [("1", base), ("2", base[:300] + "XY" + base[300:]), ("3", base), ("4", other), ("5", None), (None, base), ("6", ""), ("7", "x"), ("7", "x"), ("8", "x" * 300_000), ("9", "x" * 299_000)]
+    df = spark.createDataFrame(rows, "doc_id string, text string").withColumn("group_id", F.lit("clash")).withColumn("node", F.lit("clash"))
+    got = sorted(((r["doc_id"], r["group_id"]) for r in editsketch.near_texts(df).collect()), key=str)
+    assert got == [("1", "1"), ("2", "1"), ("3", "1"), ("4", "4"), ("5", "5"), ("6", "6"), ("7", "7"), ("7", "7"), ("8", "8"), ("9", "8"), (None, None)]
+    full = editsketch.fingerprints_with_edits(df)
+    assert sorted(((r["doc_id"], r["group_id"]) for r in full.collect()), key=str) == got
+    assert editsketch.near_texts(df.limit(0)).count() == 0
+
+
+def edits(rng: random.Random, text: str, n: int) -> str:
+    out = list(text)
+    for _ in range(n):
+        at = rng.randrange(len(out))
+        kind = rng.randrange(3)
+        out[at : at + (kind > 0)] = [rng.choice("abcdefghij")] * (kind < 2)
+    return "".join(out)
+
+
+def test_near_texts_against_brute_force(spark):
+    """Links are exact; of those that there are, nine in ten or more are found, at every length."""
+    rng = random.Random(7)
+    texts = []
+    shared = "".join(rng.choice("abcdefghij ") for _ in range(400))
+    for length in (60, 200, 800, 3000, 9000):
+        for _ in range(12):
+            base = "".join(rng.choice("abcdefghij ") for _ in range(length))
+            texts += [base, edits(rng, base, rng.randrange(1, max(2, length // 50)))]
+    # Texts that share a passage and little else: their buckets hold strangers.
+    for _ in range(30):
+        own = shared + "".join(rng.choice("abcdefghij ") for _ in range(400))
+        texts += [own, edits(rng, own, 8)]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    group = {r["doc_id"]: r["group_id"] for r in editsketch.near_texts(df, 0.02).collect()}
+    pairs = [(i, j) for j in range(len(texts)) for i in range(j) if abs(len(texts[i]) - len(texts[j])) <= 0.02 * max(len(texts[i]), len(texts[j]))]
+    linked = [(i, j) for i, j in pairs if editsketch.edit_distance(texts[i], texts[j], int(0.02 * max(len(texts[i]), len(texts[j])))) <= int(0.02 * max(len(texts[i]), len(texts[j])))]
+    found = [group[i] == group[j] for i, j in linked]
+    assert np.mean(found) >= 0.95
+    for low, high in ((0, 500), (500, 2000), (2000, 20_000)):
+        assert np.mean([f for f, (i, _) in zip(found, linked, strict=True) if low <= len(texts[i]) < high]) >= 0.9
+    assert {(group[i], group[j]) for i, j in linked} >= {(g, g) for i, g in group.items() if i != g}
+    apart = np.zeros(60, dtype=np.int64)
+    apart[::2] = np.arange(30) + 1
+    want = {(i, j) for i, j in linked if j < 60 and apart[i] != apart[j]}
+    assert {tuple(sorted(x)) for x in editsketch._near(texts[:60], 0.02, apart)} == want
 
 
 # ---- main text
