@@ -14,8 +14,19 @@ from pactum.functions import rules as R
 TYPES = ("int", "float", "bool", "str", "category", "datetime")
 #: The distributions that a contract may name.
 DISTRIBUTIONS = ("normal", "uniform", "lognormal", "exponential", "poisson", "gamma", "pareto", "gpd", "zip", "tweedie", "custom")
-#: Other spellings of them.
-DISTRIBUTION_ALIASES = {"gaussian": "normal", "log-normal": "lognormal", "log_normal": "lognormal", "exp": "exponential", "zero_inflated_poisson": "zip"}
+#: Other spellings of them.
+DISTRIBUTION_ALIASES = {
+    "gaussian": "normal", "norm": "normal",
+    "log-normal": "lognormal", "log_normal": "lognormal", "lognorm": "lognormal",
+    "exp": "exponential", "expon": "exponential",
+    "zero_inflated_poisson": "zip", "zeroinflated_poisson": "zip", "zip_poisson": "zip",
+    "generalized_pareto": "gpd", "generalised_pareto": "gpd", "genpareto": "gpd",
+    "compound_poisson_gamma": "tweedie",
+    "discrete_uniform": "uniform", "uniform_int": "uniform", "randint": "uniform", "integer_uniform": "uniform",
+}
+#: Other spellings of signs and directions.
+SIGNS = {"+": "+", "positive": "+", "pos": "+", "-": "-", "negative": "-", "neg": "-"}
+DIRECTIONS = {"increasing": "increasing", "positive": "increasing", "up": "increasing", "+": "increasing", "decreasing": "decreasing", "negative": "decreasing", "down": "decreasing", "-": "decreasing"}
 _SPARK_TYPES = {
     "int": T.LongType(),
     "float": T.DoubleType(),
@@ -74,6 +85,14 @@ class Column:
         return self.type in ("int", "float", "bool")
 
 
+def _spelled(value: str, known: dict[str, str], what: str) -> str:
+    """The plain spelling of a value; anything unknown is an error rather than a guess."""
+    try:
+        return known[str(value).strip().lower()]
+    except KeyError:
+        raise ContractError(f"unknown {what}: {value!r}") from None
+
+
 @dataclass(frozen=True)
 class Correlation:
     """Two columns should correlate with a sign and at least ``min_r``."""
@@ -87,6 +106,7 @@ class Correlation:
     def __post_init__(self) -> None:
         if self.method not in ("pearson", "spearman", "kendall"):
             object.__setattr__(self, "method", "pearson")
+        object.__setattr__(self, "sign", _spelled(self.sign, SIGNS, f"sign of {self.a}, {self.b}"))
 
 
 @dataclass(frozen=True)
@@ -98,6 +118,9 @@ class Monotone:
     direction: str = "increasing"
     min_ratio: float = 0.90
 
+    def __post_init__(self) -> None:
+        object.__setattr__(self, "direction", _spelled(self.direction, DIRECTIONS, f"direction of {self.x}, {self.y}"))
+
 
 @dataclass(frozen=True)
 class Contract:
@@ -163,7 +186,11 @@ class Contract:
                 rules.append(kept)
         correlations = []
         for r in spec.get("correlations", []):
-            rule = r if isinstance(r, Correlation) else Correlation(**r)
+            try:
+                rule = r if isinstance(r, Correlation) else Correlation(**r)
+            except ContractError as e:
+                dropped.append(str(e))
+                continue
             if rule.a not in by or rule.b not in by or not (by[rule.a].countable and by[rule.b].countable):
                 dropped.append(f"correlation {rule.a}, {rule.b}: a column is unknown or not numeric")
                 continue
@@ -171,7 +198,11 @@ class Contract:
             correlations.append(replace(rule, min_r=round(0.8 * top, 4)) if rule.min_r > top else rule)
         monotone = []
         for r in spec.get("monotone", spec.get("monotonicity_rules", [])):
-            rule = r if isinstance(r, Monotone) else Monotone(**r)
+            try:
+                rule = r if isinstance(r, Monotone) else Monotone(**r)
+            except ContractError as e:
+                dropped.append(str(e))
+                continue
             if rule.x not in by or rule.y not in by or not (by[rule.x].countable and by[rule.y].countable):
                 dropped.append(f"monotone {rule.x}, {rule.y}: a column is unknown or not numeric")
                 continue

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -11,9 +12,11 @@ _OWN: dict[str, str] = {}
 
 
 def work_path(spark: SparkSession, label: str) -> str:
-    """A new path in ``spark.checkpoint.dir``; where that is unset (tests), in a folder of this process."""
+    """A new path in ``spark.checkpoint.dir``; where that is unset, in a folder of this process, in local mode only."""
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
+        if not re.match(r"local(\[|$)", spark.sparkContext.master):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
         if "dir" not in _OWN:
             _OWN["dir"] = "file://" + tempfile.mkdtemp(prefix="pactum-")
         base = _OWN["dir"]

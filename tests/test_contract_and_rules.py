@@ -67,3 +67,38 @@ def test_bad_columns_and_cycles_are_errors():
     links = (K.Relationship("a", "k", "b", "p"), K.Relationship("b", "k", "a", "p"))
     with pytest.raises(K.ContractError):
         K.Dataset({"a": one, "b": one}, "a", links)
+
+
+def test_signs_and_directions_are_known_or_errors():
+    assert [K.Correlation("a", "b", s).sign for s in ("positive", "Negative", "+", "-")] == ["+", "-", "+", "-"]
+    assert [K.Monotone("a", "b", d).direction for d in ("positive", "decreasing", "-")] == ["increasing", "decreasing", "decreasing"]
+    with pytest.raises(K.ContractError):
+        K.Correlation("a", "b", "upwards")
+    with pytest.raises(K.ContractError):
+        K.Monotone("a", "b", "sideways")
+    spec = {"columns": [{"name": "a", "type": "int"}, {"name": "b", "type": "int"}], "correlations": [{"a": "a", "b": "b", "sign": "odd"}, {"a": "a", "b": "b", "sign": "negative"}]}
+    with pytest.warns(UserWarning):
+        assert [c.sign for c in K.Contract.from_dict(spec).correlations] == ["-"]
+
+
+def test_a_positive_sign_passes_with_a_positive_correlation(spark):
+    from pactum.operators import stats
+
+    df = spark.createDataFrame([(i, 2 * i, -i) for i in range(30)], "a long, b long, c long")
+    rules = (K.Correlation("a", "b", "positive", 0.5), K.Correlation("a", "c", "negative", 0.5), K.Correlation("a", "c", "positive", 0.5))
+    contract = K.Contract(tuple(K.Column(x, "int") for x in "abc"), correlations=rules)
+    assert [r["passed"] for r in stats.correlation_check(df, contract).collect()] == [True, True, False]
+
+
+@pytest.mark.parametrize("rule", ["a < 3 and not (b >= 2 or c == 'x\\'y')", "1 < a <= 5", "-a * (b + 2) / 3 != abs(c)", "`odd name` in ['p', \"q\"] && b IS NOT NULL || c <> 1.5e3", "NOT a NOT IN (1, 2)"])
+def test_rules_survive_unparsing(rule):
+    tree = R.parse(rule)
+    assert R.parse(R.unparse(tree)) == tree
+    assert R.names(tree) <= {"a", "b", "c", "odd name"}
+
+
+def test_windows_of_descriptions():
+    from pactum.operators.generate import datetime_window as w
+
+    said = {"from 2024-01-01 to 2024-06-30": ("2024-01-01", "2024-06-30"), "since 2023-05-01": ("2023-05-01", "2024-04-30"), "Up to 2024-12-31": ("2024-01-01", "2024-12-31"), "any day": ("2024-01-01", "2024-12-31"), "until 2024-99-99": ("2024-01-01", "2024-12-31")}
+    assert {k: tuple(str(x.date()) for x in w(k)) for k in said} == said
