@@ -49,20 +49,31 @@ def uniform(seed: int, label: str, *keys: Column | str) -> Column:
     return (bits.cast("double") + 0.5) / F.lit(float(1 << 53))
 
 
+def _bits(seed: int, label: str, *keys: Column | str) -> Column:
+    """52 bits of the MD5 of "seed:label:key": any engine gives the same ones.  A null key counts as empty text."""
+    text = F.concat_ws(":", F.lit(str(int(seed))), F.lit(label), *[F.coalesce((F.col(k) if isinstance(k, str) else k).cast("string"), F.lit("")) for k in keys])
+    return F.conv(F.substring(F.md5(text), 1, 13), 16, 10).cast("long")
+
+
+def drawn(seed: int, label: str, *keys: Column | str) -> Column:
+    """A number in (0, 1) like :func:`uniform`, from MD5: slower, but one that SQL elsewhere can repeat."""
+    return (_bits(seed, label, *keys).cast("double") + 0.5) / F.lit(float(1 << 52))
+
+
 def exactly(df: DataFrame, n: int, seed: int, label: str, key: str, among: Column | None = None) -> Column:
     """A Column that is true for exactly ``n`` of the rows that ``among`` allows (all of them, if fewer).
 
-    The rows of the ``n`` smallest hashes of (seed, label, key) are chosen; ``key`` must be distinct.  The
-    cut is found by sums over 4096 bins and, within the bin that it falls in, over a second 4096, so that
-    only a few rows are ever sorted.
+    The rows of the ``n`` smallest MD5 draws of (seed, label, key) are chosen, ties by key; ``key`` must be
+    distinct.  The cut is found by sums over 4096 bins and, within the bin that it falls in, over a second
+    4096, so that only a few rows are ever sorted.
     """
     allowed = F.lit(True) if among is None else F.coalesce(among, F.lit(False))
-    draw = F.xxhash64(F.lit(int(seed)), F.lit(label), F.col(key))
-    rows = df.where(allowed).select(draw.alias("h"), F.col(key).alias("k"))
+    draw = _bits(seed, label, key)
     if n <= 0:
         return F.lit(False)
+    rows = df.where(allowed).select(draw.alias("h"), F.col(key).alias("k"))
     low, left = None, n
-    for shift in (52, 40):
+    for shift in (40, 28):
         part = rows if low is None else rows.where((F.col("h") >= low[0]) & (F.col("h") <= low[1]))
         bins = sorted((r[0], r[1]) for r in part.groupBy(F.shiftright("h", shift).alias("b")).count().collect())
         for b, c in bins:

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Row
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -99,6 +99,14 @@ def rule_outcomes(df: DataFrame, rules: tuple[str, ...]) -> tuple[list[RuleOutco
     A rule that does not parse or is not true or false is skipped; one that every row violates is skipped
     and suspicious; one that half the rows violate applies and is suspicious.
     """
+    parsed, failed = _parsed(df, rules)
+    n, counts = _counted(df, parsed)
+    out, tests = _outcomes(rules, parsed, failed, n, counts)
+    return out, tests, n
+
+
+def _parsed(df: DataFrame, rules: tuple[str, ...]) -> tuple[dict[str, Column], dict[str, str]]:
+    """(the Columns of rules that parse, why others do not)."""
     parsed: dict[str, Column] = {}
     failed: dict[str, str] = {}
     for rule in rules:
@@ -106,7 +114,11 @@ def rule_outcomes(df: DataFrame, rules: tuple[str, ...]) -> tuple[list[RuleOutco
             parsed[rule] = R.to_column(rule, df.schema)
         except R.RuleError as e:
             failed[rule] = str(e)
-    n, counts = _counted(df, parsed)
+    return parsed, failed
+
+
+def _outcomes(rules: tuple[str, ...], parsed: dict[str, Column], failed: dict[str, str], n: int, counts: dict[str, int]) -> tuple[list[RuleOutcome], list[Column]]:
+    """What becomes of each rule that ``counts`` of ``n`` rows violate, and the Columns that apply."""
     out, tests = [], []
     for rule in rules:
         if rule in failed:
@@ -116,7 +128,7 @@ def rule_outcomes(df: DataFrame, rules: tuple[str, ...]) -> tuple[list[RuleOutco
         else:
             out.append(RuleOutcome(rule, "applied", counts[rule], bool(n) and counts[rule] >= n / 2, ""))
             tests.append(parsed[rule])
-    return out, tests, n
+    return out, tests
 
 
 def rules_report(df: DataFrame, rules: tuple[str, ...]) -> DataFrame:
@@ -147,14 +159,11 @@ def zscore_eligibility(df: DataFrame, contract: Contract, columns: list[str] | N
         else:
             unknown.append(name)
     if unknown:
-        quart = F.percentile if exact else lambda c, p: F.percentile_approx(c, p, 10000)
-        aggs = []
-        for k, name in enumerate(unknown):
-            col = F.col(f"`{name}`").cast("double")
-            aggs += [F.count(col).alias(f"n{k}"), F.count_if(col == 0).alias(f"z{k}"), quart(col, [0.25, 0.5, 0.75]).alias(f"q{k}")]
-        got = df.agg(*aggs).first()
+        values = {name: F.col(f"`{name}`").cast("double") for name in unknown}
+        got = df.agg(*[x for k, v in enumerate(values.values()) for x in (F.count(v).alias(f"n{k}"), F.count_if(v == 0).alias(f"z{k}"))]).first()
+        quarts = stats.quantile_cuts(df, values, [0.25, 0.5, 0.75], exact)
         for k, name in enumerate(unknown):
-            n, zeros, q = got[f"n{k}"], got[f"z{k}"], got[f"q{k}"]
+            n, zeros, q = got[f"n{k}"], got[f"z{k}"], quarts.get(name)
             if not n:
                 rows.append((name, False, "no values"))
             elif zeros > 0.3 * n:
@@ -183,10 +192,16 @@ def preserved(df: DataFrame, contract: Contract | None = None) -> Column:
     return F.coalesce(text.isin(*ANOMALY_VALUES, "1.0"), F.lit(False))
 
 
+def _moments(columns: list[str]) -> list[Column]:
+    return [f(F.col(f"`{c}`").cast("double")).alias(f"{w}{k}") for k, c in enumerate(columns) for f, w in ((F.avg, "m"), (F.stddev_pop, "s"))]
+
+
 def _zscore_tests(df: DataFrame, columns: list[str], threshold: float) -> dict[str, Column]:
-    if not columns:
-        return {}
-    got = df.agg(*[f(F.col(f"`{c}`").cast("double")).alias(f"{w}{k}") for k, c in enumerate(columns) for f, w in ((F.avg, "m"), (F.stddev_pop, "s"))]).first()
+    return _far_tests(df.agg(*_moments(columns)).first(), columns, threshold) if columns else {}
+
+
+def _far_tests(got: Row, columns: list[str], threshold: float) -> dict[str, Column]:
+    """For each column a test that is false for values far from the mean, given :func:`_moments`."""
     out = {}
     for k, c in enumerate(columns):
         mean, std = got[f"m{k}"], got[f"s{k}"]
@@ -237,31 +252,47 @@ def validate(df: DataFrame, contract: Contract, z_threshold: float = 3.0, contam
     """
     spark = df.sparkSession
     start = in_contract_order(without_nan(df), contract)
-    # The one full-width shuffle is written; all later steps are filters and aggregates over that table.
-    unique = materialised(without_duplicates(start), "unique")
-    bounded = within_bounds(unique, contract)
-    outcomes, tests, n_bounded = rule_outcomes(bounded, contract.rules)
-    ruled = bounded.where(_all(tests))
-    before = stats.correlation_check(ruled, contract)
+    # The one full-width shuffle: distinct rows with how often each was there.  Written, as all later steps are
+    # filters and aggregates over it: one for bounds and rules, one for moments and correlations, one for the end.
+    unique = materialised(start.groupBy(*[f"`{c}`" for c in start.columns]).agg(F.count("*").alias(_COPIES)), "unique")
+    bounds = _all(list(bound_tests(unique, contract).values()))
+    parsed, failed = _parsed(start, contract.rules)
+    got = unique.agg(F.sum(_COPIES).alias("in"), F.count("*").alias("unique"), F.count_if(bounds).alias("bounded"), *[F.count_if(bounds & ~t).alias(f"t{k}") for k, t in enumerate(parsed.values())]).first()
+    n_in, n_unique, n_bounded = got["in"] or 0, got["unique"], got["bounded"]
+    outcomes, tests = _outcomes(contract.rules, parsed, failed, n_bounded, {rule: got[f"t{k}"] for k, rule in enumerate(parsed)})
+    ruled = unique.where(bounds & _all(tests)).drop(_COPIES)
     keep = preserved(ruled, contract)
     eligible = [r["column"] for r in zscore_eligibility(ruled, contract).collect() if r["eligible"]]
-    z_rows = without_zscore_outliers(ruled, eligible, z_threshold, keep)
+    n_ruled, before, moments = _measured(ruled, contract, _moments(eligible))
+    z_tests = _far_tests(moments, eligible, z_threshold)
+    z_rows = ruled.where(_all(list(z_tests.values())) | keep) if z_tests else ruled
     numeric = [c.name for c in contract.columns if c.numeric and c.name in df.columns]
-    final = forest.without_isolated(z_rows, numeric, contamination, keep=preserved(z_rows, contract)) if contamination > 0 else z_rows
-    reverted, after = False, before
-    if contract.correlations:
-        after = stats.correlation_check(final, contract)
-        held = {(r["a"], r["b"], r["method"]) for r in before.where("passed").collect()}
-        broken = {(r["a"], r["b"], r["method"]) for r in after.where("NOT passed").collect()}
-        reverted = bool(held & broken)
-    n_in, n_unique, n_ruled, n_z = df.count(), unique.count(), ruled.count(), z_rows.count()
-    n_final = final.count() if contamination > 0 else n_z
+    forested = contamination > 0
+    final = forest.without_isolated(z_rows, numeric, contamination, keep=preserved(z_rows, contract)) if forested else z_rows
+    n_z = z_rows.count() if forested else None
+    n_final, after, _ = _measured(final, contract, []) if z_tests or forested else (n_ruled, before, None)
+    n_z = n_final if n_z is None else n_z
+    held = {(r["a"], r["b"], r["method"]) for r in before if r["passed"]}
+    broken = {(r["a"], r["b"], r["method"]) for r in after if not r["passed"]}
+    reverted = bool(held & broken)
     counts = [("duplicates", n_in, n_unique), ("bounds", n_unique, n_bounded), ("rules", n_bounded, n_ruled)]
     counts += [("zscore", n_ruled, n_ruled if reverted else n_z), ("isolation_forest", n_ruled if reverted else n_z, n_ruled if reverted else n_final)]
     rows = [(k + 1, name, a, b, a - b, round(100.0 * (a - b) / a, 4) if a else 0.0) for k, (name, a, b) in enumerate(counts)]
     stage_frame = spark.createDataFrame(rows, "step int, stage string, rows_before long, rows_after long, removed long, removed_pct double")
     rule_frame = spark.createDataFrame([(o.rule, o.status, o.violations, o.suspicious, o.reason) for o in outcomes], "rule string, status string, violations long, suspicious boolean, reason string")
-    return Validation(ruled if reverted else final, stage_frame, rule_frame, before if reverted else after, reverted)
+    correlations = spark.createDataFrame([tuple(r[c] for c in stats.CORRELATION_COLUMNS) for r in (before if reverted else after)], stats.CORRELATION_SCHEMA)
+    return Validation(ruled if reverted else final, stage_frame, rule_frame, correlations, reverted)
+
+
+#: How often a distinct row was there, while a table is validated.
+_COPIES = "__pactum_copies"
+
+
+def _measured(df: DataFrame, contract: Contract, more: list[Column]) -> tuple[int, list[dict], Row]:
+    """(rows, declared correlations, ``more`` aggregates) in one pass, but for rank correlations."""
+    straight, columns = stats.straight_correlations(df, contract)
+    got = df.agg(F.count("*").alias("rows"), *columns, *more).first()
+    return got["rows"], stats.correlation_rows(df, contract, stats.straight_values(got, straight)), got
 
 
 def conformance_issues(df: DataFrame, contract: Contract, min_ratio: float = 0.5) -> DataFrame:

@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from pactum.functions.ranks import exactly, uniform
+from pactum.functions.quantiles import exact_quantiles
+from pactum.functions.ranks import drawn, exactly, uniform
 from pactum.operators.stats import numeric_columns
 
 #: Our share of events by hour of the day: quiet nights, a busy noon and evening.
@@ -32,10 +35,10 @@ def with_event_times(df: DataFrame, key: str, start: str, end: str, time_column:
     Without an entity column, ids are drawn from max(10, rows / 8) entities.  ``key`` must identify rows.
     """
     days = f"datediff(date'{end}', date'{start}') + 1"
-    at = F.floor(uniform(seed, "day", key) * F.expr(days)).cast("int")
+    at = F.floor(drawn(seed, "day", key) * F.expr(days)).cast("int")
     day = F.date_add(F.lit(start).cast("date"), at)
-    hour = _by_weight(uniform(seed, "hour", key), HOUR_WEIGHTS)
-    second = F.floor(uniform(seed, "second", key) * 3600).cast("int")
+    hour = _by_weight(drawn(seed, "hour", key), HOUR_WEIGHTS)
+    second = F.floor(drawn(seed, "second", key) * 3600).cast("int")
     out = df.withColumn(time_column, day.cast("timestamp_ntz") + F.make_dt_interval(hours=hour, secs=second.cast("decimal(18,6)")))
     if entity_column is None:
         many = max(10, df.count() // 8)
@@ -69,7 +72,7 @@ def with_bursts(df: DataFrame, entity: str, time_column: str, key: str, share: f
     placed = df.withColumn("__previous", F.lag(time_column).over(order))
     n = round(df.count() * share)
     chosen = exactly(placed, n, seed, "burst", key, F.col("__previous").isNotNull())
-    moved = F.col("__previous") + F.make_dt_interval(secs=(4 + F.floor(uniform(seed, "burst gap", key) * 22)).cast("decimal(18,6)"))
+    moved = F.col("__previous") + F.make_dt_interval(secs=(4 + F.floor(drawn(seed, "burst gap", key) * 22)).cast("decimal(18,6)"))
     out = placed.withColumn("is_burst", chosen).withColumn(time_column, F.when(F.col("is_burst"), moved).otherwise(F.col(time_column)))
     if label and label in df.columns:
         kind = df.schema[label].dataType
@@ -80,7 +83,8 @@ def with_bursts(df: DataFrame, entity: str, time_column: str, key: str, share: f
 def time_summary(df: DataFrame, entity: str, time_column: str) -> DataFrame:
     """(rows, entities, first, last, bursts, median_gap)."""
     bursts = F.count_if(F.col("is_burst")) if "is_burst" in df.columns else F.lit(0)
-    gap = F.median("seconds_since_last") if "seconds_since_last" in df.columns else F.lit(None).cast("double")
+    middle = exact_quantiles(df, {"gap": F.col("seconds_since_last")}, [0.5]) if "seconds_since_last" in df.columns else {}
+    gap = F.lit(middle.get("gap", [None])[0]).cast("double")
     return df.agg(F.count("*").alias("rows"), F.count_distinct(entity).alias("entities"), F.min(time_column).alias("first"), F.max(time_column).alias("last"), bursts.alias("bursts"), gap.alias("median_gap"))
 
 
@@ -90,9 +94,9 @@ def chronological(df: DataFrame, time_column: str, *ties: str) -> DataFrame:
 
 
 #: Column names that features are derived from, the first that the table has.
-AMOUNT_NAMES = ("transaction_amount", "amount", "total_amount", "purchase_amount", "claim_amount")
+AMOUNT_NAMES = ("transaction_amount", "amount", "order_amount", "total_amount", "purchase_amount", "claim_amount")
 INCOME_NAMES = ("customer_income", "annual_income", "income", "salary")
-LIMIT_NAMES = ("credit_limit", "card_limit", "limit")
+LIMIT_NAMES = ("credit_limit", "credit_limit_usd", "card_limit", "limit")
 AGE_NAMES = ("customer_age", "age", "age_years")
 SCORE_NAMES = ("credit_score", "fico_score", "score")
 TIME_NAMES = ("transaction_timestamp", "event_time", "timestamp", "transaction_time", "created_at")
@@ -149,7 +153,7 @@ def with_risk_flag(df: DataFrame, attempts: str | None = None, amount: str | Non
     attempts, amount = _named(df, ATTEMPT_NAMES, attempts), _named(df, AMOUNT_NAMES, amount)
     if not attempts or not amount:
         return df
-    middle = df.agg(F.median(F.col(amount).cast("double"))).first()[0]
+    middle = exact_quantiles(df, {"amount": F.col(amount)}, [0.5]).get("amount", [None])[0]
     flag = (F.col(attempts) >= 2) & (F.col(amount) > 2 * F.lit(middle).cast("double"))
     return df.withColumn("high_risk_combo", F.coalesce(flag, F.lit(False)))
 
@@ -178,7 +182,7 @@ def inject_fraud(df: DataFrame, key: str, rate: float, target: str = "is_fraud",
     amount = amount or next((c for c in numeric_columns(df) if c != target and ("amount" in c.lower() or "price" in c.lower())), None)
     if amount:
         mean, std = df.agg(F.avg(amount), F.stddev_samp(amount)).first()
-        u = uniform(seed, "fraud amount", key)
+        u = drawn(seed, "fraud amount", key)
         if mean is not None:
             put(amount, F.round(F.lit(mean) + (4.5 + 4.5 * u) * F.lit(std), 2) if std else F.round(F.lit(mean) * (5 + 15 * u), 2))
     for f in df.schema.fields:
@@ -198,27 +202,44 @@ def inject_fraud(df: DataFrame, key: str, rate: float, target: str = "is_fraud",
     return out.withColumns(changes).drop("__hit")
 
 
-#: Our neighbours of the letters on a QWERTY keyboard: the letter to the right, or to the left at the end of a row.
-_ROWS = ("qwertyuiop", "asdfghjkl", "zxcvbnm")
-NEIGHBOURS = {c: row[k + 1] if k + 1 < len(row) else row[k - 1] for row in _ROWS for k, c in enumerate(row)}
+#: The rows of a QWERTY keyboard and how far each is shifted; keys less than 1.3 key widths apart are neighbours.
+_ROWS = (("qwertyuiop", 0.0), ("asdfghjkl", 0.25), ("zxcvbnm", 0.75))
+_PLACES = {c: (k + shift, float(y)) for y, (row, shift) in enumerate(_ROWS) for k, c in enumerate(row)}
+NEIGHBOURS = {c: "".join(o for o, q in _PLACES.items() if o != c and math.dist(p, q) < 1.3) for c, p in _PLACES.items()}
+#: Impossible values of columns whose names have one of the words; other columns take factors.
+SPIKES = ((("age", "yas"), (999.0, -1.0, 150.0, 0.0)), (("price", "amount", "tutar"), (-99.0, 999999.0, 0.0001)), (("score", "oran", "ratio"), (-1.0, 99.9, 1000.0)))
+SPIKE_FACTORS = (100.0, -10.0, 0.0)
+
+
+def _pick(options: list[Column], u: Column) -> Column:
+    """The option that a uniform draw falls on."""
+    return F.element_at(F.array(*options), (F.floor(u * len(options)) + 1).cast("int"))
 
 
-def _typo(text: Column, u: Column, v: Column) -> Column:
-    """Swap, delete, repeat or replace the character at a random place."""
+def _typo(text: Column, u: Column, v: Column, w: Column) -> Column:
+    """Swap, delete, repeat or replace (by a neighbouring key, in its case) the character at a random place."""
     n = F.length(text)
     at = (F.floor(u * (n - 1)) + 1).cast("int")
     head, one, two, tail = F.substring(text, F.lit(1), at - 1), F.substring(text, at, F.lit(1)), F.substring(text, at + 1, F.lit(1)), F.substring(text, at + 2, n)
-    keys, near = "".join(NEIGHBOURS), "".join(NEIGHBOURS.values())
-    neighbour = F.translate(F.lower(one), keys, near)
-    edited = F.when(v < 0.25, F.concat(head, two, one, tail)).when(v < 0.5, F.concat(head, two, tail)).when(v < 0.75, F.concat(head, one, one, two, tail)).otherwise(F.concat(head, neighbour, two, tail))
+    near = F.try_element_at(F.create_map(*[F.lit(x) for pair in NEIGHBOURS.items() for x in pair]), F.lower(one))
+    key = F.substring(near, (F.floor(w * F.length(near)) + 1).cast("int"), F.lit(1))
+    key = F.coalesce(F.when(one != F.lower(one), F.upper(key)).otherwise(key), one)
+    edited = F.when(v < 0.25, F.concat(head, two, one, tail)).when(v < 0.5, F.concat(head, two, tail)).when(v < 0.75, F.concat(head, one, one, two, tail)).otherwise(F.concat(head, key, two, tail))
     return F.when(n >= 3, edited).otherwise(text)
 
 
+def spike(name: str, value: Column, u: Column) -> Column:
+    """An impossible value for a column of that name: one of the fixed ones, or the value times a factor."""
+    fixed = next((values for words, values in SPIKES if any(w in name.lower() for w in words)), None)
+    options = [F.lit(x) for x in fixed] if fixed else [F.round(value.cast("double") * x, 2) for x in SPIKE_FACTORS]
+    return _pick(options, u)
+
+
 def with_noise(df: DataFrame, key: str, rate: float = 0.05, seed: int = 42, keep: tuple[str, ...] = ()) -> DataFrame:
     """Exactly round(rows * rate) rows corrupted, with ``is_corrupted`` and ``corruption_details``.
 
-    A corrupted row has one or more of: a missing value, a typo, an outlier (times 100, negative or zero), or
-    changed case or white space; one that would get none gets a null.  ``key`` and ``keep`` are left alone.
+    A corrupted row has one or more of: a missing value, a typo, an outlier (by the column's name, else times
+    100, -10 or 0), or changed case or white space; one that would get none gets a null.  ``key`` and ``keep`` are left alone.
     """
     n = round(df.count() * rate)
     usable = [f for f in df.schema.fields if f.name not in (key, *keep)]
@@ -234,17 +255,18 @@ def with_noise(df: DataFrame, key: str, rate: float = 0.05, seed: int = 42, keep
 
     for k, c in enumerate(strings):
         old = F.col(f"`{c}`")
-        u, v = uniform(seed, f"typo {c}", key), uniform(seed, f"typo kind {c}", key)
-        new = _typo(old, u, v)
+        u, v, w = (uniform(seed, f"{what} {c}", key) for what in ("typo", "typo kind", "typo key"))
+        new = _typo(old, u, v, w)
         plans.append((c, (uniform(seed, "typo", key) < 0.4) & (spot(strings, "typo") == k) & old.isNotNull() & (new != old), new, F.lit(f"typo:{c}")))
         cased = F.when(v < 0.34, F.upper(old)).when(v < 0.67, F.lower(old)).otherwise(F.concat(F.lit("  "), old, F.lit(" ")))
         plans.append((c, (uniform(seed, "case", key) < 0.3) & (spot(strings, "case") == k) & old.isNotNull() & (cased != old), cased, F.lit(f"format:{c}")))
     for k, c in enumerate(numbers):
         old = F.col(f"`{c}`")
-        v = uniform(seed, f"spike {c}", key)
         kind = df.schema[c].dataType
-        spike = F.when(v < 0.5, F.try_multiply(old, F.lit(100))).when(v < 0.75, F.lit(-10)).otherwise(F.lit(0)).cast(kind)
-        plans.append((c, (uniform(seed, "spike", key) < 0.4) & (spot(numbers, "spike") == k) & old.isNotNull() & (spike != old), spike, F.lit(f"outlier:{c}")))
+        odd = spike(c, old, uniform(seed, f"spike {c}", key))
+        # What the column's type cannot hold becomes null there, and is left out.
+        odd = F.lit(None).cast(kind) if kind == T.BooleanType() else F.when(F.abs(odd) < 1e9, odd).try_cast(kind)
+        plans.append((c, (uniform(seed, "spike", key) < 0.4) & (spot(numbers, "spike") == k) & old.isNotNull() & (odd != old), odd, F.lit(f"outlier:{c}")))
     for k, c in enumerate(names):
         plans.append((c, (uniform(seed, "missing", key) < 0.35) & (spot(names, "missing") == k) & F.col(f"`{c}`").isNotNull(), F.lit(None).cast(df.schema[c].dataType), F.lit(f"missing:{c}")))
     tests = [F.coalesce(t, F.lit(False)) for _, t, _, _ in plans]

@@ -5,18 +5,19 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pactum.functions.ranks import uniform
+from pactum.functions.quantiles import exact_quantiles
+from pactum.functions.ranks import drawn
 
 
 def random_split(df: DataFrame, key: str, test_share: float = 0.2, seed: int = 42) -> DataFrame:
     """``split`` is test for about ``test_share`` of the rows, by a hash of their key."""
-    return df.withColumn("split", F.when(uniform(seed, "split", key) < test_share, "test").otherwise("train"))
+    return df.withColumn("split", F.when(drawn(seed, "split", key) < test_share, "test").otherwise("train"))
 
 
 def temporal_split(df: DataFrame, time_column: str, test_share: float = 0.2) -> DataFrame:
     """The latest ``test_share`` of the rows, by an exact percentile of time, are test; a null time is train."""
     micros = F.timestamp_diff("MICROSECOND", F.lit("1970-01-01 00:00:00").cast("timestamp_ntz"), F.col(time_column).cast("timestamp_ntz"))
-    cut = df.agg(F.percentile(micros, 1 - test_share)).first()[0]
+    cut = exact_quantiles(df, {"t": micros}, [1 - test_share]).get("t", [None])[0]
     late = F.coalesce(micros > F.lit(cut), F.lit(False))
     return df.withColumn("split", F.when(late, "test").otherwise("train"))
 

@@ -6,11 +6,12 @@ import math
 from itertools import combinations
 
 import numpy as np
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, Row, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from pactum.contract import Contract, Monotone
+from pactum.contract import Contract, Correlation, Monotone
+from pactum.functions.quantiles import exact_quantiles
 from pactum.functions.ranks import prefix_sums, with_rank
 
 LEAST_KS_VALUES = 20
@@ -26,38 +27,39 @@ def _value(name: str) -> Column:
 
 
 def column_stats(df: DataFrame, exact: bool = True) -> DataFrame:
-    """(column, kind, rows, nulls, distinct, min, max, mean, std, median, true_share) of every column."""
+    """(column, kind, rows, nulls, distinct, min, max, mean, std, median, true_share) of every column.
+
+    One pass for moments, one that counts each (column, value) once for the distinct values, and the passes
+    of :func:`exact_quantiles` for medians; ``exact=False`` takes approximate distinct values and medians in one pass.
+    """
     fields = df.schema.fields
-    distinct = F.count_distinct if exact else F.approx_count_distinct
+    kind = ["numeric" if isinstance(f.dataType, T.NumericType) else "bool" if isinstance(f.dataType, T.BooleanType) else "other" for f in fields]
     aggs = [F.count("*").alias("n")]
     for k, f in enumerate(fields):
-        col = F.col(f"`{f.name}`")
-        if isinstance(f.dataType, T.NumericType):
-            v = _value(f.name)
-            middle = F.median(v) if exact else F.percentile_approx(v, 0.5, 10000).cast("double")
-            aggs += [F.count_if(v.isNull()).alias(f"nulls{k}"), distinct(v).alias(f"distinct{k}")]
-            aggs += [x.alias(f"{w}{k}") for x, w in ((F.min(v), "min"), (F.max(v), "max"), (F.avg(v), "mean"), (F.stddev_samp(v), "std"), (middle, "median"))]
-        else:
-            aggs += [F.count_if(col.isNull()).alias(f"nulls{k}"), distinct(col.cast("string")).alias(f"distinct{k}")]
-            if isinstance(f.dataType, T.BooleanType):
-                aggs.append(F.avg(col.cast("int")).alias(f"true{k}"))
-    one = df.agg(*aggs)
-    none = F.lit(None).cast("double")
+        v = _value(f.name) if kind[k] == "numeric" else F.col(f"`{f.name}`")
+        aggs.append(F.count_if(v.isNull()).alias(f"nulls{k}"))
+        if kind[k] == "numeric":
+            aggs += [x.alias(f"{w}{k}") for x, w in ((F.min(v), "min"), (F.max(v), "max"), (F.avg(v), "mean"), (F.stddev_samp(v), "std"))]
+        elif kind[k] == "bool":
+            aggs.append(F.avg(v.cast("int")).alias(f"true{k}"))
+        if not exact:
+            aggs.append(F.approx_count_distinct(v if kind[k] == "numeric" else v.cast("string")).alias(f"distinct{k}"))
+            if kind[k] == "numeric":
+                aggs.append(F.percentile_approx(v, 0.5, 10000).cast("double").alias(f"median{k}"))
+    got = df.agg(*aggs).first().asDict()
+    if exact:
+        numbers = {f.name: _value(f.name) for k, f in enumerate(fields) if kind[k] == "numeric"}
+        medians = exact_quantiles(df, numbers, [0.5]) if numbers else {}
+        got |= {f"median{k}": medians[f.name][0] for k, f in enumerate(fields) if f.name in medians}
+        none = F.lit(None)
+        values = [F.struct(F.lit(k).alias("c"), (_value(f.name) if kind[k] == "numeric" else none).cast("double").alias("d"), (none if kind[k] == "numeric" else F.col(f"`{f.name}`")).cast("string").alias("s")) for k, f in enumerate(fields)]
+        seen = df.select(F.inline(F.array(*values))).where("d IS NOT NULL OR s IS NOT NULL").groupBy("c", "d", "s").agg(F.lit(1))
+        got |= {f"distinct{r['c']}": r["n"] for r in seen.groupBy("c").agg(F.count("*").alias("n")).collect()}
     rows = []
     for k, f in enumerate(fields):
-        number, bool_ = isinstance(f.dataType, T.NumericType), isinstance(f.dataType, T.BooleanType)
-        rows.append(
-            F.struct(
-                F.lit(f.name).alias("column"),
-                F.lit("numeric" if number else "bool" if bool_ else "other").alias("kind"),
-                F.col("n").alias("rows"),
-                F.col(f"nulls{k}").alias("nulls"),
-                F.col(f"distinct{k}").alias("distinct"),
-                *[(F.col(f"{w}{k}") if number else none).alias(w) for w in ("min", "max", "mean", "std", "median")],
-                (F.col(f"true{k}") if bool_ else none).alias("true_share"),
-            )
-        )
-    return one.select(F.inline(F.array(*rows)))
+        numbers = [got.get(f"{w}{k}") for w in ("min", "max", "mean", "std", "median", "true")]
+        rows.append((f.name, kind[k], got["n"], got[f"nulls{k}"], got.get(f"distinct{k}", 0), *[None if x is None else float(x) for x in numbers]))
+    return df.sparkSession.createDataFrame(rows, "column string, kind string, rows long, nulls long, distinct long, min double, max double, mean double, std double, median double, true_share double")
 
 
 def top_values(df: DataFrame, columns: list[str], k: int = 5) -> DataFrame:
@@ -81,8 +83,15 @@ def correlation_matrix(df: DataFrame, columns: list[str] | None = None, method:
     columns = columns or numeric_columns(df)
     pairs = list(combinations(columns, 2))
     if method == "spearman":
-        rows = [(a, b, pair_correlation(df, a, b, "spearman")) for a, b in pairs]
-        return df.sparkSession.createDataFrame(rows, "a string, b string, r double")
+        whole = df.select(*[_value(c).alias(c) for c in columns])
+        gaps = whole.agg(*[F.count_if(F.col(f"`{c}`").isNull()) for c in columns]).first()
+        if any(gaps):
+            # Ranks are among the rows that have both columns, so each pair has its own.
+            rows = [(a, b, pair_correlation(df, a, b, "spearman")) for a, b in pairs]
+            return df.sparkSession.createDataFrame(rows, "a string, b string, r double")
+        for c in columns:
+            whole = with_rank(whole, c, f"{c} rank").drop(c).withColumnRenamed(f"{c} rank", c)
+        df = whole
     one = df.agg(*[F.corr(_value(a), _value(b)).alias(f"r{k}") for k, (a, b) in enumerate(pairs)])
     return one.select(F.inline(F.array(*[F.struct(F.lit(a).alias("a"), F.lit(b).alias("b"), F.col(f"r{k}").alias("r")) for k, (a, b) in enumerate(pairs)])))
 
@@ -133,31 +142,52 @@ def pair_correlation(df: DataFrame, a: str, b: str, method: str = "pearson", max
     return row["r"] if row["n"] >= 3 and row["r"] is not None and not math.isnan(row["r"]) else None
 
 
-def correlation_check(df: DataFrame, contract: Contract) -> DataFrame:
-    """(a, b, method, sign, min_r, r, passed, reason) of every declared correlation."""
+CORRELATION_COLUMNS = ("a", "b", "method", "sign", "min_r", "r", "passed", "reason")
+CORRELATION_SCHEMA = "a string, b string, method string, sign string, min_r double, r double, passed boolean, reason string"
+
+
+def _measurable(df: DataFrame, contract: Contract) -> list[Correlation]:
     kinds = {f.name: f.dataType for f in df.schema.fields}
-    known = [c for c in contract.correlations if all(isinstance(kinds.get(x), (T.NumericType, T.BooleanType)) for x in (c.a, c.b))]
-    straight = list(dict.fromkeys((c.a, c.b) for c in known if c.method == "pearson"))
-    measured: dict[tuple[str, str], float | None] = {}
-    if straight:
-        # One pass for all Pearson pairs.
-        both = [_value(a).isNotNull() & _value(b).isNotNull() for a, b in straight]
-        got = df.agg(*[x for k, (a, b) in enumerate(straight) for x in (F.corr(_value(a), _value(b)).alias(f"r{k}"), F.count_if(both[k]).alias(f"n{k}"))]).first()
-        for k, pair in enumerate(straight):
-            r = got[f"r{k}"]
-            measured[pair] = r if got[f"n{k}"] >= 3 and r is not None and not math.isnan(r) else None
+    return [c for c in contract.correlations if all(isinstance(kinds.get(x), (T.NumericType, T.BooleanType)) for x in (c.a, c.b))]
+
+
+def straight_correlations(df: DataFrame, contract: Contract) -> tuple[list[tuple[str, str]], list[Column]]:
+    """(the declared Pearson pairs, the aggregates that measure them all in one pass)."""
+    pairs = list(dict.fromkeys((c.a, c.b) for c in _measurable(df, contract) if c.method == "pearson"))
+    both = [_value(a).isNotNull() & _value(b).isNotNull() for a, b in pairs]
+    return pairs, [x for k, (a, b) in enumerate(pairs) for x in (F.corr(_value(a), _value(b)).alias(f"r{k}"), F.count_if(both[k]).alias(f"n{k}"))]
+
+
+def straight_values(got: Row, pairs: list[tuple[str, str]]) -> dict[tuple[str, str], float | None]:
+    """The correlations in a row of the aggregates; None for fewer than three rows or a constant."""
+    known = {pair: (got[f"r{k}"], got[f"n{k}"]) for k, pair in enumerate(pairs)}
+    return {pair: r if n >= 3 and r is not None and not math.isnan(r) else None for pair, (r, n) in known.items()}
+
+
+def correlation_rows(df: DataFrame, contract: Contract, straight: dict[tuple[str, str], float | None]) -> list[dict]:
+    """The verdict on every declared correlation, given the Pearson ones."""
+    known = _measurable(df, contract)
     rows = []
     for c in contract.correlations:
         reason, r = "", None
         if c not in known:
             reason = "a column is missing or not numeric"
         else:
-            r = measured[(c.a, c.b)] if c.method == "pearson" else pair_correlation(df, c.a, c.b, c.method)
+            r = straight[(c.a, c.b)] if c.method == "pearson" else pair_correlation(df, c.a, c.b, c.method)
             if r is None:
                 reason = "a column is constant or there are too few rows"
         signed = None if r is None else (r if c.sign == "+" else -r)
-        rows.append((c.a, c.b, c.method, c.sign, float(c.min_r), r, signed is not None and signed >= c.min_r, reason))
-    return df.sparkSession.createDataFrame(rows, "a string, b string, method string, sign string, min_r double, r double, passed boolean, reason string")
+        row = (c.a, c.b, c.method, c.sign, float(c.min_r), r, signed is not None and signed >= c.min_r, reason)
+        rows.append(dict(zip(CORRELATION_COLUMNS, row, strict=True)))
+    return rows
+
+
+def correlation_check(df: DataFrame, contract: Contract) -> DataFrame:
+    """(a, b, method, sign, min_r, r, passed, reason) of every declared correlation."""
+    pairs, columns = straight_correlations(df, contract)
+    measured = straight_values(df.agg(*columns).first(), pairs) if pairs else {}
+    rows = [tuple(r.values()) for r in correlation_rows(df, contract, measured)]
+    return df.sparkSession.createDataFrame(rows, CORRELATION_SCHEMA)
 
 
 def ks_test(df: DataFrame, other: DataFrame, columns: list[str] | None = None) -> DataFrame:
@@ -222,22 +252,28 @@ def histogram(df: DataFrame, column: str, bins: int = 40) -> DataFrame:
     return every.join(counts, "bin", "left").select("bin", (F.lit(low) + F.col("bin") * width).alias("low"), (F.lit(low) + (F.col("bin") + 1) * width).alias("high"), F.coalesce("count", F.lit(0)).alias("count"))
 
 
-def _decile_edges(df: DataFrame, column: str, n: int, exact: bool = True) -> list[float]:
-    cuts = [k / n for k in range(n + 1)]
-    f = F.percentile if exact else lambda c, p: F.percentile_approx(c, p, 10000)
-    got = df.agg(f(_value(column), cuts).alias("q"), F.min(_value(column)).alias("lo"), F.max(_value(column)).alias("hi")).first()
-    if got["lo"] is None:
-        return []
-    edges = sorted(set(got["q"]))
-    if len(edges) < 3:
-        edges = [got["lo"] + (got["hi"] - got["lo"]) * k / n for k in range(n + 1)] if got["hi"] > got["lo"] else edges
+def quantile_cuts(df: DataFrame, columns: dict[str, Column], probabilities: list[float], exact: bool = True) -> dict[str, list[float]]:
+    """The quantiles of each Column by name, exact or approximate; none for a column of nulls."""
+    if exact:
+        return exact_quantiles(df, columns, probabilities)
+    got = df.agg(*[F.percentile_approx(v, probabilities, 10000).alias(f"q{k}") for k, v in enumerate(columns.values())]).first()
+    return {c: [float(x) for x in got[f"q{k}"]] for k, c in enumerate(columns) if got[f"q{k}"]}
+
+
+def _bin_edges(df: DataFrame, column: str, n: int, fewest: int, exact: bool = True) -> list[float]:
+    """The distinct quantiles that cut a column into ``n`` bins; ``fewest`` equal widths where there are under three."""
+    cuts = quantile_cuts(df, {column: _value(column)}, [k / n for k in range(n + 1)], exact).get(column, [])
+    edges = sorted(set(cuts))
+    if len(edges) == 2:
+        low, high = edges
+        edges = [low + (high - low) * k / fewest for k in range(fewest + 1)]
     return edges
 
 
 def binned_means(df: DataFrame, x: str, y: str, n_bins: int = 10, exact: bool = True) -> DataFrame:
     """(bin, n, mean_y): y by quantile bins of x; a bin's number is how many inner edges are at most x."""
     pairs = df.select(_value(x).alias("x"), _value(y).alias("y")).where("x IS NOT NULL AND y IS NOT NULL")
-    edges = _decile_edges(pairs, "x", n_bins, exact)
+    edges = _bin_edges(pairs, "x", n_bins, n_bins, exact)
     at = F.lit(0)
     for e in edges[1:-1]:
         at = at + F.when(F.col("x") >= F.lit(e), 1).otherwise(0)
@@ -294,17 +330,12 @@ def monotonicity_check(df: DataFrame, rules: tuple[Monotone, ...], exact: bool =
 def weight_of_evidence(df: DataFrame, feature: str, target: str, n_bins: int = 10, exact: bool = True) -> DataFrame:
     """(bin, low, high, n, good, bad, bad_rate, woe, iv) for a 0/1 target (1 is bad), bins closed on the right."""
     pairs = df.select(_value(feature).alias("x"), _value(target).alias("y")).where("x IS NOT NULL AND y IN (0, 1)")
-    cuts = [k / n_bins for k in range(n_bins + 1)]
-    f = F.percentile if exact else lambda c, p: F.percentile_approx(c, p, 10000)
-    got = pairs.agg(f("x", cuts).alias("q"), F.min("x").alias("lo"), F.max("x").alias("hi"), F.sum("y").alias("bad"), F.count("*").alias("n")).first()
+    got = pairs.agg(F.sum("y").alias("bad"), F.count("*").alias("n")).first()
     spark = df.sparkSession
     schema = "bin int, low double, high double, n long, good long, bad long, bad_rate double, woe double, iv double"
     if not got["n"]:
         return spark.createDataFrame([], schema)
-    edges = sorted(set(got["q"]))
-    if len(edges) < 3 and got["hi"] > got["lo"]:
-        k = min(5, n_bins)
-        edges = [got["lo"] + (got["hi"] - got["lo"]) * i / k for i in range(k + 1)]
+    edges = _bin_edges(pairs, "x", n_bins, min(5, n_bins), exact)
     at = F.lit(0)
     for e in edges[1:-1]:
         at = at + F.when(F.col("x") > F.lit(e), 1).otherwise(0)

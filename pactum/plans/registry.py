@@ -31,6 +31,15 @@ def query(name: str, sql: str | None = None) -> Callable:
     return keep
 
 
+def bits_sql(label: str, key: str, seed: int = 42) -> str:
+    """DuckDB's form of the draws of functions.ranks: 52 bits."""
+    return f"('0x' || substr(md5('{seed}:{label}:' || coalesce(({key})::VARCHAR, '')), 1, 13))::BIGINT"
+
+
+def draw_sql(label: str, key: str, seed: int = 42) -> str:
+    return f"(({bits_sql(label, key, seed)})::DOUBLE + 0.5) / 4503599627370496.0::DOUBLE"
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
@@ -92,6 +101,34 @@ def s1(spark: SparkSession, d: str) -> DataFrame:
     return io.read_table(spark, paths["csv"], "csv", ORDERS)
 
 
+@query("s1_read_json_batches", "SELECT o_orderkey, o_custkey, o_totalprice, o_orderstatus FROM orders")
+def s1_json(spark: SparkSession, d: str) -> DataFrame:
+    """Orders written as JSON objects that hold batches of rows under data, and read back."""
+    df = table(spark, d, "orders").select("o_orderkey", "o_custkey", "o_totalprice", "o_orderstatus")
+    batches = df.groupBy(F.floor(F.col("o_orderkey") / 100)).agg(F.collect_list(F.struct(*df.columns)).alias("data"))
+    path = work_path(spark, "s1")
+    batches.select(F.to_json(F.struct("data")).alias("value")).write.text(path)
+    return io.read_table(spark, path, "json").select(df.columns)
+
+
+@query("s1_read_commented_csv", "SELECT c_custkey, c_name, c_acctbal FROM customer")
+def s1_commented(spark: SparkSession, d: str) -> DataFrame:
+    """Customers written as CSV with lines of comment above every header and among the rows, and read back."""
+    df = table(spark, d, "customer").select("c_custkey", "c_name", "c_acctbal")
+    lines = df.select(F.concat(F.when(F.col("c_custkey") % 7 == 0, "# a note\n").otherwise(""), F.to_csv(F.struct(*df.columns))).alias("value"))
+
+    def headed(batches):  # noqa: ANN001, ANN202
+        import pyarrow as pa
+
+        for k, batch in enumerate(batches):
+            yield from [pa.RecordBatch.from_pydict({"value": ["# source: customers", ",".join(("c_custkey", "c_name", "c_acctbal"))]})] if k == 0 else []
+            yield batch
+
+    path = work_path(spark, "s1")
+    lines.mapInArrow(headed, "value string").write.text(path)
+    return io.read_table(spark, path, "csv", CUSTOMER)
+
+
 @query("s2_write_formats", "SELECT f AS format, count(*) AS n, sum(round(c_acctbal * 100)::BIGINT)::BIGINT AS cents FROM customer, (VALUES ('parquet'), ('csv'), ('json')) v(f) GROUP BY f")
 def s2(spark: SparkSession, d: str) -> DataFrame:
     """Customers written in every format and read back."""
@@ -473,6 +510,21 @@ def x12(spark: SparkSession, d: str) -> DataFrame:
     return stats.weight_of_evidence(df, "n_chars", "bad").select("bin", "n", "good", "bad", F.round("woe", 9).alias("woe"))
 
 
+@query(
+    "x12_information_value",
+    f"""WITH d AS (SELECT n_chars, 1 - quality AS bad FROM documents JOIN labels USING (doc_id)), {_edges('d', 'n_chars', 'bad', 10)},
+b AS (SELECT len([k FOR k IN e[2:len(e) - 1] IF k < x]) AS bin, count(*) AS n, sum(y)::BIGINT AS bad FROM p, e GROUP BY 1), t AS (SELECT sum(n - bad) AS g, sum(bad) AS b FROM b),
+s AS (SELECT bin, greatest(n - bad, 0.5) / greatest(t.g, 0.5) AS good, greatest(bad, 0.5) / greatest(t.b, 0.5) AS bad FROM b, t),
+v AS (SELECT bin, ln(good / bad) AS woe, (good - bad) * ln(good / bad) AS iv FROM s), w AS (SELECT *, woe - lag(woe) OVER (ORDER BY bin) AS step FROM v)
+SELECT round(sum(iv), 7)::DOUBLE AS iv, CASE WHEN sum(iv) < 0.02 THEN 'unpredictive' WHEN sum(iv) < 0.10 THEN 'weak' WHEN sum(iv) < 0.30 THEN 'medium' ELSE 'strong' END AS power,
+  CASE WHEN min(step) >= -0.05 THEN 'increasing' WHEN max(step) <= 0.05 THEN 'decreasing' ELSE 'none' END AS trend FROM w""",
+)
+def x12_iv(spark: SparkSession, d: str) -> DataFrame:
+    """How much a document's length says about low quality, and whether evidence goes one way."""
+    df = table(spark, d, "documents").join(table(spark, d, "labels"), "doc_id").withColumn("bad", 1 - F.col("quality"))
+    return stats.information_value(df, "n_chars", "bad").withColumn("iv", F.round("iv", 7))
+
+
 # ---- keys across tables
 
 _KEPT = """WITH c AS (SELECT * FROM customer WHERE c_acctbal >= 0), o AS (SELECT * FROM orders WHERE o_custkey IN (SELECT c_custkey FROM c)), l AS (SELECT * FROM lineitem WHERE l_orderkey IN (SELECT o_orderkey FROM o)) """
@@ -597,14 +649,13 @@ def p5(spark: SparkSession, d: str) -> DataFrame:
 
 @query(
     "p6_date_shift",
-    "SELECT l_orderkey, date_diff('day', o_orderdate::DATE, l_shipdate::DATE) AS days, true AS moved FROM orders JOIN lineitem ON o_orderkey = l_orderkey",
+    f"""WITH t AS (SELECT l_orderkey, o_orderdate, l_shipdate, floor({draw_sql('shift', 'o_custkey')} * 336) + 30 AS size, {draw_sql('shift back', 'o_custkey')} < 0.5 AS back FROM orders JOIN lineitem ON o_orderkey = l_orderkey)
+SELECT l_orderkey, o_orderdate + to_days((CASE WHEN back THEN -size ELSE size END)::INT) AS o_orderdate, l_shipdate + to_days((CASE WHEN back THEN -size ELSE size END)::INT) AS l_shipdate FROM t""",
 )
 def p6(spark: SparkSession, d: str) -> DataFrame:
-    """Days from order to shipment stay when all dates of a customer move."""
-    both = table(spark, d, "orders").join(table(spark, d, "lineitem"), F.col("o_orderkey") == F.col("l_orderkey")).select("l_orderkey", "o_custkey", "o_orderdate", "l_shipdate", F.col("o_orderdate").alias("old"))
-    out = privacy.shift_dates(both, ["o_orderdate", "l_shipdate"], "o_custkey")
-    far = F.abs(F.datediff("o_orderdate", "old"))
-    return out.select("l_orderkey", F.datediff("l_shipdate", "o_orderdate").cast("long").alias("days"), far.between(30, 365).alias("moved"))
+    """All dates of a customer moved by the same days."""
+    both = table(spark, d, "orders").join(table(spark, d, "lineitem"), F.col("o_orderkey") == F.col("l_orderkey")).select("l_orderkey", "o_custkey", "o_orderdate", "l_shipdate")
+    return privacy.shift_dates(both, ["o_orderdate", "l_shipdate"], "o_custkey").drop("o_custkey")
 
 
 @query("p7_age_cap", "SELECT c_custkey, CASE WHEN c_custkey % 110 > 89 THEN 90 ELSE c_custkey % 110 END AS age FROM customer")
@@ -761,13 +812,16 @@ def w2(spark: SparkSession, d: str) -> DataFrame:
 # ---- enrichment
 
 
-@query("e1_event_times", "SELECT count(*) AS n, 0::BIGINT AS outside, true AS noon_above_night FROM orders")
+@query(
+    "e1_event_times",
+    f"""WITH w AS (SELECT {list(enrich.HOUR_WEIGHTS)} AS w),
+u AS (SELECT o_orderkey, {draw_sql('day', 'o_orderkey')} AS d, {draw_sql('hour', 'o_orderkey')} AS h, {draw_sql('second', 'o_orderkey')} AS s FROM orders)
+SELECT o_orderkey, DATE '2024-01-01' + to_days(floor(d * 91)::INT) + to_hours(len([k FOR k IN range(1, 24) IF h >= list_sum(w[:k])::DOUBLE / list_sum(w)])) + to_seconds(floor(s * 3600)) AS event_time FROM u, w""",
+)
 def e1(spark: SparkSession, d: str) -> DataFrame:
-    """Random times for orders: within the window, and more by day than by night."""
+    """Random times for orders: more by day than by night."""
     df = enrich.with_event_times(table(spark, d, "orders"), "o_orderkey", "2024-01-01", "2024-03-31", entity_column="o_custkey")
-    hour = F.hour("event_time")
-    got = df.agg(F.count("*").alias("n"), F.count_if(~F.col("event_time").cast("date").between("2024-01-01", "2024-03-31")).alias("outside"), F.count_if(hour.between(11, 13)).alias("noon"), F.count_if(hour.between(2, 4)).alias("night"))
-    return got.select("n", "outside", (F.col("noon") > 2 * F.col("night")).alias("noon_above_night"))
+    return df.select("o_orderkey", "event_time")
 
 
 @query(
@@ -780,14 +834,16 @@ def e2(spark: SparkSession, d: str) -> DataFrame:
     return enrich.with_velocity(table(spark, d, "events"), "user_id", "ts", "event_id").select("event_id", "seconds_since_last", "is_high_velocity")
 
 
-@query("e3_bursts", "SELECT count(*) AS n, round_even(count(*) * 0.02, 0)::BIGINT AS bursts, true AS gaps_right FROM events")
+@query(
+    "e3_bursts",
+    f"""WITH p AS (SELECT event_id, user_id, ts, lag(ts) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS previous FROM events),
+r AS (SELECT event_id, row_number() OVER (ORDER BY {bits_sql('burst', 'event_id')}, event_id) AS k FROM p WHERE previous IS NOT NULL),
+h AS (SELECT p.*, coalesce(r.k <= round_even((SELECT count(*) FROM events) * 0.02, 0), false) AS is_burst FROM p LEFT JOIN r USING (event_id))
+SELECT event_id, is_burst, CASE WHEN is_burst THEN previous + to_seconds(4 + floor({draw_sql('burst gap', 'event_id')} * 22)::BIGINT) ELSE ts END AS ts FROM h""",
+)
 def e3(spark: SparkSession, d: str) -> DataFrame:
     """Two percent of the events moved to seconds after the previous one."""
-    df = table(spark, d, "events").withColumn("old", F.col("ts"))
-    out = enrich.with_bursts(df, "user_id", "ts", "event_id")
-    moved = F.count_if(F.col("is_burst") & (F.col("ts") <= F.col("old") + F.expr("interval 25 seconds")))
-    kept = F.count_if(~F.col("is_burst") & (F.col("ts") == F.col("old")))
-    return out.agg(F.count("*").alias("n"), F.count_if("is_burst").alias("bursts"), (moved + kept == F.count("*")).alias("gaps_right"))
+    return enrich.with_bursts(table(spark, d, "events"), "user_id", "ts", "event_id").select("event_id", "is_burst", "ts")
 
 
 @query("e4_time_summary", "SELECT count(*) AS n, count(DISTINCT user_id) AS entities, min(ts) AS first, max(ts) AS last FROM events")
@@ -821,14 +877,15 @@ def e8(spark: SparkSession, d: str) -> DataFrame:
     return enrich.with_risk_flag(table(spark, d, "lineitem"), "l_linenumber", "l_extendedprice").select("l_orderkey", "l_linenumber", "high_risk_combo")
 
 
-@query("e9_fraud", "SELECT count(*) AS n, round_even(count(*) * 0.03, 0)::BIGINT AS frauds, true AS high, true AS others_kept FROM orders")
+@query(
+    "e9_fraud",
+    f"""WITH m AS (SELECT avg(o_totalprice) AS a, stddev_samp(o_totalprice) AS s, round_even(count(*) * 0.03, 0) AS n FROM orders),
+r AS (SELECT *, row_number() OVER (ORDER BY {bits_sql('fraud', 'o_orderkey')}, o_orderkey) AS k FROM orders)
+SELECT o_orderkey, (k <= n)::INT AS is_fraud, CASE WHEN k <= n THEN round(a + (4.5 + 4.5 * {draw_sql('fraud amount', 'o_orderkey')}) * s, 2) ELSE o_totalprice END AS o_totalprice FROM r, m""",
+)
 def e9(spark: SparkSession, d: str) -> DataFrame:
     """Three percent of the orders turned into labelled fraud with high prices."""
-    df = table(spark, d, "orders").withColumn("old", F.col("o_totalprice"))
-    mean, std = df.agg(F.avg("old"), F.stddev_samp("old")).first()
-    out = enrich.inject_fraud(df, "o_orderkey", 0.03, amount="o_totalprice")
-    hit = F.col("is_fraud") == 1
-    return out.agg(F.count("*").alias("n"), F.count_if(hit).alias("frauds"), (F.count_if(hit & (F.col("o_totalprice") < mean + 4.49 * std)) == 0).alias("high"), (F.count_if(~hit & (F.col("o_totalprice") != F.col("old"))) == 0).alias("others_kept"))
+    return enrich.inject_fraud(table(spark, d, "orders"), "o_orderkey", 0.03, amount="o_totalprice").select("o_orderkey", "is_fraud", "o_totalprice")
 
 
 @query("e10_noise", "SELECT count(*) AS n, round_even(count(*) * 0.05, 0)::BIGINT AS corrupted, 0::BIGINT AS unexplained, 0::BIGINT AS keys_changed FROM customer")
@@ -862,12 +919,10 @@ def w3(spark: SparkSession, d: str) -> DataFrame:
 # ---- training sets
 
 
-@query("t1_random_split", "SELECT count(*) AS n, true AS share_close FROM events")
+@query("t1_random_split", f"SELECT event_id, CASE WHEN {draw_sql('split', 'event_id')} < 0.2 THEN 'test' ELSE 'train' END AS split FROM events")
 def t1(spark: SparkSession, d: str) -> DataFrame:
     """A fifth of the events, by a hash of their key."""
-    df = prepare.random_split(table(spark, d, "events"), "event_id")
-    share = F.count_if(F.col("split") == "test") / F.count("*")
-    return df.agg(F.count("*").alias("n"), (F.abs(share - 0.2) < 2.5 / F.sqrt(F.count("*"))).alias("share_close"))
+    return prepare.random_split(table(spark, d, "events"), "event_id").select("event_id", "split")
 
 
 @query("t1_temporal_split", "SELECT event_id, CASE WHEN epoch_us(ts) > (SELECT quantile_cont(epoch_us(ts), 0.8) FROM events) THEN 'test' ELSE 'train' END AS split FROM events")
@@ -876,11 +931,10 @@ def t1_temporal(spark: SparkSession, d: str) -> DataFrame:
     return prepare.temporal_split(table(spark, d, "events"), "ts").select("event_id", "split")
 
 
-@query("t1_group_split", "SELECT count(DISTINCT user_id) AS users, 0::BIGINT AS on_both_sides FROM events")
+@query("t1_group_split", f"SELECT event_id, user_id, CASE WHEN {draw_sql('split', 'user_id')} < 0.2 THEN 'test' ELSE 'train' END AS split FROM events")
 def t1_group(spark: SparkSession, d: str) -> DataFrame:
-    """No user is on both sides."""
-    df = prepare.group_split(table(spark, d, "events"), "user_id").groupBy("user_id").agg(F.count_distinct("split").alias("s"))
-    return df.agg(F.count("*").alias("users"), F.count_if(F.col("s") > 1).alias("on_both_sides"))
+    """All events of a user on one side."""
+    return prepare.group_split(table(spark, d, "events"), "user_id").select("event_id", "user_id", "split")
 
 
 @query("t2_leakage", "SELECT doc_id, n_chars, toxic FROM documents JOIN labels USING (doc_id)")
@@ -896,8 +950,10 @@ def t3(spark: SparkSession, d: str) -> DataFrame:
     return prepare.class_balance(table(spark, d, "labels"), "quality", 0.85).withColumn("measured", F.round("measured", 9))
 
 
-@query("exact_selection", "SELECT count(*) AS n, 1000::BIGINT AS chosen FROM orders")
+@query("exact_selection", f"SELECT o_orderkey FROM orders ORDER BY {bits_sql('pick', 'o_orderkey', 7)}, o_orderkey LIMIT 1000")
 def exact_selection(spark: SparkSession, d: str) -> DataFrame:
     """Exactly so many rows chosen by seeded hashes."""
     df = table(spark, d, "orders")
-    return df.agg(F.count("*").alias("n"), F.count_if(exactly(df, 1000, 7, "pick", "o_orderkey")).alias("chosen"))
+    return df.where(exactly(df, 1000, 7, "pick", "o_orderkey")).select("o_orderkey")
+
+

@@ -20,8 +20,9 @@ LEAST_LINE = 20
 def read_table(spark: SparkSession, path: str, fmt: str = "parquet", contract: Contract | None = None, records: bool = False) -> DataFrame:
     """A Parquet, CSV (lines that begin with # are skipped) or JSON table.
 
-    A contract gives the types of CSV and JSON columns.  ``records``: the JSON file is one array, or an
-    object with the rows under ``data``; otherwise it has a row per line.
+    A contract gives the types of CSV and JSON columns.  ``records``: each JSON file is one array or one
+    object; otherwise it has an object per line.  Objects that have nothing but a list under ``data`` are
+    batches of rows.
     """
     if fmt == "parquet":
         return spark.read.parquet(path)
@@ -39,7 +40,7 @@ def read_table(spark: SparkSession, path: str, fmt: str = "parquet", contract: C
     if contract is not None and not records:
         return reader.schema(contract.to_struct()).json(path)
     df = reader.json(path)
-    if records and df.columns == ["data"] and isinstance(df.schema["data"].dataType, T.ArrayType):
+    if df.columns == ["data"] and isinstance(df.schema["data"].dataType, T.ArrayType):
         return df.select(F.explode("data").alias("row")).select("row.*")
     return df
 
