@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Row
 from pyspark.sql import functions as F
 
 from pactum.contract import Dataset, Relationship
@@ -63,36 +63,57 @@ def with_parent(child: DataFrame, parent: DataFrame, r: Relationship) -> DataFra
     return kept.unionByName(child.where(key.isNull())) if r.nullable else kept
 
 
-def check_foreign_keys(tables: dict[str, DataFrame], dataset: Dataset) -> DataFrame:
+def relationship_counts(tables: dict[str, DataFrame], dataset: Dataset) -> dict[str, Row]:
+    """For each relationship (rows, orphans, parents, children, max, min): one join of counted keys.
+
+    Rows are counted by key before they meet, so that a hot key is one row; null keys stay out of the join.
+    """
+    out = {}
+    for r in dataset.relationships:
+        if _missing(r, tables):
+            continue
+        key = F.col(f"`{r.child_key}`")
+        parents = _keys(tables[r.parent], r.parent_key).withColumn("__here", F.lit(True))
+        counts = tables[r.child].groupBy(key.alias("__key")).agg(F.count("*").alias("c"))
+        joined = counts.where("__key IS NOT NULL").join(parents, "__key", "full_outer")
+        lost = F.sum(F.when(F.col("__here").isNull(), F.col("c")))
+        known = joined.agg(F.sum("c").alias("children"), lost.alias("lost"), F.count("__here").alias("parents"), F.max("c").alias("max"), F.min("c").alias("min"))
+        null = counts.agg(F.sum(F.when(F.col("__key").isNull(), F.col("c"))).alias("null"))
+        zero = {c: F.coalesce(c, F.lit(0)).alias(c) for c in ("children", "lost", "parents", "max", "min", "null")}
+        got = known.join(F.broadcast(null)).select(*zero.values())
+        orphans = F.col("lost") if r.nullable else F.col("lost") + F.col("null")
+        out[r.name] = got.select((F.col("children") + F.col("null")).alias("rows"), orphans.alias("orphans"), "parents", "children", "max", "min").first()
+    return out
+
+
+def check_foreign_keys(tables: dict[str, DataFrame], dataset: Dataset, counts: dict[str, Row] | None = None) -> DataFrame:
     """Orphan rows and their percentage for every relationship."""
+    counts = relationship_counts(tables, dataset) if counts is None else counts
     rows = []
     for r in dataset.relationships:
-        if _missing(r, tables):
+        if r.name not in counts:
             rows.append((r.name, None, None, None, False, "missing table or column"))
             continue
-        n = tables[r.child].count()
-        lost = orphans(tables[r.child], tables[r.parent], r).count()
+        n, lost = counts[r.name]["rows"], counts[r.name]["orphans"]
         rows.append((r.name, n, lost, round(100.0 * lost / n, 4) if n else 0.0, lost == 0, ""))
     return _frame(tables, rows, _FK)
 
 
-def check_cardinality(tables: dict[str, DataFrame], dataset: Dataset) -> DataFrame:
+def check_cardinality(tables: dict[str, DataFrame], dataset: Dataset, counts: dict[str, Row] | None = None) -> DataFrame:
     """Child rows for each distinct parent key, within half of the declared mean, and at most ``max_per_parent``.
 
-    ``min_children`` (over parents with children) is reported, not checked.
+    ``min_children`` (over keys with children) is reported, not checked.
     """
+    counts = relationship_counts(tables, dataset) if counts is None else counts
     rows = []
     for r in dataset.relationships:
-        if _missing(r, tables):
+        if r.name not in counts:
             rows.append((r.name, None, None, None, None, None, False, "missing table or column"))
             continue
-        parents = _keys(tables[r.parent], r.parent_key).count()
-        counts = tables[r.child].where(F.col(f"`{r.child_key}`").isNotNull()).groupBy(F.col(f"`{r.child_key}`").alias("k")).agg(F.count("*").alias("c"))
-        got = counts.agg(F.sum("c"), F.max("c"), F.min("c")).first()
-        children, top, least = got[0] or 0, got[1] or 0, got[2] or 0
-        mean = children / parents if parents else 0.0
-        ok = abs(mean - r.mean) <= 0.5 * r.mean and (r.max_per_parent is None or top <= r.max_per_parent)
-        rows.append((r.name, parents, children, round(mean, 6), top, least, ok, "" if ok else "outside the declared cardinality"))
+        got = counts[r.name]
+        mean = got["children"] / got["parents"] if got["parents"] else 0.0
+        ok = abs(mean - r.mean) <= 0.5 * r.mean and (r.max_per_parent is None or got["max"] <= r.max_per_parent)
+        rows.append((r.name, got["parents"], got["children"], round(mean, 6), got["max"], got["min"], ok, "" if ok else "outside the declared cardinality"))
     return _frame(tables, rows, _CARD)
 
 
@@ -122,8 +143,9 @@ def validate_relationships(tables: dict[str, DataFrame], dataset: Dataset, repai
     """
     done = {k: materialised(v, k) for k, v in repair_orphans(tables, dataset).items()} if repair else tables
     pk = check_primary_keys(done, dataset).select(F.lit("primary key").alias("check"), F.concat_ws(".", "table", "column").alias("subject"), "passed", F.format_string("%d duplicates, %d nulls", F.coalesce("duplicates", F.lit(0)), F.coalesce("nulls", F.lit(0))).alias("detail"))
-    fk = check_foreign_keys(done, dataset).select(F.lit("foreign key").alias("check"), F.col("relationship").alias("subject"), "passed", F.format_string("%d orphans", F.coalesce("orphans", F.lit(0))).alias("detail"))
-    card = check_cardinality(done, dataset).select(F.lit("cardinality").alias("check"), F.col("relationship").alias("subject"), "passed", F.format_string("%.4f children", F.coalesce("mean_children", F.lit(0.0))).alias("detail"))
+    counts = relationship_counts(done, dataset)
+    fk = check_foreign_keys(done, dataset, counts).select(F.lit("foreign key").alias("check"), F.col("relationship").alias("subject"), "passed", F.format_string("%d orphans", F.coalesce("orphans", F.lit(0))).alias("detail"))
+    card = check_cardinality(done, dataset, counts).select(F.lit("cardinality").alias("check"), F.col("relationship").alias("subject"), "passed", F.format_string("%.4f children", F.coalesce("mean_children", F.lit(0.0))).alias("detail"))
     report = pk.unionByName(fk).unionByName(card)
     if must_pass:
         bad = [r["subject"] for r in pk.unionByName(fk).where("NOT passed").collect()]

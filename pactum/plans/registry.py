@@ -13,7 +13,7 @@ from pactum.functions.ranks import exactly
 from pactum.operators import clean, enrich, forest, generate, prepare, privacy, relational, stats
 from pactum.plans import jobs
 from pactum.sources import tables as io
-from pactum.sources.work import work_path
+from pactum.sources.work import materialised, work_path
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -333,7 +333,18 @@ def f11(spark: SparkSession, d: str) -> DataFrame:
     return clean.validate(table(spark, d, "lineitem"), LINEITEM).rows
 
 
-@query("f11_stages")
+@query(
+    "f11_stages",
+    f"""WITH u AS (SELECT DISTINCT * FROM lineitem),
+b AS (SELECT * FROM u WHERE l_linenumber BETWEEN 1 AND 7 AND l_quantity BETWEEN 1 AND 48 AND l_extendedprice >= 0 AND l_discount BETWEEN 0 AND 0.1 AND l_tax BETWEEN 0 AND 0.08
+ AND l_returnflag IN ('A', 'N', 'R') AND l_linestatus IN ('F', 'O') AND l_shipdate IS NOT NULL),
+r AS (SELECT * FROM b WHERE l_discount <= 0.08 AND NOT (l_quantity > 40 AND l_tax > 0.06)),
+m AS (SELECT {', '.join(f'avg({c}) AS m_{c}, stddev_pop({c}) AS s_{c}' for c in _Z)} FROM r),
+z AS (SELECT count(*) AS n FROM r, m WHERE {' AND '.join(f'abs({c} - m_{c}) / s_{c} <= 3' for c in _Z)}),
+n AS (SELECT (SELECT count(*) FROM lineitem) AS a, (SELECT count(*) FROM u) AS u, (SELECT count(*) FROM b) AS b, (SELECT count(*) FROM r) AS r, (SELECT n FROM z) AS z),
+t AS (SELECT x.* FROM n, LATERAL (VALUES (1, 'duplicates', a, u), (2, 'bounds', u, b), (3, 'rules', b, r), (4, 'zscore', r, z), (5, 'isolation_forest', z, z)) x(step, stage, rows_before, rows_after))
+SELECT *, rows_before - rows_after AS removed, round(100.0 * (rows_before - rows_after) / rows_before, 4)::DOUBLE AS removed_pct FROM t""",
+)
 def f11_stages(spark: SparkSession, d: str) -> DataFrame:
     """Rows before and after each stage."""
     return clean.validate(table(spark, d, "lineitem"), LINEITEM).stages
@@ -582,13 +593,41 @@ def j4_report(spark: SparkSession, d: str) -> DataFrame:
     return relational.repair_report(tables, relational.repair_orphans(tables, SHOP)).drop("removed")
 
 
-@query("j5_relational_validation")
+@query(
+    "j5_relational_validation",
+    _KEPT
+    + """, k AS (SELECT 'customer' AS t, 'c_custkey' AS c, count(*) - count(DISTINCT c_custkey) AS d FROM c UNION ALL SELECT 'orders', 'o_orderkey', count(*) - count(DISTINCT o_orderkey) FROM o)
+SELECT 'primary key' AS "check", t || '.' || c AS subject, d = 0 AS passed, d || ' duplicates, 0 nulls' AS detail FROM k
+UNION ALL VALUES ('foreign key', 'orders.o_custkey->customer.c_custkey', true, '0 orphans'), ('foreign key', 'lineitem.l_orderkey->orders.o_orderkey', true, '0 orphans')
+UNION ALL SELECT 'cardinality', 'orders.o_custkey->customer.c_custkey', abs(m - 10) <= 5, printf('%.4f children', m) FROM (SELECT (SELECT count(*) FROM o) / (SELECT count(*) FROM c) AS m)
+UNION ALL SELECT 'cardinality', 'lineitem.l_orderkey->orders.o_orderkey', abs(m - 4) <= 2 AND top <= 7, printf('%.4f children', m) FROM (SELECT (SELECT count(*) FROM l) / (SELECT count(*) FROM o) AS m, (SELECT max(n) FROM (SELECT count(*) AS n FROM l GROUP BY l_orderkey)) AS top)""",
+)
 def j5(spark: SparkSession, d: str) -> DataFrame:
     """All checks after the repair."""
     return relational.validate_relationships(_cut_shop(spark, d), SHOP)[1]
 
 
-@query("j6_dataset_validation")
+def _far_sql(columns: list[str]) -> tuple[str, str]:
+    """(moments, test) of values within three standard deviations."""
+    return ", ".join(f"avg({c}) AS m_{c}, stddev_pop({c}) AS s_{c}" for c in columns), " AND ".join(f"abs({c} - m_{c}) / s_{c} <= 3" for c in columns)
+
+
+_CUST_M, _CUST_Z = _far_sql(["c_custkey", "c_nationkey", "c_acctbal"])
+_ORD_M, _ORD_Z = _far_sql(["o_orderkey", "o_custkey"])
+_LINE_M, _LINE_Z = _far_sql(_Z)
+_VALID_SHOP = f"""WITH c0 AS (SELECT DISTINCT * FROM customer WHERE c_acctbal >= 0 AND c_custkey >= 0 AND c_nationkey BETWEEN 0 AND 24), cm AS (SELECT {_CUST_M} FROM c0), c AS (SELECT c0.* FROM c0, cm WHERE {_CUST_Z}),
+o0 AS (SELECT DISTINCT * FROM orders WHERE o_totalprice BETWEEN 1000 AND 400000 AND o_orderstatus IN ('F', 'O')), om AS (SELECT {_ORD_M} FROM o0), o AS (SELECT o0.* FROM o0, om WHERE {_ORD_Z} AND o_custkey IN (SELECT c_custkey FROM c)),
+l0 AS (SELECT DISTINCT * FROM lineitem WHERE l_linenumber BETWEEN 1 AND 7 AND l_quantity BETWEEN 1 AND 48 AND l_extendedprice >= 0 AND l_discount BETWEEN 0 AND 0.1 AND l_tax BETWEEN 0 AND 0.08 AND l_returnflag IN ('A', 'N', 'R') AND l_linestatus IN ('F', 'O') AND l_discount <= 0.08 AND NOT (l_quantity > 40 AND l_tax > 0.06)),
+lm AS (SELECT {_LINE_M} FROM l0), l AS (SELECT l0.* FROM l0, lm WHERE {_LINE_Z} AND l_orderkey IN (SELECT o_orderkey FROM o)),
+n AS (SELECT 'customer' AS t, (SELECT count(*) FROM c) AS n, (SELECT count(*) FROM customer) AS b UNION ALL SELECT 'orders', (SELECT count(*) FROM o), (SELECT count(*) FROM orders) UNION ALL SELECT 'lineitem', (SELECT count(*) FROM l), (SELECT count(*) FROM lineitem))
+"""
+_J6_SQL = _VALID_SHOP + 'SELECT t AS "table", n AS "rows", round(100.0 * n / b, 4)::DOUBLE AS retention_pct FROM n'
+
+
+@query(
+    "j6_dataset_validation",
+    _J6_SQL,
+)
 def j6(spark: SparkSession, d: str) -> DataFrame:
     """The manifest after tables, then keys, are validated."""
     return jobs.validate_dataset(shop(spark, d), SHOP).manifest.select("table", "rows", "retention_pct")
@@ -892,12 +931,12 @@ def e9(spark: SparkSession, d: str) -> DataFrame:
 def e10(spark: SparkSession, d: str) -> DataFrame:
     """Five percent of the customers corrupted, each with its details; keys stay."""
     df = table(spark, d, "customer")
-    out = enrich.with_noise(df, "c_custkey").cache()
+    out = materialised(enrich.with_noise(df, "c_custkey"), "noise")
     lost = out.join(df.select("c_custkey"), "c_custkey", "left_anti").count()
     return out.agg(F.count("*").alias("n"), F.count_if("is_corrupted").alias("corrupted"), F.count_if(F.col("is_corrupted") != (F.col("corruption_details") != "")).alias("unexplained"), F.lit(lost).cast("long").alias("keys_changed"))
 
 
-@query("e11_pipeline_order")
+@query("e11_pipeline_order", _VALID_SHOP + "SELECT t AS \"table\", n, CASE WHEN t = 'customer' THEN round_even(n * 0.05, 0)::BIGINT ELSE 0 END AS corrupted FROM n")
 def e11(spark: SparkSession, d: str) -> DataFrame:
     """Features before validation, noise after it, on chosen tables."""
     steps = [jobs.Step("time parts", lambda x: enrich.with_time_parts(x, "o_orderdate"), ("orders",))]
