@@ -60,6 +60,19 @@ def drawn(seed: int, label: str, *keys: Column | str) -> Column:
     return (_bits(seed, label, *keys).cast("double") + 0.5) / F.lit(float(1 << 52))
 
 
+def proportional(df: DataFrame, columns: list[str], max_rows: int, seed: int, label: str) -> DataFrame:
+    """(``columns``, copy): at most about ``max_rows`` rows, in which every row of the table has the same chance.
+
+    Equal rows are counted first and get their share of the places, rounded up or down by an MD5 draw of
+    their values, so that the sample is the same for any partitioning and a common row is as common in it.
+    A table of up to ``max_rows`` rows is taken whole.
+    """
+    counts = df.groupBy(*columns).agg(F.count("*").alias("__n"))
+    total = counts.agg(F.sum("__n")).first()[0] or 0
+    places = F.col("__n") if total <= max_rows else F.floor(F.col("__n") * F.lit(max_rows / total) + drawn(seed, label, *columns))
+    return counts.withColumn("__places", places.cast("int")).where("__places > 0").select(*columns, F.explode(F.sequence(F.lit(1), "__places")).alias("copy"))
+
+
 def exactly(df: DataFrame, n: int, seed: int, label: str, key: str, among: Column | None = None) -> Column:
     """A Column that is true for exactly ``n`` of the rows that ``among`` allows (all of them, if fewer).
 

@@ -6,6 +6,8 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from pactum.functions.ranks import proportional
+
 TREES, NODE_ROWS, MAX_FIT_ROWS, LEAST_ROWS = 100, 256, 50_000, 50
 
 
@@ -72,8 +74,9 @@ def without_isolated(df: DataFrame, columns: list[str], contamination: float, se
         v = F.col(f"`{c}`").cast("double")
         whole = whole & v.isNotNull() & ~F.isnan(v) & (F.abs(v) != float("inf"))
     values = [F.col(f"`{c}`").cast("double").alias(f"v{k}") for k, c in enumerate(columns)]
-    draw = F.xxhash64(F.lit(seed), *values)
-    picked = df.where(whole).select(*values).orderBy(draw).limit(MAX_FIT_ROWS).toPandas().to_numpy(dtype=float)
+    names = [f"v{k}" for k in range(len(columns))]
+    picked = proportional(df.where(whole).select(*values), names, MAX_FIT_ROWS, seed, "forest").orderBy(*names, "copy")
+    picked = picked.select(*names).toPandas().to_numpy(dtype=float)
     if len(picked) < LEAST_ROWS:
         return df
     shared = df.sparkSession.sparkContext.broadcast(fit(picked, seed))

@@ -12,7 +12,7 @@ from pyspark.sql import types as T
 
 from pactum.contract import Contract, Correlation, Monotone
 from pactum.functions.quantiles import exact_quantiles
-from pactum.functions.ranks import prefix_sums, with_rank
+from pactum.functions.ranks import drawn, prefix_sums, proportional, with_rank
 
 LEAST_KS_VALUES = 20
 
@@ -130,11 +130,11 @@ def _kendall(x: np.ndarray, y: np.ndarray) -> float | None:
 def pair_correlation(df: DataFrame, a: str, b: str, method: str = "pearson", max_rows: int = 50_000, seed: int = 42) -> float | None:
     """The correlation of two columns over rows that have both; None for fewer than three or a constant.
 
-    Kendall's tau-b is taken on at most ``max_rows`` rows of smallest seeded hash.
+    Kendall's tau-b is taken on a proportional sample of about ``max_rows`` rows at most.
     """
     pairs = df.select(_value(a).alias("x"), _value(b).alias("y")).where("x IS NOT NULL AND y IS NOT NULL")
     if method == "kendall":
-        sample = pairs.orderBy(F.xxhash64(F.lit(seed), "x", "y")).limit(max_rows).toPandas()
+        sample = proportional(pairs, ["x", "y"], max_rows, seed, "kendall").toPandas()
         return _kendall(sample["x"].to_numpy(), sample["y"].to_numpy()) if len(sample) >= 3 else None
     if method == "spearman":
         pairs = with_rank(with_rank(pairs, "x", "rx"), "y", "ry").select(F.col("rx").alias("x"), F.col("ry").alias("y"))
@@ -294,8 +294,9 @@ def binned_monotonicity(df: DataFrame, x: str, y: str, direction: str = "increas
 def pairwise_concordance(df: DataFrame, x: str, y: str, direction: str = "increasing", max_pairs: int = 2000, seed: int = 42) -> DataFrame:
     """(pairs, concordant, ratio) over up to ``max_pairs`` random pairs of rows; ties in x are left out."""
     pairs = df.select(_value(x).alias("x"), _value(y).alias("y")).where("x IS NOT NULL AND y IS NOT NULL")
-    drawn = pairs.orderBy(F.xxhash64(F.lit(seed), "x", "y"), "x", "y").limit(2 * max_pairs)
-    rows = drawn.agg(F.collect_list(F.struct("x", "y")).alias("r"))
+    sample = proportional(pairs, ["x", "y"], 2 * max_pairs, seed, "concordance")
+    place = F.struct(drawn(seed, "pairing", "x", "y", "copy").alias("u"), "x", "y", "copy")
+    rows = sample.agg(F.array_sort(F.collect_list(place)).alias("r"))
     half = F.floor(F.size("r") / 2).cast("int")
     gaps = F.transform(F.sequence(F.lit(1), half), lambda i: (F.element_at("r", i.cast("int"))["x"] - F.element_at("r", (i + half).cast("int"))["x"]) * F.lit(1.0))
     rises = F.transform(F.sequence(F.lit(1), half), lambda i: F.element_at("r", i.cast("int"))["y"] - F.element_at("r", (i + half).cast("int"))["y"])

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from pactum.contract import Column, Contract, Correlation, Dataset, Monotone, Relationship
 from pactum.functions import rules as R
-from pactum.functions.ranks import exactly
+from pactum.functions.ranks import drawn, exactly
 from pactum.operators import clean, enrich, forest, generate, prepare, privacy, relational, stats
 from pactum.plans import jobs
 from pactum.sources import tables as io
@@ -497,7 +497,15 @@ def x9(spark: SparkSession, d: str) -> DataFrame:
     return stats.binned_monotonicity(table(spark, d, "lineitem"), "l_quantity", "l_extendedprice").select("steps", "steps_ok")
 
 
-@query("x10_concordance")
+@query(
+    "x10_concordance",
+    f"""WITH p AS (SELECT l_quantity AS x, l_extendedprice AS y, count(*) AS n FROM lineitem GROUP BY 1, 2), t AS (SELECT sum(n) AS t FROM p),
+w AS (SELECT x, y, CASE WHEN t <= 4000 THEN n ELSE floor(n * (4000 / t::DOUBLE) + {draw_sql('concordance', "x || ':' || y")}) END::INT AS w FROM p, t),
+c AS (SELECT x, y, unnest(range(1, w + 1))::INT AS copy FROM w WHERE w > 0),
+r AS (SELECT *, row_number() OVER (ORDER BY {draw_sql('pairing', "x || ':' || y || ':' || copy")}, x, y, copy) AS k, count(*) OVER () // 2 AS half FROM c),
+d AS (SELECT (a.x - b.x) AS dx, (a.y - b.y) AS dy FROM r a JOIN r b ON b.k = a.k + a.half WHERE a.k <= a.half AND a.x <> b.x)
+SELECT count(*)::INT AS pairs, count(*) FILTER (dx * dy > 0)::INT AS concordant, count(*) FILTER (dx * dy > 0) / count(*)::DOUBLE AS ratio FROM d""",
+)
 def x10(spark: SparkSession, d: str) -> DataFrame:
     """Random pairs of lineitems in which price rises with quantity."""
     return stats.pairwise_concordance(table(spark, d, "lineitem"), "l_quantity", "l_extendedprice")
@@ -639,14 +647,24 @@ def j6(spark: SparkSession, d: str) -> DataFrame:
 def _halves(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
     """Parts by their type's group as table and reference, on two numeric columns."""
     df = table(spark, d, "part").select("p_size", "p_retailprice", "p_brand")
-    side = F.crc32(F.col("p_brand").cast("binary")) % 2
-    return df.where(side == 0).drop("p_brand"), df.where(side == 1).drop("p_brand")
+    side = drawn(42, "side", "p_brand") < 0.5
+    return df.where(side).drop("p_brand"), df.where(~side).drop("p_brand")
+
+
+_HALVES = f"""WITH h AS (SELECT p_size::DOUBLE AS a, p_retailprice AS b, {draw_sql('side', 'p_brand')} < 0.5 AS own FROM part),
+m AS (SELECT avg(a) AS ma, stddev_pop(a) AS sa, avg(b) AS mb, stddev_pop(b) AS sb FROM h WHERE NOT own),
+z AS (SELECT row_number() OVER () AS i, own, (a - ma) / sa AS a, (b - mb) / sb AS b FROM h, m),
+q AS (SELECT x.i, x.own, sqrt((x.a - y.a) ** 2 + (x.b - y.b) ** 2) AS d FROM z x JOIN z y ON NOT y.own AND x.i <> y.i),
+n AS (SELECT own, min(d) AS d1, list_sort(list(d))[2] AS d2 FROM q GROUP BY own, i)
+"""
 
 
-@query("p1_distances")
+@query("p1_distances", _HALVES + """SELECT CASE WHEN own THEN 'table' ELSE 'reference' END AS side, count(*) AS n, round(min(d1), 9) AS dcr_min, round(avg(d1), 9) AS dcr_mean, round(quantile_cont(d1, 0.05), 9) AS dcr_p5, count(*) FILTER (d1 <= 1e-6) AS identical,
+ count(*) FILTER (CASE WHEN d2 = 0 THEN 0 ELSE d1 / d2 END < 0.2) AS close FROM n GROUP BY own""")
 def p1(spark: SparkSession, d: str) -> DataFrame:
     """Distances of parts of some brands to the nearest of the others."""
-    return privacy.distance_report(*_halves(spark, d))
+    got = privacy.distance_report(*_halves(spark, d))
+    return got.withColumns({c: F.round(c, 9) for c in ("dcr_min", "dcr_mean", "dcr_p5")})
 
 
 @query(
