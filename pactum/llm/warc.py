@@ -98,14 +98,33 @@ def write_warc(
     text.write.option("lineSep", "\0" * 8).option("maxRecordsPerFile", records_per_file).text(path)
 
 
+def _member_header(content: memoryview, at: int) -> bool:
+    """Whether a gzip header stands at ``at``, with names of no more than 4096 bytes, so that junk is told soon."""
+    if len(content) < at + 10 or content[at + 3] & 0xE0:
+        return False
+    flags, at = content[at + 3], at + 10
+    if flags & 4:
+        at += 2 + int.from_bytes(content[at : at + 2], "little")
+    for flag in (8, 16):
+        if flags & flag:
+            found = bytes(content[at : at + 4096]).find(0)
+            if found < 0:
+                return False
+            at += found + 1
+    return at < len(content)
+
+
 def _inflate(content: memoryview, at: int) -> tuple[bytes, int, bool]:
     """(bytes, end, whole) of the gzip member at ``at``; of a damaged or cut one, what comes before the damage."""
-    squeeze, parts, end = zlib.decompressobj(31), [], at
+    if not _member_header(content, at):
+        return b"", at, False
+    squeeze, parts, end, step = zlib.decompressobj(31), [], at, 1024
     while not squeeze.eof and end < len(content):
         before = squeeze.copy()
         try:
-            parts.append(squeeze.decompress(content[end : end + 65536]))
-            end = min(end + 65536, len(content))
+            parts.append(squeeze.decompress(content[end : end + step]))
+            end = min(end + step, len(content))
+            step = min(2 * step, 65536)
         except zlib.error:
             # An error takes the whole call's bytes along, so those before it come byte by byte.
             try:
