@@ -8,6 +8,8 @@ from pyspark.sql import functions as F
 from pactum.llm import langid, minhash, mixing, pieces, queries, storage
 
 ORACLE_SQL = None
+#: Ids that may be broadcast, so that documents stay where they are.
+MAX_BROADCAST = 1_000_000
 
 
 def identify(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -34,14 +36,16 @@ def dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     if not docs.where("doc_id IS NOT NULL").groupBy("doc_id").agg(F.count("*").alias("c")).where("c > 1").isEmpty():
         key = F.when(key.isNotNull(), F.struct(key.alias("id"), F.xxhash64("text").alias("text")))
     keyed = docs.withColumn("__key", key)
-    kept = minhash.near_duplicates(keyed, id_col="__key").where("kept AND doc_id IS NOT NULL")
-    kept = storage.written(kept.groupBy(F.col("doc_id").alias("__key")).agg(F.count("*").alias("rows")), "kept")
-    stay = keyed.join(kept.select("__key"), "__key", "left_semi")
-    again = kept.where("rows > 1").select("__key")
+    found = storage.written(minhash.near_duplicates(keyed, id_col="__key").select(F.col("doc_id").alias("__key"), "kept"), "found")
+    gone = found.where("NOT kept").select("__key").distinct()
+    # Those that go are fewer than those that stay; null ids match none of them.
+    stay = keyed.join(storage.broadcast_if_small(gone, MAX_BROADCAST), "__key", "left_anti")
+    again = found.where("kept AND __key IS NOT NULL").groupBy("__key").agg(F.count("*").alias("c")).where("c > 1").select("__key")
+    again = storage.written(again, "again")
     if not again.isEmpty():
         once = stay.join(again, "__key", "left_anti")
         stay = once.unionByName(stay.join(again, "__key", "left_semi").dropDuplicates(["__key"]))
-    return stay.select(docs.columns).unionByName(docs.where(F.col("doc_id").isNull()))
+    return stay.select(docs.columns)
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -69,6 +73,9 @@ STAGES = [("language_id", identify), ("minhash_near_dedup", dedup), ("source_mix
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over ``documents`` of ``sf_dir``, each but the last written as Parquet and reread."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    before = None
     for name, stage in STAGES[:-1]:
         docs = storage.written(stage(spark, docs, sf_dir), name)
+        storage.drop(before)
+        before = docs
     return STAGES[-1][1](spark, docs, sf_dir)
