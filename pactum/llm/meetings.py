@@ -12,7 +12,7 @@ from pactum.llm.components import components, narrow
 from pactum.llm.storage import broadcast_if_small, written
 
 #: Narrow rows that may be broadcast, so that texts stay where they are.
-MAX_BROADCAST = 500_000
+MAX_BROADCAST = 200_000
 #: Members that meet their pivot in one group.
 STAR = 512
 
@@ -45,7 +45,9 @@ def block_links(placed: DataFrame, texts: DataFrame, links: Callable[[pa.Table],
     sides = meetings.select("cluster", "i", "j", F.explode(F.array_distinct(F.array("i", "j"))).alias("block"))
     rows = broadcast_if_small(dealt.join(sides, ["cluster", "block"]).drop("block", "whole"), MAX_BROADCAST)
     rows = rows.join(texts, "set_id").select("cluster", "i", "j", "set_id", "comp", body)
-    return rows.groupBy("cluster", "i", "j").applyInArrow(links, "u binary, v binary")
+    # As many tasks as meetings are worth: they take time, not bytes, which is what Spark would go by.
+    parts = max(1, min(meetings.count(), 4 * int(placed.sparkSession.conf.get("spark.sql.shuffle.partitions"))))
+    return rows.repartition(parts, "cluster", "i", "j").groupBy("cluster", "i", "j").applyInArrow(links, "u binary, v binary")
 
 
 def stars(pairs: DataFrame, texts: DataFrame, body: str) -> DataFrame:
@@ -54,8 +56,8 @@ def stars(pairs: DataFrame, texts: DataFrame, body: str) -> DataFrame:
     A text is moved once for each pair that it is b of, a's text once for up to STAR or so of its pairs; a pivot
     of any number of pairs is dealt to many tasks.  Where a new group begins, set_id is a.
     """
-    sized = pairs.groupBy("a").agg(F.ceil(F.count("*") / STAR).cast("int").alias("groups"))
-    members = pairs.join(sized, "a").select("a", F.pmod(F.xxhash64("b"), F.col("groups")).cast("int").alias("part"), F.col("b").alias("set_id"))
+    sized = written(pairs.groupBy("a").agg(F.ceil(F.count("*") / STAR).cast("int").alias("groups")), "pivots")
+    members = pairs.join(broadcast_if_small(sized, MAX_BROADCAST), "a").select("a", F.pmod(F.xxhash64("b"), F.col("groups")).cast("int").alias("part"), F.col("b").alias("set_id"))
     own = sized.select("a", F.explode(F.sequence(F.lit(0), F.col("groups") - 1)).alias("part"), F.col("a").alias("set_id"))
     rows = broadcast_if_small(written(members.unionByName(own), "stars"), MAX_BROADCAST)
     full = rows.join(texts.select("set_id", body), "set_id")

@@ -42,7 +42,7 @@ BLOCK, BLOCK_SHINGLES = 256, 250_000
 #: Members of a bucket's rest up to which its pairs become rows (at most 3.5 a member).
 FEW = 8
 #: Rows of 8 to 40 bytes each that may be broadcast.
-MAX_BROADCAST = 600_000
+MAX_BROADCAST = 200_000
 
 
 def _digest(shingles: np.ndarray) -> bytes:
@@ -103,7 +103,7 @@ def _buckets(nodes: DataFrame, tables: int) -> DataFrame:
     pair = F.flatten(F.transform("one", lambda x: F.transform(F.col("two"), lambda y: F.xxhash64(x, y))))
     keys = written(alive.select("set_id", F.explode(pair).alias("key")), "keys")
     full = written(keys.groupBy("key").agg(F.count("*").alias("c")).where("c > 1").select("key"), "full")
-    sized = keys.join(broadcast_if_small(full, MAX_BROADCAST), "key", "left_semi")
+    sized = keys.join(full, "key", "left_semi")
     out = written(sized, "buckets")
     for t in (shared, keys, full):
         drop(t)
@@ -265,7 +265,11 @@ def near_duplicates(
     out = known.join(copied, "set_id", "left").join(moved, "set_id", "left")
     linked = (F.col("n_shingles") > 0) & F.col("doc_id").isNotNull()
     comp = F.when(linked, F.coalesce("component_id", "least")).otherwise(F.col("doc_id"))
-    return out.select("doc_id", "n_shingles", comp.alias("component_id"), F.coalesce(comp == F.col("doc_id"), F.lit(True)).alias("kept"))
+    found = out.select("doc_id", "n_shingles", comp.alias("component_id"), F.coalesce(comp == F.col("doc_id"), F.lit(True)).alias("kept"))
+    found = written(found, "found")
+    for t in (base, nodes, members, moved):
+        drop(t)
+    return found
 
 
 def _representatives(source: DataFrame, members: DataFrame, width: int) -> DataFrame:
