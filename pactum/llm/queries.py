@@ -53,8 +53,8 @@ def op4_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_editsketch(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Fingerprints of all documents and of their edited copies."""
-    return editsketch.fingerprints_with_edits(_table(spark, sf_dir, "documents"))
+    """Fingerprints of all documents and of their edited copies, and groups of near texts by the pivots of their bands."""
+    return editsketch.fingerprints_with_edits(_table(spark, sf_dir, "documents"), settle=False)
 
 
 def op6_htmltext(spark: SparkSession, sf_dir: str) -> DataFrame:

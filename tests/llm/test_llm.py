@@ -335,7 +335,8 @@ def edits(rng: random.Random, text: str, n: int) -> str:
     return "".join(out)
 
 
-def test_near_texts_against_brute_force(spark):
+@pytest.mark.parametrize("settle", [True, False])
+def test_near_texts_against_brute_force(spark, settle):
     """Links are exact; of those that there are, nine in ten or more are found, at every length."""
     rng = random.Random(7)
     texts = []
@@ -343,15 +344,15 @@ def test_near_texts_against_brute_force(spark):
     for length in (60, 200, 800, 3000, 9000):
         for _ in range(12):
             base = "".join(rng.choice("abcdefghij ") for _ in range(length))
-            texts += [base, edits(rng, base, rng.randrange(1, max(2, length // 50)))]
+            texts += [base, edits(rng, base, rng.randrange(1, max(2, length // 33)))]
     # Texts that share a passage and little else: their buckets hold strangers.
     for _ in range(30):
         own = shared + "".join(rng.choice("abcdefghij ") for _ in range(400))
         texts += [own, edits(rng, own, 8)]
     df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
-    group = {r["doc_id"]: r["group_id"] for r in editsketch.near_texts(df, 0.02).collect()}
-    pairs = [(i, j) for j in range(len(texts)) for i in range(j) if abs(len(texts[i]) - len(texts[j])) <= 0.02 * max(len(texts[i]), len(texts[j]))]
-    linked = [(i, j) for i, j in pairs if editsketch.edit_distance(texts[i], texts[j], int(0.02 * max(len(texts[i]), len(texts[j])))) <= int(0.02 * max(len(texts[i]), len(texts[j])))]
+    group = {r["doc_id"]: r["group_id"] for r in editsketch.near_texts(df, 0.03, settle=settle).collect()}
+    pairs = [(i, j) for j in range(len(texts)) for i in range(j) if abs(len(texts[i]) - len(texts[j])) <= 0.03 * max(len(texts[i]), len(texts[j]))]
+    linked = [(i, j) for i, j in pairs if editsketch.edit_distance(texts[i], texts[j], int(0.03 * max(len(texts[i]), len(texts[j])))) <= int(0.03 * max(len(texts[i]), len(texts[j])))]
     found = [group[i] == group[j] for i, j in linked]
     assert np.mean(found) >= 0.95
     for low, high in ((0, 500), (500, 2000), (2000, 20_000)):
@@ -360,7 +361,13 @@ def test_near_texts_against_brute_force(spark):
     apart = np.zeros(60, dtype=np.int64)
     apart[::2] = np.arange(30) + 1
     want = {(i, j) for i, j in linked if j < 60 and apart[i] != apart[j]}
-    assert {tuple(sorted(x)) for x in editsketch._near(texts[:60], 0.02, apart)} == want
+    got = {tuple(sorted(x)) for x in editsketch._near(texts[:60], 0.03, apart)}
+    assert got <= want
+    # Groups, if not each link: what is linked is in one group.
+    group = apart.copy()
+    for i, j in got:
+        group[group == group[j]] = group[i]
+    assert all(group[i] == group[j] for i, j in want)
 
 
 # ---- main text
