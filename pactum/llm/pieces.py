@@ -31,11 +31,11 @@ _BASE = 0xD6E8FEB86659FD93
 #: Longer parts of words take the plain merge or search of one word, which is exact as well.
 MAX_BATCHED = 40
 #: Substrings that are probed in one step.
-PROBES = 400_000
+PROBES = 150_000
 #: Bytes of text that are encoded in one step.
 BYTES_AT_ONCE = 1_000_000
 #: Ids that are decoded in one step to compare their texts with the given ones.
-DECODED_AT_ONCE = 200_000
+DECODED_AT_ONCE = 100_000
 _UNKNOWN, _NONE, _START = -2, -1, -3
 
 
@@ -435,7 +435,7 @@ class Store:
 class Encoder:
     """Encodes texts, keeping the words and parts of words that it has met, up to a bound."""
 
-    def __init__(self, vocab: Vocabulary, max_words: int = 200_000) -> None:
+    def __init__(self, vocab: Vocabulary, max_words: int = 100_000) -> None:
         self.vocab, self.max_words, self.lattice = vocab, max_words, Lattice(vocab)
         self.words, self.parts = Store(), Store()
         # joined[a, b]: whether a piece has the two characters side by side; 0 stands for characters of no piece.
