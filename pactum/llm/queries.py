@@ -5,10 +5,12 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pactum.llm import bitslice, editsketch, htmltext, langid, minhash, mixing, piece_counts, pieces, storage, urlfilter, warc
+from pactum.llm import bitslice, centroids, editsketch, htmltext, langid, minhash, mixing, packing, piece_counts, pieces, storage, urlfilter, warc, whitening
 
 #: The model file of op9 and op10.
 PIECE_MODEL = "/opt/tokenizers/piece_bpe_32k.model"
+#: The tokenizer file of op13.
+BYTE_TOKENIZER = "/opt/tokenizers/byte_bpe_50k.json"
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -87,6 +89,26 @@ def op10_piece_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return piece_counts.count_pieces(_table(spark, sf_dir, "documents"), pieces.Vocabulary(PIECE_MODEL))
 
 
+def op11_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every embedding on the four leading components of the distinct ones, scaled to unit variance.
+
+    A deviation that does not fit 64 bits is null here.
+    """
+    found = whitening.whiten(_table(spark, sf_dir, "embeddings"), k=4, factor=256)
+    return found.withColumn("deviation", F.expr("try_cast(deviation AS BIGINT)"))
+
+
+def op12_centroids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Ten rounds of exact clustering of all embeddings around eight centroids."""
+    return centroids.cluster(_table(spark, sf_dir, "embeddings"), k=8, rounds=10, dims=64, factor=1024, seed=3)
+
+
+def op13_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The place of every document's pieces in sequences of 2048 tokens."""
+    pieces_of = packing.tokenised(_table(spark, sf_dir, "documents"), packing.ByteTokenizer(BYTE_TOKENIZER), capacity=2048, keep_ids=False)
+    return packing.pack(pieces_of, capacity=2048)
+
+
 QUERIES = {
     "op1_warc": op1_warc,
     "op2_urlfilter": op2_urlfilter,
@@ -98,6 +120,9 @@ QUERIES = {
     "op8_langid": op8_langid,
     "op9_pieces": op9_pieces,
     "op10_piece_counts": op10_piece_counts,
+    "op11_whitening": op11_whitening,
+    "op12_centroids": op12_centroids,
+    "op13_packing": op13_packing,
 }
 
 _WORDS = r"""
@@ -105,9 +130,34 @@ _WORDS = r"""
   FROM documents i
 """
 
+
+
+def _rounds(rounds: int, k: int) -> str:
+    """SQL of ``rounds`` rounds of clustering ``v`` (r, vec_id, e) around ``k`` centroids of at most 16, from c0 (j, c) on."""
+    out = []
+    for t in range(rounds + 1):
+        out.append(f"""
+a{t} AS MATERIALIZED (SELECT v.r, min(16 * list_sum([(z[1] - z[2]) * (z[1] - z[2]) FOR z IN list_zip(v.e, c.c)])::BIGINT + c.j) AS m FROM v, c{t} c GROUP BY v.r)""")
+        if t < rounds:
+            out.append(f"""
+u{t} AS (SELECT m % 16 AS j, unnest(v.e) AS x, unnest(range(64)) AS i FROM a{t} JOIN v USING (r)),
+s{t} AS (SELECT j, i, sum(x)::BIGINT AS s, count(*) AS n FROM u{t} GROUP BY j, i),
+c{t + 1} AS MATERIALIZED (SELECT c.j, coalesce(g.c, c.c) AS c FROM c{t} c LEFT JOIN (SELECT j, list((s - ((s % n) + n) % n) // n ORDER BY i) AS c FROM s{t} GROUP BY j) g USING (j))""")
+    return ",".join(out)
+
+
 _RULES = ", ".join(f"('{rule}', '{verdict}')" for rule, verdict in URL_RULES)
 
 SQL = {
+    "op12_centroids": f"""
+WITH v AS MATERIALIZED (SELECT row_number() OVER () AS r, vec_id, [floor(1024 * x::DOUBLE)::BIGINT FOR x IN embedding] AS e FROM embeddings
+  WHERE len(embedding) = 64 AND len([x FOR x IN embedding IF x IS NULL OR NOT isfinite(x)]) = 0),
+c0 AS MATERIALIZED (SELECT row_number() OVER (ORDER BY sha256('3:' || vec_id) NULLS LAST, e) - 1 AS j, e AS c FROM v QUALIFY j < 8),
+{_rounds(10, 8)},
+f AS (SELECT v.vec_id, (m % 16)::INT AS cluster, (m // 16)::BIGINT AS distance FROM a10 JOIN v USING (r))
+SELECT vec_id, cluster, distance, sum(distance) OVER (PARTITION BY cluster)::BIGINT AS cluster_inertia, sum(distance) OVER ()::BIGINT AS inertia,
+  sha256(array_to_string(c, ',')) AS centroid_sha256 FROM f JOIN c10 ON cluster = j
+""",
     "op7_bitslice": """
 WITH v AS (SELECT vec_id, [floor(64 * x::DOUBLE)::BIGINT FOR x IN embedding] AS e FROM embeddings
   WHERE embedding IS NOT NULL AND len([x FOR x IN embedding IF x IS NULL OR NOT isfinite(x)]) = 0),

@@ -52,3 +52,17 @@ def broadcast_if_small(df: DataFrame, max_rows: int) -> DataFrame:
     ``df`` should be cheap to count: a written table or a small aggregate.
     """
     return F.broadcast(df) if df.limit(max_rows + 1).count() <= max_rows else df
+
+
+def bucketed(df: DataFrame, label: str, key: str, buckets: int) -> tuple[DataFrame, str]:
+    """``df`` written to the shared folder in buckets of ``key``, and the table's name: two of them join without a shuffle."""
+    spark = df.sparkSession
+    name = f"{label}_{uuid.uuid4().hex}"
+    df.write.bucketBy(buckets, key).sortBy(key).option("path", new_path(spark, label)).saveAsTable(name)
+    return spark.table(name), name
+
+
+def drop_bucketed(df: DataFrame, name: str) -> None:
+    """Delete a table made by :func:`bucketed` that no later plan reads."""
+    drop(df)
+    df.sparkSession.sql(f"DROP TABLE IF EXISTS {name}")
