@@ -101,13 +101,18 @@ def exactly(df: DataFrame, n: int, seed: int, label: str, key: str, among: Colum
     return allowed & ((draw < h) | ((draw == h) & (F.col(key) <= F.lit(k))))
 
 
+#: The published coefficients of Acklam's approximation of the normal quantile.
+ACKLAM = (
+    [-3.969683028665376e01, 2.209460984245205e02, -2.759285104469687e02, 1.383577518672690e02, -3.066479806614716e01, 2.506628277459239e00],
+    [-5.447609879822406e01, 1.615858368580409e02, -1.556989798598866e02, 6.680131188771972e01, -1.328068155288572e01, 1.0],
+    [-7.784894002430293e-03, -3.223964580411365e-01, -2.400758277161838e00, -2.549732539343734e00, 4.374664141464968e00, 2.938163982698783e00],
+    [7.784695709041462e-03, 3.224671290700398e-01, 2.445134137142996e00, 3.754408661907416e00, 1.0],
+)
+
+
 def normal_quantile(p: Column) -> Column:
     """The standard normal quantile, by Acklam's rational approximation (relative error below 1.2e-9)."""
-    # The published coefficients of the approximation.
-    a = [-3.969683028665376e01, 2.209460984245205e02, -2.759285104469687e02, 1.383577518672690e02, -3.066479806614716e01, 2.506628277459239e00]
-    b = [-5.447609879822406e01, 1.615858368580409e02, -1.556989798598866e02, 6.680131188771972e01, -1.328068155288572e01, 1.0]
-    c = [-7.784894002430293e-03, -3.223964580411365e-01, -2.400758277161838e00, -2.549732539343734e00, 4.374664141464968e00, 2.938163982698783e00]
-    d = [7.784695709041462e-03, 3.224671290700398e-01, 2.445134137142996e00, 3.754408661907416e00, 1.0]
+    a, b, c, d = ACKLAM
 
     def poly(coefficients: list[float], x: Column) -> Column:
         out = F.lit(coefficients[0])

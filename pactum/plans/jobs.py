@@ -12,6 +12,7 @@ from pyspark.sql import types as T
 from pactum.contract import Column, Contract, Dataset
 from pactum.operators import clean, enrich, generate, prepare, privacy, relational
 from pactum.sources import tables as io
+from pactum.sources.work import materialised
 
 
 def contract_like(df: DataFrame, primary_key: str | None = None, max_categories: int = 20, rows: int | None = None, seed: int = 42) -> Contract:
@@ -76,7 +77,8 @@ def validate_dataset(tables: dict[str, DataFrame], dataset: Dataset, must_pass:
 
 def build_dataset(spark: SparkSession, dataset: Dataset, rows: int, directory: str | None = None, formats: tuple[str, ...] = ("parquet",)) -> Published:
     """Generate linked tables, clean them, repair and check keys, and write them with their manifest."""
-    out = validate_dataset(generate.generate_dataset(spark, dataset, rows), dataset)
+    made = {name: materialised(df, name) for name, df in generate.generate_dataset(spark, dataset, rows).items()}
+    out = validate_dataset(made, dataset)
     if directory is not None:
         out.paths = {name: io.write_table(df, directory, name, formats) for name, df in out.tables.items()}
         io.write_table(out.manifest, directory, "manifest", ("json",))

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -9,7 +10,8 @@ from pyspark.sql import functions as F
 
 from pactum.contract import Column, Contract, Correlation, Dataset, Monotone, Relationship
 from pactum.functions import rules as R
-from pactum.functions.ranks import drawn, exactly
+from pactum.functions.draws import draws_sql
+from pactum.functions.ranks import ACKLAM, drawn, exactly
 from pactum.operators import clean, enrich, forest, generate, prepare, privacy, relational, stats
 from pactum.plans import jobs
 from pactum.sources import tables as io
@@ -756,55 +758,119 @@ def _like(spark: SparkSession, d: str, name: str, key: str | None = None, **more
     return jobs.contract_like(table(spark, d, name), key, **more)
 
 
-@query("g1_generate", "SELECT count(*) AS n, 0::BIGINT AS out_of_bounds, true AS same_again FROM orders")
+def ppf_sql(p: str) -> str:
+    """The normal quantile of functions.ranks."""
+    a, b, c, d = ([f"({x!r}::DOUBLE)" for x in part] for part in ACKLAM)
+
+    def poly(parts: list[str], x: str) -> str:
+        out = parts[0]
+        for k in parts[1:]:
+            out = f"({out} * {x} + {k})"
+        return out
+
+    tail = lambda x: f"({poly(c, x)} / {poly(d, x)})"
+    low, high = f"sqrt(-2 * ln({p}))", f"sqrt(-2 * ln(1 - {p}))"
+    middle = f"({p} - 0.5)"
+    return f"CASE WHEN {p} < 0.02425 THEN {tail(low)} WHEN {p} > 1 - 0.02425 THEN -{tail(high)} ELSE {middle} * {poly(a, f'({middle} * {middle})')} / {poly(b, f'({middle} * {middle})')} END"
+
+
+def _money(x: str) -> str:
+    return f"round_even({x}, 2)"
+
+
+def _whole(x: str) -> str:
+    return f"round_even({x}, 0)::BIGINT"
+
+
+def _drawn(names: dict[str, str], rows: str, seed: int = 42) -> str:
+    """Rows 0, 1, ... of ``rows`` (a count) with the draws of generation by name: column -> label."""
+    return draws_sql(f"(SELECT unnest(range({rows})) AS row)", "row", {name: (seed, label) for name, label in names.items()})
+
+
+def _category(c: str, categories: str, edges: list[float]) -> str:
+    return f"({categories})[1 + len([e FOR e IN {[float(e) for e in edges[:-1]]}::DOUBLE[] IF e <= {c}])]"
+
+
+def _edges(name: str, n: int) -> list[float]:
+    return generate.category_edges(C(name, "category", categories=tuple(map(str, range(n)))), 42)
+
+
+_ORDERS_LIKE = f"""
+WITH s AS (SELECT count(*) AS n, min(o_custkey)::DOUBLE AS c0, max(o_custkey)::DOUBLE AS c1, min(o_totalprice) AS p0, max(o_totalprice) AS p1,
+  date_trunc('day', min(o_orderdate)) AS d0, date_trunc('day', max(o_orderdate)) AS d1,
+  list_sort(list(DISTINCT o_orderstatus)) AS states, list_sort(list(DISTINCT o_orderpriority)) AS priorities FROM orders),
+u AS ({_drawn({c: c for c in ("o_custkey", "o_orderstatus", "o_totalprice", "o_orderdate", "o_orderpriority", "flag", "note")}, "(SELECT count(*) FROM orders)")})
+"""
+_DAY = "s.d0 + floor(u.o_orderdate * date_diff('second', s.d0, s.d1)::DOUBLE)::BIGINT * INTERVAL 1 SECOND AS o_orderdate"
+_PRIORITY = f"{_category('u.o_orderpriority', 's.priorities', _edges('o_orderpriority', 5))} AS o_orderpriority"
+
+
+@query(
+    "g1_generate",
+    f"""{_ORDERS_LIKE}
+SELECT row + 1 AS o_orderkey, {_whole('s.c0 + (s.c1 - s.c0) * u.o_custkey')} AS o_custkey, {_category('u.o_orderstatus', 's.states', _edges('o_orderstatus', 3))} AS o_orderstatus,
+  {_money('s.p0 + (s.p1 - s.p0) * u.o_totalprice')} AS o_totalprice, {_DAY}, {_PRIORITY} FROM u, s
+""",
+)
 def g1(spark: SparkSession, d: str) -> DataFrame:
-    """As many orders as there are, drawn from a contract like theirs, within its bounds and alike for any partitioning."""
+    """As many orders as there are, drawn from a contract like theirs."""
     contract = _like(spark, d, "orders", "o_orderkey")
     loose = Contract(tuple(c if c.name != "o_orderkey" else C(c.name, "int", 1) for c in contract.columns), contract.row_count, contract.seed, primary_key="o_orderkey")
-    made = generate.generate(spark, loose)
-    bad = made.agg(F.count("*").alias("n"), F.count_if(~clean._all(list(clean.bound_tests(made, loose).values()))).alias("bad")).first()
-    base = spark.range(0, loose.row_count, 1, 3).withColumnRenamed("id", "row_id")
-    same = io.fingerprint(made) == io.fingerprint(generate.generate(spark, loose, base=base))
-    return spark.createDataFrame([(bad["n"], bad["bad"], same)], "n long, out_of_bounds long, same_again boolean")
+    return generate.generate(spark, loose)
+
+
+#: Columns of the distributions that SQL can draw, and the mean of those that it cannot.
+DRAWN = (
+    C("normal", "float", dist="normal", mean=50.0, std=8.0),
+    C("uniform", "float", 10, 30, "uniform"),
+    C("lognormal", "float", dist="lognormal", mean=200.0, std=60.0),
+    C("exponential", "float", dist="exponential", mean=12.0),
+    C("pareto", "float", 5, 400, "pareto", shape=2.5),
+    C("poisson", "int", dist="poisson", mean=4.0),
+    C("zip", "int", dist="zip", mean=3.0, zero_prob=0.6),
+)
+TABLED = {
+    "gamma": (C("gamma", "float", dist="gamma", shape=2.5, scale=1500.0), 3750.0),
+    "tweedie": (C("tweedie", "float", dist="tweedie", mean=250.0, p_index=1.65, scale=2.0), 250.0),
+}
+_SIGMA = math.sqrt(math.log1p((60.0 / 200.0) ** 2))
+
+
+def _counts(u: str, mean: float) -> str:
+    return f"len([e FOR e IN {[float(e) for e in generate.poisson_table(mean)]}::DOUBLE[] IF e < {u}])::BIGINT"
 
 
-@query("g2_distributions", "SELECT d AS distribution, (SELECT count(*) FROM orders) AS n, true AS mean_close FROM (VALUES ('normal'), ('uniform'), ('lognormal'), ('exponential'), ('poisson'), ('gamma'), ('zip'), ('tweedie')) v(d)")
+@query(
+    "g2_distributions",
+    f"""
+WITH u AS ({_drawn({c.name: c.name for c in DRAWN}, "(SELECT count(*) FROM orders)")})
+SELECT {_money(f"50 + 8 * ({ppf_sql('u.normal')})")} AS normal, {_money("10 + 20 * u.uniform")} AS uniform,
+  {_money(f"exp({math.log(200.0) - _SIGMA * _SIGMA / 2!r}::DOUBLE + {_SIGMA!r}::DOUBLE * ({ppf_sql('u.lognormal')}))")} AS lognormal,
+  {_money("-12 * ln(1 - u.exponential)")} AS exponential, {_money("least(400, 5 * pow(1 - u.pareto, -0.4::DOUBLE))")} AS pareto,
+  {_counts("u.poisson", 4.0)} AS poisson, CASE WHEN u.zip < 0.6 THEN 0 ELSE {_counts("((u.zip - 0.6::DOUBLE) / 0.4::DOUBLE)", 3.0)} END AS zip FROM u
+""",
+)
 def g2(spark: SparkSession, d: str) -> DataFrame:
-    """Every distribution drawn as often as there are orders, with the mean that its formula has."""
+    """The distributions of the contract language, drawn as often as there are orders."""
+    return generate.generate(spark, Contract(DRAWN, table(spark, d, "orders").count()))
+
+
+@query("g2_gamma_tweedie", "SELECT d AS distribution, (SELECT count(*) FROM orders) AS n, true AS mean_close FROM (VALUES ('gamma'), ('tweedie')) v(d)")
+def g2_tabled(spark: SparkSession, d: str) -> DataFrame:
+    """Gamma and tweedie drawn as often as there are orders, with the mean that their formula has."""
     n = table(spark, d, "orders").count()
-    specs = {
-        "normal": (C("normal", "float", dist="normal", mean=50.0, std=8.0), 50.0),
-        "uniform": (C("uniform", "float", 10, 30, "uniform"), 20.0),
-        "lognormal": (C("lognormal", "float", dist="lognormal", mean=200.0, std=60.0), 200.0),
-        "exponential": (C("exponential", "float", dist="exponential", mean=12.0), 12.0),
-        "poisson": (C("poisson", "int", dist="poisson", mean=4.0), 4.0),
-        "gamma": (C("gamma", "float", dist="gamma", shape=2.5, scale=1500.0), 3750.0),
-        "zip": (C("zip", "int", dist="zip", mean=3.0, zero_prob=0.6), 1.2),
-        "tweedie": (C("tweedie", "float", dist="tweedie", mean=250.0, p_index=1.65, scale=2.0), 250.0),
-    }
-    made = generate.generate(spark, Contract(tuple(c for c, _ in specs.values())), n)
-    got = made.agg(F.count("*").alias("n"), *[F.avg(k).alias(k) for k in specs], *[F.stddev_samp(k).alias(f"s_{k}") for k in specs]).first()
-    rows = [(k, got["n"], abs(got[k] - mean) <= 5 * got[f"s_{k}"] / got["n"] ** 0.5 + 0.01) for k, (_, mean) in specs.items()]
+    made = generate.generate(spark, Contract(tuple(c for c, _ in TABLED.values()), n))
+    got = made.agg(F.count("*").alias("n"), *[F.avg(k).alias(k) for k in TABLED], *[F.stddev_samp(k).alias(f"s_{k}") for k in TABLED]).first()
+    rows = [(k, got["n"], abs(got[k] - mean) <= 5 * got[f"s_{k}"] / got["n"] ** 0.5 + 0.01) for k, (_, mean) in TABLED.items()]
     return spark.createDataFrame(rows, "distribution string, n long, mean_close boolean")
 
 
-@query("g3_g6_columns", "SELECT count(*) AS n, true AS share_close, true AS categories_known, true AS dates_inside, true AS pool_small FROM orders")
+@query("g3_g6_columns", f"{_ORDERS_LIKE} SELECT u.flag > 1 - 0.3::DOUBLE AS flag, {_PRIORITY}, {_DAY}, 'NOTE_' || lpad(floor(u.note * least(500, greatest(10, s.n // 2)))::BIGINT::VARCHAR, 4, '0') AS note FROM u, s")
 def g3(spark: SparkSession, d: str) -> DataFrame:
     """Bool, category, date and text columns drawn from a contract like that of orders."""
     contract = _like(spark, d, "orders")
-    n = contract.row_count
     cols = (C("flag", "bool", target_ratio=0.3), contract["o_orderpriority"], contract["o_orderdate"], C("note", "str"))
-    low, high = generate.datetime_window(contract["o_orderdate"].description)
-    made = generate.generate(spark, Contract(cols, n))
-    got = made.agg(
-        F.count("*").alias("n"),
-        F.avg(F.col("flag").cast("int")).alias("share"),
-        F.count_if(~F.col("o_orderpriority").isin(list(contract["o_orderpriority"].categories))).alias("odd"),
-        F.count_if((F.col("o_orderdate") < F.lit(str(low)).cast("timestamp_ntz")) | (F.col("o_orderdate") > F.lit(str(high)).cast("timestamp_ntz"))).alias("outside"),
-        F.count_distinct("note").alias("notes"),
-    ).first()
-    row = (got["n"], abs(got["share"] - 0.3) < 5 * (0.21 / got["n"]) ** 0.5, got["odd"] == 0, got["outside"] == 0, got["notes"] <= min(500, max(10, n // 2)))
-    return spark.createDataFrame([row], "n long, share_close boolean, categories_known boolean, dates_inside boolean, pool_small boolean")
+    return generate.generate(spark, Contract(cols, contract.row_count))
 
 
 @query("g7_primary_key", "SELECT count(*) AS n, count(*) AS n_distinct, 'SKU_000001' AS first, 'SKU_' || lpad(count(*)::VARCHAR, 6, '0') AS last FROM part")
@@ -843,15 +909,37 @@ def g8_reorder(spark: SparkSession, d: str) -> DataFrame:
     return spark.createDataFrame([(out.count(), same[0], same[1], 0.6 < r < 0.8)], "n long, same_prices boolean, same_keys boolean, correlated boolean")
 
 
-@query("g10_rule_repair", "SELECT count(*) AS n, 0::BIGINT AS violations FROM orders")
+_SHOP_DRAWS = {c: c for c in ("total", "paid", "units", "gifts", "placed", "sent", "due")} | {f"fix_{c}": f"repair {c}" for c in ("paid", "gifts", "sent")}
+_JAN, _JUN, _DEC = 1_704_067_200, 1_719_705_600, 1_735_603_200
+
+
+def _mended(old: str, low: str, high: str, fix: str, grid: str) -> str:
+    """A value beyond one end of [low, high] mirrored there or, if that leaves the interval, drawn from it."""
+    m = f"(CASE WHEN {old} > {high} THEN 2 * {high} - {old} ELSE 2 * {low} - {old} END)"
+    return grid.format(f"(CASE WHEN {m} BETWEEN {low} AND {high} THEN {m} ELSE {low} + ({high} - {low}) * {fix} END)")
+
+
+_CENTS = "(floor(round({} * 100, 6)) / 100)"
+
+
+@query(
+    "g10_rule_repair",
+    f"""
+WITH u AS ({_drawn(_SHOP_DRAWS, "(SELECT count(*) FROM orders)")}),
+v AS (SELECT row, fix_paid, fix_gifts, fix_sent, {_money("1000 * total")} AS total, {_money("1000 * paid")} AS paid, {_whole("1 + 49 * units")} AS units, {_whole("50 * gifts")} AS gifts,
+  1e6 * ({_JAN} + floor(placed * {_JUN - _JAN}::DOUBLE)) AS placed, 1e6 * ({_JAN} + floor(sent * {_DEC - _JAN}::DOUBLE)) AS sent FROM u),
+w AS (SELECT *, {_CENTS.format("total")} AS top, least(units - 1, 50)::DOUBLE AS most FROM v),
+x AS (SELECT *, CASE WHEN paid <= total THEN paid ELSE {_mended("paid", "0", "top", "fix_paid", _CENTS)} END AS paid2,
+  CASE WHEN gifts < units THEN gifts ELSE {_mended("gifts", "0", "most", "fix_gifts", "floor({})")}::BIGINT END AS gifts2,
+  CASE WHEN sent >= placed THEN sent ELSE {_mended("sent", "placed", f"{_DEC}e6::DOUBLE", "fix_sent", "floor({})")} END AS sent2 FROM w)
+SELECT total, paid2 AS paid, units, gifts2 AS gifts, make_timestamp(placed::BIGINT) AS placed, make_timestamp(sent2::BIGINT) AS sent, {_CENTS.format("(total - paid2 + 0.005)")} AS due FROM x
+""",
+)
 def g10(spark: SparkSession, d: str) -> DataFrame:
-    """Generated rows obey rules of several forms."""
+    """Generated rows whose values are changed, along the graph of the rules, so that rules of several forms hold."""
     cols = (C("total", "float", 0, 1000), C("paid", "float", 0, 1000), C("units", "int", 1, 50), C("gifts", "int", 0, 50), C("placed", "datetime", description="from 2024-01-01 to 2024-06-30"), C("sent", "datetime", description="from 2024-01-01 to 2024-12-31"), C("due", "float"))
-    rules = ("paid <= total", "gifts < units", "sent >= placed", "due == total - paid")
-    made = generate.generate(spark, Contract(cols, table(spark, d, "orders").count(), rules=rules))
-    checks = ("paid <= total", "gifts < units", "sent >= placed", "abs(due - (total - paid)) < 0.011")
-    bad = clean._all([R.to_column(r, made.schema) for r in checks])
-    return made.agg(F.count("*").alias("n"), F.count_if(~bad).alias("violations"))
+    rules = ("due == total - paid", "paid <= total", "gifts < units", "sent >= placed")
+    return generate.generate(spark, Contract(cols, table(spark, d, "orders").count(), rules=rules))
 
 
 def _small_shop(n: int) -> Dataset:
@@ -869,7 +957,7 @@ def g11(spark: SparkSession, d: str) -> DataFrame:
     """Linked tables for as many customers as there are: no orphans, unique keys, children within limits."""
     n = table(spark, d, "customer").count()
     dataset = _small_shop(n)
-    made = generate.generate_dataset(spark, dataset, n)
+    made = {name: materialised(df, name) for name, df in generate.generate_dataset(spark, dataset, n).items()}
     fk = {r["relationship"].split(".")[0]: r["orphans"] for r in relational.check_foreign_keys(made, dataset).collect()}
     pk = {r["table"]: r["duplicates"] for r in relational.check_primary_keys(made, dataset).collect()}
     card = {r["relationship"].split(".")[0]: r for r in relational.check_cardinality(made, dataset).collect()}
