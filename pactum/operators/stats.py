@@ -52,7 +52,9 @@ def column_stats(df: DataFrame, exact: bool = True) -> DataFrame:
         medians = exact_quantiles(df, numbers, [0.5]) if numbers else {}
         got |= {f"median{k}": medians[f.name][0] for k, f in enumerate(fields) if f.name in medians}
         none = F.lit(None)
-        values = [F.struct(F.lit(k).alias("c"), (_value(f.name) if kind[k] == "numeric" else none).cast("double").alias("d"), (none if kind[k] == "numeric" else F.col(f"`{f.name}`")).cast("string").alias("s")) for k, f in enumerate(fields)]
+        # Whole numbers and decimals are told apart in their own type, as text.
+        loose = [isinstance(f.dataType, (T.DoubleType, T.FloatType)) for f in fields]
+        values = [F.struct(F.lit(k).alias("c"), (_value(f.name) if loose[k] else none).cast("double").alias("d"), (none if loose[k] else F.col(f"`{f.name}`")).cast("string").alias("s")) for k, f in enumerate(fields)]
         seen = df.select(F.inline(F.array(*values))).where("d IS NOT NULL OR s IS NOT NULL").groupBy("c", "d", "s").agg(F.lit(1))
         got |= {f"distinct{r['c']}": r["n"] for r in seen.groupBy("c").agg(F.count("*").alias("n")).collect()}
     rows = []
