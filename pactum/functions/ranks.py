@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from pactum.sources.work import materialised
 
@@ -30,6 +31,28 @@ def prefix_sums(df: DataFrame, order: str, sums: list[str]) -> DataFrame:
     return out.select(*[F.col(c) for c in df.columns], *[(F.col(f"__run_{s}") + F.col(f"__off_{s}")).alias(f"before_{s}") for s in sums])
 
 
+def with_previous(df: DataFrame, group: str, order: list[str], value: str, name: str) -> DataFrame:
+    """``df`` with ``name``: ``value`` of the row before, in ``order``, among those of the same ``group``; null for its first.
+
+    Rows are range-partitioned by group and order, so a group of any size lies in as many partitions as it fills, side by
+    side.  Within a partition the previous row is found by a window; the first row of a group there takes its
+    from the last row of the nearest partition before, if that is of the group too: one row for a partition is
+    all that is carried over.  Nulls are a group, and come first in the order, of which ``order`` must leave no ties.
+    """
+    parted = df.repartitionByRange(*[F.col(f"`{c}`") for c in (group, *order)]).withColumn("__part", F.spark_partition_id())
+    fixed = materialised(parted, "ranges")
+    last = F.max_by(F.struct(F.col(f"`{group}`").alias("g"), F.col(f"`{value}`").alias("v")), F.struct(*[F.col(f"`{c}`") for c in (group, *order)])).alias("last")
+    ends = sorted(fixed.groupBy("__part").agg(last).collect(), key=lambda r: r["__part"])
+    carried = [(b["__part"], a["last"]["g"], a["last"]["v"]) for a, b in zip(ends, ends[1:], strict=False)]
+    kinds = df.schema
+    schema = T.StructType([T.StructField("__part", T.IntegerType()), T.StructField("__carry_group", kinds[group].dataType), T.StructField("__carry", kinds[value].dataType)])
+    carry = df.sparkSession.createDataFrame(carried, schema)
+    there = Window.partitionBy("__part", group).orderBy(*[F.col(f"`{c}`") for c in order])
+    out = fixed.withColumns({"__nth": F.row_number().over(there), name: F.lag(f"`{value}`").over(there)}).join(F.broadcast(carry), "__part", "left")
+    goes_on = (F.col("__nth") == 1) & F.col(f"`{group}`").eqNullSafe(F.col("__carry_group")) & (F.col("__part") > F.lit(ends[0]["__part"] if ends else 0))
+    return out.withColumn(name, F.when(goes_on, F.col("__carry")).otherwise(F.col(name))).select(*[F.col(f"`{c}`") for c in df.columns], name)
+
+
 def average_ranks(df: DataFrame, value: str) -> DataFrame:
     """(``value``, rank): the average rank, from 1, of every distinct non-null value."""
     counts = df.where(F.col(value).isNotNull()).groupBy(value).agg(F.count("*").alias("__n"))

@@ -9,8 +9,9 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from pactum.functions.quantiles import exact_quantiles
-from pactum.functions.ranks import drawn, exactly, uniform
+from pactum.functions.ranks import drawn, exactly, uniform, with_previous
 from pactum.operators.stats import numeric_columns
+from pactum.sources.work import materialised
 
 #: Our share of events by hour of the day: quiet nights, a busy noon and evening.
 HOUR_WEIGHTS = (2, 1, 1, 1, 1, 2, 4, 7, 9, 10, 11, 12, 13, 12, 11, 10, 10, 11, 13, 14, 12, 9, 6, 4)
@@ -54,11 +55,11 @@ def _seconds(col: Column) -> Column:
 def with_velocity(df: DataFrame, entity: str, time_column: str, key: str) -> DataFrame:
     """Seconds since the entity's previous event (86 400 for its first, one decimal), and whether that is under an hour.
 
-    An entity's events are sorted in one task.
+    An entity's events are dealt over as many tasks as they fill (``ranks.with_previous``).
     """
-    order = Window.partitionBy(entity).orderBy(time_column, key)
-    gap = _seconds(F.col(time_column)) - _seconds(F.lag(time_column).over(order))
-    out = df.withColumn("seconds_since_last", F.round(F.greatest(F.coalesce(gap, F.lit(FIRST_GAP_S)), F.lit(0.0)), 1))
+    placed = with_previous(df, entity, [time_column, key], time_column, "__previous")
+    gap = _seconds(F.col(time_column)) - _seconds(F.col("__previous"))
+    out = placed.withColumn("seconds_since_last", F.round(F.greatest(F.coalesce(gap, F.lit(FIRST_GAP_S)), F.lit(0.0)), 1)).drop("__previous")
     return out.withColumn("is_high_velocity", F.col("seconds_since_last") < HIGH_VELOCITY_S)
 
 
@@ -66,11 +67,10 @@ def with_bursts(df: DataFrame, entity: str, time_column: str, key: str, share: f
     """Exactly round(rows * share) events moved to 4 to 25 seconds after the entity's previous event, and flagged.
 
     Only events that have a previous one are moved (fewer, if there are not enough); the label, where the
-    table has it, is set.  Gaps should be computed afterwards.
+    table has it, is set.  Gaps should be computed afterwards.  No entity is held by one task.
     """
-    order = Window.partitionBy(entity).orderBy(time_column, key)
-    placed = df.withColumn("__previous", F.lag(time_column).over(order))
-    n = round(df.count() * share)
+    placed = materialised(with_previous(df, entity, [time_column, key], time_column, "__previous"), "placed")
+    n = round(placed.count() * share)
     chosen = exactly(placed, n, seed, "burst", key, F.col("__previous").isNotNull())
     moved = F.col("__previous") + F.make_dt_interval(secs=(4 + F.floor(drawn(seed, "burst gap", key) * 22)).cast("decimal(18,6)"))
     out = placed.withColumn("is_burst", chosen).withColumn(time_column, F.when(F.col("is_burst"), moved).otherwise(F.col(time_column)))
@@ -93,6 +93,21 @@ def chronological(df: DataFrame, time_column: str, *ties: str) -> DataFrame:
     return df.orderBy(time_column, *ties)
 
 
+def out_of_order(df: DataFrame, time_column: str, *ties: str) -> int:
+    """How many rows come before the row that stands ahead of them, in the order in which the table's rows are read.
+
+    Each task looks at its own rows; the first and last row of each, one row a task, are compared on the driver.
+    """
+    at = [*(time_column, *ties)]
+    placed = materialised(df.select(F.struct(*[F.col(f"`{c}`") for c in at]).alias("o")).select("o", F.monotonically_increasing_id().alias("__at")), "order")
+    part = F.shiftright("__at", 33)
+    ahead = placed.select((F.col("__at") + 1).alias("__at"), F.col("o").alias("before"))
+    inside = placed.join(ahead, "__at").where("o < before").count()
+    ends = placed.groupBy(part.alias("p")).agg(F.min_by("o", "__at").alias("first"), F.max_by("o", "__at").alias("last"))
+    ends = ends.withColumn("before", F.lag("last").over(Window.orderBy("p")))
+    return inside + ends.where("first < before").count()
+
+
 #: Column names that features are derived from, the first that the table has.
 AMOUNT_NAMES = ("transaction_amount", "amount", "order_amount", "total_amount", "purchase_amount", "claim_amount")
 INCOME_NAMES = ("customer_income", "annual_income", "income", "salary")

@@ -1012,11 +1012,12 @@ def e3(spark: SparkSession, d: str) -> DataFrame:
     return enrich.with_bursts(table(spark, d, "events"), "user_id", "ts", "event_id").select("event_id", "is_burst", "ts")
 
 
-@query("e4_time_summary", "SELECT count(*) AS n, count(DISTINCT user_id) AS entities, min(ts) AS first, max(ts) AS last FROM events")
+@query("e4_time_summary", "SELECT count(*) AS n, count(DISTINCT user_id) AS entities, min(ts) AS first, max(ts) AS last, 0::BIGINT AS out_of_order FROM events")
 def e4(spark: SparkSession, d: str) -> DataFrame:
-    """A summary of events in time order."""
+    """A summary of events in time order, and how many rows of the ordered table come before the one ahead of them."""
     df = enrich.chronological(table(spark, d, "events"), "ts", "event_id")
-    return enrich.time_summary(df, "user_id", "ts").select(F.col("rows").alias("n"), "entities", "first", "last")
+    wrong = F.lit(enrich.out_of_order(df, "ts", "event_id")).cast("long").alias("out_of_order")
+    return enrich.time_summary(df, "user_id", "ts").select(F.col("rows").alias("n"), "entities", "first", "last", wrong)
 
 
 @query("e5_ratios", "SELECT l_orderkey, l_linenumber, CASE WHEN l_discount = 0 THEN 0 ELSE round(l_extendedprice / (l_discount / 12), 4) END AS amount_to_income_ratio, round(l_extendedprice / l_linenumber, 4) AS amount_to_limit_ratio FROM lineitem")
