@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from pactum.contract import Contract, Correlation, Monotone
+from pactum.functions.inversions import kendall
 from pactum.functions.quantiles import exact_quantiles
 from pactum.functions.ranks import drawn, prefix_sums, proportional, with_rank
 
@@ -98,46 +99,14 @@ def correlation_matrix(df: DataFrame, columns: list[str] | None = None, method:
     return one.select(F.inline(F.array(*[F.struct(F.lit(a).alias("a"), F.lit(b).alias("b"), F.col(f"r{k}").alias("r")) for k, (a, b) in enumerate(pairs)])))
 
 
-def _kendall(x: np.ndarray, y: np.ndarray) -> float | None:
-    """Kendall's tau-b in n log n: discordant pairs are the exchanges of a merge sort."""
-    n = len(x)
-    order = np.lexsort((y, x))
-    x, y = x[order], y[order]
-
-    def tied(*cols: np.ndarray) -> int:
-        change = np.zeros(n, dtype=bool)
-        change[0] = True
-        for c in cols:
-            change[1:] |= c[1:] != c[:-1]
-        runs = np.diff(np.append(np.flatnonzero(change), n))
-        return int((runs * (runs - 1) // 2).sum())
-
-    ties_x, ties_xy = tied(x), tied(x, y)
-    ties_y = tied(np.sort(y))
-    swaps, width, now = 0, 1, np.unique(y, return_inverse=True)[1].astype(np.int64)
-    while width < n:
-        block = np.arange(n) // (2 * width)
-        left = (np.arange(n) // width) % 2 == 0
-        key = block * (n + 1) + now
-        right_keys, left_keys = key[~left], np.sort(key[left])
-        ends = np.searchsorted(left_keys, (block[~left] + 1) * (n + 1))
-        swaps += int((ends - np.searchsorted(left_keys, right_keys, side="right")).sum())
-        now = now[np.lexsort((now, block))]
-        width *= 2
-    pairs = n * (n - 1) // 2
-    below = math.sqrt(float(pairs - ties_x)) * math.sqrt(float(pairs - ties_y))
-    return (pairs - ties_x - ties_y + ties_xy - 2 * swaps) / below if below else None
-
-
-def pair_correlation(df: DataFrame, a: str, b: str, method: str = "pearson", max_rows: int = 50_000, seed: int = 42) -> float | None:
+def pair_correlation(df: DataFrame, a: str, b: str, method: str = "pearson", max_rows: int | None = None, seed: int = 42) -> float | None:
     """The correlation of two columns over rows that have both; None for fewer than three or a constant.
 
-    Kendall's tau-b is taken on a proportional sample of about ``max_rows`` rows at most.
+    Kendall's tau-b counts all discordant pairs of the table or, with ``max_rows``, those of a proportional sample of about as many rows.
     """
     pairs = df.select(_value(a).alias("x"), _value(b).alias("y")).where("x IS NOT NULL AND y IS NOT NULL")
     if method == "kendall":
-        sample = proportional(pairs, ["x", "y"], max_rows, seed, "kendall").toPandas()
-        return _kendall(sample["x"].to_numpy(), sample["y"].to_numpy()) if len(sample) >= 3 else None
+        return kendall(pairs if max_rows is None else proportional(pairs, ["x", "y"], max_rows, seed, "kendall"))
     if method == "spearman":
         pairs = with_rank(with_rank(pairs, "x", "rx"), "y", "ry").select(F.col("rx").alias("x"), F.col("ry").alias("y"))
     row = pairs.agg(F.count("*").alias("n"), F.corr("x", "y").alias("r")).first()

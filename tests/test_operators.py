@@ -65,12 +65,24 @@ def test_isolated_rows_go(spark):
     assert 385 <= out.count() <= 400
 
 
-def test_kendall_is_tau_b():
-    rng = np.random.default_rng(3)
-    x, y = rng.integers(0, 9, 120).astype(float), rng.integers(0, 9, 120).astype(float)
-    s = [(np.sign(x[i] - x[j]), np.sign(y[i] - y[j])) for i in range(120) for j in range(i)]
-    want = sum(a * b for a, b in s) / math.sqrt(sum(a != 0 for a, _ in s)) / math.sqrt(sum(b != 0 for _, b in s))
-    assert stats._kendall(x, y) == pytest.approx(want)
+def test_kendall_is_tau_b(spark):
+    from pactum.functions import inversions
+
+    rng = np.random.default_rng(1)
+    x, y = rng.integers(0, 12, 700), rng.integers(0, 90, 700)
+    x[:250] = 5  # a third of all rows share one value
+    y = np.where(rng.random(700) < 0.5, y, 7 * x)
+    df = spark.createDataFrame([(float(a), int(b)) for a, b in zip(x, y, strict=True)] + [(None, 1), (2.0, None)], "x double, y long")
+    dx, dy = np.sign(x[:, None] - x), np.sign(y[:, None] - y)
+    want = (dx * dy).sum() / math.sqrt(float((dx != 0).sum()) * float((dy != 0).sum()))
+    assert stats.pair_correlation(df, "x", "y", "kendall") == pytest.approx(want, abs=1e-12)
+    whole = df.dropna()
+    for block in (1, 7, 100):  # many blocks, and blocks of blocks
+        assert inversions.kendall(whole, block) == pytest.approx(want, abs=1e-12)
+    assert abs(stats.pair_correlation(df, "x", "y", "kendall", max_rows=400) - want) < 0.1
+    assert stats.pair_correlation(df.where("x = 5"), "x", "y", "kendall") is None
+    assert stats.pair_correlation(df.limit(0), "x", "y", "kendall") is None
+    assert inversions.weighted_inversions(np.array([3, 1, 2]), np.array([2**40, 2**41, 5])) == 2**81 + 5 * 2**40
 
 
 def test_monotone_relations(spark):
