@@ -280,10 +280,14 @@ def with_noise(df: DataFrame, key: str, rate: float = 0.05, seed: int = 42, keep
         kind = df.schema[c].dataType
         odd = spike(c, old, uniform(seed, f"spike {c}", key))
         # What the column's type cannot hold becomes null there, and is left out.
-        odd = F.lit(None).cast(kind) if kind == T.BooleanType() else F.when(F.abs(odd) < 1e9, odd).try_cast(kind)
+        odd = F.lit(None).cast(kind) if kind == T.BooleanType() else odd.try_cast(kind)
         plans.append((c, (uniform(seed, "spike", key) < 0.4) & (spot(numbers, "spike") == k) & old.isNotNull() & (odd != old), odd, F.lit(f"outlier:{c}")))
     for k, c in enumerate(names):
-        plans.append((c, (uniform(seed, "missing", key) < 0.35) & (spot(names, "missing") == k) & F.col(f"`{c}`").isNotNull(), F.lit(None).cast(df.schema[c].dataType), F.lit(f"missing:{c}")))
+        # A value that is changed in another way is not missing as well.
+        changed = F.lit(False)
+        for other, test, _, _ in plans:
+            changed = changed | F.coalesce(test, F.lit(False)) if other == c else changed
+        plans.append((c, (uniform(seed, "missing", key) < 0.35) & (spot(names, "missing") == k) & F.col(f"`{c}`").isNotNull() & ~changed, F.lit(None).cast(df.schema[c].dataType), F.lit(f"missing:{c}")))
     tests = [F.coalesce(t, F.lit(False)) for _, t, _, _ in plans]
     out = out.withColumn("__done", F.array_compact(F.array(*[F.when(hit & t, label) for t, (_, _, _, label) in zip(tests, plans, strict=True)])))
     fallback = hit & (F.size("__done") == 0)

@@ -143,6 +143,19 @@ def s2(spark: SparkSession, d: str) -> DataFrame:
     return out
 
 
+_ODD_TEXT = """CASE o_orderkey % 9 WHEN 0 THEN NULL WHEN 1 THEN '' WHEN 2 THEN 'two' || chr(10) || 'lines' WHEN 3 THEN 'a "quoted", one'
+  WHEN 4 THEN '#no comment' WHEN 5 THEN '  blanks  ' WHEN 6 THEN 'cr' || chr(13) || chr(10) || '"' WHEN 7 THEN '""' ELSE o_orderpriority END"""
+
+
+@query("s2_csv_round_trip", f"SELECT {_ODD_TEXT} AS note, o_orderkey, o_totalprice, o_orderdate FROM orders")
+def s2_csv(spark: SparkSession, d: str) -> DataFrame:
+    """Orders with notes of line breaks, quotes, signs of comment, blanks, empty and missing text, written as CSV and read back."""
+    notes = table(spark, d, "orders").select(F.expr(_ODD_TEXT).alias("note"), "o_orderkey", "o_totalprice", "o_orderdate")
+    path = io.write_table(notes, work_path(spark, "s2"), "notes", ("csv",))["csv"]
+    kinds = Contract((C("note", "str"), C("o_orderkey", "int"), C("o_totalprice", "float"), C("o_orderdate", "datetime")))
+    return io.read_table(spark, path, "csv", kinds)
+
+
 @query("s3_reference_sample", "SELECT vec_id, label FROM embeddings ORDER BY vec_id LIMIT 2000")
 def s3(spark: SparkSession, d: str) -> DataFrame:
     """A reference sample of at most 2000 rows, without the nested column."""

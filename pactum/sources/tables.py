@@ -17,9 +17,15 @@ SILENT = ("script", "style", "noscript", "svg", "nav", "footer", "header")
 LEAST_LINE = 20
 
 
-def read_table(spark: SparkSession, path: str, fmt: str = "parquet", contract: Contract | None = None, records: bool = False) -> DataFrame:
+#: What stands for a missing value while CSV is read; a field without quotes and content is missing, a quoted one is empty text.
+_MISSING = "\u0000missing\u0000"
+
+
+def read_table(spark: SparkSession, path: str, fmt: str = "parquet", contract: Contract | None = None, records: bool = False, line_breaks: bool = True) -> DataFrame:
     """A Parquet, CSV (lines that begin with # are skipped) or JSON table.
 
+    Quoted CSV text may hold line breaks, so a file is read by one task; ``line_breaks=False`` is for large files
+    without such text, which tasks then share.  An empty field is null, a quoted empty one is empty text.
     A contract gives the types of CSV and JSON columns.  ``records``: each JSON file is one array or one
     object; otherwise it has an object per line.  Objects that have nothing but a list under ``data`` are
     batches of rows.
@@ -27,7 +33,7 @@ def read_table(spark: SparkSession, path: str, fmt: str = "parquet", contract: C
     if fmt == "parquet":
         return spark.read.parquet(path)
     if fmt == "csv":
-        reader = spark.read.option("header", True).option("comment", "#").option("escape", '"').option("multiLine", False)
+        reader = spark.read.option("header", True).option("comment", "#").option("escape", '"').option("multiLine", line_breaks).option("nullValue", _MISSING).option("emptyValue", "")
         if contract is None:
             return reader.option("inferSchema", True).csv(path)
         # Columns are found by name: the file may have others, or another order.
@@ -46,7 +52,10 @@ def read_table(spark: SparkSession, path: str, fmt: str = "parquet", contract: C
 
 
 def write_table(df: DataFrame, directory: str, name: str, formats: tuple[str, ...] = ("parquet",), mode: str = "errorifexists") -> dict[str, str]:
-    """The table under ``directory/name.<format>`` in every format; the paths."""
+    """The table under ``directory/name.<format>`` in every format; the paths.
+
+    CSV text keeps its line breaks, quotes and blanks; empty text is quoted, null is not.
+    """
     out = {}
     for fmt in formats:
         if fmt not in FORMATS:
@@ -54,7 +63,8 @@ def write_table(df: DataFrame, directory: str, name: str, formats: tuple[str, ..
         out[fmt] = f"{directory.rstrip('/')}/{name}.{fmt}"
         writer = df.write.mode(mode)
         if fmt == "csv":
-            writer.option("header", True).option("escape", '"').csv(out[fmt])
+            kept = {"header": True, "escape": '"', "comment": "#", "emptyValue": '""', "ignoreLeadingWhiteSpace": False, "ignoreTrailingWhiteSpace": False}
+            writer.options(**kept).csv(out[fmt])
         elif fmt == "json":
             writer.option("ignoreNullFields", False).json(out[fmt])
         else:

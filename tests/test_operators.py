@@ -170,6 +170,16 @@ def test_noise_is_exact_and_explained(spark):
     assert out.select("id").distinct().count() == 400
 
 
+def test_noise_makes_large_outliers_and_names_each_change_once(spark):
+    df = spark.range(2000).select("id", (F.col("id") * 1e8 + 5e7).alias("total"), F.lit("word").alias("w"))
+    out = enrich.with_noise(df, "id", 0.8).where("is_corrupted").collect()
+    assert sum(r["total"] is not None and r["total"] >= 5e9 and r["total"] == 100 * (r["id"] * 1e8 + 5e7) for r in out) > 50
+    for r in out:
+        columns = [x.split(":")[1] for x in r["corruption_details"].replace(";", ",").split(",") if ":" in x]
+        assert r["total"] is None or "missing:total" not in r["corruption_details"]
+        assert not ("outlier:total" in r["corruption_details"] and "missing:total" in r["corruption_details"]), columns
+
+
 def test_bands_ratios_and_flags(spark):
     df = spark.createDataFrame([(29, 1200.0, 12000.0, 600.0, 579, 3, "2024-06-08 03:00:00"), (None, 10.0, 0.0, 0.0, 800, 0, "bad")], "customer_age int, transaction_amount double, customer_income double, credit_limit double, credit_score int, failed_attempts int, transaction_timestamp string")
     a, b = enrich.with_features(df).collect()
@@ -180,7 +190,8 @@ def test_bands_ratios_and_flags(spark):
 
 def test_every_format_reads_back_equal(spark, tmp_path):
     contract = Contract((Column("k", "int"), Column("s", "str"), Column("x", "float")))
-    df = spark.createDataFrame([(1, 'a "quoted", one', 1.5), (2, "#no comment", None)], "k long, s string, x double")
+    odd = ['a "quoted", one', "#no comment", "two\nlines", "", None, " blank ", "cr\r\nlf", '"', '""', ",", "\\", '\\"', "#\n#"]
+    df = spark.createDataFrame([(k, s, 1.5 if k % 2 else None) for k, s in enumerate(odd)], "k long, s string, x double")
     for fmt, path in io.write_table(df, str(tmp_path), "t", io.FORMATS).items():
         back = io.read_table(spark, path, fmt, contract).orderBy("k").collect()
         assert [tuple(r) for r in back] == [tuple(r) for r in df.orderBy("k").collect()], fmt
