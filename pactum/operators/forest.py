@@ -6,9 +6,12 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from pactum.functions.ranks import proportional
+from pactum.functions.ranks import nth_smallest, proportional
+from pactum.sources.work import materialised
 
 TREES, NODE_ROWS, MAX_FIT_ROWS, LEAST_ROWS = 100, 256, 50_000, 50
+#: Depths are whole numbers of this part, so that sums over trees do not depend on their order.
+UNIT = 1 << 20
 
 
 def _average_path(n: int) -> float:
@@ -17,7 +20,7 @@ def _average_path(n: int) -> float:
 
 
 def fit(sample: np.ndarray, seed: int = 42) -> list[tuple[np.ndarray, ...]]:
-    """Trees as flat arrays: feature (-1 in a leaf), cut, left child, right child, depth of a leaf."""
+    """Trees as flat arrays: feature (-1 in a leaf), cut, left child, right child, depth of a leaf in parts of 1 / UNIT."""
     rng = np.random.default_rng(seed)
     deepest = int(np.ceil(np.log2(max(2, min(NODE_ROWS, len(sample))))))
     trees = []
@@ -27,7 +30,7 @@ def fit(sample: np.ndarray, seed: int = 42) -> list[tuple[np.ndarray, ...]]:
 
         def grow(part: np.ndarray, depth: int, nodes: list[list] = nodes) -> int:
             at = len(nodes)
-            nodes.append([-1, 0.0, 0, 0, depth + _average_path(len(part))])
+            nodes.append([-1, 0.0, 0, 0, round((depth + _average_path(len(part))) * UNIT)])
             low, high = part.min(axis=0), part.max(axis=0)
             wide = np.flatnonzero(high > low)
             if depth < deepest and len(part) > 1 and len(wide):
@@ -44,9 +47,9 @@ def fit(sample: np.ndarray, seed: int = 42) -> list[tuple[np.ndarray, ...]]:
     return trees
 
 
-def score(trees: list[tuple[np.ndarray, ...]], rows: np.ndarray, sample_rows: int) -> np.ndarray:
-    """Anomaly scores from 0 to 1; higher is more isolated."""
-    total = np.zeros(len(rows))
+def depths(trees: list[tuple[np.ndarray, ...]], rows: np.ndarray) -> np.ndarray:
+    """The depth of every row's leaf, added up over the trees, as whole numbers: a small sum is an isolated row."""
+    total = np.zeros(len(rows), dtype=np.int64)
     every = np.arange(len(rows))
     for feature, cut, left, right, depth in trees:
         at = np.zeros(len(rows), dtype=np.int64)
@@ -58,14 +61,16 @@ def score(trees: list[tuple[np.ndarray, ...]], rows: np.ndarray, sample_rows: in
             down = np.where(rows[every, f] < cut[at], left[at], right[at])
             at = np.where(live, down, at)
         total += depth[at]
-    return 2.0 ** (-total / len(trees) / max(_average_path(min(NODE_ROWS, sample_rows)), 1e-9))
+    return total
 
 
 def without_isolated(df: DataFrame, columns: list[str], contamination: float, seed: int = 42, keep: Column | None = None) -> DataFrame:
     """F8: the table without the ``contamination`` share of most isolated rows.
 
     Needs two columns and 50 complete rows, else nothing is removed.  Rows with a null or an infinity are
-    kept unscored, and so are rows that ``keep`` marks.
+    kept unscored; of the n others exactly round(n * contamination) are marked, those of the smallest depths, ties by a hash of all
+    columns (rows alike in all of them go together, as far as that does not pass the share).  Marked rows go, but for
+    those that ``keep`` holds.
     """
     if contamination <= 0 or len(columns) < 2:
         return df
@@ -80,15 +85,25 @@ def without_isolated(df: DataFrame, columns: list[str], contamination: float, se
     if len(picked) < LEAST_ROWS:
         return df
     shared = df.sparkSession.sparkContext.broadcast(fit(picked, seed))
-    n = len(picked)
 
-    @F.pandas_udf("double")
+    @F.pandas_udf("long")
     def scored(*cols):  # noqa: ANN002, ANN202
         import pandas as pd
 
-        return pd.Series(score(shared.value, np.stack([c.to_numpy(dtype=float) for c in cols], axis=1), n))
+        return pd.Series(depths(shared.value, np.stack([c.to_numpy(dtype=float) for c in cols], axis=1)))
 
-    marked = df.withColumn("__score", F.when(whole, scored(*[F.coalesce(F.col(f"`{c}`").cast("double"), F.lit(0.0)) for c in columns])))
-    cut = marked.agg(F.percentile_approx("__score", 1 - contamination, 10000)).first()[0]
-    stays = F.coalesce(F.col("__score") <= F.lit(cut), F.lit(True))
-    return marked.where(stays if keep is None else stays | keep).drop("__score")
+    deep = F.when(whole, scored(*[F.coalesce(F.col(f"`{c}`").cast("double"), F.lit(0.0)) for c in columns]))
+    marked = materialised(df.withColumns({"__depth": deep, "__tie": F.xxhash64(*[F.col(f"`{c}`") for c in df.columns])}), "depths")
+    n = round(marked.where("__depth IS NOT NULL").count() * contamination)
+    found = nth_smallest(marked, "__depth", n) if n else None
+    if found is None:
+        return df
+    cut, below, equal = found
+    goes = F.col("__depth") <= cut
+    if below + equal > n:
+        tied = nth_smallest(marked.where(F.col("__depth") == cut), "__tie", n - below)
+        last, fewer, alike = tied
+        among = (F.col("__tie") <= last) if fewer + alike <= n - below else (F.col("__tie") < last)
+        goes = (F.col("__depth") < cut) | (F.col("__depth") == cut) & among
+    stays = ~F.coalesce(goes, F.lit(False))
+    return marked.where(stays if keep is None else stays | keep).drop("__depth", "__tie")

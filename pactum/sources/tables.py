@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 import html
 
 import pandas as pd
@@ -127,18 +128,36 @@ def manifest(tables: dict[str, DataFrame], dataset: Dataset, rows_before: dict[s
     return first.sparkSession.createDataFrame(rows, "table string, rows long, columns array<string>, primary_key string, parents array<string>, retention_pct double")
 
 
+#: Sums of row hashes are taken modulo this.
+_MODULUS = 1 << 64
+
+
+def schema_text(df: DataFrame) -> str:
+    return ",".join(f"{f.name}:{f.dataType.simpleString()}" for f in df.schema.fields)
+
+
 def fingerprint(df: DataFrame) -> dict:
     """Rows, columns and a digest of the content that does not depend on row order but on every row's count.
 
-    Two seeded 64-bit hashes of each row are summed as wide decimals, and hashed together with the schema.
+    A row's text has each value, as text, behind its length.  Two MD5 values of it (of "1:" and "2:" and the text) are
+    four numbers of 64 bits, which are added up modulo 2^64 over all rows.  The digest is the MD5 of the schema and the four sums,
+    so digests of parts add up to that of the whole (:func:`merged`), and SQL elsewhere can repeat it.
     """
-    cols = [F.coalesce(F.col(f"`{c}`").cast("string"), F.lit("\0null")) for c in df.columns]
-    sums = [F.sum(F.xxhash64(F.lit(seed), F.lit("row"), *cols).cast("decimal(38,0)")).alias(f"s{seed}") for seed in (1, 2)]
-    row = df.agg(F.count("*").alias("n"), *sums)
-    schema = ",".join(f"{f.name}:{f.dataType.simpleString()}" for f in df.schema.fields)
-    text = F.concat_ws("|", F.lit(schema), F.col("n").cast("string"), F.col("s1").cast("string"), F.col("s2").cast("string"))
-    got = row.select("n", F.sha2(text, 256).alias("digest")).first()
-    return {"rows": got["n"], "columns": len(df.columns), "digest": got["digest"]}
+    values = [F.coalesce(F.concat(F.length(v).cast("string"), F.lit(":"), v), F.lit("-")) for v in (F.col(f"`{c}`").cast("string") for c in df.columns)]
+    text = F.concat(F.lit(""), *values)
+    hashes = df.select(*[F.md5(F.concat(F.lit(f"{k}:"), text)).alias(f"h{k}") for k in (1, 2)])
+    parts = [F.conv(F.substring(f"h{k}", at, 16), 16, 10).cast("decimal(38,0)") for k in (1, 2) for at in (1, 17)]
+    got = hashes.agg(F.count("*").alias("n"), *[(F.coalesce(F.sum(p), F.lit(0)) % F.lit(str(_MODULUS)).cast("decimal(38,0)")).alias(f"s{k}") for k, p in enumerate(parts)]).first()
+    return {"rows": got["n"], "columns": len(df.columns), "digest": "-".join([hashlib.md5(schema_text(df).encode()).hexdigest(), *(str(int(got[f"s{k}"])) for k in range(4))])}
+
+
+def merged(one: dict, two: dict) -> dict:
+    """The fingerprint of two tables of one schema put together, from theirs."""
+    (schema, *a), (other, *b) = one["digest"].split("-"), two["digest"].split("-")
+    if schema != other:
+        raise ValueError("the tables have different columns")
+    sums = [str((int(x) + int(y)) % _MODULUS) for x, y in zip(a, b, strict=True)]
+    return {"rows": one["rows"] + two["rows"], "columns": one["columns"], "digest": "-".join([schema, *sums])}
 
 
 def declaration(df: DataFrame, seed: int | None = None, audited: str = "not measured") -> dict:
