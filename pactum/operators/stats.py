@@ -5,7 +5,6 @@ from __future__ import annotations
 import math
 from itertools import combinations
 
-import numpy as np
 from pyspark.sql import Column, DataFrame, Row, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
