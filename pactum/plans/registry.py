@@ -510,6 +510,12 @@ def x7(spark: SparkSession, d: str) -> DataFrame:
     return stats.describe(table(spark, d, "part")).select("column", F.col("count").alias("n"), F.round("mean", 4).alias("mean"), F.round("std", 4).alias("std"))
 
 
+@query("x7_first_rows", "SELECT * FROM part ORDER BY p_retailprice, p_partkey LIMIT 8")
+def x7_first(spark: SparkSession, d: str) -> DataFrame:
+    """The eight rows of parts to look at: the cheapest."""
+    return stats.first_rows(table(spark, d, "part"), 8, ["p_retailprice", "p_partkey"])
+
+
 @query(
     "x8_histogram",
     """WITH m AS (SELECT min(o_totalprice) AS lo, max(o_totalprice) AS hi FROM orders), c AS (SELECT least(floor((o_totalprice - lo) / ((hi - lo) / 40)), 39)::INT AS bin, count(*) AS n FROM orders, m GROUP BY 1)
