@@ -3,18 +3,19 @@
 from __future__ import annotations
 
 import hashlib
-import html
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from pactum.contract import Contract, Dataset
+from pactum.functions import markup
 
 FORMATS = ("parquet", "csv", "json")
 #: Elements whose content is not text.
 SILENT = ("script", "style", "noscript", "svg", "nav", "footer", "header")
+#: Elements whose tags break lines.
+BLOCKS = ("p", "div", "br", "li", "ul", "ol", r"h[1-6]", "tr", "table", "section", "article", "title", "body", "html", "head")
 LEAST_LINE = 20
 
 
@@ -98,20 +99,16 @@ def numeric_where_all_parse(df: DataFrame) -> DataFrame:
 def html_text(df: DataFrame, html_column: str = "html", name: str = "text") -> DataFrame:
     """The visible text of pages, a line per piece: lines of more than 20 characters.
 
-    Silent elements and comments go, tags become a line break's blank, references are decoded and blanks
-    squeezed.  Null stays null.
+    Silent elements and comments go, tags become a line break or a blank, references are decoded and blanks
+    squeezed.  Null stays null.  All of it is built-in expressions, in time that grows with the length of the page, whatever it holds.
     """
-
-    @F.pandas_udf("string")
-    def decoded(text: pd.Series) -> pd.Series:
-        return text.map(html.unescape, na_action="ignore")
-
     col = F.col(html_column)
-    col = F.regexp_replace(col, rf"(?is)<({'|'.join(SILENT)})\b[^>]*>.*?</\1\s*>", " ")
-    col = F.regexp_replace(col, r"(?s)<!--.*?-->", " ")
-    col = F.regexp_replace(col, r"(?i)</?(p|div|br|li|ul|ol|h[1-6]|tr|table|section|article|title|body|html|head)\b[^>]*>", "\n")
-    col = F.regexp_replace(col, r"(?s)<[^>]+>", " ")
-    lines = F.split(decoded(col), "\n")
+    for tag in SILENT:
+        col = markup.without_elements(col, tag)
+    col = markup.without_comments(col)
+    col = markup.replace_tags(col, rf"/?(?:{'|'.join(BLOCKS)})\b", "\n")
+    col = markup.replace_tags(col, "[^>]", " ")
+    lines = F.split(markup.unescaped(col), "\n")
     lines = F.transform(lines, lambda x: F.trim(F.regexp_replace(x, r"[ \t\r\f\x0B]+", " ")))
     return df.withColumn(name, F.array_join(F.filter(lines, lambda x: F.length(x) > LEAST_LINE), "\n"))
 
