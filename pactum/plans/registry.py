@@ -744,10 +744,42 @@ def p2(spark: SparkSession, d: str) -> DataFrame:
     return privacy.exact_copies(df.where("l_returnflag = 'A'"), df.where("l_returnflag = 'R'"), ["l_quantity", "l_discount"]).withColumnRenamed("rows", "n")
 
 
-@query("p3_risk")
+_FLAGS = "l_quantity", "l_extendedprice", "l_discount"
+
+
+def _whole_sql() -> str:
+    points = ", ".join(f"({c} - avg({c}) FILTER (f = 'R') OVER ()) / stddev_pop({c}) FILTER (f = 'R') OVER () AS v{k}" for k, c in enumerate(_FLAGS))
+    far = " + ".join(f"(x.v{k} - y.v{k}) ** 2" for k in range(len(_FLAGS)))
+    return f"""WITH h AS (SELECT l_returnflag AS f, {', '.join(_FLAGS)} FROM lineitem WHERE l_returnflag IN ('A', 'R')), z AS (SELECT row_number() OVER () AS i, f, {points} FROM h),
+q AS (SELECT x.f, x.i, min({far}, 2) AS d FROM z x JOIN z y ON y.f = 'R' AND x.i <> y.i GROUP BY x.f, x.i), n AS (SELECT f, sqrt(d[1]) AS d1, sqrt(d[2]) AS d2 FROM q)
+SELECT CASE f WHEN 'A' THEN 'table' ELSE 'reference' END AS side, count(*) AS n, round(min(d1), 9) AS dcr_min, round(avg(d1), 9) AS dcr_mean, round(quantile_cont(d1, 0.05), 9) AS dcr_p5, count(*) FILTER (d1 <= 1e-6) AS identical,
+ count(*) FILTER (CASE WHEN d2 = 0 THEN 0 ELSE d1 / d2 END < 0.2) AS close FROM n GROUP BY f"""
+
+
+@query("p1_whole_reference", _whole_sql())
+def p1_whole(spark: SparkSession, d: str) -> DataFrame:
+    """Distances of all accepted lineitems to the nearest of all returned ones, and of these to each other."""
+    df = table(spark, d, "lineitem")
+    got = privacy.distance_report(df.where("l_returnflag = 'A'"), df.where("l_returnflag = 'R'"), list(_FLAGS), max_reference=None)
+    return got.withColumns({c: F.round(c, 9) for c in ("dcr_min", "dcr_mean", "dcr_p5")})
+
+
+_P3_SQL = _HALVES + """, g AS (SELECT own, count(*) AS n, quantile_cont(d1, 0.05) AS p5, count(*) FILTER (d1 <= 1e-6) AS same, count(*) FILTER (CASE WHEN d2 = 0 THEN 0 ELSE d1 / d2 END < 0.2) AS close FROM n GROUP BY own),
+t AS (SELECT * FROM g WHERE own), b AS (SELECT * FROM g WHERE NOT own),
+e AS (SELECT count(*) FILTER (own AND (a, b) IN (SELECT (a, b) FROM h WHERE NOT own)) AS copies, count(*) FILTER (NOT own) AS base, coalesce((SELECT sum(c) FROM (SELECT count(*) AS c FROM h WHERE NOT own GROUP BY a, b) WHERE c > 1), 0) AS repeats FROM h),
+k AS (SELECT 'identical' AS "check", greatest(copies, t.same) AS k, t.n AS n, repeats AS bk, base AS bn, greatest(copies, t.same) > 0 AND repeats = 0 AS sure FROM e, t UNION ALL SELECT 'close', t.close, t.n, b.close, b.n, false FROM t, b),
+r AS (SELECT *, k / n - bk / bn AS excess, sqrt((k + bk) / (n + bn) * (1 - (k + bk) / (n + bn)) * (1 / n + 1 / bn)) AS error FROM k),
+l AS (SELECT "check", CASE WHEN sure OR excess > greatest(3 * error, 0.01) THEN 'HIGH' WHEN excess > greatest(2 * error, 0.005) THEN 'MEDIUM' ELSE 'LOW' END AS level, k / n AS value, bk / bn AS baseline FROM r
+  UNION ALL SELECT 'distance_p5', CASE WHEN t.p5 < 0.8 * b.p5 THEN 'MEDIUM' ELSE 'LOW' END, t.p5, b.p5 FROM t, b)
+SELECT "check", level, round(value, 9) AS value, round(baseline, 9) AS baseline FROM l
+UNION ALL SELECT 'overall', max_by(level, list_position(['LOW', 'MEDIUM', 'HIGH'], level)), NULL, NULL FROM l"""
+
+
+@query("p3_risk", _P3_SQL)
 def p3(spark: SparkSession, d: str) -> DataFrame:
     """The privacy verdict on parts."""
-    return privacy.privacy_risk(*_halves(spark, d))
+    got = privacy.privacy_risk(*_halves(spark, d))
+    return got.withColumns({c: F.round(c, 9) for c in ("value", "baseline")})
 
 
 @query(
