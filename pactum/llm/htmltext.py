@@ -9,11 +9,14 @@ however its pages are dealt.
 Markup decides what repeats cannot tell.  Of a page with an article (else a main element) that is the text:
 copies of an article repeat too, and adverts beside it need not.  Elements that are menu, header, footer,
 sidebar, form or hidden by their name or role go, and so do reader comments, which are unique and yet no
-article.
+article.  Within an article repeats decide on small blocks of containers with a class of their own, such as
+notices and adverts: one that stands, whole, in two distinct articles of the host is boilerplate.  Its
+paragraphs stay, whatever other pages repeat.
 """
 
 from __future__ import annotations
 
+import hashlib
 import html
 import re
 from collections.abc import Callable, Iterator
@@ -45,6 +48,8 @@ _CONTAINERS = {"div", "section", "article", "ol", "ul", "li", "details", "table"
 #: Whole names of classes and ids that hold reader comments.
 _COMMENTS = re.compile(r"(comments?|comment[-_]?(list|section|area|thread|body|block)s?|disqus([-_]thread)?|replies|respond)", re.I)
 _ARTICLE, _MAIN = 2, 1
+#: Within an article, marked blocks of more than this share of its text are not held to be boilerplate; main is the text if its articles hold less.
+SMALL_SHARE, LEAST_ARTICLE = 0.25, 0.5
 #: Bytes of html that are worked on in one step.
 BYTES_AT_ONCE = 500_000
 #: What tells a short block from the start of a longer one.
@@ -207,18 +212,37 @@ def blocks_of(page: str) -> list[Block]:
 
 
 class Page:
-    """The blocks of a page and which of them an article (else a main element) protects."""
+    """The blocks of a page and which of them an article (else a main element) protects.
+
+    ``open`` blocks are held against other pages: those outside the protected part, and within it the
+    ``marked`` ones, small blocks of containers with a class.  ``article`` is the protected text.
+    """
 
     def __init__(self, source: str) -> None:
         self.blocks = blocks_of(source)
-        self.part = max((b.part for b in self.blocks if not b.dropped), default=0)
-        self.open = [not self.part or b.dropped or b.part != self.part for b in self.blocks]
+        sizes = [0, 0, 0]
+        for b in self.blocks:
+            if not b.dropped:
+                sizes[b.part] += len(b.text)
+        self.part = max((p for p in (_MAIN, _ARTICLE) if sizes[p]), default=0)
+        if self.part == _ARTICLE and sizes[_ARTICLE] < LEAST_ARTICLE * (sizes[_ARTICLE] + sizes[_MAIN]):
+            # Teasers within the main text.
+            self.part = _MAIN
+        inside = [self.part > 0 and not b.dropped and b.part >= self.part for b in self.blocks]
+        whole = sum(len(b.text) for b, i in zip(self.blocks, inside, strict=True) if i)
+        self.marked = [i and "." in b.mark and b.mark[1:].partition(".")[0] in _CONTAINERS and len(b.text) <= SMALL_SHARE * whole for b, i in zip(self.blocks, inside, strict=True)]
+        self.open = [m or not i for m, i in zip(self.marked, inside, strict=True)]
+        self.article = "\n".join(b.text for b, i, m in zip(self.blocks, inside, self.marked, strict=True) if i and not m)
 
     def text(self, covered: Iterator[np.ndarray]) -> str:
         """The main text, given which tokens of each block in turn that is not protected go."""
         kept = []
-        for b, is_open in zip(self.blocks, self.open, strict=True):
+        for b, is_open, marked in zip(self.blocks, self.open, self.marked, strict=True):
             own = next(covered) if is_open else None
+            if marked:
+                if not own.all():
+                    kept.append(b.text)
+                continue
             if b.dropped or (is_open and self.part):
                 continue
             if own is None or not own.any():
@@ -234,7 +258,8 @@ class Windows:
     """All substrings of some pages outside their protected blocks: key, page, first token and tokens of each.
 
     A page's stream is the mark of each block's element and its words; it is cut where protected blocks stand.
-    A substring has ``min_tokens`` tokens; a block of fewer is one of its own as well.
+    A substring has ``min_tokens`` tokens; a block of fewer is one of its own as well.  A marked block within
+    an article is a stretch of its own.
     """
 
     key: np.ndarray
@@ -242,20 +267,22 @@ class Windows:
     first: np.ndarray
     width: np.ndarray
     blocks: np.ndarray
+    marked: np.ndarray
 
     @staticmethod
     def of(pages: list[Page], hosts: np.ndarray, min_tokens: int, powers: Powers) -> Windows:
-        raw, page, stretch = [], [], []
+        raw, page, stretch, loose = [], [], [], []
         cuts = 0
         for k, p in enumerate(pages):
             cuts += 1
-            for b, is_open in zip(p.blocks, p.open, strict=True):
+            for b, is_open, marked in zip(p.blocks, p.open, p.marked, strict=True):
+                cuts += marked
                 if is_open:
+                    loose.append(marked)
                     raw.append(f"{b.mark} {b.text}".encode("utf-8", "replace"))
                     page.append(k)
                     stretch.append(cuts)
-                else:
-                    cuts += 1
+                cuts += marked or not is_open
         offsets = np.cumsum([0, *map(len, raw)])
         hashes, at = word_hashes(np.frombuffer(b"".join(raw), dtype=np.uint8), offsets, powers)
         n, at = np.diff(at), at[:-1]
@@ -272,7 +299,18 @@ class Windows:
             part[live] = mix(part[live] + hashes[at[short[live]] + k])
         of = np.concatenate([np.repeat(page, n)[first], page[short]])
         key = mix(np.concatenate([whole, part]) + hosts[of])
-        return Windows(key, of, np.concatenate([first, at[short]]), np.concatenate([np.full(len(first), min_tokens), n[short]]), n)
+        loose = np.array(loose, dtype=bool)
+        marked = np.concatenate([np.repeat(loose, n)[first], loose[short]])
+        # Repeats within articles and outside them are told apart.
+        key[marked] = mix(key[marked])
+        return Windows(key, of, np.concatenate([first, at[short]]), np.concatenate([np.full(len(first), min_tokens), n[short]]), n, marked)
+
+    def contents(self, pages: list[Page], contents: np.ndarray) -> np.ndarray:
+        """What tells distinct pages from copies, for each substring: the whole page's hash, within an article its protected text's."""
+        own = np.zeros(len(pages), dtype=np.int64)
+        for k in np.unique(self.page[self.marked]).tolist():
+            own[k] = int.from_bytes(hashlib.blake2b(pages[k].article.encode("utf-8", "replace"), digest_size=8).digest(), "little", signed=True)
+        return np.where(self.marked, own[self.page], contents[self.page])
 
     def covered(self, hit: np.ndarray) -> Iterator[np.ndarray]:
         """Of each block in turn, which tokens the substrings that ``hit`` tells cover."""
@@ -299,7 +337,7 @@ def _runs(min_tokens: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.R
             contents = batch.column(1).to_numpy()
             for start, stop, pages, hosts in _parsed(batch, 2):
                 found = Windows.of(pages, hosts, min_tokens, powers)
-                key, content = found.key.view(np.int64), contents[start:stop][found.page]
+                key, content = found.key.view(np.int64), found.contents(pages, contents[start:stop])
                 if not len(key):
                     continue
                 suffixes = np.argsort(key, kind="stable")
@@ -316,8 +354,10 @@ def extract_main_text(
 ) -> DataFrame:
     """(id, url, text, n_chars) of every page's whole html.
 
-    Within an article (else within the main element) the text of all blocks, whatever it says, in page order,
-    joined by a space; references are decoded and white space squeezed.  On a page with neither, of all
+    Within an article (else within the main element, or if articles hold less than half of its text) the text of
+    all blocks, whatever it says, in page order, joined by a space; references are decoded and white space
+    squeezed.  A container there that has a class, stands right around its text and holds a quarter of the
+    whole at most goes if it stands in two distinct articles of the host.  On a page with neither, of all
     blocks the tokens that no substring of ``min_tokens`` or more covers that stands on two pages of the host
     with different html; a shorter block goes if it stands on two.  Menus, headers, footers, sidebars, forms,
     hidden elements, scripts, styles and reader comments go wherever they stand.  So a page has the same text

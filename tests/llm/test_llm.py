@@ -389,6 +389,35 @@ def test_main_text_by_markup(spark):
     assert main_texts(spark, [kept]) == ["T What came before As noticed Soup"]
 
 
+def test_small_marked_blocks_within_articles_go_if_they_repeat(spark):
+    story = "<p>The {0} boat left the {0} harbour early, and all who had come to see it waved until the fog took it away.</p>"
+    shared = "<p>" + "One passage of many words that two articles quote. " * 6 + "</p>"
+    box = '<div class="newsletter">Sign up for {0}</div><div class="ad">BUY</div>'
+
+    def page(name: str, more: str = "") -> str:
+        return f"<body><nav>Home {name}</nav><article><h1>{name}</h1>{story.format(name)}{shared}{more}</article>"
+
+    def text(name: str, more: str = "") -> str:
+        return f"{name} The {name} boat left the {name} harbour early, and all who had come to see it waved until the fog took it away. " + ("One passage of many words that two articles quote. " * 6).strip() + more
+
+    pages = [page("red", box.format("news")), page("blue", box.format("more")), page("green", '<p class="ad">BUY</p>'), page("green", '<p class="ad">BUY</p>')]
+    want = [text("red", " Sign up for news"), text("blue", " Sign up for more"), text("green", " BUY"), text("green", " BUY")]
+    assert main_texts(spark, pages) == want
+    assert main_texts(spark, pages, max_broadcast=0) == want
+    assert main_texts(spark, pages, repeats=False)[0] == text("red", " Sign up for news BUY")
+    # Copies of one article are one article, whatever stands around it; other hosts do not count.
+    copies = [("http://a.com/", page("red", box.format("news"))), ("http://a.com/", "<p>x</p>" + page("red", box.format("news"))), ("http://b.com/", page("blue", box.format("news")))]
+    assert main_texts(spark, copies) == [text("red", " Sign up for news BUY")] * 2 + [text("blue", " Sign up for news BUY")]
+    # A block that is more than a quarter of the article is no notice.
+    large = ["<article><h1>{}</h1><div class=body>The whole of what there is to read on this page, word for word.</div></article>".format(x) for x in "ab"]
+    assert main_texts(spark, large) == [f"{x} The whole of what there is to read on this page, word for word." for x in "ab"]
+
+
+def test_main_with_teasers_is_the_text(spark):
+    assert main_texts(spark, ["<main><article>teaser</article><p>the text proper</p></main><p>beside</p>"]) == ["teaser the text proper"]
+    assert main_texts(spark, ["<main><article>the text proper, at length</article><p>more like it</p></main>"]) == ["the text proper, at length"]
+
+
 def test_hostile_pages_take_linear_time():
     import time
 
