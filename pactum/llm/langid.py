@@ -32,6 +32,8 @@ BITS = 12
 #: ASCII bytes other than letters count as a space.
 _CLASS = np.arange(256, dtype=np.uint32)
 _CLASS[[b for b in range(128) if not chr(b).isalpha()]] = 0x20
+#: Bytes whose features are summed in one step.
+PIECE = 65_536
 #: Texts of more bytes are predicted whole but not learned from.
 MAX_TRAINING_BYTES = 200_000
 #: What all languages together may bring to the driver, about: rows and bytes.
@@ -105,15 +107,25 @@ class Model:
         self.weights = np.stack([w * scale for w, *_ in fits], axis=1).astype(np.float32) if fits else np.zeros((1 << BITS, 0), np.float32)
         self.bias, self.slope, self.shift = (np.array([fit[k] for fit in fits]) for k in (1, 2, 3))
 
+    def _sums(self, data: np.ndarray, start: np.ndarray, stop: np.ndarray) -> np.ndarray:
+        """Of each row, the weights of the features that begin from ``start`` up to ``stop``, summed a piece of the data at a time."""
+        total = np.zeros((len(start), self.weights.shape[1]))
+        if not self.tasks:
+            return total
+        for a in range(0, len(data) - 2, PIECE):
+            b = min(a + PIECE, len(data) - 2)
+            gain = np.zeros((b - a + 1, total.shape[1]))
+            np.cumsum(self.weights[_grams(data[a : b + 2])], axis=0, dtype=np.float64, out=gain[1:])
+            # Rows follow one another, so those that reach into the piece do too.
+            own = slice(np.searchsorted(stop, a, "right"), np.searchsorted(start, b, "left"))
+            total[own] += gain[np.clip(stop[own], a, b) - a] - gain[np.clip(start[own], a, b) - a]
+        return total
+
     def predict(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(language numbers, scores from 0 to 1) of the rows."""
         rows = len(offsets) - 1
-        gain = np.zeros((max(len(data) - 1, 1), self.weights.shape[1]))
-        if len(data) > 2 and self.tasks:
-            np.cumsum(self.weights[_grams(data)], axis=0, dtype=np.float64, out=gain[1:])
         stop = np.maximum(offsets[1:] - 2, offsets[:-1])
-        clip = len(gain) - 1
-        total = gain[np.minimum(stop, clip)] - gain[np.minimum(offsets[:-1], clip)]
+        total = self._sums(data, offsets[:-1], stop)
         margin = total / np.maximum(stop - offsets[:-1], 1)[:, None] + self.bias
         chance = 1 / (1 + np.exp(-np.clip(self.slope * margin + self.shift, -30, 30)))
         family = np.ones((rows, len(self.families)))
@@ -175,7 +187,8 @@ def identify(docs: DataFrame, model: Model | None, id_col: str = "doc_id", text_
     """(id, ``keep`` columns, lang_pred, score) of every row's whole text.
 
     ``und`` with score 0 if the text is null, empty or has no letter, and for every row if nothing could
-    be learned.  Only the text is looked at.  Repeated rows are predicted alike; of equal chances the
+    be learned, and an empty table gives an empty result.  Only the text is looked at, the whole of it,
+    however long it is: its features are summed in pieces of PIECE bytes.  Repeated rows are predicted alike; of equal chances the
     family, and the language in it, that comes first in code point order wins.  Columns that are not named play
     no part, whatever they are called.
     """
