@@ -35,8 +35,9 @@ def judge_urls(pages: DataFrame, rules: DataFrame, id_col: str = "page_id", url_
     other columns play no part.
 
     Only the (host labels, path length) shapes that occur among the rules are expanded; of up to
-    ``max_shapes`` shapes, the shapes, not the rules, come to the driver.  Beyond that every host suffix
-    meets every path prefix.  Rules are broadcast up to ``max_broadcast_rules`` rows and joined with a
+    ``max_shapes`` shapes, the shapes, not the rules, come to the driver.  Beyond that each host
+    suffix is joined to the path lengths of the rules with as many labels, so that a URL of n characters has
+    no more prefixes than rules have lengths.  Rules are broadcast up to ``max_broadcast_rules`` rows and joined with a
     shuffle beyond.  Each distinct URL is expanded once.
     """
     at = F.instr("rule", "/")
@@ -57,8 +58,10 @@ def judge_urls(pages: DataFrame, rules: DataFrame, id_col: str = "page_id", url_
         wanted = F.from_json(F.lit(json.dumps([{"k": k, "n": n} for k, n in shapes])), "array<struct<k:int,n:int>>")
         fitting = F.filter(wanted, lambda s: (F.size(labels) >= s["k"]) & (F.length("path") >= s["n"]))
     else:
-        every = F.transform(F.sequence(F.lit(1), F.size(labels)), lambda k: F.transform(F.sequence(F.lit(0), F.length("path")), lambda n: F.struct(k.alias("k"), n.alias("n"))))
-        fitting = F.flatten(every)
+        # The lengths of the rules of each number of labels; joined, they are a URL's own.
+        lengths = table.groupBy(F.col("labels").alias("k")).agg(F.collect_set("path_chars").alias("lengths"))
+        parts = parts.select("url", "host", "path", F.explode(F.sequence(F.lit(1), F.size(labels))).alias("k")).join(broadcast_if_small(lengths, max_shapes), "k")
+        fitting = F.transform(F.filter("lengths", lambda n: F.length("path") >= n), lambda n: F.struct(F.col("k").alias("k"), n.alias("n")))
     suffix = lambda k: F.array_join(F.slice(labels, F.size(labels) - k + 1, k), ".")
     expressions = F.transform(fitting, lambda s: F.concat(suffix(s["k"]), F.substr("path", F.lit(1), s["n"])))
     expanded = parts.select("url", F.explode(F.array_distinct(expressions)).alias("expression")).withColumn("full", F.sha2("expression", 256))
