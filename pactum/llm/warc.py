@@ -98,27 +98,58 @@ def write_warc(
     text.write.option("lineSep", "\0" * 8).option("maxRecordsPerFile", records_per_file).text(path)
 
 
-def _member_header(content: memoryview, at: int) -> bool:
-    """Whether a gzip header stands at ``at``, with names of no more than 4096 bytes, so that junk is told soon."""
-    if len(content) < at + 10 or content[at + 3] & 0xE0:
-        return False
-    flags, at = content[at + 3], at + 10
-    if flags & 4:
-        at += 2 + int.from_bytes(content[at : at + 2], "little")
-    for flag in (8, 16):
-        if flags & flag:
-            found = bytes(content[at : at + 4096]).find(0)
-            if found < 0:
-                return False
-            at += found + 1
-    return at < len(content)
-
-
-def _inflate(content: memoryview, at: int) -> tuple[bytes, int, bool]:
+class _Headers:
+    """Where the deflated bytes of gzip members start, names of any length included.
+
+    Zeros are searched once, and a start at which inflating failed is not tried again for another header
+    before it, so that junk is told in linear time.
+    """
+
+    def __init__(self, content: bytes) -> None:
+        self.content, self.zero_from, self.zero = content, 0, -1
+        self.failed: set[int] = set()
+
+    def _after_zero(self, at: int) -> int:
+        """The position after the next zero byte, or 0."""
+        if not self.zero_from <= at <= self.zero:
+            found = self.content.find(0, at)
+            self.zero_from, self.zero = at, len(self.content) if found < 0 else found
+        return self.zero + 1 if self.zero < len(self.content) else 0
+
+    def start(self, at: int) -> int:
+        """Where the deflated bytes behind the header at ``at`` start, or 0 if no member can stand there."""
+        content = self.content
+        if len(content) < at + 10 or content[at + 3] & 0xE0:
+            return 0
+        flags, at = content[at + 3], at + 10
+        if flags & 4:
+            at += 2 + int.from_bytes(content[at : at + 2], "little")
+        for flag in (8, 16):
+            if flags & flag:
+                at = self._after_zero(at)
+                if not at:
+                    return 0
+        # A checksum of the header is passed over: that of the content decides.
+        at += flags & 2
+        return 0 if at >= len(content) or at in self.failed else at
+
+
+def _inflate(content: memoryview, at: int, headers: _Headers) -> tuple[bytes, int, bool]:
     """(bytes, end, whole) of the gzip member at ``at``; of a damaged or cut one, what comes before the damage."""
-    if not _member_header(content, at):
+    start = headers.start(at)
+    if not start:
         return b"", at, False
-    squeeze, parts, end, step = zlib.decompressobj(31), [], at, 1024
+    raw, end, whole = _inflated(content, start)
+    sums = zlib.crc32(raw).to_bytes(4, "little") + (len(raw) & 0xFFFFFFFF).to_bytes(4, "little")
+    if whole and content[end : end + 8] == sums:
+        return raw, end + 8, True
+    headers.failed.add(start)
+    return raw, end, False
+
+
+def _inflated(content: memoryview, at: int) -> tuple[bytes, int, bool]:
+    """(bytes, end, whole) of the deflated stream at ``at``."""
+    squeeze, parts, end, step = zlib.decompressobj(-15), [], at, 1024
     while not squeeze.eof and end < len(content):
         before = squeeze.copy()
         try:
@@ -263,14 +294,14 @@ def salvage(content: bytes) -> Iterator[dict]:
     after it; the damaged member is a gap as well.
     """
     view, at, size = memoryview(content), 0, len(content)
-    bad, reason, marks = None, "", _Marks(content)
+    bad, reason, marks, headers = None, "", _Marks(content), _Headers(content)
     # Records of a damaged member, which may also stand uncompressed in its bytes.
     seen, seen_to = set(), 0
     while at < size:
         found: list[dict] = []
         end = None
         if content[at : at + 3] == MAGIC:
-            raw, stop, whole = _inflate(view, at)
+            raw, stop, whole = _inflate(view, at, headers)
             found, why = _inner(raw, whole), "gzip member is damaged"
             if not whole:
                 # A record that no version line follows counts as damaged.

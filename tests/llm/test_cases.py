@@ -6,6 +6,7 @@ import hashlib
 import random
 import re
 import time
+import zlib
 
 import numpy as np
 import pytest
@@ -47,7 +48,18 @@ def test_records_inside_a_damaged_record_are_not_genuine():
         assert [x["reason"].split(" (")[0] for x in warc.salvage(content) if "reason" in x] == ["block digest differs"]
 
 
-@pytest.mark.parametrize("part", [b"WARC/1.0\r\n", b"WARC/", b"\x1f\x8b\x08", b"WARC/1.0\r\na: b\r\n", b"WARC/1.0\r\nContent-Length: 9999999\r\n\r\n"])
+@pytest.mark.parametrize("flags", [8, 16, 24, 26, 30])
+def test_member_headers_of_any_length(flags):
+    plain = gzip.compress(record(1, b"x"))
+    extra = (b"\x06\0ab\x02\0cd" if flags & 4 else b"") + b"n" * 50_000 + b"\0" + (b"c" * 5_000 + b"\0" if flags & 24 == 24 else b"")
+    head = plain[:3] + bytes([flags]) + plain[4:10] + extra
+    head += (zlib.crc32(head) & 0xFFFF).to_bytes(2, "little") if flags & 2 else b""
+    member = head + plain[10:]
+    assert gzip.decompress(member) == record(1, b"x")
+    assert ids(gzip.compress(record(0, b"x")) + b"\x1f\x8b\x08\x08junk" + member + gzip.compress(record(2, b"x"))) == ["<urn:0>", "<urn:1>", "<urn:2>"]
+
+
+@pytest.mark.parametrize("part", [b"WARC/1.0\r\n", b"WARC/", b"\x1f\x8b\x08", b"\x1f\x8b\x08\x08abcdef", b"\x1f\x8b\x08\x1aabcdef", b"\x1f\x8b\x08\x08abcde\0", b"WARC/1.0\r\na: b\r\n", b"WARC/1.0\r\nContent-Length: 9999999\r\n\r\n"])
 def test_junk_takes_linear_time(part):
     start = time.time()
     assert ids(part * (1_000_000 // len(part)) + record(1, b"x")) == ["<urn:1>"]
@@ -87,7 +99,7 @@ def test_url_rules_against_brute_force(spark, max_shapes):
     rules += [(f"{rng.choice(['a.com', 'b.a.com', 'com'])}/{''.join(rng.choice('xy/') for _ in range(rng.randrange(6)))}", rng.choice(["allow", "block"])) for _ in range(30)]
     rules = list(dict((r, v) for r, v in reversed(rules)).items()) + [("a.com/x", "block"), ("a.com/x", "allow")]
     urls = [f"http://{rng.choice(['', 'b.', 'c.b.'])}A.com/{''.join(rng.choice('xy/') for _ in range(rng.randrange(8)))}{rng.choice(['', '?q', '#f'])}" for _ in range(80)]
-    urls += [None, None, "", "x", "http://", "http://a.com/" + "x" * 20_000, urls[0], urls[0]]
+    urls += [None, None, "", "x", "http://", "http://a.com/" + "x" * 100_000, urls[0], urls[0]]
     df = spark.createDataFrame(list(enumerate(urls)), "page_id int, url string").withColumn("host", F.lit("clash")).withColumn("verdict", F.lit("clash"))
     got = urlfilter.judge_urls(df, spark.createDataFrame(rules, "rule string, verdict string"), max_shapes=max_shapes).orderBy("page_id").collect()
     assert [tuple(r)[1:] for r in got] == [brute_rule(u, rules) for u in urls]
@@ -141,6 +153,24 @@ def test_votes_against_brute_force(spark):
     assert got[4][1:] == got[5][1:]
 
 
+def test_a_long_text_is_predicted_in_pieces(spark):
+    import tracemalloc
+
+    rng = random.Random(6)
+    rows = [(i, " ".join("".join(rng.choice(letters) for _ in range(5)) for _ in range(30)), lang) for i, (lang, letters) in enumerate([("de", "abcdef"), ("en", "defghi"), ("fr", "xyzuvw")] * 30)]
+    model = langid.train(spark.createDataFrame(rows, "doc_id long, text string, lang string"))
+    part = np.frombuffer(b" abcdefghi xyz", dtype=np.uint8)
+    data = np.tile(part, 600_000)
+    offsets = np.array([0, 3, 3, 65_536, 65_538, 65_540, len(data) - 7, len(data)])
+    tracemalloc.start()
+    best, score = model.predict(data, offsets)
+    assert tracemalloc.get_traced_memory()[1] < 40_000_000
+    tracemalloc.stop()
+    for k in range(len(offsets) - 1):
+        one, own = model.predict(data[offsets[k] : offsets[k + 1]], np.array([0, offsets[k + 1] - offsets[k]]))
+        assert best[k] == one[0] and score[k] == pytest.approx(own[0], rel=1e-9)
+
+
 def test_training_is_bounded(spark, monkeypatch):
     rows = [(i, f"word{i} " * 400, f"l{i % 10}") for i in range(400)]
     df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
