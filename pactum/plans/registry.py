@@ -764,14 +764,15 @@ def p1_whole(spark: SparkSession, d: str) -> DataFrame:
     return got.withColumns({c: F.round(c, 9) for c in ("dcr_min", "dcr_mean", "dcr_p5")})
 
 
-_P3_SQL = _HALVES + """, g AS (SELECT own, count(*) AS n, quantile_cont(d1, 0.05) AS p5, count(*) FILTER (d1 <= 1e-6) AS same, count(*) FILTER (CASE WHEN d2 = 0 THEN 0 ELSE d1 / d2 END < 0.2) AS close FROM n GROUP BY own),
+_RISK = _HALVES + """, g AS (SELECT own, count(*) AS n, quantile_cont(d1, 0.05) AS p5, count(*) FILTER (d1 <= 1e-6) AS same, count(*) FILTER (CASE WHEN d2 = 0 THEN 0 ELSE d1 / d2 END < 0.2) AS close FROM n GROUP BY own),
 t AS (SELECT * FROM g WHERE own), b AS (SELECT * FROM g WHERE NOT own),
 e AS (SELECT count(*) FILTER (own AND (a, b) IN (SELECT (a, b) FROM h WHERE NOT own)) AS copies, count(*) FILTER (NOT own) AS base, coalesce((SELECT sum(c) FROM (SELECT count(*) AS c FROM h WHERE NOT own GROUP BY a, b) WHERE c > 1), 0) AS repeats FROM h),
 k AS (SELECT 'identical' AS "check", greatest(copies, t.same) AS k, t.n AS n, repeats AS bk, base AS bn, greatest(copies, t.same) > 0 AND repeats = 0 AS sure FROM e, t UNION ALL SELECT 'close', t.close, t.n, b.close, b.n, false FROM t, b),
 r AS (SELECT *, k / n - bk / bn AS excess, sqrt((k + bk) / (n + bn) * (1 - (k + bk) / (n + bn)) * (1 / n + 1 / bn)) AS error FROM k),
 l AS (SELECT "check", CASE WHEN sure OR excess > greatest(3 * error, 0.01) THEN 'HIGH' WHEN excess > greatest(2 * error, 0.005) THEN 'MEDIUM' ELSE 'LOW' END AS level, k / n AS value, bk / bn AS baseline FROM r
   UNION ALL SELECT 'distance_p5', CASE WHEN t.p5 < 0.8 * b.p5 THEN 'MEDIUM' ELSE 'LOW' END, t.p5, b.p5 FROM t, b)
-SELECT "check", level, round(value, 9) AS value, round(baseline, 9) AS baseline FROM l
+"""
+_P3_SQL = _RISK + """SELECT "check", level, round(value, 9) AS value, round(baseline, 9) AS baseline FROM l
 UNION ALL SELECT 'overall', max_by(level, list_position(['LOW', 'MEDIUM', 'HIGH'], level)), NULL, NULL FROM l"""
 
 
@@ -819,11 +820,28 @@ def p7(spark: SparkSession, d: str) -> DataFrame:
     return privacy.cap_ages(table(spark, d, "customer").select("c_custkey", (F.col("c_custkey") % 110).alias("age")), "age")
 
 
-@query("p8_privacy_audit")
+_JENSEN_SHANNON = "sqrt(greatest(sum(CASE WHEN p > 0 THEN p * log2(2 * p / (p + q)) ELSE 0 END + CASE WHEN q > 0 THEN q * log2(2 * q / (p + q)) ELSE 0 END) / 2, 0))"
+
+
+@query(
+    "p8_privacy_audit",
+    _RISK
+    + f""", v AS (SELECT own, 'p_size' AS c, a AS x FROM h UNION ALL SELECT own, 'p_retailprice', b FROM h),
+cuts AS (SELECT c, list_sort(list_distinct(quantile_cont(x, [{', '.join(str(k / 20) for k in range(21))}]))) AS edges FROM v WHERE NOT own GROUP BY c),
+bins AS (SELECT c, len([k FOR k IN edges[2:len(edges) - 1] IF k <= x]) AS bin, count(*) FILTER (own) AS p, count(*) FILTER (NOT own) AS q FROM v JOIN cuts USING (c) GROUP BY 1, 2),
+shares AS (SELECT c, p / sum(p) OVER (PARTITION BY c) AS p, q / sum(q) OVER (PARTITION BY c) AS q FROM bins),
+far AS (SELECT avg(d) AS d FROM (SELECT {_JENSEN_SHANNON} AS d FROM shares GROUP BY c)),
+found AS (SELECT "check", level, value FROM l
+  UNION ALL SELECT 'overall', max_by(level, list_position(['LOW', 'MEDIUM', 'HIGH'], level)), NULL FROM l
+  UNION ALL SELECT 'copies', CASE WHEN copies = 0 THEN 'passed' ELSE 'found' END, copies / (SELECT count(*) FROM h WHERE own) FROM e
+  UNION ALL SELECT 'divergence', CASE WHEN d < 0.1 THEN 'LOW' WHEN d < 0.3 THEN 'MEDIUM' ELSE 'HIGH' END, d FROM far
+  UNION ALL SELECT 'identifiers', CASE WHEN n = 0 THEN 'passed' ELSE 'found' END, n FROM (SELECT count(*)::DOUBLE AS n FROM (VALUES ('p_size'), ('p_retailprice')) names(c) WHERE regexp_matches(c, 'name|mail|phone|ssn|addr')))
+SELECT 'part' AS "table", "check", level, round(value, 7) AS value FROM found""",
+)
 def p8(spark: SparkSession, d: str) -> DataFrame:
     """The whole audit of parts of some brands against the others."""
     own, ref = _halves(spark, d)
-    return privacy.audit({"part": own}, {"part": ref}, "part")
+    return privacy.audit({"part": own}, {"part": ref}, "part").withColumn("value", F.round("value", 7))
 
 
 # ---- generation
