@@ -97,3 +97,11 @@ def test_given_rows_are_repaired_and_others_stay(spark):
     assert again == got
     assert generate.repair_rules(df.limit(0), contract, "k").count() == 0
     assert df.where(F.col("x") == 9.0).count() == 2
+
+
+def test_the_last_text_key_is_the_last_beyond_six_figures(spark, tmp_path):
+    from pactum.plans import registry
+
+    spark.range(1_000_003).withColumnRenamed("id", "p_partkey").write.parquet(f"{tmp_path}/part.parquet")
+    (row,) = registry.QUERIES["g7_primary_key"](spark, str(tmp_path)).collect()
+    assert tuple(row) == (1_000_003, 1_000_003, "SKU_000001", "SKU_1000003")
